@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprints, mixing, secrets
+from ..session import ship
+from . import chat, exact_dedup, fingerprints, mixing, packing, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,13 @@ def op4_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op5_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    held = (quality.remainder("doc_id") == 2).alias("held_out")
+    return quality.score_quality(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op6_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -32,9 +40,20 @@ def op7_fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_mix_sources, op4_rotate_perspectives, op6_find_secrets, op7_fingerprint_edits)
+    for f in (
+        op1_exact_dedup, op2_mix_sources, op4_rotate_perspectives, op5_score_quality, op6_find_secrets,
+        op7_fingerprint_edits, op8_remove_repeats, op10_pack_documents,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
