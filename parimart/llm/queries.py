@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, exact_dedup, fingerprints, mixing, packing, quality, secrets, suffixes
+from . import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
+
+
 def op4_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -51,7 +55,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_mix_sources, op4_rotate_perspectives, op5_score_quality, op6_find_secrets,
+        op1_exact_dedup, op2_mix_sources, op3_jaccard_components, op4_rotate_perspectives, op5_score_quality, op6_find_secrets,
         op7_fingerprint_edits, op8_remove_repeats, op10_pack_documents,
     )
 }
