@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, exact_dedup, fingerprints, mixing, ngram_join, packing, quality, secrets, suffixes
+from . import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_removed", "text")
+
+
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_mix_sources, op3_jaccard_components, op4_rotate_perspectives, op5_score_quality, op6_find_secrets,
-        op7_fingerprint_edits, op8_remove_repeats, op10_pack_documents,
+        op7_fingerprint_edits, op8_remove_repeats, op9_drop_repeated_lines, op10_pack_documents,
     )
 }
 
