@@ -1,6 +1,6 @@
 """Bindings of the operators to the driver tables, and the registered queries."""
 
-from . import relational_queries
+from . import market_queries, relational_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "market_queries", "relational_queries"]
