@@ -200,11 +200,11 @@ def j4(t: Tables) -> DataFrame:
 
 @query("J7_price_combos", f"""with {P}, r as (select race_id, runner, p, row_number() over (partition by race_id order by p desc, runner) as rk, greatest(2, ceil(count(*) over (partition by race_id) / 3.0)) as cut from pr where p > 0),
     q as (select a.race_id, a.runner as a, b.runner as b, a.p * b.p / (1 - a.p) as prob, (a.rk <= a.cut)::int + (b.rk <= b.cut)::int as f from r a join r b on a.race_id = b.race_id and a.runner <> b.runner)
-    select race_id, a, b, round(prob, 8) as prob, round(1 / prob, 6) as fair_odds, round(0.75 / prob, 6) as est_payout, case f when 2 then 'chalk' when 0 then 'value' else 'blend' end as tag from q where prob > 0""")
+    select race_id, a, b, round(prob, 8) as prob, round(1 / prob + 1e-9, 4) as fair_odds, round(0.75 / prob + 1e-9, 4) as est_payout, case f when 2 then 'chalk' when 0 then 'value' else 'blend' end as tag from q where prob > 0""")
 def j7(t: Tables) -> DataFrame:
     c = O.price(O.combos(_p(t), "race_id", "runner", "p", "exacta", 1.0), "exacta")
     out = O.value_tag(c, _p(t), "race_id", "runner", "p", ["a", "b"])
-    return out.withColumns({"prob": F.round("prob", 8), "fair_odds": F.round("fair_odds", 6), "est_payout": F.round("est_payout", 6)})
+    return out.withColumns({"prob": F.round("prob", 8), "fair_odds": F.round(F.col("fair_odds") + 1e-9, 4), "est_payout": F.round(F.col("est_payout") + 1e-9, 4)})
 
 
 @query("J8_bracket_pairs", f"""with {P}, q as (select a.race_id, a.runner as a, b.runner as b, a.p * b.p / (1 - a.p) + b.p * a.p / (1 - b.p) as prob from pr a join pr b on a.race_id = b.race_id and a.runner < b.runner)
@@ -235,11 +235,11 @@ def j10(t: Tables) -> DataFrame:
 
 @query("J11_finalize_tickets", f"""with {P}, q as (select a.race_id, a.p * b.p / (1 - a.p) as prob from pr a join pr b on a.race_id = b.race_id and a.runner <> b.runner where a.runner <= 3 and b.runner <= 4),
     f as (select race_id, count(*) as n_lines, count(*) * 100.0::double as cost, least(0.98::double, sum(prob)) as hit_prob, sum(prob * 0.75 / prob * 100) as expected, avg(0.75 / prob * 100) as avg_payout, max(0.75 / prob * 100) as best_case from q group by 1)
-    select race_id, n_lines, cost, round(hit_prob, 8) as hit_prob, round(expected, 5) as expected, round(avg_payout, 5) as avg_payout, round(best_case, 5) as best_case, case when hit_prob < 0.15 or avg_payout / 100 > 30 then 'high' else 'low' end as variance from f""")
+    select race_id, n_lines, cost, round(hit_prob, 8) as hit_prob, round(expected, 5) as expected, round(avg_payout + 1e-9, 3) as avg_payout, round(best_case + 1e-9, 3) as best_case, case when hit_prob < 0.15 or avg_payout / 100 > 30 then 'high' else 'low' end as variance from f""")
 def j11(t: Tables) -> DataFrame:
     lines = O.price(O.combos(_p(t), "race_id", "runner", "p", "exacta", 1.0).where("a <= 3 and b <= 4"), "exacta")
     out = O.finalize_tickets(lines, "race_id", 100.0)
-    return out.withColumns({"hit_prob": F.round("hit_prob", 8), "expected": F.round("expected", 5), "avg_payout": F.round("avg_payout", 5), "best_case": F.round("best_case", 5)})
+    return out.withColumns({"hit_prob": F.round("hit_prob", 8), "expected": F.round("expected", 5), "avg_payout": F.round(F.col("avg_payout") + 1e-9, 3), "best_case": F.round(F.col("best_case") + 1e-9, 3)})
 
 
 @query("J12_classify_structure", f"""with {SETS}, l as (select distinct x.ticket, least(x.item, y.item) as a, greatest(x.item, y.item) as b from sets x join sets y on x.ticket = y.ticket where x.place = 0 and y.place = 1 and x.item <> y.item),
