@@ -1,6 +1,6 @@
 """Bindings of the operators to the driver tables, and the registered queries."""
 
-from . import feature_queries, market_queries, relational_queries
+from . import feature_queries, lake_queries, market_queries, relational_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "market_queries", "relational_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "lake_queries", "market_queries", "relational_queries"]
