@@ -186,4 +186,3 @@ def fit_conditional_logit(df: DataFrame, race: str, features: Sequence[str], won
     return w
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["remove_top", "top_k"]

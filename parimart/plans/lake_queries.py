@@ -322,11 +322,11 @@ def n2(t: Tables) -> DataFrame:
 FR = "fr as (select distinct a.source_id, a.target_id from edges a join edges b on a.source_id = b.target_id and a.target_id = b.source_id where a.state = 'accepted' and b.state = 'accepted')"
 
 
-@query("N3_share_feed", f"""with {FR}, v as (select user_id as viewer, user_id as owner from tickets where user_id % 10 = 0 union select source_id, target_id from fr where source_id % 10 = 0),
+@query("N3_share_feed", f"""with {FR}, v as (select user_id as viewer, user_id as owner from tickets union select fr.source_id, fr.target_id from fr where fr.source_id in (select user_id from tickets)),
     x as (select v.viewer, t.ticket_id, v.viewer = v.owner as mine, row_number() over (partition by v.viewer order by t.created_at desc, t.ticket_id desc) as place from v join tickets t on t.user_id = v.owner where not exists (select 1 from edges b where b.state = 'pending' and b.source_id = v.viewer and b.target_id = v.owner))
     select viewer, ticket_id, mine, place from x where place <= 100""")
 def n3(t: Tables) -> DataFrame:
-    viewers = t.tickets.where("user_id % 10 = 0").select("user_id").distinct()
+    viewers = t.tickets.select("user_id").distinct()
     return N.share_feed(t.tickets, N.mutual_friends(t.edges), t.edges.where("state = 'pending'"), viewers).select("viewer", "ticket_id", "mine", "place")
 
 
