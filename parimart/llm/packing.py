@@ -21,7 +21,8 @@ DOCUMENTS, COST = 2048, 2048 * 2048
 WEIGHTS = (1.0, 0.05, 0.2)
 #: Pieces that a task packs; the last sequences of each task are all that packing apart can waste.
 GROUP = 20_000
-_KEPT = 300_000
+#: Strings whose ids a worker keeps.
+_KEPT = 500_000
 
 
 def tokenizer_path() -> str:
@@ -40,22 +41,30 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.bar,) = self._encode("|")
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._encode(word).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words).difference(self) if len(w) <= 64]
-        if len(self) + len(new) > _KEPT:
+        if len(self) > _KEPT:
             self.clear()
-            new = list({w for w in words if len(w) <= 64}) if len(words) < _KEPT else []
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found, strict=True))
+        new = [w for w in set(words) if w not in self and len(w) <= 64 and "|" not in w]
+        for lo in range(0, len(new), 4096):
+            # One text of many words with bars between them, which none of the words can give the id of.
+            part = new[lo : lo + 4096]
+            ids = self._encode(" | ".join(part))
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, [*np.flatnonzero(ids == self.bar).tolist(), len(ids)], strict=True):
+                self[word] = raw[4 * begin : 4 * end]
+                begin = end + 1
         return b"".join(map(self.__getitem__, words))
 
 
