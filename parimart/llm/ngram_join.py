@@ -3,7 +3,7 @@
 Shingles are hashed into 2^L groups, L by the size of the set. A set's group counts are its point: two sets share at
 most the sum of the coordinates' minima. As many groups as sets of that size may differ in, and one more, leave two
 linked sets at least one group with the very same shingles, so points meet in blocks keyed by a group's content, and a
-block is searched with an R-tree. A first round bounds and verifies each block's sets against one of them; blocks whose
+block is searched with an R-tree. A first round bounds and verifies each block's sets against its most met one; blocks whose
 sets are then in one component are done, the others are searched for pairs between components.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +23,8 @@ from .words import Words, blocks, mix, utf8
 #: Points of a block that a task searches against as many others; larger blocks are cut up.
 CHUNK = 2000
 LEAF, FANOUT = 32, 8
+#: Points have 2 ** FINER groups for each that blocks are keyed by.
+FINER = 2
 
 
 def differ(size: int, num: int, den: int) -> int:
@@ -36,9 +37,19 @@ def levels(size: int, num: int, den: int) -> set[int]:
     return {differ(s, num, den).bit_length() for s in (-(-num * size // den), size)} - {0}
 
 
-def counts(shingles: np.ndarray, level: int) -> np.ndarray:
-    """Group counts of a set, the groups being the first ``level`` bits."""
-    return np.bincount((shingles >> np.uint64(64 - level)).astype(np.int64), minlength=1 << level)
+def point(shingles: np.ndarray, level: int) -> bytes:
+    """Counts of a set's groups, four to each group of its blocks, so about one shingle each; a byte holds 254 at most."""
+    if not level:
+        return b""
+    group = (shingles >> np.uint64(64 - level - FINER)).astype(np.int64)
+    return np.minimum(np.bincount(group, minlength=1 << (level + FINER)), 255).astype(np.uint8).tobytes()
+
+
+def coordinates(data: bytes, width: int) -> np.ndarray:
+    """A point's counts, folded to ``width`` groups; 255 stands for any larger count and bounds nothing."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int32)
+    raw[raw == 255] = 1 << 20
+    return raw.reshape(width, -1).sum(axis=1, dtype=np.int32)
 
 
 def group_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -59,10 +70,10 @@ def group_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The most shingles that two sets with these counts can share; the finer counts are folded to the coarser."""
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """The most shingles that two sets with these points can share; the finer one is folded to the coarser."""
     n = min(len(a), len(b))
-    return int(np.minimum(a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)).sum())
+    return int(np.minimum(coordinates(a, n), coordinates(b, n)).sum())
 
 
 def _may_link(bound, a, b, num: int, den: int):
@@ -123,7 +134,7 @@ def _index(k: int, num: int, den: int):
             level = [differ(len(s), num, den).bit_length() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([counts(s, n).astype("<u2").tobytes() if n else b"" for s, n in zip(sets, level, strict=True)], pa.binary())],
+                 pa.array([point(s, n) for s, n in zip(sets, level, strict=True)], pa.binary())],
                 ["id", "cls", "n", "point"],
             )
 
@@ -161,8 +172,8 @@ def _keys(k: int, num: int, den: int):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (key, cls): those whose key has two sets, each once, with the key's first set as head."""
-    last_key = last_cls = head = None
+    """Of rows in order of (key, cls): those whose key has two sets, each once."""
+    last_key = last_cls = None
     alone = True
     for batch in batches:
         key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -174,21 +185,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls = key[fresh], cls[fresh]
         if not len(key):
             continue
-        if last_key is not None and alone and key[0] == last_key:  # the row held back has company
+        goes_on = last_key is not None and key[0] == last_key
+        if goes_on and alone:  # the row held back has company
             key, cls = np.concatenate([[last_key], key]), np.concatenate([[last_cls], cls])
-            carried = None
-        else:
-            carried = head if last_key is not None and key[0] == last_key else None
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(at, len(key)))
-        first = np.repeat(cls[at], size)
         many = np.repeat(size > 1, size)
-        if carried is not None:
-            first[: size[0]], many[: size[0]] = carried, True
-        last_key, last_cls, head, alone = int(key[-1]), int(cls[-1]), int(first[-1]), not many[-1]
+        if goes_on and not alone:
+            many[: size[0]] = True
+        last_key, last_cls, alone = int(key[-1]), int(cls[-1]), not many[-1]
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many]), pa.array(first[many])], ["key", "cls", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many])], ["key", "cls"])
 
 
 def _bound(num: int, den: int):
@@ -197,30 +204,53 @@ def _bound(num: int, den: int):
             keep = []
             for n, m, p, q in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 fits = num * max(n, m) <= den * min(n, m)
-                keep.append(fits and bool(_may_link(overlap_bound(np.frombuffer(p, "<u2").astype(np.int64), np.frombuffer(q, "<u2").astype(np.int64)), n, m, num, den)))
+                keep.append(fits and bool(_may_link(overlap_bound(p, q), n, m, num, den)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return run
 
 
 def _search(num: int, den: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        points = [np.frombuffer(p, "<u2").astype(np.int64) for p in frame["point"]]
+    """Rows in order of block and chunks: the pairs of different components that may link, block by block."""
+
+    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j, names, labels, sizes, side, points = zip(*rows, strict=True)
         width = min(map(len, points))
-        matrix = np.stack([p.reshape(width, -1).sum(axis=1) for p in points])
-        sizes, names = frame["n"].to_numpy(), frame["cls"].to_numpy()
-        _, labels = np.unique(frame["label"].to_numpy(), return_inverse=True)
-        side, i, j = frame["side"].to_numpy(), frame["ci"].iloc[0], frame["cj"].iloc[0]
-        stored = np.flatnonzero(side == i)
-        asked = stored if i == j else np.flatnonzero(side == j)
+        matrix = np.stack([coordinates(p, width) for p in points])
+        names, sizes, side = np.array(names), np.array(sizes), np.array(side)
+        _, labels = np.unique(np.array(labels), return_inverse=True)
+        stored = np.flatnonzero(side == i[0])
+        asked = stored if i[0] == j[0] else np.flatnonzero(side == j[0])
         found: list[tuple[int, int]] = []
         if len(stored) and len(asked):
             tree = RTree(sizes[stored], matrix[stored], labels[stored])
             for x in asked:
-                for y in stored[tree.search(sizes[x], matrix[x], labels[x], num, den)]:
-                    if i != j or x < y:
-                        found.append((max(names[x], names[y]), min(names[x], names[y])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+                y = stored[tree.search(sizes[x], matrix[x], labels[x], num, den)]
+                if i[0] == j[0]:
+                    y = y[y < x]
+                found += [(max(names[x], n), min(names[x], n)) for n in names[y]]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: set[tuple[int, int]] = set()
+
+        def sent() -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    found.update(block(held))
+                    held = []
+                held.append(row)
+            if len(found) > 50_000:
+                yield sent()
+        if held:
+            found.update(block(held))
+        yield sent()
 
     return run
 
@@ -259,7 +289,7 @@ def jaccard_components(
     points = staged(points, "points")
 
     keys = base.select("text").mapInArrow(_keys(k, num, den), "key long, cls long")
-    met = keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_blocks, "key long, cls long, head long")
+    met = keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_blocks, "key long, cls long")
     met = staged(met, "blocks")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -279,7 +309,11 @@ def jaccard_components(
             pairs = pairs.join(points.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("point").alias(p)), side)
         return pairs.select("a", "b", "n", "m", "p", "q").mapInArrow(_bound(num, den), "a long, b long")
 
-    star = met.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    # The set that meets others in most blocks stands in the middle of its block: edited copies are nearer to
+    # what they were copied from than to each other.
+    degree = met.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    heads = met.join(degree, "cls").groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("head"))
+    star = met.join(staged(heads, "heads"), "key").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     links = staged(verified(measured(star)), "links")
     labels = staged(connected_components(links), "labels")
 
@@ -294,7 +328,8 @@ def jaccard_components(
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "key", "cls", "label", "n", "point", "side", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj")
     )
-    crossed = rows.groupBy("key", "ci", "cj").applyInPandas(_search(num, den), "a long, b long").distinct()
+    rows = rows.select("key", "ci", "cj", "cls", "label", "n", "side", "point").repartition("key", "ci", "cj")
+    crossed = rows.sortWithinPartitions("key", "ci", "cj").mapInArrow(_search(num, den), "a long, b long").distinct()
     links = links.unionByName(verified(crossed))
     labels = staged(connected_components(links), "labels")
 
