@@ -11,28 +11,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .words import Words, blocks, utf8
+from .words import Words, blocks, mix, utf8
 
 #: Similarity from which lines match, and distinct words from which a line is judged at all.
 SIMILARITY, LEAST = (4, 5), 5
-#: Counters of the rarity table: two rows of so many, 8 MB whatever the input. Each is sent in slices.
-SLOTS, SLICE = 1 << 20, 1 << 12
-#: Partners that a line names per prefix word at first; lines with more are looked at again until none is left out.
+#: Counters of the rarity table: two rows of so many, 8 MB as broadcast whatever the input. Tasks send their own in slices.
+SLOTS, SLICE = 1 << 22, 1 << 12
+#: Earlier partners that a line names per prefix word at first; lines with more are looked at again until none is left out.
 PARTNERS = 16
 #: Lines of one word that a task holds; more common words are searched chunk against chunk.
 HELD, CHUNK = 50_000, 4000
-_TWO = np.uint64(SLOTS - 1)
+_LOW = np.uint64(SLOTS - 1)
 
 
 class Lines:
-    """The lines of a block of texts that are long enough, as sorted sets of word hashes."""
+    """The lines of a block of texts that are long enough, as sets of word hashes in order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
         base, part = offsets[0], data[offsets[0] : offsets[-1]]
@@ -40,23 +38,27 @@ class Lines:
         breaks = np.flatnonzero(part == 10) + 1
         every = np.union1d(own, breaks)
         w = Words(part, every)
-        order = np.lexsort((w.hash, w.text))
+        key = (w.text.astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24))
+        order = np.argsort(key)
         h, line = w.hash[order], w.text[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.word, line = h[new], line[new]
+        h, line = h[new], line[new]
         size = np.bincount(line, minlength=max(1, len(every) - 1))
-        ends = np.cumsum(size)
-        picked = np.flatnonzero(size >= least)
-        self.begin, self.end, self.size = (ends - size)[picked], ends[picked], size[picked]
-        start = every[picked] if len(picked) else picked
+        long = size >= least
+        held = long[line]
+        picked = np.flatnonzero(long)
+        self.word, self.size = h[held], size[picked]
+        self.line = np.repeat(np.arange(len(picked)), self.size)
+        self.begin = np.cumsum(self.size) - self.size
+        start = every[picked]
         self.text = np.searchsorted(own, start, "right") - 1
-        before = np.searchsorted(breaks, start, "right")
-        self.place = before - np.searchsorted(breaks, own[self.text], "right")
-        self.name = [
-            xxhash.xxh3_64_intdigest(self.word[a:b].tobytes()) - 2**63
-            for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)
-        ]
+        self.place = np.searchsorted(breaks, start, "right") - np.searchsorted(breaks, own[self.text], "right")
+        if len(picked):
+            total = np.add.reduceat(mix(self.word), self.begin)
+            self.name = mix(total + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        else:
+            self.name = np.zeros(0, np.int64)
 
 
 def _lines(column: pa.Array, least: int) -> Iterator[tuple[int, Lines]]:
@@ -71,16 +73,23 @@ class _Seen:
     def __init__(self) -> None:
         self.names: set[int] = set()
 
-    def new(self, name: int) -> bool:
-        if name in self.names:
-            return False
-        if len(self.names) >= 200_000:
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Whether each is met for the first time."""
+        out = np.zeros(len(names), bool)
+        if len(self.names) > 200_000:
             self.names.clear()
-        self.names.add(name)
-        return True
+        for i, name in enumerate(names.tolist()):
+            if name not in self.names:
+                self.names.add(name)
+                out[i] = True
+        return out
 
 
-def _survey(least: int, kind: pa.DataType):
+def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h & _LOW).astype(np.int64), SLOTS + ((h >> np.uint64(32)) & _LOW).astype(np.int64)
+
+
+def _survey(least: int):
     """Occurrences of lines, and at the end of a task the word counts of the different lines in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,129 +97,150 @@ def _survey(least: int, kind: pa.DataType):
         names = ["id", "place", "cls", "slice", "counts"]
         for batch in batches:
             for lo, lines in _lines(batch.column(1), least):
-                for name, a, b in zip(lines.name, lines.begin, lines.end, strict=True):
-                    if seen.new(name):
-                        h = lines.word[a:b]
-                        table[(h & _TWO).astype(np.int64)] += 1  # the words of a line are distinct; equal slots count once
-                        table[SLOTS + ((h >> np.uint64(32)) & _TWO).astype(np.int64)] += 1
+                fresh = lines.word[seen.new(lines.name)[lines.line]]
+                for at in _slots(fresh):
+                    np.add.at(table, at, 1)
                 n = len(lines.name)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + lines.text)), pa.array(lines.place.astype(np.int32)), pa.array(lines.name, pa.int64()),
+                    [batch.column(0).take(pa.array(lo + lines.text)), pa.array(lines.place.astype(np.int32)), pa.array(lines.name),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
                 )
-        used = [s for s in range(2 * SLOTS // SLICE) if table[s * SLICE : (s + 1) * SLICE].any()]
+        used = np.flatnonzero(table)
+        of = used // SLICE
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(used) else np.zeros(0, np.int64)
+        parts = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(used)], strict=True) if len(used) else ():
+            parts.append((used[a:b] % SLICE).astype("<u2").tobytes() + table[used[a:b]].astype("<u4").tobytes())
+        n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), kind), pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()),
-             pa.array([table[s * SLICE : (s + 1) * SLICE].tobytes() for s in used], pa.binary())], names,
-        )
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(of[at].astype(np.int32)), pa.array(parts, pa.binary())], names
+        )
 
     return run
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks' counters as one byte each: exact below 128, then eight steps to each doubling."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            total[s] = total.get(s, 0) + np.frombuffer(c.as_buffer(), np.int32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slice", "counts"]
-    )
+        for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = len(c) // 6
+            sums = total.setdefault(s, np.zeros(SLICE, np.int64))
+            sums[np.frombuffer(c, "<u2", n)] += np.frombuffer(c, "<u4", n, 2 * n)
+    for t in total.values():
+        big = t >= 128
+        t[big] = np.minimum(255, 128 + np.floor(8 * np.log2(t[big] / 128))).astype(np.int64)
+    coded = [t.astype(np.uint8).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["slice", "counts"])
 
 
 def _rarity(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return np.minimum(table[(h & _TWO).astype(np.int64)], table[SLOTS + ((h >> np.uint64(32)) & _TWO).astype(np.int64)])
+    a, b = _slots(h)
+    return np.minimum(table[a], table[b])
+
+
+def _bits(lines: Lines) -> list[np.ndarray]:
+    """128 bits of each set, in two words."""
+    bit, side = np.uint64(1) << (lines.word >> np.uint64(58)), (lines.word >> np.uint64(57)) & np.uint64(1)
+    return [np.bitwise_or.reduceat(np.where(side == k, bit, np.uint64(0)), lines.begin) for k in (0, 1)]
 
 
 def _postings(held, least: int, num: int, den: int):
-    """Prefix words of each line with the line's size, the word's place in it and 64 bits of the whole set.
+    """Prefix words of each line with its place, the line's size, the word's rank in it and bits of the whole set.
 
-    A word that was counted once is in no other line and needs no posting.
+    Texts come in order of id, so what a task sends of a set is the earliest line that it has. A word that was
+    counted once is in no other line and needs no posting.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = held.value, _Seen()
         for batch in batches:
-            for _, lines in _lines(batch.column(0), least):
+            for lo, lines in _lines(batch.column(1), least):
+                if not len(lines.name):
+                    continue
                 rare = _rarity(table, lines.word)
-                bit = np.uint64(1) << (lines.word >> np.uint64(58))
-                out: list[tuple] = []
-                for name, a, b, n in zip(lines.name, lines.begin.tolist(), lines.end.tolist(), lines.size.tolist(), strict=True):
-                    if not seen.new(name):
-                        continue
-                    first = n + num * -n // den + 1  # n - ceil(n * num / den) + 1
-                    order = np.lexsort((lines.word[a:b], rare[a:b]))[:first]
-                    at = np.flatnonzero(rare[a:b][order] > 1)
-                    bits = np.bitwise_or.reduce(bit[a:b])
-                    out.append((lines.word[a:b][order[at]], np.full(len(at), name), np.full(len(at), n), at, np.full(len(at), bits)))
-                if out:
-                    word, name, n, at, bits = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(word.view(np.int64)), pa.array(name.astype(np.int64)), pa.array(n.astype(np.int32)),
-                         pa.array(at.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "cls", "n", "at", "bits"],
-                    )
+                # Within a line words already are in order of hash, which decides among equally rare ones.
+                order = np.argsort((lines.line << 8) | rare, kind="stable")
+                rank = np.arange(len(order)) - lines.begin[lines.line]
+                first = lines.size - -(-num * lines.size // den) + 1
+                ok = seen.new(lines.name)[lines.line] & (rank < first[lines.line]) & (rare[order] > 1)
+                line, word = lines.line[ok], lines.word[order][ok]
+                b0, b1 = _bits(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word.view(np.int64)), batch.column(0).take(pa.array(lo + lines.text[line])), pa.array(lines.place[line].astype(np.int32)),
+                     pa.array(lines.size[line].astype(np.int32)), pa.array(rank[ok].astype(np.int32)), pa.array(b0[line].view(np.int64)), pa.array(b1[line].view(np.int64))],
+                    ["word", "id", "place", "n", "at", "b0", "b1"],
+                )
 
     return run
 
 
-def _pass(n, i, bits, m, j, other, num: int, den: int) -> np.ndarray:
-    """Length, positional and bit filter for two lines that share a word at places i and j of their orders."""
+def _pass(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length, positional and bit filter for lines (columns n, at, b0, b1 from the third) that share a word."""
+    n, i, m, j = x[3], x[4], y[3], y[4]
     need = -(-num * (n + m) // (num + den))
+    apart = np.bitwise_count((x[5] ^ y[5]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[6] ^ y[6]).view(np.uint64))
     ok = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (1 + np.minimum(n - i - 1, m - j - 1) >= need)
-    return ok & (np.bitwise_count(np.asarray(bits ^ other).view(np.uint64)) <= n + m - 2 * need)
+    return ok & (apart <= n + m - 2 * need)
 
 
 def _partners(num: int, den: int):
-    """Rows in order of word: up to ``PARTNERS`` candidates a line, and the (word, line)s that have more or weren't tried."""
+    """Rows in order of (word, id, place): up to ``PARTNERS`` earlier candidates for a line, and the (word, line)s that
+    have more or weren't tried."""
+
+    def send(y: np.ndarray, x: np.ndarray | None) -> pa.RecordBatch:
+        n = y.shape[1]
+        other = [pa.array(x[1]), pa.array(x[2].astype(np.int32))] if x is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(y[0]), pa.array(y[1]), pa.array(y[2].astype(np.int32)), *other], ["word", "id", "place", "xid", "xplace"])
+
+    def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at_run = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1]]))
+        size = np.diff(np.append(at_run, t.shape[1]))
+        place = np.arange(t.shape[1]) - np.repeat(at_run, size)
+        ys, xs, more = [], [], []
+        live = np.flatnonzero(np.repeat(size <= 2 * PARTNERS, size) & (place > 0))
+        lag = 1
+        while len(live):  # short runs: each line against every line before it
+            ok = _pass(t[:, live - lag], t[:, live], num, den)
+            ys.append(live[ok])
+            xs.append(live[ok] - lag)
+            lag += 1
+            live = live[place[live] >= lag]
+        for r in np.flatnonzero(size > 2 * PARTNERS):
+            part = np.arange(at_run[r], at_run[r] + size[r])
+            for lo in range(0, len(part), 256):
+                y = part[lo : lo + 256]
+                got = np.zeros(len(y), np.int64)
+                for start in range(0, lo + len(y), 512):
+                    x = part[start : min(start + 512, lo + len(y))]
+                    open_ = np.flatnonzero(got <= PARTNERS)
+                    if not len(open_):
+                        break
+                    ok = _pass(t[:, x][:, None, :], t[:, y[open_]][:, :, None], num, den) & (x[None, :] < y[open_][:, None])
+                    i, j = np.nonzero(ok)
+                    count = np.bincount(i, minlength=len(open_))
+                    rank = np.arange(len(i)) - (np.cumsum(count) - count)[i] + got[open_][i]
+                    keep = rank < PARTNERS
+                    ys.append(y[open_][i[keep]])
+                    xs.append(x[j[keep]])
+                    got[open_] += count
+                more.append(y[got > PARTNERS])
+        if ys:
+            y, x = np.concatenate(ys), np.concatenate(xs)
+            yield send(t[:, y], t[:, x])
+        if more:
+            yield send(t[:, np.concatenate(more)], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows, broken = 0, None
-
-        def batch_of(word, a, b) -> pa.RecordBatch:
-            word = pa.array(np.asarray(word, np.int64)) if word is not None else pa.nulls(len(a), pa.int64())
-            b = pa.array(np.asarray(b, np.int64)) if b is not None else pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([word, pa.array(np.asarray(a, np.int64)), b], ["word", "a", "b"])
-
-        def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
-            word, cls, n, at, bits = t
-            at_run = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            size = np.diff(np.append(at_run, len(word)))
-            run_of = np.repeat(np.arange(len(size)), size)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            short = np.where(size <= 2 * PARTNERS, size, 0)
-            for lag in range(1, int(short.max(initial=0))):  # short runs: each line against those before it
-                y = np.flatnonzero((short[run_of] > lag) & (np.arange(len(word)) - at_run[run_of] >= lag))
-                x = y - lag
-                ok = _pass(n[y], at[y], bits[y], n[x], at[x], bits[x], num, den) & (cls[x] != cls[y])
-                found.append((cls[y[ok]], cls[x[ok]]))
-            more: list[tuple[int, int]] = []
-            for r in np.flatnonzero(size > 2 * PARTNERS):
-                part = np.arange(at_run[r], at_run[r] + size[r])
-                part = part[np.concatenate([[True], cls[part][1:] != cls[part][:-1]])]
-                for y in part:
-                    got = 0
-                    for lo in range(0, len(part), 1024):
-                        x = part[lo : lo + 1024]
-                        x = x[_pass(n[y], at[y], bits[y], n[x], at[x], bits[x], num, den) & (cls[x] != cls[y])]
-                        left = x[: PARTNERS - got]
-                        if len(left):
-                            found.append((np.full(len(left), cls[y]), cls[left]))
-                        got += len(x)
-                        if got > PARTNERS:
-                            more.append((int(word[y]), int(cls[y])))
-                            break
-            if found:
-                yield batch_of(None, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-            if more:
-                yield batch_of([m[0] for m in more], [m[1] for m in more], None)
-
         for batch in batches:
-            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]])
+            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
             if broken is not None:  # a word with too many lines streams through
                 rest = t[0] != broken
                 cut = int(np.argmax(rest)) if rest.any() else t.shape[1]
                 if cut:
-                    yield batch_of(t[0][:cut], t[1][:cut], None)
+                    yield send(t[:, :cut], None)
                 t = t[:, cut:]
                 broken = None if t.shape[1] else broken
             if not t.shape[1]:
@@ -225,7 +255,7 @@ def _partners(num: int, den: int):
                     t = t[:, last:]
                 if t.shape[1] >= HELD:
                     broken = t[0][-1]
-                    yield batch_of(t[0], t[1], None)
+                    yield send(t, None)
                     t = t[:, :0]
                 held, rows = [t], t.shape[1]
         if held:
@@ -237,24 +267,43 @@ def _partners(num: int, den: int):
 
 
 def _chunks(num: int, den: int):
-    """All candidates of open lines in one chunk of a word's lines against another."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["ci"].iloc[0], f["cj"].iloc[0]
-        f = f.drop_duplicates(["cls", "side"])
-        cls, n, at, bits = (f[c].to_numpy() for c in ("cls", "n", "at", "bits"))
-        side, live = f["side"].to_numpy(), f["open"].to_numpy()
-        out = []
-        for y in np.flatnonzero(live):
-            x = np.flatnonzero(side == (j if side[y] == i else i))
-            x = x[_pass(n[y], at[y], bits[y], n[x], at[x], bits[x], num, den) & (cls[x] != cls[y])]
-            out.append(pd.DataFrame({"a": np.full(len(x), cls[y]), "b": cls[x]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    """Rows in order of (word, chunks, id, place): all earlier candidates of open lines, chunk against chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def block(t: np.ndarray) -> list[np.ndarray]:
+            i, j, side, out = t[7, 0], t[8, 0], t[9], []
+            for y in np.flatnonzero(t[10]):
+                x = np.flatnonzero(side[:y] == (j if side[y] == i else i))
+                x = x[_pass(t[:, x], t[:, y][:, None], num, den)]
+                out.append(np.stack([np.full(len(x), t[1, y]), np.full(len(x), t[2, y]), t[1, x], t[2, x]]))
+            return out
+
+        def sent(found: list[np.ndarray]) -> pa.RecordBatch:
+            r = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(r[0]), pa.array(r[1].astype(np.int32)), pa.array(r[2]), pa.array(r[3].astype(np.int32))], ["id", "place", "xid", "xplace"])
+
+        for batch in batches:
+            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if not t.shape[1]:
+                continue
+            t = np.concatenate([*held, t], axis=1)
+            new = np.flatnonzero(np.any(t[[0, 7, 8], 1:] != t[[0, 7, 8], :-1], axis=0)) + 1
+            edges = [0, *new.tolist()]
+            found = [r for a, b in zip(edges[:-1], edges[1:], strict=True) for r in block(t[:, a:b])]
+            held = [t[:, edges[-1] :]]
+            if found:
+                yield sent(found)
+        if held:
+            yield sent(block(held[0]))
 
     return run
 
 
 def _verify(num: int, den: int):
+    """Of rows (id, place, line, other line): the (id, place)s whose lines do match."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -262,11 +311,25 @@ def _verify(num: int, den: int):
                 a, b = (set(s.encode().split()) for s in (x, y))  # bytes split at ASCII white space alone
                 both = len(a & b)
                 keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["id", "place"])
 
     return run
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines at the wanted places of each text."""
+    for batch in batches:
+        ids, places, lines = [], [], []
+        for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            parts = text.split("\n")
+            for k in wanted:
+                if k < len(parts):  # a repeated id may have a shorter text
+                    ids.append(key)
+                    places.append(k)
+                    lines.append(parts[k])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.string())], ["id", "place", "line"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("gone")
@@ -296,98 +359,62 @@ def drop_repeated_lines(
     num, den = similarity
     spark = docs.sparkSession
     docs = docs.drop("n_removed", "gone")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, place int, cls long, slice int, counts binary"
-    survey = staged(base.mapInArrow(_survey(least, pa.int64()), schema), "lines")
-    slices = (
-        survey.where("slice is not null").select("slice", "counts").repartition("slice")
-        .mapInArrow(_add_slices, "slice int, counts binary").collect()
-    )  # fmt: skip  # two rows of counters: the size is fixed
-    table = np.zeros(2 * SLOTS, np.int64)
-    for r in slices:
-        table[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
-    held = spark.sparkContext.broadcast(np.minimum(table, 2**31 - 1).astype(np.int32))
-
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "place")
-    occurs = survey.where("cls is not null").select("cls", place.alias("o"))
-    firsts = staged(occurs.groupBy("cls").agg(F.min("o").alias("first")), "firsts")
-    postings = base.select("text").mapInArrow(_postings(held, least, num, den), "word long, cls long, n int, at int, bits long")
+    # Null ids come last, as the largest number.
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    base = docs.where(F.col(text_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
+    survey = staged(base.mapInArrow(_survey(least), "id long, place int, cls long, slice int, counts binary"), "lines")
+    slices = survey.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_slices, "slice int, counts binary")
+    table = np.zeros(2 * SLOTS, np.uint8)
+    for r in slices.collect():  # two rows of one-byte counters: the size is fixed
+        table[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
+    held = spark.sparkContext.broadcast(table)
+
+    spot = ["id", "place"]
+    occurs = survey.where("cls is not null").select("cls", *spot)
+    firsts = occurs.groupBy("cls").agg(F.min(F.struct("id", "place")).alias("o")).select("o.id", "o.place")
+    fields = "word long, id long, place int, n int, at int, b0 long, b1 long"
+    postings = base.sortWithinPartitions("id").mapInArrow(_postings(held, least, num, den), fields)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """``(cls, first of its partner)`` of pairs that match, for both sides."""
-        pairs = staged(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        spots = firsts.join(asked, "cls").select(F.col("first.id").alias("id"), F.struct(F.col("first.place").alias("place"), "cls").alias("w"))
-        spots = spots.groupBy("id").agg(F.collect_list("w").alias("w"))
-        texts = base.where("text is not null").join(spots.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")))
-        lines = _named_lines(texts.select("text", "w"), least)
-        lines = staged(lines.distinct(), "texts")
-        full = pairs.join(lines.select(F.col("cls").alias("a"), F.col("line").alias("x")), "a")
-        full = full.join(lines.select(F.col("cls").alias("b"), F.col("line").alias("y")), "b")
-        good = full.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
-        both = good.union(good.select("b", "a"))
-        time = firsts.select(F.col("cls").alias("b"), F.col("first").alias("than"))
-        later = both.join(time, "b").join(firsts.select(F.col("cls").alias("a"), "first"), "a").where("than < first")
-        return staged(later.select(F.col("a").alias("cls")).distinct(), "later")
-
-    met = "word long, a long, b long"
-    round_ = staged(postings.repartition("word").sortWithinPartitions("word", "cls").mapInArrow(_partners(num, den), met), "candidates")
-    later = verified(round_.where("b is not null").select("a", "b"))
-
-    def still_open(rest: DataFrame, later: DataFrame) -> DataFrame:
-        rest = rest.select("word", F.col("a").alias("cls")).distinct()
-        return staged(rest.join(later, "cls", "left_anti").withColumn("open", F.lit(True)), "open")
-
-    rest = still_open(round_.where("word is not null"), later)
-    if not rest.isEmpty():
-        # Again over the words in question, the earliest lines first: what has a partner at all mostly has one of those.
-        some = postings.join(rest.select("word").distinct(), "word", "left_semi").distinct().join(firsts, "cls")
-        some = staged(some, "postings")
-        rows = some.repartition("word").sortWithinPartitions("word", "first").select("word", "cls", "n", "at", "bits")
-        round_ = staged(rows.mapInArrow(_partners(num, den), met), "candidates")
-        later = staged(later.union(verified(round_.where("b is not null").select("a", "b"))).distinct(), "later")
-        rest = still_open(round_.where("word is not null").join(rest.select("word", F.col("cls").alias("a")), ["word", "a"]), later)
-        if not rest.isEmpty():
-            size = some.join(rest.select("word").distinct(), "word").groupBy("word").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-            rows = some.join(size, "word").join(rest, ["word", "cls"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            rows = rows.withColumn("side", F.pmod("cls", F.col("parts")).cast("int"))
-            rows = rows.select("word", "cls", "n", "at", "bits", "open", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-            rows = rows.withColumns({"ci": F.least("side", "o"), "cj": F.greatest("side", "o")}).drop("o")
-            pairs = rows.groupBy("word", "ci", "cj").applyInPandas(_chunks(num, den), "a long, b long")
-            later = staged(later.union(verified(pairs)).distinct(), "later")
-
-    # A line goes unless it is the first of its set and that set matches no earlier one.
-    kept = firsts.join(later, "cls", "left_anti").select("cls", "first")
-    gone = occurs.join(kept, (occurs["cls"] == kept["cls"]) & (occurs["o"] == kept["first"]), "left_anti")
-    gone = gone.groupBy(F.col("o.id").alias("gone_id")).agg(F.collect_set("o.place").alias("gone"))
-    full = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+        """The lines (id, place) that match their earlier partner."""
+        # Rows that repeat an id are in the same place; a line is no partner of its own.
+        pairs = staged(pairs.where("id <> xid or place <> xplace").distinct(), "pairs")
+        asked = pairs.select(*spot).union(pairs.select("xid", "xplace")).distinct()
+        wanted = asked.groupBy("id").agg(F.collect_list("place").alias("wanted"))
+        lines = staged(base.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_texts, "id long, place int, line string").distinct(), "texts")
+        full = pairs.join(lines.withColumnRenamed("line", "x"), spot)
+        full = full.join(lines.select(F.col("id").alias("xid"), F.col("place").alias("xplace"), F.col("line").alias("y")), ["xid", "xplace"])
+        return staged(full.select(*spot, "x", "y").mapInArrow(_verify(num, den), "id long, place int").distinct(), "later")
+
+    def tried(rows: DataFrame) -> DataFrame:
+        sorted_ = rows.repartition("word").sortWithinPartitions("word", *spot)
+        return staged(sorted_.mapInArrow(_partners(num, den), "word long, id long, place int, xid long, xplace int"), "candidates")
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.select(*spot, "xid", "xplace")
+
+    round_ = tried(postings)
+    later = verified(pairs_of(round_.where("xid is not null")))
+    rest = staged(round_.where("xid is null").select("word", *spot).distinct().join(later, spot, "left_anti"), "rest")
+    if not rest.isEmpty():  # lines with many candidates, none of the earliest of which matches
+        some = staged(postings.join(rest.select("word").distinct(), "word", "left_semi"), "postings")
+        size = some.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+        rows = some.join(size, "word").join(rest.withColumn("open", F.lit(True)), ["word", *spot], "left")
+        rows = rows.withColumns({"open": F.coalesce("open", F.lit(False)), "side": F.pmod(F.xxhash64(*spot), F.col("parts")).cast("int")})
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        rows = rows.withColumns({"ci": F.least("side", "o"), "cj": F.greatest("side", "o")})
+        rows = rows.select("word", *spot, "n", "at", "b0", "b1", "ci", "cj", "side", F.col("open").cast("int").alias("open"))
+        rows = rows.repartition("word", "ci", "cj").sortWithinPartitions("word", "ci", "cj", *spot)
+        pairs = rows.mapInArrow(_chunks(num, den), "id long, place int, xid long, xplace int")
+        later = staged(later.union(verified(pairs)).distinct(), "later")
+
+    # A line goes unless it is the first of its set and matches no earlier one.
+    gone = occurs.join(firsts.join(later, spot, "left_anti"), spot, "left_anti")
+    gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("place").alias("gone"))
+    full = docs.join(gone, key == F.col("gone_id"), "left").drop("gone_id")
     names = [c for c in docs.columns]
     full = full.withColumnRenamed(text_col, "text") if text_col != "text" else full
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.drop("gone").schema.fields) + ", n_removed long"
     out = full.mapInArrow(_remove, out_schema)
     out = out.withColumnRenamed("text", text_col) if text_col != "text" else out
     return out.select(*names, "n_removed")
-
-
-def _named_lines(texts: DataFrame, least: int) -> DataFrame:
-    """``(cls, line)``, where an id that is repeated with another text doesn't lend its lines to a name."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, lines = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = text.split("\n")
-                for w in wanted:
-                    if w["place"] < len(parts):
-                        names.append(w["cls"])
-                        lines.append(parts[w["place"]])
-            same = []
-            for lo, found in _lines(pa.array(lines, pa.string()), least):
-                own = dict(zip((lo + found.text).tolist(), found.name, strict=True))
-                for i, name in own.items():
-                    if names[i] == name:
-                        same.append(i)
-            pick = pa.array(same, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()).take(pick), pa.array(lines, pa.string()).take(pick)], ["cls", "line"])
-
-    return texts.mapInArrow(run, "cls long, line string")
