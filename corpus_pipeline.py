@@ -47,10 +47,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 2 times; rows that repeat an id are taken alike."""
+    """Each document as often as the mix takes it, 0 to 2 times; rows that repeat an id or have none count on their own."""
     ship(spark)
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies"))
-    taken = docs.join(copies.where("mix_copies > 0"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    # The rows' numbers are given once and stored.
+    rows = staged(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix_sources(rows, keep=("mix_row",)).where("copies > 0").select("mix_row", F.col("copies").cast("int").alias("mix_copies"))
+    taken = rows.join(copies, "mix_row")
     return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
 
 

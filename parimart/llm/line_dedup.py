@@ -27,6 +27,8 @@ PARTNERS = 16
 #: Lines of one word that a task holds; more common words are searched chunk against chunk.
 HELD, CHUNK = 50_000, 4000
 _LOW = np.uint64(SLOTS - 1)
+#: Where a line is, and its earlier partner: id and name of the row, and place in the text.
+SPOT, OTHER = ["id", "sub", "place"], ["xid", "xsub", "xplace"]
 
 
 class Lines:
@@ -94,15 +96,15 @@ def _survey(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = _Seen(), np.zeros(2 * SLOTS, np.int32)
-        names = ["id", "place", "cls", "slice", "counts"]
+        names = ["id", "sub", "place", "cls", "slice", "counts"]
         for batch in batches:
             for lo, lines in _lines(batch.column(1), least):
                 fresh = lines.word[seen.new(lines.name)[lines.line]]
                 for at in _slots(fresh):
                     np.add.at(table, at, 1)
-                n = len(lines.name)
+                n, of = len(lines.name), pa.array(lo + lines.text)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + lines.text)), pa.array(lines.place.astype(np.int32)), pa.array(lines.name),
+                    [batch.column(0).take(of), batch.column(2).take(of), pa.array(lines.place.astype(np.int32)), pa.array(lines.name),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
                 )
         used = np.flatnonzero(table)
@@ -113,7 +115,7 @@ def _survey(least: int):
             parts.append((used[a:b] % SLICE).astype("<u2").tobytes() + table[used[a:b]].astype("<u4").tobytes())
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(of[at].astype(np.int32)), pa.array(parts, pa.binary())], names
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(of[at].astype(np.int32)), pa.array(parts, pa.binary())], names
         )
 
     return run
@@ -148,7 +150,7 @@ def _bits(lines: Lines) -> list[np.ndarray]:
 def _postings(held, least: int, num: int, den: int):
     """Prefix words of each line with its place, the line's size, the word's rank in it and bits of the whole set.
 
-    Texts come in order of id, so what a task sends of a set is the earliest line that it has. A word that was
+    Texts come in order of (id, sub), so what a task sends of a set is the earliest line that it has. A word that was
     counted once is in no other line and needs no posting.
     """
 
@@ -166,10 +168,11 @@ def _postings(held, least: int, num: int, den: int):
                 ok = seen.new(lines.name)[lines.line] & (rank < first[lines.line]) & (rare[order] > 1)
                 line, word = lines.line[ok], lines.word[order][ok]
                 b0, b1 = _bits(lines)
+                of = pa.array(lo + lines.text[line])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.view(np.int64)), batch.column(0).take(pa.array(lo + lines.text[line])), pa.array(lines.place[line].astype(np.int32)),
-                     pa.array(lines.size[line].astype(np.int32)), pa.array(rank[ok].astype(np.int32)), pa.array(b0[line].view(np.int64)), pa.array(b1[line].view(np.int64))],
-                    ["word", "id", "place", "n", "at", "b0", "b1"],
+                    [pa.array(word.view(np.int64)), batch.column(0).take(of), pa.array(lines.place[line].astype(np.int32)),
+                     pa.array(lines.size[line].astype(np.int32)), pa.array(rank[ok].astype(np.int32)), pa.array(b0[line].view(np.int64)), pa.array(b1[line].view(np.int64)), batch.column(2).take(of)],
+                    ["word", "id", "place", "n", "at", "b0", "b1", "sub"],
                 )
 
     return run
@@ -185,13 +188,14 @@ def _pass(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _partners(num: int, den: int):
-    """Rows in order of (word, id, place): up to ``PARTNERS`` earlier candidates for a line, and the (word, line)s that
+    """Rows in order of (word, id, sub, place): up to ``PARTNERS`` earlier candidates for a line, and the (word, line)s that
     have more or weren't tried."""
 
     def send(y: np.ndarray, x: np.ndarray | None) -> pa.RecordBatch:
         n = y.shape[1]
-        other = [pa.array(x[1]), pa.array(x[2].astype(np.int32))] if x is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(y[0]), pa.array(y[1]), pa.array(y[2].astype(np.int32)), *other], ["word", "id", "place", "xid", "xplace"])
+        long = pa.nulls(n, pa.int64())
+        other = [pa.array(x[1]), pa.array(x[7]), pa.array(x[2].astype(np.int32))] if x is not None else [long, long, pa.nulls(n, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(y[0]), pa.array(y[1]), pa.array(y[7]), pa.array(y[2].astype(np.int32)), *other], ["word", *SPOT, *OTHER])
 
     def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
         at_run = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1]]))
@@ -235,7 +239,7 @@ def _partners(num: int, den: int):
         held: list[np.ndarray] = []
         rows, broken = 0, None
         for batch in batches:
-            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:7]])
+            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]])
             if broken is not None:  # a word with too many lines streams through
                 rest = t[0] != broken
                 cut = int(np.argmax(rest)) if rest.any() else t.shape[1]
@@ -267,7 +271,7 @@ def _partners(num: int, den: int):
 
 
 def _chunks(num: int, den: int):
-    """Rows in order of (word, chunks, id, place): all earlier candidates of open lines, chunk against chunk."""
+    """Rows in order of (word, chunks, id, sub, place): all earlier candidates of open lines, chunk against chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -277,12 +281,12 @@ def _chunks(num: int, den: int):
             for y in np.flatnonzero(t[10]):
                 x = np.flatnonzero(side[:y] == (j if side[y] == i else i))
                 x = x[_pass(t[:, x], t[:, y][:, None], num, den)]
-                out.append(np.stack([np.full(len(x), t[1, y]), np.full(len(x), t[2, y]), t[1, x], t[2, x]]))
+                out.append(np.stack([np.repeat(t[[1, 11, 2], y][:, None], len(x), axis=1), t[[1, 11, 2]][:, x]]).reshape(6, -1))
             return out
 
         def sent(found: list[np.ndarray]) -> pa.RecordBatch:
-            r = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(r[0]), pa.array(r[1].astype(np.int32)), pa.array(r[2]), pa.array(r[3].astype(np.int32))], ["id", "place", "xid", "xplace"])
+            r = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k % 3 == 2 else c) for k, c in enumerate(r)], [*SPOT, *OTHER])
 
         for batch in batches:
             t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -302,16 +306,16 @@ def _chunks(num: int, den: int):
 
 
 def _verify(num: int, den: int):
-    """Of rows (id, place, line, other line): the (id, place)s whose lines do match."""
+    """Of rows (id, sub, place, line, other line): the (id, sub, place)s whose lines do match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 a, b = (set(s.encode().split()) for s in (x, y))  # bytes split at ASCII white space alone
                 both = len(a & b)
                 keep.append(den * both >= num * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["id", "place"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:3]], SPOT)
 
     return run
 
@@ -319,15 +323,15 @@ def _verify(num: int, den: int):
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines at the wanted places of each text."""
     for batch in batches:
-        ids, places, lines = [], [], []
-        for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        ids, subs, places, lines = [], [], [], []
+        for key, sub, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             parts = text.split("\n")
             for k in wanted:
-                if k < len(parts):  # a repeated id may have a shorter text
-                    ids.append(key)
-                    places.append(k)
-                    lines.append(parts[k])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.string())], ["id", "place", "line"])
+                ids.append(key)
+                subs.append(sub)
+                places.append(k)
+                lines.append(parts[k])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.string())], [*SPOT, "line"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +349,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], [*(n for n in batch.schema.names if n != "gone"), "n_removed"])
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with ``_row_id`` and ``_row_sub``, which name a row and are its order.
+
+    Rows with an id are named by it and their text. Rows without one come last, each by a number of its own, which is
+    given once and stored.
+    """
+    key = F.col(id_col).cast("long")
+    known = docs.where(key.isNotNull()).withColumns({"_row_id": key, "_row_sub": F.xxhash64(text_col)})
+    others = docs.where(key.isNull()).withColumns({"_row_id": F.lit(2**63 - 1), "_row_sub": F.monotonically_increasing_id()})
+    return known.unionByName(staged(others, "without_id"))
+
+
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, least: int = LEAST
 ) -> DataFrame:
@@ -352,66 +368,67 @@ def drop_repeated_lines(
 
     Lines end at line feeds, words are runs without ASCII white space, and a line is judged if it has ``least`` distinct
     words. Lines match when ``den`` * intersection >= ``num`` * union of their word sets, for ``similarity``
-    (num, den). Earlier is by (id, place in the text), null ids last; whether the earlier line is itself removed
-    doesn't matter. Rows that repeat an id are one document and lose the same lines. A null text stays null; an
-    ``n_removed`` of the input is replaced.
+    (num, den). Earlier is by (id, hash of the text, place in it), null ids last and in the order in which they are
+    read; whether the earlier line is itself removed doesn't matter. Rows that repeat an id and its text are one
+    document and lose the same lines; other rows of that id, and all rows without one, are judged on their own. A null
+    text stays null; an ``n_removed`` of the input is replaced.
     """
     num, den = similarity
     spark = docs.sparkSession
     docs = docs.drop("n_removed", "gone")
-    # Null ids come last, as the largest number.
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    base = docs.where(F.col(text_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
-    survey = staged(base.mapInArrow(_survey(least), "id long, place int, cls long, slice int, counts binary"), "lines")
+    rows_ = _rows(docs, id_col, text_col)
+    base = rows_.where(F.col(text_col).isNotNull()).select(F.col("_row_id").alias("id"), F.col(text_col).alias("text"), F.col("_row_sub").alias("sub"))
+    at = "id long, sub long, place int"
+    survey = staged(base.mapInArrow(_survey(least), f"{at}, cls long, slice int, counts binary"), "lines")
     slices = survey.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_slices, "slice int, counts binary")
     table = np.zeros(2 * SLOTS, np.uint8)
     for r in slices.collect():  # two rows of one-byte counters: the size is fixed
         table[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
     held = spark.sparkContext.broadcast(table)
 
-    spot = ["id", "place"]
-    occurs = survey.where("cls is not null").select("cls", *spot)
-    firsts = occurs.groupBy("cls").agg(F.min(F.struct("id", "place")).alias("o")).select("o.id", "o.place")
-    fields = "word long, id long, place int, n int, at int, b0 long, b1 long"
-    postings = base.sortWithinPartitions("id").mapInArrow(_postings(held, least, num, den), fields)
+    occurs = survey.where("cls is not null").select("cls", *SPOT)
+    firsts = occurs.groupBy("cls").agg(F.min(F.struct(*SPOT)).alias("o")).select("o.*")
+    fields = "word long, id long, place int, n int, at int, b0 long, b1 long, sub long"
+    postings = base.sortWithinPartitions("id", "sub").mapInArrow(_postings(held, least, num, den), fields)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The lines (id, place) that match their earlier partner."""
-        # Rows that repeat an id are in the same place; a line is no partner of its own.
-        pairs = staged(pairs.where("id <> xid or place <> xplace").distinct(), "pairs")
-        asked = pairs.select(*spot).union(pairs.select("xid", "xplace")).distinct()
-        wanted = asked.groupBy("id").agg(F.collect_list("place").alias("wanted"))
-        lines = staged(base.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_texts, "id long, place int, line string").distinct(), "texts")
-        full = pairs.join(lines.withColumnRenamed("line", "x"), spot)
-        full = full.join(lines.select(F.col("id").alias("xid"), F.col("place").alias("xplace"), F.col("line").alias("y")), ["xid", "xplace"])
-        return staged(full.select(*spot, "x", "y").mapInArrow(_verify(num, den), "id long, place int").distinct(), "later")
+        """The lines (id, sub, place) that match their earlier partner."""
+        # Rows that repeat an id and its text are in the same place; a line is no partner of its own.
+        pairs = staged(pairs.where("id <> xid or sub <> xsub or place <> xplace").distinct(), "pairs")
+        asked = pairs.select(*SPOT).union(pairs.select(*OTHER)).distinct()
+        wanted = asked.groupBy("id", "sub").agg(F.collect_list("place").alias("wanted"))
+        texts = base.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_texts, f"{at}, line string")
+        lines = staged(texts.distinct(), "texts")
+        full = pairs.join(lines.withColumnRenamed("line", "x"), SPOT)
+        full = full.join(lines.select(*[F.col(c).alias(x) for c, x in zip(SPOT, OTHER, strict=True)], F.col("line").alias("y")), OTHER)
+        return staged(full.select(*SPOT, "x", "y").mapInArrow(_verify(num, den), at).distinct(), "later")
 
     def tried(rows: DataFrame) -> DataFrame:
-        sorted_ = rows.repartition("word").sortWithinPartitions("word", *spot)
-        return staged(sorted_.mapInArrow(_partners(num, den), "word long, id long, place int, xid long, xplace int"), "candidates")
+        sorted_ = rows.repartition("word").sortWithinPartitions("word", *SPOT)
+        return staged(sorted_.mapInArrow(_partners(num, den), f"word long, {at}, xid long, xsub long, xplace int"), "candidates")
 
     def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.select(*spot, "xid", "xplace")
+        return rows.select(*SPOT, *OTHER)
 
     round_ = tried(postings)
     later = verified(pairs_of(round_.where("xid is not null")))
-    rest = staged(round_.where("xid is null").select("word", *spot).distinct().join(later, spot, "left_anti"), "rest")
+    rest = staged(round_.where("xid is null").select("word", *SPOT).distinct().join(later, SPOT, "left_anti"), "rest")
     if not rest.isEmpty():  # lines with many candidates, none of the earliest of which matches
         some = staged(postings.join(rest.select("word").distinct(), "word", "left_semi"), "postings")
         size = some.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-        rows = some.join(size, "word").join(rest.withColumn("open", F.lit(True)), ["word", *spot], "left")
-        rows = rows.withColumns({"open": F.coalesce("open", F.lit(False)), "side": F.pmod(F.xxhash64(*spot), F.col("parts")).cast("int")})
+        rows = some.join(size, "word").join(rest.withColumn("open", F.lit(True)), ["word", *SPOT], "left")
+        rows = rows.withColumns({"open": F.coalesce("open", F.lit(False)), "side": F.pmod(F.xxhash64(*SPOT), F.col("parts")).cast("int")})
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
         rows = rows.withColumns({"ci": F.least("side", "o"), "cj": F.greatest("side", "o")})
-        rows = rows.select("word", *spot, "n", "at", "b0", "b1", "ci", "cj", "side", F.col("open").cast("int").alias("open"))
-        rows = rows.repartition("word", "ci", "cj").sortWithinPartitions("word", "ci", "cj", *spot)
-        pairs = rows.mapInArrow(_chunks(num, den), "id long, place int, xid long, xplace int")
+        rows = rows.select("word", "id", "place", "n", "at", "b0", "b1", "ci", "cj", "side", F.col("open").cast("int").alias("open"), "sub")
+        rows = rows.repartition("word", "ci", "cj").sortWithinPartitions("word", "ci", "cj", *SPOT)
+        pairs = rows.mapInArrow(_chunks(num, den), f"{at}, xid long, xsub long, xplace int")
         later = staged(later.union(verified(pairs)).distinct(), "later")
 
     # A line goes unless it is the first of its set and matches no earlier one.
-    gone = occurs.join(firsts.join(later, spot, "left_anti"), spot, "left_anti")
-    gone = gone.groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("place").alias("gone"))
-    full = docs.join(gone, key == F.col("gone_id"), "left").drop("gone_id")
+    gone = occurs.join(firsts.join(later, SPOT, "left_anti"), SPOT, "left_anti")
+    gone = gone.groupBy(F.col("id").alias("_row_id"), F.col("sub").alias("_row_sub")).agg(F.collect_set("place").alias("gone"))
+    full = rows_.join(gone, ["_row_id", "_row_sub"], "left").drop("_row_id", "_row_sub")
     names = [c for c in docs.columns]
     full = full.withColumnRenamed(text_col, "text") if text_col != "text" else full
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.drop("gone").schema.fields) + ", n_removed long"

@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, most: int = MOST,
+    weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
@@ -55,16 +55,16 @@ def mix_sources(
     id); the running sum of expected copies plus one offset per source gives as many copies as whole numbers
     are crossed. In order of size the words taken differ from the target by about one long document at most. The
     offset and the order come from hashes, so reruns agree. A null text has size 0, a null source is a source and
-    comes last; repeated rows are documents of their own. Empty input gives no rows.
+    comes last; repeated rows are documents of their own, which columns to ``keep`` can tell apart. Empty input gives no rows.
     """
     sizes = staged(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep
         ).withColumn("b", F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 2)),
         "sizes",
     )
     # Ranks of a source from ranks in its cells (size, hash byte) and the number of rows in earlier cells.
-    cell = Window.partitionBy("source", "size", "b").orderBy(F.col("id").asc_nulls_last())
+    cell = Window.partitionBy("source", "size", "b").orderBy(F.col("id").asc_nulls_last(), *keep)
     before = Window.partitionBy("source").orderBy("size", "b").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         sizes.groupBy("source", "size", "b")
@@ -74,7 +74,7 @@ def mix_sources(
     ranked = sizes.withColumn("rn", F.row_number().over(cell))
     same = ranked["source"].eqNullSafe(cells["source"]) & (ranked["size"] == cells["size"]) & (ranked["b"] == cells["b"])
     placed = ranked.join(cells, same).select(
-        ranked["id"], ranked["source"], ranked["size"], (F.col("before") + F.col("rn")).alias("rank")
+        ranked["id"], ranked["source"], ranked["size"], (F.col("before") + F.col("rn")).alias("rank"), *[ranked[c] for c in keep]
     )
     targets = source_targets(sizes, weights, share, most)
     unit = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
@@ -87,5 +87,5 @@ def mix_sources(
     )
     return placed.join(targets, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *keep,
     )

@@ -127,6 +127,22 @@ def test_line_dedup_nulls_last(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
+def test_line_dedup_rows_on_one_id_or_none(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1)
+    monkeypatch.setattr(line_dedup, "CHUNK", 2)
+    far, near = "a b c d e f g h i", "a b c d e f g h i j"
+    null = [(None, f"{far}\nown one two three four"), (None, f"{near}\nown five six seven eight"), (None, f"{near} k\nown nine ten eleven twelve")]
+    same = [(None, "p q r s t u")] * 3
+    one = [(7, f"k l m n o p q r s {x}\nonly {x} 1 2 3 {x}4 {x}5") for x in ("x", "y", "z", "v")]
+    df = spark.createDataFrame(null + same + one, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_removed, r.text) for r in line_dedup.drop_repeated_lines(df).collect()]
+    text = "\n".join(t for _, _, t in got)
+    # Unique lines stay, and of lines that match one stays.
+    assert all(text.count(f"own {w} ") == 1 for w in ("one", "five", "nine")) and all(text.count(f"only {x} ") == 1 for x in "xyzv")
+    assert text.count("a b c") == text.count("p q r s t u") == text.count("k l m n o") == 1
+    assert sorted(n for i, n, _ in got if i == 7) == [0, 1, 1, 1] and sorted(n for i, n, _ in got if i is None) == [0, 0, 1, 1, 1, 1]
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(1)
     for letters in (1, 2, 4):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parimart.llm import quality, queries
+from parimart.llm import mixing, quality, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -57,3 +57,11 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, table, SF)
             assert out.columns == table.columns or name == "best-fit packing"
             out.count()
+
+
+def test_mix_counts_rows_without_id_on_their_own(spark):
+    rows = [(None if i % 3 else 5, "w " * (1 + i % 7), s) for s, n in (("a", 60), ("b", 600), ("c", 90)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.source: r.n for r in corpus_pipeline.mix(spark, docs, SF).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    copies = mixing.mix_sources(docs).groupBy("source_size").agg(F.sum("copies").alias("n")).collect()
+    assert sorted(got.values()) == sorted(r.n for r in copies)
