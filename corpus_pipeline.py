@@ -27,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line; ``n_chars`` follows. What has no word left is dropped,
     what had none before stays."""
     ship(spark)
-    cut = line_dedup.drop_repeated_lines(docs)
+    cut = line_dedup.drop_repeated_lines(docs, least=1)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

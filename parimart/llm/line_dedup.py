@@ -151,8 +151,11 @@ def _postings(held, least: int, num: int, den: int):
     """Prefix words of each line with its place, the line's size, the word's rank in it and bits of the whole set.
 
     Texts come in order of (id, sub), so what a task sends of a set is the earliest line that it has. A word that was
-    counted once is in no other line and needs no posting.
+    counted once is in no other line and needs no posting, nor does a set so small that it matches only equal ones.
     """
+    n = np.arange(den * (num + den))
+    alone = (den * n // num == n) & (-(-num * n // den) == n) & (den * (n - 1) < num * (n + 1))
+    larger = int(np.argmin(alone))  # from this size on, others may match
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = held.value, _Seen()
@@ -165,7 +168,7 @@ def _postings(held, least: int, num: int, den: int):
                 order = np.argsort((lines.line << 8) | rare, kind="stable")
                 rank = np.arange(len(order)) - lines.begin[lines.line]
                 first = lines.size - -(-num * lines.size // den) + 1
-                ok = seen.new(lines.name)[lines.line] & (rank < first[lines.line]) & (rare[order] > 1)
+                ok = seen.new(lines.name)[lines.line] & (rank < first[lines.line]) & (rare[order] > 1) & (lines.size >= larger)[lines.line]
                 line, word = lines.line[ok], lines.word[order][ok]
                 b0, b1 = _bits(lines)
                 of = pa.array(lo + lines.text[line])

@@ -49,7 +49,7 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return lines.select("doc_id", "n_removed", "text")
 
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parimart.llm import line_dedup, ngram_join, packing, suffixes
+import corpus_pipeline
+from parimart.llm import line_dedup, ngram_join, packing, queries, suffixes
 from parimart.llm.common import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,6 +144,25 @@ def test_line_dedup_rows_on_one_id_or_none(spark, monkeypatch):
     assert sorted(n for i, n, _ in got if i == 7) == [0, 1, 1, 1] and sorted(n for i, n, _ in got if i is None) == [0, 0, 1, 1, 1, 1]
 
 
+@pytest.mark.parametrize("num,den", [(4, 5), (1, 2), (9, 10), (1, 1)])
+def test_line_dedup_short_lines(spark, num, den):
+    r = random.Random(num)
+    texts = ["All rights reserved.\nfirst", "second\nAll rights reserved.\n\n \n", "reserved. All  rights", "a a a a a", "a", "b a", "a b c d", "a b c d e", "d c b a"]
+    texts += [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(80)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.text) for x in line_dedup.drop_repeated_lines(df, similarity=(num, den), least=1).collect()}
+    assert got == _lines(rows, num, den, 1)
+
+
+def test_line_dedup_queries_judge_short_lines(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "All rights reserved.\nfirst", 26), (2, "second\nAll rights reserved.", 27)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, "All rights reserved.\nfirst"), (2, "second")]
+    assert sorted((r.doc_id, r.text) for r in queries.op9_drop_repeated_lines(spark, str(tmp_path)).collect()) == want
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).collect()) == want
+
+
 def test_suffix_array_is_sorted():
     r = np.random.default_rng(1)
     for letters in (1, 2, 4):
