@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .relational import remove_top, top_k
 
+# Weights of a blend, and resamples of a bootstrap.
+BLENDS, DRAWS = tuple(round(0.025 * k, 3) for k in range(81)), 500
+
 
 def backtest(df: DataFrame, race: str, item: str, score: Column, position: str) -> DataFrame:
     """One row: races, top-pick wins and top-3 finishes, mean reciprocal rank of the winner."""
@@ -100,7 +103,7 @@ def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: int = 0
     return grid.withColumn("times", times.otherwise(8)).where("times > 0")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, draws: int = 500, seed: int = 0) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """Ratio of sums with its 2.5 and 97.5 percentiles over resampled clusters; rows are summed per cluster first."""
     per = df.groupBy(cluster).agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b"))
     by = bootstrap_draws(per, cluster, draws, seed).join(per, cluster).groupBy("draw").agg(

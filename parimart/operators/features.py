@@ -13,6 +13,9 @@ from .relational import asof_join, prior_history
 # Annotation labels that may become features.
 PROXY_LABELS = ("paddock_agitation", "gate_behavior", "sweating", "poor_start_history", "equipment_change", "layoff_context", "travel_stress_indicator", "stable_comment", "article_sentiment")
 
+# Exponents of the walk-forward calibration.
+BETAS = tuple(round(0.25 + 0.05 * k, 2) for k in range(56))
+
 
 class LeakageError(ValueError):
     """A row uses a source that became known after its decision time."""

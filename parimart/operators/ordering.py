@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # What each pool returns of its stakes, and the usual exponent for later places.
 RETURN = {"quinella": 0.775, "wide": 0.775, "exacta": 0.75, "trio": 0.75, "trifecta": 0.725, "bracket_quinella": 0.775}
 GAMMA = 0.856
+# Exponents that are fitted.
+GAMMAS = tuple(round(0.50 + 0.005 * k, 3) for k in range(101))
 
 
 def _strengths(df: DataFrame, group: str, item: str, p: str, gammas: Sequence[float]) -> DataFrame:

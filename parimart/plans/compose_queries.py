@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compose as C
 from ..operators import evaluate as K
+from ..operators import features as H
 from ..operators import market as M
 from ..operators import ordering as O
 from ..operators import relational as R
@@ -35,7 +36,7 @@ def k3(t: Tables) -> DataFrame:
 
 @query("H2_market_probs")
 def h2(t: Tables) -> DataFrame:
-    out = C.market_probs(t.starts, "race_id", "runner", "win_odds", "finish_position", "race_date", "available_at", [0.5, 0.75, 1.0, 1.25, 1.5])
+    out = C.market_probs(t.starts, "race_id", "runner", "win_odds", "finish_position", "race_date", "available_at", H.BETAS)
     return out.select("race_id", "runner", "p", "market_beta", "calibrated_market_prob")
 
 
@@ -184,7 +185,7 @@ def k25(t: Tables) -> DataFrame:
 @query("K18_walkforward_classifier")
 def k18(t: Tables) -> DataFrame:
     d = t.starts.select("race_id", "runner", F.year("race_date").alias("y"), "going_wetness", F.ln("win_odds").alias("lo"), (F.col("finish_position") == 1).cast("double").alias("won"))
-    return K.fit_classifier_walkforward(d.withColumn("going_wetness", F.col("going_wetness").cast("double")), "y", ["lo", "going_wetness"], "won", maxIter=3)
+    return K.fit_classifier_walkforward(d.withColumn("going_wetness", F.col("going_wetness").cast("double")), "y", ["lo", "going_wetness"], "won", maxIter=200)
 
 
 @query("B8_union_layouts", "select l_orderkey as id, l_shipdate as at, l_quantity as v, 'a' as layout from lineitem where l_returnflag = 'R' and l_partkey <> 1 union all select o_orderkey, o_orderdate, o_totalprice / 1000, 'b' from orders where o_orderstatus <> 'P'")

@@ -145,13 +145,18 @@ LOSS = f"""{P}, loss as (select race_id, beta, -ln(greatest(max(case when finish
     from pr cross join (select unnest([0.5, 1.0, 1.5])::double as beta) group by 1, 2)"""
 
 
-def _losses(t: Tables) -> DataFrame:
+def _losses(t: Tables, grid=H.BETAS) -> DataFrame:
     p = M.devig(t.starts, ["race_id"], "win_odds")
-    return H.beta_losses(p, "race_id", "p", F.col("finish_position") == 1, [0.5, 1.0, 1.5])
+    return H.beta_losses(p, "race_id", "p", F.col("finish_position") == 1, grid)
 
 
 @query("H3_beta_losses", f"with {LOSS} select race_id, beta, round(loss, 8) + 0.0 as loss from loss")
 def h3(t: Tables) -> DataFrame:
+    return _losses(t, [0.5, 1.0, 1.5]).withColumn("loss", F.round("loss", 8) + 0.0)
+
+
+@query("H3_beta_losses_whole")
+def h3_whole(t: Tables) -> DataFrame:
     return _losses(t).withColumn("loss", F.round("loss", 8) + 0.0)
 
 
@@ -314,7 +319,7 @@ def k11(t: Tables) -> DataFrame:
 @query("K12_cluster_bootstrap")
 def k12(t: Tables) -> DataFrame:
     d = t.starts.withColumn("back", F.when(F.col("finish_position") == 1, F.col("win_odds")).otherwise(0.0)).withColumn("one", F.lit(1.0))
-    return K.cluster_bootstrap(d, "race_date", "back", "one", 200)
+    return K.cluster_bootstrap(d, "race_date", "back", "one", K.DRAWS)
 
 
 @query("K13_disagreement", f"""with {P}, m as (select pr.*, s.win_odds, 1.0 / count(*) over (partition by pr.race_id) / p as ratio from pr join starts s on pr.race_id = s.race_id and pr.runner = s.runner), c as (select quantile_cont(ratio, 0.75) as cut from m)
@@ -337,11 +342,17 @@ def k20(t: Tables) -> DataFrame:
     return K.blend_losses(d, "race_id", ["lg"], F.col("finish_position") == 1, [[0.0], [0.5], [1.0]]).withColumn("nll", F.round("nll", 4))
 
 
+@query("K20_blend_grid_whole")
+def k20_whole(t: Tables) -> DataFrame:
+    d = M.devig(t.starts, ["race_id"], "win_odds").withColumn("lg", X.logit(F.col("p")))
+    return K.blend_losses(d, "race_id", ["lg"], F.col("finish_position") == 1, [[w] for w in K.BLENDS]).withColumn("nll", F.round("nll", 4))
+
+
 @query("K21_bootstrap_blend")
 def k21(t: Tables) -> DataFrame:
     d = M.devig(t.starts, ["race_id"], "win_odds").withColumn("lg", X.logit(F.col("p")))
-    per = K.blend_losses(d, "race_id", ["lg"], F.col("finish_position") == 1, [[0.25 * k] for k in range(7)], group=["race_date"])
-    drawn = K.bootstrap_draws(per, "race_date", 100).join(per, "race_date").groupBy("draw", "w0").agg(F.sum(F.col("times") * F.col("nll")).alias("nll"))
+    per = K.blend_losses(d, "race_id", ["lg"], F.col("finish_position") == 1, [[w] for w in K.BLENDS], group=["race_date"])
+    drawn = K.bootstrap_draws(per, "race_date", K.DRAWS).join(per, "race_date").groupBy("draw", "w0").agg(F.sum(F.col("times") * F.col("nll")).alias("nll"))
     best = drawn.groupBy("draw").agg(F.min_by("w0", F.struct(F.round("nll", 8), "w0")).alias("w0"))
     return best.agg(F.avg("w0").alias("mean_weight"), F.percentile("w0", F.lit(0.025)).alias("lo"), F.percentile("w0", F.lit(0.975)).alias("hi"))
 

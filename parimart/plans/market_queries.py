@@ -254,9 +254,9 @@ LL = f"""{P}, sel as (select * from pr), g as (select unnest([0.6, 0.8, 1.0, 1.2
     ll as (select race_id, gamma, gamma * l1 - ln(s) + coalesce(gamma * l2 - ln(greatest(s - exp(gamma * l1), 1e-300)), 0) as ll from a)"""
 
 
-def _curves(t: Tables) -> DataFrame:
+def _curves(t: Tables, grid=(0.6, 0.8, 1.0, 1.2), places: int = 2) -> DataFrame:
     sel = _p(t)
-    return O.gamma_likelihood(sel, sel.select("race_id", "runner", F.col("finish_position").alias("position")), "race_id", "runner", "p", [0.6, 0.8, 1.0, 1.2], places=2)
+    return O.gamma_likelihood(sel, sel.select("race_id", "runner", F.col("finish_position").alias("position")), "race_id", "runner", "p", grid, places=places)
 
 
 @query("J6_gamma_global", f"with {LL}, t as (select gamma, sum(ll) as ll from ll group by 1) select gamma, round(ll, 5) as ll from t order by ll desc, gamma limit 1")
@@ -270,6 +270,16 @@ def j5(t: Tables) -> DataFrame:
     return O.fit_gamma_walkforward(_curves(t).withColumn("ll", F.round("ll", 9)), ["race_id"], "race_id", window=100)
 
 
+@query("J6_gamma_global_whole")
+def j6_whole(t: Tables) -> DataFrame:
+    return O.fit_gamma_global(_curves(t, O.GAMMAS, 3)).withColumn("ll", F.round("ll", 5))
+
+
+@query("J5_gamma_walkforward_whole")
+def j5_whole(t: Tables) -> DataFrame:
+    return O.fit_gamma_walkforward(_curves(t, O.GAMMAS, 3).withColumn("ll", F.round("ll", 9)), ["race_id"], "race_id", window=1000)
+
+
 BETS = "bets as (select race_id, 'win' as pool, lpad(cast(runner as varchar), 2, '0') as combo, 100 * (runner % 3 + 1) as stake from starts union all select race_id, 'win', '09', 300 from starts where runner = 1)"
 
 

@@ -65,3 +65,29 @@ def test_classifier_by_year(spark):
     rows = [(y, float(i % 5) if i % 11 else None, float(i % 5 > 2)) for y in (2020, 2021, 2022) for i in range(60)]
     out = K.fit_classifier_walkforward(spark.createDataFrame(rows, "y int, x double, won double"), "y", ["x"], "won", maxIter=3)
     assert out.count() == 120 and out.where("y = 2020").isEmpty()
+
+
+def test_registered_fits_use_the_whole_grids(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from parimart.operators import evaluate, ordering
+
+    sf, q = "/root/testdata/sf0.001", entry.queries()
+    assert [r.n for r in q["H3_beta_losses_whole"](spark, sf).groupBy("race_id").count().selectExpr("count as n").distinct().collect()] == [56]
+    assert q["K20_blend_grid_whole"](spark, sf).selectExpr("count(distinct w0) as n", "max(w0) as m").first()[:] == (81, 2.0)
+    assert 0.5 <= q["J6_gamma_global_whole"](spark, sf).first().gamma <= 1.0
+    seen = {}
+
+    def spy(module, name, arg):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: seen.setdefault(name, []).append(k.get(arg, a[arg] if isinstance(arg, int) else None)) or real(*a, **k))
+
+    spy(H, "beta_losses", 4)
+    spy(ordering, "fit_gamma_walkforward", "window")
+    spy(ordering, "gamma_likelihood", "places")
+    spy(evaluate, "bootstrap_draws", 2)
+    spy(evaluate, "blend_losses", 4)
+    monkeypatch.setattr(evaluate, "fit_classifier_walkforward", lambda *a, **k: seen.update(trees=k["maxIter"]))
+    for name in ("H3_beta_walkforward", "H2_market_probs", "J5_gamma_walkforward_whole", "K12_cluster_bootstrap", "K21_bootstrap_blend", "K18_walkforward_classifier"):
+        q[name](spark, sf)
+    assert [len(g) for g in seen["beta_losses"]] == [56, 56] and [len(g) for g in seen["blend_losses"]] == [81]
+    assert seen["fit_gamma_walkforward"] == [1000] and seen["gamma_likelihood"] == [3] and seen["bootstrap_draws"] == [500, 500] and seen["trees"] == 200
