@@ -299,7 +299,11 @@ def jaccard_components(
         of = points.join(asked, "cls").select("cls", "id")
         # An id may be repeated with other texts; the set's name tells them apart.
         texts = base.where("text is not null").join(of, "id").select("cls", "text")
-        named = staged(texts.mapInArrow(_named(k), "cls long, text string").distinct(), "texts")
+        named = texts.mapInArrow(_named(k), "cls long, text string")
+        # Sets of rows without an id alone are found by their name.
+        lost = base.where("text is not null and id is null").select("text").mapInArrow(_names(k), "cls long, text string")
+        lost = lost.join(of.where("id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+        named = staged(named.unionByName(lost).distinct(), "texts")
         full = pairs.join(named.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
         full = full.join(named.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a long, b long")
@@ -343,6 +347,15 @@ def jaccard_components(
     )
 
 
+def _names(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([_name(s) for s in _sets(batch.column(0), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, batch.column(0)], ["cls", "text"])
+
+    return run
+
+
 def _named(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

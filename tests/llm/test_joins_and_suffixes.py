@@ -71,6 +71,14 @@ def test_jaccard_repeated_rows_and_empty(spark):
     assert ngram_join.jaccard_components(df.limit(0)).isEmpty()
 
 
+def test_jaccard_links_through_a_row_without_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:50])), (None, " ".join(w[4:54])), (3, " ".join(w[8:58])), (None, "alone a b c d e f")]
+    assert _components(list(enumerate(t for _, t in rows)), 5, 4, 5)[2][1] == 0 and _components([(0, rows[0][1]), (1, rows[2][1])], 5, 4, 5)[1][1] == 1
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(1, 1), (3, 1), (None, 1), (None, None)]
+
+
 def test_r_tree_finds_all_that_may_link():
     r = np.random.default_rng(3)
     base = r.poisson(3, (20, 16))
