@@ -2,8 +2,11 @@
 
 A line is the set of its words. Words are ordered by rarity, so that of two similar lines the short prefixes of rarest
 words must share one. Rarity comes from counts of all lines' words in a table of fixed size; the order affects the
-number of candidates only, never the result. Candidates that pass the filters are verified by their Jaccard
-similarity, and of each match the later line goes.
+number of candidates only, never the result. Where the rarest shared word is common itself, lines must share a second
+one of a prefix longer by one, and meet by both. Candidates that pass the filters are verified by their Jaccard
+similarity on the texts, and of each match the later line goes.
+
+Prefixes move as packed arrays, a bucket of words at a time: a posting takes some 30 bytes.
 """
 
 from __future__ import annotations
@@ -14,19 +17,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
-from .common import staged
+from .common import release, staged
 from .words import Words, blocks, mix, utf8
 
 #: Similarity from which lines match, and distinct words from which a line is judged at all.
-SIMILARITY, LEAST = (4, 5), 5
+SIMILARITY, LEAST = (4, 5), 1
 #: Counters of the rarity table: two rows of so many, 8 MB as broadcast whatever the input. Tasks send their own in slices.
 SLOTS, SLICE = 1 << 22, 1 << 12
-#: Earlier partners that a line names per prefix word at first; lines with more are looked at again until none is left out.
+#: Lines with a word (as the tasks count them) from which it is paired with the next ones of the prefix.
+COMMON = 20_000
+#: Earlier partners that a line names per word at first; lines with more are looked at again if none of these matches.
 PARTNERS = 16
-#: Lines of one word that a task holds; more common words are searched chunk against chunk.
-HELD, CHUNK = 50_000, 4000
+#: Postings of a bucket, about, and those that a task holds before it sends them.
+BUCKET, HELD = 1_000_000, 1_000_000
 _LOW = np.uint64(SLOTS - 1)
+_NO_ID = 2**63 - 1
 #: Where a line is, and its earlier partner: id and name of the row, and place in the text.
 SPOT, OTHER = ["id", "sub", "place"], ["xid", "xsub", "xplace"]
 
@@ -40,7 +47,8 @@ class Lines:
         breaks = np.flatnonzero(part == 10) + 1
         every = np.union1d(own, breaks)
         w = Words(part, every)
-        key = (w.text.astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24))
+        room = max(1, len(every)).bit_length()
+        key = (w.text.astype(np.uint64) << np.uint64(64 - room)) | (w.hash >> np.uint64(room))
         order = np.argsort(key)
         h, line = w.hash[order], w.text[order]
         new = np.ones(len(h), bool)
@@ -56,11 +64,23 @@ class Lines:
         start = every[picked]
         self.text = np.searchsorted(own, start, "right") - 1
         self.place = np.searchsorted(breaks, start, "right") - np.searchsorted(breaks, own[self.text], "right")
-        if len(picked):
-            total = np.add.reduceat(mix(self.word), self.begin)
-            self.name = mix(total + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        else:
-            self.name = np.zeros(0, np.int64)
+
+    def _sum(self, salt: int) -> np.ndarray:
+        if not len(self.size):
+            return np.zeros(0, np.uint64)
+        total = np.add.reduceat(mix(self.word ^ np.uint64(salt)), self.begin)
+        return mix(total + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that name each set."""
+        return self._sum(0), self._sum(0x5851F42D4C957F2D)
+
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each set, every word flipping one: sets differ in no fewer words than bits."""
+        bit = (self.word >> np.uint64(40)) % np.uint64(96)
+        low = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+        high = np.where(bit < 64, np.uint64(0), np.uint64(1) << (bit & np.uint64(31)))
+        return np.bitwise_xor.reduceat(low, self.begin), np.bitwise_xor.reduceat(high, self.begin).astype(np.uint32)
 
 
 def _lines(column: pa.Array, least: int) -> Iterator[tuple[int, Lines]]:
@@ -91,21 +111,30 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & _LOW).astype(np.int64), SLOTS + ((h >> np.uint64(32)) & _LOW).astype(np.int64)
 
 
+def _code(count: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: exact below 64, then four steps to each doubling, up to 2**53."""
+    out = np.minimum(count, 64).astype(np.uint8)
+    big = count >= 64
+    out[big] = np.minimum(255, 64 + np.floor(4 * np.log2(count[big] / 64))).astype(np.uint8)
+    return out
+
+
 def _survey(least: int):
     """Occurrences of lines, and at the end of a task the word counts of the different lines in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = _Seen(), np.zeros(2 * SLOTS, np.int32)
-        names = ["id", "sub", "place", "cls", "slice", "counts"]
+        names = ["id", "sub", "place", "cls", "more", "n", "slice", "counts"]
         for batch in batches:
             for lo, lines in _lines(batch.column(1), least):
-                fresh = lines.word[seen.new(lines.name)[lines.line]]
+                cls, more = lines.names()
+                fresh = lines.word[seen.new(cls)[lines.line]]
                 for at in _slots(fresh):
                     np.add.at(table, at, 1)
-                n, of = len(lines.name), pa.array(lo + lines.text)
+                n, of = len(cls), pa.array(lo + lines.text)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), batch.column(2).take(of), pa.array(lines.place.astype(np.int32)), pa.array(lines.name),
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
+                    [batch.column(0).take(of), batch.column(2).take(of), pa.array(lines.place.astype(np.int32)), pa.array(cls.view(np.int64)),
+                     pa.array(more.view(np.int64)), pa.array(lines.size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
                 )
         used = np.flatnonzero(table)
         of = used // SLICE
@@ -114,25 +143,21 @@ def _survey(least: int):
         for a, b in zip(at.tolist(), [*at[1:].tolist(), len(used)], strict=True) if len(used) else ():
             parts.append((used[a:b] % SLICE).astype("<u2").tobytes() + table[used[a:b]].astype("<u4").tobytes())
         n = len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(of[at].astype(np.int32)), pa.array(parts, pa.binary())], names
-        )
+        blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(of[at].astype(np.int32)), pa.array(parts, pa.binary())], names)
 
     return run
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the tasks' counters as one byte each: exact below 128, then eight steps to each doubling."""
+    """Sums of the tasks' counters as codes."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             n = len(c) // 6
             sums = total.setdefault(s, np.zeros(SLICE, np.int64))
             sums[np.frombuffer(c, "<u2", n)] += np.frombuffer(c, "<u4", n, 2 * n)
-    for t in total.values():
-        big = t >= 128
-        t[big] = np.minimum(255, 128 + np.floor(8 * np.log2(t[big] / 128))).astype(np.int64)
-    coded = [t.astype(np.uint8).tobytes() for t in total.values()]
+    coded = [_code(t).tobytes() for t in total.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["slice", "counts"])
 
 
@@ -141,169 +166,224 @@ def _rarity(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.minimum(table[a], table[b])
 
 
-def _bits(lines: Lines) -> list[np.ndarray]:
-    """128 bits of each set, in two words."""
-    bit, side = np.uint64(1) << (lines.word >> np.uint64(58)), (lines.word >> np.uint64(57)) & np.uint64(1)
-    return [np.bitwise_or.reduceat(np.where(side == k, bit, np.uint64(0)), lines.begin) for k in (0, 1)]
-
-
-def _postings(held, least: int, num: int, den: int):
-    """Prefix words of each line with its place, the line's size, the word's rank in it and bits of the whole set.
+def _prefixes(lines: Lines, rare: np.ndarray, ok: np.ndarray, num: int, den: int, common: int) -> tuple[np.ndarray, ...]:
+    """``(key, line, rank)`` of the keys of each line that is ``ok``.
 
-    Texts come in order of (id, sub), so what a task sends of a set is the earliest line that it has. A word that was
-    counted once is in no other line and needs no posting, nor does a set so small that it matches only equal ones.
+    ``lines.word`` in order of rarity within each line comes with its codes. Words counted once are in no other line.
+    A word of code ``common`` or more is paired with every later one of a prefix longer by one, as lines that match have
+    two words in common if more than half must be; so one of the pairs is that of their two rarest shared words.
+    """
+    rank = np.arange(len(rare)) - lines.begin[lines.line]
+    first = lines.size - -(-num * lines.size // den) + 1
+    in_prefix = ok[lines.line] & (rank < first[lines.line])
+    single = in_prefix & (rare > 1)
+    if 2 * num <= den:
+        common = 256
+    hot = np.flatnonzero(single & (rare >= common))
+    single &= rare < common
+    at = np.flatnonzero(single)
+    keys, of, ranks = [mix(lines.word[at])], [lines.line[at]], [rank[at]]
+    if len(hot):
+        last = np.minimum(first[lines.line[hot]], lines.size[lines.line[hot]] - 1)  # its rank in the longer prefix
+        span = last - rank[hot]
+        x = np.repeat(hot, span)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(span) - span, span)
+        keys.append(mix(mix(lines.word[x]) + lines.word[y]))
+        of.append(lines.line[x])
+        ranks.append(rank[x])
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(ranks)
+
+
+#: Columns of packed postings after the table of rows, with their types.
+_COLUMNS = [("key", "<u4"), ("name", "<u4"), ("low", "<u8"), ("high", "<u4"), ("row", "<u4"), ("place", "<u4"), ("n", "<u4"), ("at", "<u4")]
+#: Those that fit two bytes mostly, and then take no more.
+_SHORT = ("row", "place", "n", "at")
+
+
+def _packed(t: dict[str, np.ndarray], ids: np.ndarray, subs: np.ndarray) -> bytes:
+    used, row = np.unique(t["row"], return_inverse=True)
+    wide = {c: (t[c] if c != "row" else row).max() >= 1 << 16 for c in _SHORT}
+    head = [len(used), len(row), *wide.values()]
+    body = [(row if c == "row" else t[c]).astype(k if wide.get(c, True) else "<u2").tobytes() for c, k in _COLUMNS]
+    return b"".join([np.array(head, "<i4").tobytes(), ids[used].tobytes(), subs[used].tobytes(), *body])
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    head = np.frombuffer(blob, "<i4", 2 + len(_SHORT)).tolist()
+    rows, n, wide, at = head[0], head[1], dict(zip(_SHORT, head[2:], strict=True)), 4 * (2 + len(_SHORT))
+    ids, subs = np.frombuffer(blob, "<i8", rows, at), np.frombuffer(blob, "<i8", rows, at + 8 * rows)
+    at, out = at + 16 * rows, {}
+    for c, kind in _COLUMNS:
+        kind = np.dtype(kind if wide.get(c, True) else "<u2")
+        out[c] = np.frombuffer(blob, kind, n, at)
+        at += kind.itemsize * n
+    return ids, subs, out
+
+
+def _postings(held, least: int, num: int, den: int, buckets: int):
+    """Packed postings by bucket of their key, of the first line of each set in a task.
+
+    A set so small that it matches only equal ones needs none.
     """
     n = np.arange(den * (num + den))
     alone = (den * n // num == n) & (-(-num * n // den) == n) & (den * (n - 1) < num * (n + 1))
     larger = int(np.argmin(alone))  # from this size on, others may match
+    common = int(_code(np.array([COMMON]))[0])
+
+    def send(parts: list[dict[str, np.ndarray]], ids: np.ndarray, subs: np.ndarray) -> pa.RecordBatch:
+        t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        order = np.argsort(t["bucket"], kind="stable")
+        t = {c: x[order] for c, x in t.items()}
+        at = np.flatnonzero(np.concatenate([[True], t["bucket"][1:] != t["bucket"][:-1]])) if len(order) else np.zeros(0, int)
+        ends = [*at[1:].tolist(), len(order)]
+        blobs = [_packed({c: x[a:b] for c, x in t.items()}, ids, subs) for a, b in zip(at.tolist(), ends, strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(t["bucket"][at].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = held.value, _Seen()
         for batch in batches:
+            ids, subs = (batch.column(i).to_numpy() for i in (0, 2))
+            parts, rows = [], 0
             for lo, lines in _lines(batch.column(1), least):
-                if not len(lines.name):
+                if not len(lines.size):
                     continue
-                rare = _rarity(table, lines.word)
+                code = _rarity(table, lines.word)
                 # Within a line words already are in order of hash, which decides among equally rare ones.
-                order = np.argsort((lines.line << 8) | rare, kind="stable")
-                rank = np.arange(len(order)) - lines.begin[lines.line]
-                first = lines.size - -(-num * lines.size // den) + 1
-                ok = seen.new(lines.name)[lines.line] & (rank < first[lines.line]) & (rare[order] > 1) & (lines.size >= larger)[lines.line]
-                line, word = lines.line[ok], lines.word[order][ok]
-                b0, b1 = _bits(lines)
-                of = pa.array(lo + lines.text[line])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.view(np.int64)), batch.column(0).take(of), pa.array(lines.place[line].astype(np.int32)),
-                     pa.array(lines.size[line].astype(np.int32)), pa.array(rank[ok].astype(np.int32)), pa.array(b0[line].view(np.int64)), pa.array(b1[line].view(np.int64)), batch.column(2).take(of)],
-                    ["word", "id", "place", "n", "at", "b0", "b1", "sub"],
-                )
+                order = np.argsort((lines.line << 8) | code, kind="stable")
+                name = lines.names()[0]
+                low, high = lines.parities()
+                lines.word = lines.word[order]
+                key, of, rank = _prefixes(lines, code[order], seen.new(name) & (lines.size >= larger), num, den, common)
+                parts.append({
+                    "bucket": (key >> np.uint64(32)) % np.uint64(buckets), "key": key & np.uint64(0xFFFFFFFF), "name": (name & np.uint64(0xFFFFFFFF))[of],
+                    "low": low[of], "high": high[of], "row": lo + lines.text[of], "place": lines.place[of], "n": lines.size[of], "at": rank,
+                })
+                rows += len(key)
+                if rows >= HELD:
+                    yield send(parts, ids, subs)
+                    parts, rows = [], 0
+            if parts:
+                yield send(parts, ids, subs)
 
     return run
 
 
-def _pass(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Length, positional and bit filter for lines (columns n, at, b0, b1 from the third) that share a word."""
-    n, i, m, j = x[3], x[4], y[3], y[4]
-    need = -(-num * (n + m) // (num + den))
-    apart = np.bitwise_count((x[5] ^ y[5]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[6] ^ y[6]).view(np.uint64))
-    ok = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (1 + np.minimum(n - i - 1, m - j - 1) >= need)
-    return ok & (apart <= n + m - 2 * need)
-
-
-def _partners(num: int, den: int):
-    """Rows in order of (word, id, sub, place): up to ``PARTNERS`` earlier candidates for a line, and the (word, line)s that
-    have more or weren't tried."""
-
-    def send(y: np.ndarray, x: np.ndarray | None) -> pa.RecordBatch:
-        n = y.shape[1]
-        long = pa.nulls(n, pa.int64())
-        other = [pa.array(x[1]), pa.array(x[7]), pa.array(x[2].astype(np.int32))] if x is not None else [long, long, pa.nulls(n, pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(y[0]), pa.array(y[1]), pa.array(y[7]), pa.array(y[2].astype(np.int32)), *other], ["word", *SPOT, *OTHER])
-
-    def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at_run = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1]]))
-        size = np.diff(np.append(at_run, t.shape[1]))
-        place = np.arange(t.shape[1]) - np.repeat(at_run, size)
-        ys, xs, more = [], [], []
-        live = np.flatnonzero(np.repeat(size <= 2 * PARTNERS, size) & (place > 0))
-        lag = 1
-        while len(live):  # short runs: each line against every line before it
-            ok = _pass(t[:, live - lag], t[:, live], num, den)
-            ys.append(live[ok])
-            xs.append(live[ok] - lag)
-            lag += 1
-            live = live[place[live] >= lag]
-        for r in np.flatnonzero(size > 2 * PARTNERS):
-            part = np.arange(at_run[r], at_run[r] + size[r])
-            for lo in range(0, len(part), 256):
-                y = part[lo : lo + 256]
-                got = np.zeros(len(y), np.int64)
-                for start in range(0, lo + len(y), 512):
-                    x = part[start : min(start + 512, lo + len(y))]
-                    open_ = np.flatnonzero(got <= PARTNERS)
-                    if not len(open_):
-                        break
-                    ok = _pass(t[:, x][:, None, :], t[:, y[open_]][:, :, None], num, den) & (x[None, :] < y[open_][:, None])
-                    i, j = np.nonzero(ok)
-                    count = np.bincount(i, minlength=len(open_))
-                    rank = np.arange(len(i)) - (np.cumsum(count) - count)[i] + got[open_][i]
-                    keep = rank < PARTNERS
-                    ys.append(y[open_][i[keep]])
-                    xs.append(x[j[keep]])
-                    got[open_] += count
-                more.append(y[got > PARTNERS])
-        if ys:
-            y, x = np.concatenate(ys), np.concatenate(xs)
-            yield send(t[:, y], t[:, x])
-        if more:
-            yield send(t[:, np.concatenate(more)], None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows, broken = 0, None
-        for batch in batches:
-            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]])
-            if broken is not None:  # a word with too many lines streams through
-                rest = t[0] != broken
-                cut = int(np.argmax(rest)) if rest.any() else t.shape[1]
-                if cut:
-                    yield send(t[:, :cut], None)
-                t = t[:, cut:]
-                broken = None if t.shape[1] else broken
-            if not t.shape[1]:
-                continue
-            held.append(t)
-            rows += t.shape[1]
-            if rows >= HELD:
-                t = np.concatenate(held, axis=1)
-                last = int(np.searchsorted(t[0] == t[0][-1], True)) if t[0][0] != t[0][-1] else 0
-                if last:
-                    yield from work(t[:, :last])
-                    t = t[:, last:]
-                if t.shape[1] >= HELD:
-                    broken = t[0][-1]
-                    yield send(t, None)
-                    t = t[:, :0]
-                held, rows = [t], t.shape[1]
-        if held:
-            t = np.concatenate(held, axis=1)
-            if t.shape[1]:
-                yield from work(t)
-
-    return run
-
+def _bucket(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """A bucket's postings, and ids and names of its rows in order; ``spot`` is a line's place among all of the bucket."""
+    parts, shift = [], 0
+    all_ids, all_subs = [], []
+    for blob in blobs:
+        ids, subs, t = _unpacked(blob)
+        parts.append({c: x.astype(np.int64) + shift if c == "row" else x for c, x in t.items()})
+        all_ids.append(ids)
+        all_subs.append(subs)
+        shift += len(ids)
+    t = {c: np.concatenate([p[c] for p in parts]) for c, _ in _COLUMNS}
+    ids, subs = np.concatenate(all_ids), np.concatenate(all_subs)
+    order = np.lexsort((subs, ids))
+    ids, subs = ids[order], subs[order]
+    new = np.concatenate([[False], (ids[1:] != ids[:-1]) | (subs[1:] != subs[:-1])])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    first = np.flatnonzero(~np.concatenate([[False], ~new[1:]])) if len(new) else order
+    t["spot"] = (rank[t.pop("row")].astype(np.uint64) << np.uint64(32)) | t.pop("place").astype(np.uint64)
+    return t, ids[first], subs[first]
+
+
+def _pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, ...]:
+    """``(later spot, earlier spot, bits apart, words they may be apart)`` of all candidates that pass the filters.
+
+    Postings are put in order of (key, size); of equal sets only the earliest is kept. Every posting is then held
+    against those before it as far as the length filter reaches.
+    """
+    short = np.minimum(t["n"], 0xFFFF).astype(np.uint64)
+    order = np.argsort((t["key"].astype(np.uint64) << np.uint64(32)) | (short << np.uint64(16)) | (t["name"] & np.uint32(0xFFFF)))
+    t = {c: x[order] for c, x in t.items()}
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for c in ("key", "n", "name", "low", "high"):
+        same[1:] &= t[c][1:] == t[c][:-1]
+    begin = np.flatnonzero(~same)
+    spot = np.minimum.reduceat(t["spot"], begin)
+    key, n, at, low, high = (t[c][begin] for c in ("key", "n", "at", "low", "high"))
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    place = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+    live, lag, out = np.flatnonzero(place > 0), 1, []
+    while len(live):
+        x = live - lag
+        fits = num * n[live] <= den * n[x]
+        y, x = live[fits], x[fits]
+        need = -(-num * (n[y] + n[x]) // (num + den))
+        ok = 1 + np.minimum(n[y] - at[y], n[x] - at[x]) - 1 >= need
+        y, x, room = y[ok], x[ok], (n[y] + n[x] - 2 * need)[ok]
+        apart = np.bitwise_count(low[y] ^ low[x]).astype(np.int64) + np.bitwise_count(high[y] ^ high[x])
+        ok = (apart <= room) & (spot[y] != spot[x])
+        out.append((y[ok], x[ok], apart[ok], room[ok]))
+        lag += 1
+        # Sizes only fall from here; those of 65,535 and more aren't in order.
+        live = live[fits | (n[live] >= 0xFFFF)]
+        live = live[place[live] >= lag]
+    if not out:
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    y, x, apart, room = (np.concatenate(c) for c in zip(*out, strict=True))
+    later = spot[y] > spot[x]
+    y, x = np.where(later, y, x), np.where(later, x, y)
+    return spot[y], spot[x], apart, room, y
+
+
+def _candidates(num: int, den: int):
+    """Rows in order of bucket: earlier candidates of lines, the nearest by their bits first.
+
+    Where a bucket has rows that ask for a line, those get all of their candidates. Otherwise a line gets one for each key
+    if that is near, else up to ``PARTNERS``; ``more`` says that there are others.
+    """
 
-def _chunks(num: int, den: int):
-    """Rows in order of (word, chunks, id, sub, place): all earlier candidates of open lines, chunk against chunk."""
+    def flush(bucket: int, blobs: list[bytes], asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        t, ids, subs = _bucket(blobs)
+        y, x, apart, room, of = _pairs(t, num, den)
+        if asked:
+            row = {r: i for i, r in enumerate(zip(ids.tolist(), subs.tolist(), strict=True))}
+            spots = [(row[i, s] << 32) | p for i, s, p in asked if (i, s) in row]
+            keep = np.isin(y, np.array(spots, np.uint64))
+            y, x = y[keep], x[keep]
+            more = np.zeros(len(y), bool)
+        else:
+            order = np.lexsort((x, apart, of))
+            y, x, apart, room, of = y[order], x[order], apart[order], room[order], of[order]
+            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+            size = np.diff(np.append(at, len(of)))
+            rank = np.arange(len(of)) - np.repeat(at, size)
+            most = np.where(2 * apart[at] <= room[at], 1, PARTNERS)
+            keep = rank < np.repeat(most, size)
+            y, x, more = y[keep], x[keep], np.repeat(size > most, size)[keep]
+        pair = np.lexsort((~more, x, y))
+        y, x, more = y[pair], x[pair], more[pair]
+        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1])]) if len(y) else np.zeros(0, bool)
+        y, x, more = y[new], x[new], more[new]
+        for lo in range(0, len(y), 1 << 18):
+            spots = []
+            for s in (y[lo : lo + (1 << 18)], x[lo : lo + (1 << 18)]):
+                row = (s >> np.uint64(32)).astype(np.int64)
+                spots += [pa.array(ids[row]), pa.array(subs[row]), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, pa.array(more[lo : lo + (1 << 18)])], ["bucket", *SPOT, *OTHER, "more"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def block(t: np.ndarray) -> list[np.ndarray]:
-            i, j, side, out = t[7, 0], t[8, 0], t[9], []
-            for y in np.flatnonzero(t[10]):
-                x = np.flatnonzero(side[:y] == (j if side[y] == i else i))
-                x = x[_pass(t[:, x], t[:, y][:, None], num, den)]
-                out.append(np.stack([np.repeat(t[[1, 11, 2], y][:, None], len(x), axis=1), t[[1, 11, 2]][:, x]]).reshape(6, -1))
-            return out
-
-        def sent(found: list[np.ndarray]) -> pa.RecordBatch:
-            r = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k % 3 == 2 else c) for k, c in enumerate(r)], [*SPOT, *OTHER])
-
+        now, blobs, asked = None, [], []
         for batch in batches:
-            t = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            if not t.shape[1]:
-                continue
-            t = np.concatenate([*held, t], axis=1)
-            new = np.flatnonzero(np.any(t[[0, 7, 8], 1:] != t[[0, 7, 8], :-1], axis=0)) + 1
-            edges = [0, *new.tolist()]
-            found = [r for a, b in zip(edges[:-1], edges[1:], strict=True) for r in block(t[:, a:b])]
-            held = [t[:, edges[-1] :]]
-            if found:
-                yield sent(found)
-        if held:
-            yield sent(block(held[0]))
+            for bucket, blob, *spot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and blobs:
+                    yield from flush(now, blobs, asked)
+                if bucket != now:
+                    now, blobs, asked = bucket, [], []
+                if blob is None:
+                    asked.append(spot)
+                else:
+                    blobs.append(blob)
+        if blobs:
+            yield from flush(now, blobs, asked)
 
     return run
 
@@ -337,30 +417,40 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(subs, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.string())], [*SPOT, "line"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("gone")
-        texts, count = [], []
-        for text, gone in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True):
-            count.append(len(gone or ()))
-            if gone:
-                drop = set(gone)
-                text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
-            texts.append(text)
-        columns = [c for k, c in enumerate(batch.columns) if k != j]
-        columns[i] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64())], [*(n for n in batch.schema.names if n != "gone"), "n_removed"])
+def _remove(at: int):
+    """Texts in column ``at`` without the lines whose places the last column has, and how many these are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
+            count = [len(g) if g is not None else 0 for g in gone.to_pylist()]
+            hit = np.flatnonzero(count)
+            cut = []
+            for text, places in zip(texts.take(pa.array(hit)).to_pylist(), gone.take(pa.array(hit)).to_pylist(), strict=True):
+                drop = set(places)
+                cut.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
+            if cut:
+                which = np.arange(len(count))
+                which[hit] = len(count) + np.arange(len(hit))
+                texts = pa.concat_arrays([texts, pa.array(cut, texts.type)]).take(pa.array(which))
+            columns = [*batch.columns[:-1], pa.array(count, pa.int64())]
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_removed"])
+
+    return run
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with ``_row_id`` and ``_row_sub``, which name a row and are its order.
+    """The rows, columns by number, with ``_row_id`` and ``_row_sub``, which name a row and are its order.
 
-    Rows with an id are named by it and their text. Rows without one come last, each by a number of its own, which is
-    given once and stored.
+    Rows with an id are named by it (ids that are no whole numbers by a hash) and their text. Rows without one come last,
+    each by a number of its own, which is given once and stored.
     """
-    key = F.col(id_col).cast("long")
-    known = docs.where(key.isNotNull()).withColumns({"_row_id": key, "_row_sub": F.xxhash64(text_col)})
-    others = docs.where(key.isNull()).withColumns({"_row_id": F.lit(2**63 - 1), "_row_sub": F.monotonically_increasing_id()})
+    whole = isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType))
+    i, t = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    known = rows.where(i.isNotNull()).withColumns({"_row_id": i.cast("long") if whole else F.xxhash64(i), "_row_sub": F.xxhash64(t)})
+    others = rows.where(i.isNull()).withColumns({"_row_id": F.lit(_NO_ID), "_row_sub": F.monotonically_increasing_id()})
     return known.unionByName(staged(others, "without_id"))
 
 
@@ -372,69 +462,66 @@ def drop_repeated_lines(
     Lines end at line feeds, words are runs without ASCII white space, and a line is judged if it has ``least`` distinct
     words. Lines match when ``den`` * intersection >= ``num`` * union of their word sets, for ``similarity``
     (num, den). Earlier is by (id, hash of the text, place in it), null ids last and in the order in which they are
-    read; whether the earlier line is itself removed doesn't matter. Rows that repeat an id and its text are one
-    document and lose the same lines; other rows of that id, and all rows without one, are judged on their own. A null
-    text stays null; an ``n_removed`` of the input is replaced.
+    read, ids that aren't whole numbers in order of a hash; whether the earlier line is itself removed doesn't matter.
+    Rows that repeat an id and its text are one document and lose the same lines; other rows of that id, and all rows
+    without one, are judged on their own. A null text stays null; an ``n_removed`` of the input is replaced, other
+    columns are kept whatever their names.
     """
     num, den = similarity
     spark = docs.sparkSession
-    docs = docs.drop("n_removed", "gone")
-    rows_ = _rows(docs, id_col, text_col)
-    base = rows_.where(F.col(text_col).isNotNull()).select(F.col("_row_id").alias("id"), F.col(text_col).alias("text"), F.col("_row_sub").alias("sub"))
+    docs = docs.drop("n_removed")
+    rows = _rows(docs, id_col, text_col)
+    text_at = docs.columns.index(text_col)
+    base = rows.where(f"c{text_at} is not null").select(F.col("_row_id").alias("id"), F.col(f"c{text_at}").alias("text"), F.col("_row_sub").alias("sub"))
     at = "id long, sub long, place int"
-    survey = staged(base.mapInArrow(_survey(least), f"{at}, cls long, slice int, counts binary"), "lines")
+    survey = staged(base.mapInArrow(_survey(least), f"{at}, cls long, more long, n int, slice int, counts binary"), "lines")
     slices = survey.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(_add_slices, "slice int, counts binary")
     table = np.zeros(2 * SLOTS, np.uint8)
     for r in slices.collect():  # two rows of one-byte counters: the size is fixed
         table[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
     held = spark.sparkContext.broadcast(table)
 
-    occurs = survey.where("cls is not null").select("cls", *SPOT)
-    firsts = occurs.groupBy("cls").agg(F.min(F.struct(*SPOT)).alias("o")).select("o.*")
-    fields = "word long, id long, place int, n int, at int, b0 long, b1 long, sub long"
-    postings = base.sortWithinPartitions("id", "sub").mapInArrow(_postings(held, least, num, den), fields)
+    occurs = survey.where("cls is not null").select("cls", "more", *SPOT)
+    least_prefix = f"n - cast(ceil(n * {num}D / {den}) as long) + 1"
+    n_postings = survey.agg(F.coalesce(F.sum(F.expr(least_prefix)), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // BUCKET))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def postings() -> DataFrame:
+        return base.mapInArrow(_postings(held, least, num, den, buckets), "bucket int, blob binary")
+
+    def searched(blobs: DataFrame) -> DataFrame:
+        sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", *SPOT)
+        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, more boolean")
+
+    def verified(found: DataFrame) -> DataFrame:
         """The lines (id, sub, place) that match their earlier partner."""
-        # Rows that repeat an id and its text are in the same place; a line is no partner of its own.
-        pairs = staged(pairs.where("id <> xid or sub <> xsub or place <> xplace").distinct(), "pairs")
-        asked = pairs.select(*SPOT).union(pairs.select(*OTHER)).distinct()
-        wanted = asked.groupBy("id", "sub").agg(F.collect_list("place").alias("wanted"))
+        pairs = staged(found.select(*SPOT, *OTHER).distinct(), "pairs")
+        asked = pairs.select(*SPOT).union(pairs.select(*OTHER))
+        wanted = asked.groupBy("id", "sub").agg(F.collect_set("place").alias("wanted")).hint("shuffle_hash")
         texts = base.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_texts, f"{at}, line string")
-        lines = staged(texts.distinct(), "texts")
+        lines = staged(texts.dropDuplicates(SPOT), "texts")
         full = pairs.join(lines.withColumnRenamed("line", "x"), SPOT)
         full = full.join(lines.select(*[F.col(c).alias(x) for c, x in zip(SPOT, OTHER, strict=True)], F.col("line").alias("y")), OTHER)
-        return staged(full.select(*SPOT, "x", "y").mapInArrow(_verify(num, den), at).distinct(), "later")
-
-    def tried(rows: DataFrame) -> DataFrame:
-        sorted_ = rows.repartition("word").sortWithinPartitions("word", *SPOT)
-        return staged(sorted_.mapInArrow(_partners(num, den), f"word long, {at}, xid long, xsub long, xplace int"), "candidates")
-
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        return rows.select(*SPOT, *OTHER)
-
-    round_ = tried(postings)
-    later = verified(pairs_of(round_.where("xid is not null")))
-    rest = staged(round_.where("xid is null").select("word", *SPOT).distinct().join(later, SPOT, "left_anti"), "rest")
-    if not rest.isEmpty():  # lines with many candidates, none of the earliest of which matches
-        some = staged(postings.join(rest.select("word").distinct(), "word", "left_semi"), "postings")
-        size = some.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-        rows = some.join(size, "word").join(rest.withColumn("open", F.lit(True)), ["word", *SPOT], "left")
-        rows = rows.withColumns({"open": F.coalesce("open", F.lit(False)), "side": F.pmod(F.xxhash64(*SPOT), F.col("parts")).cast("int")})
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        rows = rows.withColumns({"ci": F.least("side", "o"), "cj": F.greatest("side", "o")})
-        rows = rows.select("word", "id", "place", "n", "at", "b0", "b1", "ci", "cj", "side", F.col("open").cast("int").alias("open"), "sub")
-        rows = rows.repartition("word", "ci", "cj").sortWithinPartitions("word", "ci", "cj", *SPOT)
-        pairs = rows.mapInArrow(_chunks(num, den), f"{at}, xid long, xsub long, xplace int")
-        later = staged(later.union(verified(pairs)).distinct(), "later")
+        out = staged(full.select(*SPOT, "x", "y").mapInArrow(_verify(num, den), at).distinct(), "later")
+        release(spark, pairs, lines)
+        return out
+
+    nowhere = [F.lit(None).cast(t).alias(c) for c, t in zip(SPOT, ("long", "long", "int"), strict=True)]
+    found = staged(searched(postings().select("*", *nowhere)), "candidates")
+    release(spark)
+    later = verified(found)
+    open_ = staged(found.where("more").select("bucket", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
+    if not open_.isEmpty():  # lines with more candidates, of which the nearest don't match
+        some = postings().join(open_.select("bucket").distinct(), "bucket", "left_semi").select("*", *nowhere)
+        asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT)
+        later = staged(later.union(verified(staged(searched(some.unionByName(asking)), "candidates"))).distinct(), "later")
 
     # A line goes unless it is the first of its set and matches no earlier one.
-    gone = occurs.join(firsts.join(later, SPOT, "left_anti"), SPOT, "left_anti")
-    gone = gone.groupBy(F.col("id").alias("_row_id"), F.col("sub").alias("_row_sub")).agg(F.collect_set("place").alias("gone"))
-    full = rows_.join(gone, ["_row_id", "_row_sub"], "left").drop("_row_id", "_row_sub")
-    names = [c for c in docs.columns]
-    full = full.withColumnRenamed(text_col, "text") if text_col != "text" else full
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.drop("gone").schema.fields) + ", n_removed long"
-    out = full.mapInArrow(_remove, out_schema)
-    out = out.withColumnRenamed("text", text_col) if text_col != "text" else out
-    return out.select(*names, "n_removed")
+    groups = occurs.groupBy("cls", "more").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*SPOT)).alias("first")).where("k > 1")
+    copies = occurs.join(groups, ["cls", "more"]).where(F.struct(*SPOT) != F.col("first")).select(*SPOT)
+    gone = copies.union(later).groupBy(F.col("id").alias("_row_id"), F.col("sub").alias("_row_sub")).agg(F.collect_set("place").alias("_gone"))
+    gone = staged(gone, "gone")
+    release(spark, survey, found, later, open_)
+    full = rows.join(gone.hint("shuffle_hash"), ["_row_id", "_row_sub"], "left").select(*[f"c{k}" for k in range(len(docs.columns))], "_gone")
+    schema = StructType([f for f in full.schema.fields if f.name != "_gone"]).add("n_removed", "long")
+    return full.mapInArrow(_remove(text_at), schema).toDF(*docs.columns, "n_removed")

@@ -12,9 +12,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _random = np.random.Generator(np.random.PCG64(20))
-_BYTE = _random.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_PLACE = _random.integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
 _ORDER = _random.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _U = np.uint64
 
 
@@ -48,32 +48,41 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         lo = min(hi, n)
 
 
+def hash_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings at ``start``, eight bytes at a time."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(eight[start] & _FIRST[np.minimum(size, 8)])
+    at, live = 8, np.flatnonzero(size > 8)
+    while len(live):
+        part = eight[start[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] * _U(0x9E3779B97F4A7C15) + part)
+        at += 8
+        live = live[size[live] > at]
+    return mix(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
 class Words:
     """The words (runs of anything but ASCII white space) of a block of texts, in order."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None):
-        """``breaks``: further offsets where a text ends and another begins, as at lines."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = data[offsets[0] : offsets[-1]]
         if lower:
             self.data = _LOWER[self.data]
         self.offsets = offsets - offsets[0]
         n = len(self.data)
         ink = ~SPACE[self.data]
-        first = np.zeros(n + 1, bool)
-        first[self.offsets] = True
-        begin, end = ink.copy(), ink.copy()
-        begin[1:] &= ~ink[:-1] | first[1:-1]
-        end[:-1] &= ~ink[1:] | first[1:-1]
-        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+        if n and ink[0]:
+            edge = np.concatenate([[0], edge])
+        if n and ink[-1]:
+            edge = np.append(edge, n)
+        self.start, self.end = edge[::2], edge[1::2]
+        cuts = self.offsets[(self.offsets > 0) & (self.offsets < n)]
+        cuts = np.unique(cuts[ink[cuts] & ink[cuts - 1]])  # texts that meet without white space between them
+        if len(cuts):
+            self.start, self.end = np.sort(np.append(self.start, cuts)), np.sort(np.append(self.end, cuts))
         self.text = np.searchsorted(self.offsets, self.start, "right") - 1
-        size = self.end - self.start
-        if len(size):
-            at = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(at, size)
-            self.hash = np.add.reduceat(_BYTE[self.data[ink]] * _PLACE[place & 4095], at)
-            self.hash = mix(self.hash + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = hash_words(self.data, self.start, self.end - self.start)
         self.count = np.bincount(self.text, minlength=len(self.offsets) - 1)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -108,11 +108,12 @@ def _lines(rows, num=4, den=5, least=5):
     return {i: (len(gone.get(i, ())), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows}
 
 
-@pytest.mark.parametrize("partners,held", [(16, 50_000), (1, 50)])
-def test_line_dedup(spark, monkeypatch, partners, held):
+@pytest.mark.parametrize("partners,common,held", [(16, 20_000, 1_000_000), (1, 2, 50), (1, 20_000, 50), (1, 5, 50)])
+def test_line_dedup(spark, monkeypatch, partners, common, held):
     monkeypatch.setattr(line_dedup, "PARTNERS", partners)
+    monkeypatch.setattr(line_dedup, "COMMON", common)
     monkeypatch.setattr(line_dedup, "HELD", held)
-    monkeypatch.setattr(line_dedup, "CHUNK", 7)
+    monkeypatch.setattr(line_dedup, "BUCKET", held)
     r = random.Random(5)
     base = [f"w{i}" for i in range(25)]
     texts = [None, "", "\n\n", "a b c d e\na b c d e\n", "a b c d e", "a b c d", "a b c d"]
@@ -123,9 +124,9 @@ def test_line_dedup(spark, monkeypatch, partners, held):
         texts.append(f"head {n}\n" + " ".join(v) + "\ntail a b c d " + "é" * (n % 3))
     r.shuffle(texts)
     rows = list(enumerate(texts))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("x")).withColumn("lang", F.lit("en"))
-    out = line_dedup.drop_repeated_lines(df)
-    assert out.columns == ["doc_id", "text", "lang", "n_removed"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_removed", F.lit("x")).withColumn("lang", F.lit("en")).withColumn("gone", F.lit(1))
+    out = line_dedup.drop_repeated_lines(df, least=5)
+    assert out.columns == ["doc_id", "text", "lang", "gone", "n_removed"] and out.where("gone = 1").count() == len(rows)
     assert {x.doc_id: (x.n_removed, x.text) for x in out.collect()} == _lines(rows)
 
 
@@ -138,7 +139,6 @@ def test_line_dedup_nulls_last(spark):
 
 def test_line_dedup_rows_on_one_id_or_none(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PARTNERS", 1)
-    monkeypatch.setattr(line_dedup, "CHUNK", 2)
     far, near = "a b c d e f g h i", "a b c d e f g h i j"
     null = [(None, f"{far}\nown one two three four"), (None, f"{near}\nown five six seven eight"), (None, f"{near} k\nown nine ten eleven twelve")]
     same = [(None, "p q r s t u")] * 3
@@ -163,6 +163,16 @@ def test_line_dedup_short_lines(spark, num, den):
     assert got == _lines(rows, num, den, 1)
 
 
+def test_line_dedup_other_ids_and_long_lines(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    rows = [("b", long + "\nHome | About"), ("a", long + " z\nHome | About"), ("c", "x " * 50_000 + "\nown line")]
+    df = spark.createDataFrame(rows, "gone_id string, _row_id string").withColumn("c0", F.lit(1))
+    got = line_dedup.drop_repeated_lines(df, id_col="gone_id", text_col="_row_id")
+    assert got.columns == ["gone_id", "_row_id", "c0", "n_removed"]
+    out = {r.gone_id: r for r in got.collect()}
+    assert sorted((out["a"].n_removed, out["b"].n_removed)) == [0, 2] and out["c"].n_removed == 0
+
+
 def test_line_dedup_queries_judge_short_lines(spark, tmp_path):
     docs = spark.createDataFrame([(1, "All rights reserved.\nfirst", 26), (2, "second\nAll rights reserved.", 27)], "doc_id long, text string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
