@@ -32,6 +32,8 @@ COMMON = 20_000
 PARTNERS = 16
 #: Postings of a bucket, about, and those that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 1_000_000
+#: Bits that mark the keys of lines to be looked at again: 4 MB as broadcast whatever the input.
+MARKS = 1 << 25
 _LOW = np.uint64(SLOTS - 1)
 _NO_ID = 2**63 - 1
 #: Where a line is, and its earlier partner: id and name of the row, and place in the text.
@@ -65,15 +67,12 @@ class Lines:
         self.text = np.searchsorted(own, start, "right") - 1
         self.place = np.searchsorted(breaks, start, "right") - np.searchsorted(breaks, own[self.text], "right")
 
-    def _sum(self, salt: int) -> np.ndarray:
-        if not len(self.size):
-            return np.zeros(0, np.uint64)
-        total = np.add.reduceat(mix(self.word ^ np.uint64(salt)), self.begin)
-        return mix(total + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that name each set."""
-        return self._sum(0), self._sum(0x5851F42D4C957F2D)
+        if not len(self.size):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        h, n = mix(self.word), self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return mix(np.add.reduceat(h, self.begin) + n), mix(np.bitwise_xor.reduceat(h, self.begin) + n)
 
     def parities(self) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of each set, every word flipping one: sets differ in no fewer words than bits."""
@@ -220,8 +219,13 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray
     return ids, subs, out
 
 
-def _postings(held, least: int, num: int, den: int, buckets: int):
-    """Packed postings by bucket of their key, of the first line of each set in a task.
+def _marks(bucket, key):
+    """Bits of keys, from their buckets and the rest of them."""
+    return (bucket * 0x9E3779B1 + key) % MARKS
+
+
+def _postings(held, least: int, num: int, den: int, buckets: int, marks=None):
+    """Packed postings by bucket of their key, of the first line of each set in a task; with ``marks`` of marked keys only.
 
     A set so small that it matches only equal ones needs none.
     """
@@ -254,8 +258,13 @@ def _postings(held, least: int, num: int, den: int, buckets: int):
                 low, high = lines.parities()
                 lines.word = lines.word[order]
                 key, of, rank = _prefixes(lines, code[order], seen.new(name) & (lines.size >= larger), num, den, common)
+                bucket, key = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                if marks is not None:
+                    bit = _marks(bucket, key)
+                    some = np.flatnonzero(marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    bucket, key, of, rank = bucket[some], key[some], of[some], rank[some]
                 parts.append({
-                    "bucket": (key >> np.uint64(32)) % np.uint64(buckets), "key": key & np.uint64(0xFFFFFFFF), "name": (name & np.uint64(0xFFFFFFFF))[of],
+                    "bucket": bucket, "key": key, "name": (name & np.uint64(0xFFFFFFFF))[of],
                     "low": low[of], "high": high[of], "row": lo + lines.text[of], "place": lines.place[of], "n": lines.size[of], "at": rank,
                 })
                 rows += len(key)
@@ -291,7 +300,7 @@ def _bucket(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
 
 
 def _pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, ...]:
-    """``(later spot, earlier spot, bits apart, words they may be apart)`` of all candidates that pass the filters.
+    """``(later spot, earlier spot, bits apart, words they may be apart, later posting, key)`` of the candidates that pass the filters.
 
     Postings are put in order of (key, size); of equal sets only the earliest is kept. Every posting is then held
     against those before it as far as the length filter reaches.
@@ -325,49 +334,49 @@ def _pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, ..
         live = live[fits | (n[live] >= 0xFFFF)]
         live = live[place[live] >= lag]
     if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     y, x, apart, room = (np.concatenate(c) for c in zip(*out, strict=True))
     later = spot[y] > spot[x]
     y, x = np.where(later, y, x), np.where(later, x, y)
-    return spot[y], spot[x], apart, room, y
+    return spot[y], spot[x], apart, room, y, key[y].astype(np.int64)
 
 
 def _candidates(num: int, den: int):
     """Rows in order of bucket: earlier candidates of lines, the nearest by their bits first.
 
     Where a bucket has rows that ask for a line, those get all of their candidates. Otherwise a line gets one for each key
-    if that is near, else up to ``PARTNERS``; ``more`` says that there are others.
+    if that is near, else up to ``PARTNERS``; if there are others, ``mark`` is the bit of the key, else -1.
     """
 
     def flush(bucket: int, blobs: list[bytes], asked: list[tuple]) -> Iterator[pa.RecordBatch]:
         t, ids, subs = _bucket(blobs)
-        y, x, apart, room, of = _pairs(t, num, den)
+        y, x, apart, room, of, key = _pairs(t, num, den)
         if asked:
             row = {r: i for i, r in enumerate(zip(ids.tolist(), subs.tolist(), strict=True))}
             spots = [(row[i, s] << 32) | p for i, s, p in asked if (i, s) in row]
             keep = np.isin(y, np.array(spots, np.uint64))
             y, x = y[keep], x[keep]
-            more = np.zeros(len(y), bool)
+            mark = np.full(len(y), -1)
         else:
             order = np.lexsort((x, apart, of))
-            y, x, apart, room, of = y[order], x[order], apart[order], room[order], of[order]
+            y, x, apart, room, of, key = y[order], x[order], apart[order], room[order], of[order], key[order]
             at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
             size = np.diff(np.append(at, len(of)))
             rank = np.arange(len(of)) - np.repeat(at, size)
             most = np.where(2 * apart[at] <= room[at], 1, PARTNERS)
             keep = rank < np.repeat(most, size)
-            y, x, more = y[keep], x[keep], np.repeat(size > most, size)[keep]
-        pair = np.lexsort((~more, x, y))
-        y, x, more = y[pair], x[pair], more[pair]
-        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1])]) if len(y) else np.zeros(0, bool)
-        y, x, more = y[new], x[new], more[new]
+            y, x, mark = y[keep], x[keep], np.where(np.repeat(size > most, size)[keep], _marks(bucket, key[keep]), -1)
+        pair = np.lexsort((mark, x, y))
+        y, x, mark = y[pair], x[pair], mark[pair]
+        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (mark[1:] != mark[:-1])]) if len(y) else np.zeros(0, bool)
+        y, x, mark = y[new], x[new], mark[new]
         for lo in range(0, len(y), 1 << 18):
             spots = []
             for s in (y[lo : lo + (1 << 18)], x[lo : lo + (1 << 18)]):
                 row = (s >> np.uint64(32)).astype(np.int64)
                 spots += [pa.array(ids[row]), pa.array(subs[row]), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, pa.array(more[lo : lo + (1 << 18)])], ["bucket", *SPOT, *OTHER, "more"]
+                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, pa.array(mark[lo : lo + (1 << 18)].astype(np.int32))], ["bucket", *SPOT, *OTHER, "mark"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,12 +495,12 @@ def drop_repeated_lines(
     n_postings = survey.agg(F.coalesce(F.sum(F.expr(least_prefix)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // BUCKET))
 
-    def postings() -> DataFrame:
-        return base.mapInArrow(_postings(held, least, num, den, buckets), "bucket int, blob binary")
+    def postings(marks=None) -> DataFrame:
+        return base.mapInArrow(_postings(held, least, num, den, buckets, marks), "bucket int, blob binary")
 
     def searched(blobs: DataFrame) -> DataFrame:
         sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", *SPOT)
-        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, more boolean")
+        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, mark int")
 
     def verified(found: DataFrame) -> DataFrame:
         """The lines (id, sub, place) that match their earlier partner."""
@@ -510,10 +519,14 @@ def drop_repeated_lines(
     found = staged(searched(postings().select("*", *nowhere)), "candidates")
     release(spark)
     later = verified(found)
-    open_ = staged(found.where("more").select("bucket", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
+    open_ = staged(found.where("mark >= 0").select("bucket", "mark", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
     if not open_.isEmpty():  # lines with more candidates, of which the nearest don't match
-        some = postings().join(open_.select("bucket").distinct(), "bucket", "left_semi").select("*", *nowhere)
-        asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT)
+        bits = np.zeros(MARKS // 64, np.int64)
+        by_word = open_.groupBy(F.floor(F.col("mark") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, mark % 64))").alias("b"))
+        for r in by_word.toLocalIterator():  # MARKS bits at most
+            bits[r["w"]] = r["b"]
+        some = postings(spark.sparkContext.broadcast(bits.view(np.uint8))).select("*", *nowhere)
+        asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
         later = staged(later.union(verified(staged(searched(some.unionByName(asking)), "candidates"))).distinct(), "later")
 
     # A line goes unless it is the first of its set and matches no earlier one.
