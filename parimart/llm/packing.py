@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,16 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .words import blocks, hash_words, utf8
 
 TOKENS = 2048
-#: Documents of a sequence, and its attention cost, the sum of squared lengths.
+#: Documents of a sequence, and its attention cost, the sum of squared lengths. At these values the tokens bind first.
 DOCUMENTS, COST = 2048, 2048 * 2048
 #: Weights of the capacities in the norm of what a sequence has left.
 WEIGHTS = (1.0, 0.05, 0.2)
-#: Pieces that a task packs; the last sequences of each task are all that packing apart can waste.
-GROUP = 20_000
-#: Strings whose ids a worker keeps.
-_KEPT = 500_000
+#: Tokens and pieces of what a task packs; the last sequences of each task are all that packing apart can waste.
+GROUP, PIECES = 20_000_000, 200_000
+#: Strings and ids that a worker keeps; those that were not met for longest go first.
+_KEPT, _KEPT_IDS = 3_000_000, 12_000_000
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
 
 
 def tokenizer_path() -> str:
@@ -31,41 +35,88 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Ids(dict):
-    """Ids of strings without blanks as little-endian bytes, computed on first sight.
+def _strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, size, text)`` of the runs without blanks and line feeds in a block of texts that begins at 0."""
+    ink = ~_BLANK[data]
+    begin, end = ink.copy(), ink.copy()
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begin[1:] &= ~ink[:-1] | edge[1:-1]
+    end[:-1] &= ~ink[1:] | edge[1:-1]
+    start = np.flatnonzero(begin)
+    return start, np.flatnonzero(end) + 1 - start, np.searchsorted(offsets, start, "right") - 1
+
+
+class _Ids:
+    """Ids of strings without blanks, computed on first sight and kept by the strings' 64-bit hashes.
 
     The tokenizer never joins characters over white space, so a text's ids are those of its strings in order.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.bar,) = self._encode("|")
+        self.hash = np.zeros(0, np.uint64)  # in order
+        self.at, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+        self.round = 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._encode(word).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self) > _KEPT:
-            self.clear()
-        new = [w for w in set(words) if w not in self and len(w) <= 64 and "|" not in w]
-        for lo in range(0, len(new), 4096):
-            # One text of many words with bars between them, which none of the words can give the id of.
-            part = new[lo : lo + 4096]
-            ids = self._encode(" | ".join(part))
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, [*np.flatnonzero(ids == self.bar).tolist(), len(ids)], strict=True):
-                self[word] = raw[4 * begin : 4 * end]
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each. Short ones are encoded as one text with bars between them, which none of the words can give the id of."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if len(w) <= 64 and "|" not in w]
+        for i in set(range(len(words))) - set(plain):
+            out[i] = self._encode(words[i])
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            ids = self._encode(" | ".join([words[i] for i in part]))
+            begin = 0
+            for i, end in zip(part, [*np.flatnonzero(ids == self.bar).tolist(), len(ids)], strict=True):
+                out[i] = ids[begin:end]
                 begin = end + 1
-        return b"".join(map(self.__getitem__, words))
+        return out
+
+    def slots(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of the strings in ``at`` and ``size``; valid until the next call."""
+        self.round += 1
+        distinct, first, of = np.unique(hash_words(data, start, size), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, distinct)
+        known = at < len(self.hash)
+        known[known] = self.hash[at[known]] == distinct[known]
+        new = np.flatnonzero(~known)
+        self.met[at[known]] = self.round
+        if len(new):
+            self._forget(len(new))
+            raw = memoryview(data)
+            spans = zip(start[first[new]].tolist(), size[first[new]].tolist(), strict=True)
+            ids = self._learn([str(raw[a : a + n], "utf-8") for a, n in spans])
+            sizes = np.array([len(x) for x in ids])
+            hashes = np.concatenate([self.hash, distinct[new]])
+            order = np.argsort(hashes, kind="stable")
+            self.hash = hashes[order]
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])[order]
+            self.size = np.concatenate([self.size, sizes])[order]
+            self.met = np.concatenate([self.met, np.full(len(new), self.round)])[order]
+            self.ids = np.concatenate([self.ids, *ids])
+            at = np.searchsorted(self.hash, distinct)
+        return at[of]
+
+    def _forget(self, coming: int) -> None:
+        if len(self.hash) + coming <= _KEPT and len(self.ids) <= _KEPT_IDS:
+            return
+        # What the current block needs stays; of the rest the half that was met last.
+        age = np.sort(self.met)[len(self.met) // 2] if len(self.met) else 0
+        keep = np.flatnonzero((self.met > age) | (self.met == self.round))
+        size = self.size[keep]
+        at = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.at[keep] - at, size) + np.arange(int(size.sum()))]
+        self.hash, self.at, self.size, self.met = self.hash[keep], at, size, self.met[keep]
 
 
 _cache: dict[str, _Ids] = {}
@@ -75,24 +126,38 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """``(id, piece, start, length, ids_crc32)``: each text's ids and a closing 0, cut after every ``most`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _cache:
             _cache[path] = _Ids(path)
+        known = _cache[path]
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = _cache[path].of(text.as_py() or "") + b"\0\0\0\0"
-                key = key.as_py()
-                for i, at in enumerate(range(0, len(ids), 4 * most)):
-                    part = ids[at : at + 4 * most]
-                    rows.append((key, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                ["id", "piece", "start", "length", "ids_crc32"],
-            )
+            data, offsets = utf8(batch.column(1))
+            # Strings are looked up for many texts at once, their ids are joined for few.
+            for lo, hi in blocks(offsets, 1 << 25):
+                part, own = np.ascontiguousarray(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
+                start, size, text = _strings(part, own)
+                slot = known.slots(part, start, size)
+                n_ids = known.size[slot]
+                per_text = np.bincount(text, n_ids, minlength=hi - lo).astype(np.int64)
+                count = np.bincount(text, minlength=hi - lo)
+                word = np.concatenate([[0], np.cumsum(count)])
+                rows = []
+                for a, b in blocks(np.concatenate([[0], np.cumsum(per_text)]), 1 << 20):
+                    s, n = slot[word[a] : word[b]], n_ids[word[a] : word[b]]
+                    begin = np.cumsum(n) - n
+                    ids = known.ids[np.repeat(known.at[s] - begin, n) + np.arange(int(n.sum()))]
+                    ids = np.insert(ids, np.cumsum(per_text[a:b]), 0).astype("<u4")
+                    view, at = memoryview(ids).cast("B"), 0
+                    for i in range(a, b):
+                        total = int(per_text[i]) + 1
+                        for k, begin_ in enumerate(range(0, total, most)):
+                            stop = min(begin_ + most, total)
+                            rows.append((lo + i, k, begin_, stop - begin_, zlib.crc32(view[4 * (at + begin_) : 4 * (at + stop)])))
+                        at += total
+                t = np.array(rows, np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(t[:, 0])), pa.array(t[:, 1].astype(np.int32)), *(pa.array(np.ascontiguousarray(t[:, c])) for c in (2, 3, 4))],
+                    ["id", "piece", "start", "length", "ids_crc32"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
@@ -134,22 +199,26 @@ def best_fit(
     return where, offset
 
 
-def pack(pieces: DataFrame, tokens: int = TOKENS, group: int = GROUP) -> DataFrame:
+def pack(
+    pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, weights=WEIGHTS, group: int = GROUP
+) -> DataFrame:
     """``pieces`` (with a ``length`` of ``tokens`` at most) with ``sequence_id`` and ``offset``.
 
-    Whole pieces are sequences of their own. The others are dealt evenly to tasks of about ``group`` rows,
-    whatever their keys, and each task packs its own: no task grows with the input.
+    A sequence has at most ``tokens`` tokens, ``documents`` pieces and a sum of squared lengths of ``cost``; a piece that
+    alone costs more is a sequence of its own, as whole pieces are. The others are dealt evenly to tasks of about
+    ``group`` tokens, whatever their keys, and each task packs its own: no task grows with the input.
     """
     pieces = staged(pieces, "pieces")
     full = pieces.where(F.col("length") >= tokens)
     rest = pieces.where(F.col("length") < tokens)
-    tasks = max(1, -(-rest.count() // group))
+    total = rest.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
+    tasks = max(1, -(-total["size"] // group), -(-total["n"] // PIECES))
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
         if held:
             rows = pd.concat(held, ignore_index=True).sort_values(["length", "id", "piece"], ascending=[False, True, True])
-            where, offset = best_fit(rows["length"].to_numpy(), tokens)
+            where, offset = best_fit(rows["length"].to_numpy(), tokens, documents, cost, weights)
             task = TaskContext.get().partitionId()
             yield rows.assign(sequence_id=((task << 33) + where) * 2, offset=offset)
 

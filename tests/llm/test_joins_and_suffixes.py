@@ -249,3 +249,29 @@ def test_best_fit_keeps_every_constraint():
     for b in set(where.tolist()):
         part = lengths[where == b]
         assert part.sum() <= 500 and len(part) <= 4 and (part.astype(float) ** 2).sum() <= 60_000
+
+
+def test_pack_keeps_capacities_that_bind(spark):
+    lengths = [int(x) for x in np.random.default_rng(3).integers(1, 200, 900)] + [500, 300]
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "id long, piece int, length long")
+    bins = collections.defaultdict(list)
+    for r in packing.pack(pieces, tokens=500, documents=4, cost=60_000, group=20_000).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == len(lengths)
+    for parts in bins.values():
+        cost = sum(n * n for _, n in parts)
+        assert sum(n for _, n in parts) <= 500 and len(parts) <= 4 and (cost <= 60_000 or len(parts) == 1)
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist()
+
+
+def test_strings_are_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT", 50)
+    known = packing._Ids(packing.tokenizer_path())
+    for k in range(12):
+        words = [f"w{k % 3}{i}" for i in range(40)] + ["a|b", "x" * 90]
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        start, size, _ = packing._strings(data, np.array([0, len(data)]))
+        slot = known.slots(data, start, size)
+        got = [known.ids[known.at[s] : known.at[s] + known.size[s]].tolist() for s in slot]
+        assert got == [known._encode(w).tolist() for w in words]
+    assert len(known.hash) < 100
