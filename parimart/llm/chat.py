@@ -10,7 +10,9 @@ SEGMENT = 512
 
 
 def _head(role: Column, speaker: Column) -> Column:
-    name = F.regexp_replace(role, "[^\\p{L}\\p{N}_-]", "_")
+    name = role
+    for c in "%|<>\n":  # distinct roles keep distinct names
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
     return F.when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
 
 
@@ -24,14 +26,15 @@ def rotate_perspectives(
     end marks included; ``rendered`` is the text, ``n_turns`` and ``n_masked`` count turns. A turn's segment
     is turn // ``segment`` (0 for null), so no row grows with the length of a conversation and none is cut off.
     Turns stand in order of (turn, role, text), nulls first. A null role is the participant "unknown", a null text
-    is empty, a null conv_id is a conversation of its own; repeated rows are repeated turns.
+    is empty, rows of null conv_id are one conversation; repeated rows are repeated turns. ``%|<>`` and line feeds of a name
+    are escaped, and ``<|`` in a text becomes ``< |``: no speaker can write a mark or another one's turn.
     """
     t = turns.select(
         F.col(conv_col).alias("conv"),
         F.coalesce(F.floor(F.col(turn_col) / F.lit(segment)), F.lit(0)).cast("long").alias("seg"),
         F.struct(
             F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+            F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("m"),
     )
     who = t.select(F.col("conv").alias("c"), F.col("m.role").alias("speaker")).distinct()

@@ -63,14 +63,20 @@ def mix_sources(
         ).withColumn("b", F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 2)),
         "sizes",
     )
-    # Ranks of a source from ranks in its cells (size, hash byte) and the number of rows in earlier cells.
+    # Ranks of a source from ranks in its cells (size, hash byte) and the number of rows in earlier cells: of earlier
+    # ranges of sizes, earlier sizes in the range, and earlier bytes of the size.
     cell = Window.partitionBy("source", "size", "b").orderBy(F.col("id").asc_nulls_last(), *keep)
-    before = Window.partitionBy("source").orderBy("size", "b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        sizes.groupBy("source", "size", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    )
+    cells = sizes.groupBy("source", F.shiftright("size", 8).alias("range"), "size", "b").agg(F.count(F.lit(1)).alias("n"))
+    keys, cells = ["source", "range", "size", "b"], cells.withColumn("before", F.lit(0).cast("long"))
+    for depth in (3, 2, 1):
+        within, by = keys[:depth], keys[depth]
+        so_far = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        sums = cells.groupBy(*within, by).agg(F.sum("n").alias("k")).withColumn("k", F.coalesce(F.sum("k").over(so_far), F.lit(0)))
+        sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in (*within, by)], "k")
+        same = F.lit(True)
+        for c in (*within, by):
+            same = same & cells[c].eqNullSafe(F.col(f"s_{c}"))
+        cells = cells.join(sums, same).select(*keys, "n", (F.col("before") + F.col("k")).alias("before"))
     ranked = sizes.withColumn("rn", F.row_number().over(cell))
     same = ranked["source"].eqNullSafe(cells["source"]) & (ranked["size"] == cells["size"]) & (ranked["b"] == cells["b"])
     placed = ranked.join(cells, same).select(

@@ -107,12 +107,13 @@ ORACLE_SQL: dict[str, str] = {
     "op4_rotate_perspectives": """
         with t as (
             select conv_id, cast(coalesce(turn // 512, 0) as bigint) as segment, turn,
-                   coalesce(role, 'unknown') as role, coalesce(text, '') as text
+                   coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text
             from conversations
         ), lines as (
             select t.conv_id, w.speaker, t.segment, t.turn, t.role, t.text,
                    case when t.role = w.speaker then '<|assistant|>' || chr(10)
-                        else '<|user name=' || regexp_replace(t.role, '[^\\p{L}\\p{N}_-]', '_', 'g') || '|>' || chr(10)
+                        else '<|user name=' || replace(replace(replace(replace(replace(
+                            t.role, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') || '|>' || chr(10)
                    end as head,
                    t.text || '<|end|>' || chr(10) as body, t.role = w.speaker as own
             from t join (select distinct conv_id, role as speaker from t) w on t.conv_id is not distinct from w.conv_id

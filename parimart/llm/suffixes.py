@@ -4,7 +4,7 @@ The corpus has no single suffix array. Each string of ``LENGTH`` bytes belongs t
 run of ``GRAM`` bytes in it (leftmost of equals), which equal strings share. Anchors are grouped by hash: strings
 of an anchor that occurs once can't repeat, an anchor whose surroundings are wholly equal elsewhere repeats as it is,
 and only the surroundings that differ somewhere, which lie where repeated passages begin or end, are put into suffix
-arrays, all of an anchor together.
+arrays, all of an anchor together. Tasks put together what they find repeated themselves before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -18,21 +18,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 from .words import blocks, mix, utf8
 
 LENGTH, GRAM = 200, 64
 _WINDOW = LENGTH - GRAM + 1
 #: Byte between the texts of a suffix array; UTF-8 has none such.
 _END = 255
-#: Bytes of a suffix array; an anchor with more different surroundings than ``HOT`` is compared by hashed strings.
-ARRAY_BYTES, HOT = 512 * 1024, 4000
+#: Bytes of a suffix array. An anchor with more different surroundings than ``HOT`` is divided by further anchors in
+#: these, up to ``FINER`` times; what none of them divides differs by single bytes, and is compared by hashed strings.
+ARRAY_BYTES, HOT, FINER = 512 * 1024, 4000, 4
 _random = np.random.Generator(np.random.PCG64(8))
 _BYTE = _random.integers(0, 2**64, 256, np.uint64)
 _FACTOR = _random.integers(0, 2**64, 6, np.uint64) | np.uint64(1)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, ...]:
     """``(text, first, last, hash)`` of every anchor: starts first..last (in the block) of strings that it stands for."""
     n = len(data)
     if n < LENGTH:
@@ -42,7 +43,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         h = h[:-step] * factor + h[step:]
         h ^= h >> np.uint64(29)
         step *= 2
-    h = mix(h)
+    h = mix(h ^ np.uint64(salt))
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     step = 1
     while step * 2 <= _WINDOW:
@@ -144,54 +145,109 @@ def _ranges(flags: np.ndarray, base: int) -> list[tuple[int, int]]:
     return [(base + int(a), base + int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def _twins(anchor: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """0 for occurrences without an equal one among these, 1 for the first of equal ones, 2 for the others."""
+    order = np.lexsort((around, anchor))
+    a, c = anchor[order], around[order]
+    same = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+    kind = np.zeros(len(order), np.int8)
+    kind[order[1:][same]] = 2
+    lead = np.concatenate([same, [False]]) & ~np.concatenate([[False], same])
+    kind[order[lead]] = 1
+    return kind
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of anchors. Of equal ones in a batch the first alone goes to its anchor's task, the others are dealt evenly."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         uid = batch.column(0).to_numpy()
+        found = []
         for lo, hi in blocks(offsets):
             part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             text, first, last, h = anchors(part, at)
             view = memoryview(np.ascontiguousarray(part))
             around = [xxhash.xxh3_64_intdigest(view[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(np.array(around, np.uint64).view(np.int64)), pa.array(uid[lo + text]),
-                 pa.array((first - at[text]).astype(np.int32)), pa.array((last - at[text]).astype(np.int32))],
-                ["anchor", "around", "uid", "first", "last"],
-            )
+            found.append((h.view(np.int64), np.array(around, np.uint64).view(np.int64), uid[lo + text], first - at[text], last - at[text]))
+        if found:
+            anchor, around, row, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+            twin = _twins(anchor, around)
+            deal = np.where(twin == 2, mix(np.arange(len(twin), dtype=np.uint64)).view(np.int64), anchor)
+            columns = [deal, anchor, around, row, first.astype(np.int32), last.astype(np.int32), twin.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["deal", "anchor", "around", "uid", "first", "last", "twin"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(keep: tuple[str, ...] = ("anchor", "uid", "first", "last")):
     """From rows in order of (anchor, around): kind 0 repeats as it is, 1 is to be compared, 2 stands for such as 0.
 
-    A row is judged by the rows before and after it, so a group of any size streams through.
+    A row is judged by the rows before and after it and by whether it has a twin already, so a group of any size streams
+    through. The last column has ``twin``.
     """
-    held, before = None, (None, None)
-    for batch in batches:
-        if batch.num_rows:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, (None, None)
+        for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            n = t.num_rows - 1
-            yield from _kinds(t, n, before)
-            if n:
-                before = (t["anchor"][n - 1].as_py(), t["around"][n - 1].as_py())
-            held = t.slice(n)
-    if held is not None:
-        yield from _kinds(held, 1, before)
-
-
-def _kinds(t: pa.Table, n: int, before: tuple) -> Iterator[pa.RecordBatch]:
-    anchor, around = t["anchor"].to_numpy(), t["around"].to_numpy()
+            twin = t["twin"].to_numpy()
+            if (twin == 2).any():
+                yield from _of_kind(t, 0, np.flatnonzero(twin == 2), keep)
+                t = t.filter(pa.array(twin != 2))
+            if t.num_rows:
+                t = t if held is None else pa.concat_tables([held, t])
+                n = t.num_rows - 1
+                yield from _kinds(t, n, before, keep)
+                if n:
+                    before = (t["anchor"][n - 1].as_py(), t["around"][n - 1].as_py())
+                held = t.slice(n)
+        if held is not None:
+            yield from _kinds(held, 1, before, keep)
+
+    return run
+
+
+def _of_kind(t: pa.Table, kind: int, picked: np.ndarray, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    if len(picked):
+        part = t.select(list(keep)).take(pa.array(picked)).combine_chunks()
+        yield part.append_column("kind", pa.array(np.full(len(picked), kind, np.int32))).to_batches()[0]
+
+
+def _kinds(t: pa.Table, n: int, before: tuple, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    anchor, around, twin = t["anchor"].to_numpy(), t["around"].to_numpy(), t["twin"].to_numpy()[:n] == 1
     one = anchor[1:] == anchor[:-1]
     two = one & (around[1:] == around[:-1])
     prior = before[0] is not None and before[0] == anchor[0]
     a_prev, a_next = np.concatenate([[prior], one]), np.concatenate([one, [False]])
     c_prev, c_next = np.concatenate([[prior and before[1] == around[0]], two]), np.concatenate([two, [False]])
-    again, many = (c_prev | c_next)[:n], (a_prev | a_next)[:n]
-    for kind, rows in ((0, again), (1, many & ~again), (2, again & ~c_prev[:n])):
-        picked = np.flatnonzero(rows)
-        if len(picked):
-            part = t.select(["anchor", "uid", "first", "last"]).take(pa.array(picked)).combine_chunks()
-            yield part.append_column("kind", pa.array(np.full(len(picked), kind, np.int32))).to_batches()[0]
+    again, many = (c_prev | c_next)[:n] | twin, (a_prev | a_next)[:n]
+    for kind, rows in ((0, again), (1, many & ~again), (2, again & many & ~c_prev[:n])):
+        yield from _of_kind(t, kind, np.flatnonzero(rows), keep)
+
+
+def _divide(salt: int):
+    """Surroundings cut up by further anchors in them; equal strings share these too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = batch.column(4).to_pylist()
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            text, first, last, h = anchors(data, offsets, salt)
+            old, uid, base, kind = (batch.column(i).to_numpy()[text] for i in range(4))
+            anchor = mix(old.view(np.uint64) + h).view(np.int64)
+            raw = memoryview(data)
+            cut = [bytes(raw[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            around = np.array([xxhash.xxh3_64_intdigest(x) for x in cut], np.uint64).view(np.int64)
+            first = first - offsets[text]
+            # What stands for repeated ones already needs no mark of its own.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), pa.array(around), pa.array(uid), pa.array((base + first).astype(np.int32)), pa.array((base + last - offsets[text]).astype(np.int32)),
+                 pa.array(cut, pa.binary()), pa.array(kind), pa.array(np.zeros(len(text), np.int32))],
+                ["anchor", "around", "uid", "first", "last", "part", "was", "twin"],
+            )
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +282,8 @@ def _hash_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, uid, first = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(uid, pa.int64()),
-                 pa.array(first, pa.int32()), pa.array(first, pa.int32())],
-                ["anchor", "around", "uid", "first", "last"],
+                 pa.array(first, pa.int32()), pa.array(first, pa.int32()), pa.array(np.zeros(len(first), np.int32))],
+                ["anchor", "around", "uid", "first", "last", "twin"],
             )
 
 
@@ -267,40 +323,62 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (bytes).
 
     A null text is empty. Texts of equal rows and of different rows are all judged on the input; a repeated row
-    repeats its strings. Matches never cross texts. Empty input gives no rows.
+    repeats its strings. Matches never cross texts. Empty input gives no rows. Rows are numbered once and stored, so
+    neither ids nor texts have to tell them apart.
     """
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    raw = raw.withColumn("uid", F.xxhash64("id", "text"))
-    found = raw.select("uid", F.col("text").cast("string").alias("t")).mapInArrow(
-        _find_anchors, "anchor long, around long, uid long, first int, last int"
+    spark = docs.sparkSession
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    raw = staged(raw.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    found = raw.select("uid", "text").mapInArrow(
+        _find_anchors, "deal long, anchor long, around long, uid long, first int, last int, twin int"
     )
     marks = "anchor long, uid long, first int, last int, kind int"
-    near = found.repartition("anchor").sortWithinPartitions("anchor", "around").mapInArrow(_neighbours, marks)
-    near = staged(near, "anchors")
+    near = found.repartition("deal").sortWithinPartitions("deal", "around").select("anchor", "around", "uid", "first", "last", "twin")
+    near = staged(near.mapInArrow(_neighbours(), marks), "anchors")
+    release(spark)
 
-    open_ = near.where("kind = 1").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    todo = near.where("kind > 0").join(open_, "anchor").select("anchor", "uid", "first", "last", "kind", (F.col("n") > HOT).alias("hot"))
+    open_ = near.where("kind = 1").select("anchor").distinct()
+    todo = near.where("kind > 0").join(open_, "anchor", "left_semi")
     wanted = todo.groupBy("uid").agg(F.collect_list(F.struct("anchor", "first", "last", "kind")).alias("w"))
     pieces = "anchor long, uid long, first int, kind int, part binary"
-    # A row's own copies would be cut out again and again; one of equal rows will do.
-    once = raw.select("text", "uid").join(wanted.select("uid", "w"), "uid").select("text", "uid", "w")
-    parts = staged(once.mapInArrow(_slices, pieces).dropDuplicates(["uid", "first", "kind"]), "surroundings")
-    hot = open_.where(F.col("n") > HOT).select("anchor")
+    parts = raw.join(wanted, "uid").select(F.col("text").cast("binary").alias("text"), "uid", "w").mapInArrow(_slices, pieces)
+    parts = staged(parts, "surroundings")
+    release(spark)
+
+    compared = []
+    spans = near.where("kind = 0").select("uid", "first", "last")
+    for salt in range(1, FINER + 1):
+        hot = staged(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+        if hot.isEmpty():
+            break
+        compared.append(parts.join(hot, "anchor", "left_anti"))
+        finer = parts.join(hot, "anchor", "left_semi").select("anchor", "uid", "first", "kind", "part").mapInArrow(
+            _divide(salt), "anchor long, around long, uid long, first int, last int, part binary, was int, twin int"
+        )
+        finer = finer.repartition("anchor", "around").sortWithinPartitions("anchor", "around")
+        finer = staged(finer.mapInArrow(_neighbours(("anchor", "uid", "first", "last", "part", "was")), "anchor long, uid long, first int, last int, part binary, was int, kind int"), "finer")
+        spans = spans.unionByName(finer.where("kind = 0 and was = 1").select("uid", "first", "last"))
+        parts = finer.where("kind > 0").select("anchor", "uid", "first", F.when(F.col("kind") == 2, 2).otherwise(F.col("was")).alias("kind"), "part")
+    else:
+        hot = staged(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+        hashed = (
+            parts.join(hot, "anchor", "left_semi").select("anchor", "uid", "first", "kind", "part")
+            .mapInArrow(_hash_starts, "anchor long, around long, uid long, first int, last int, twin int")
+            .repartition("anchor", "around").sortWithinPartitions("anchor", "around").mapInArrow(_neighbours(), marks)
+            .where("kind = 0").select("uid", "first", "last")
+        )
+        spans = spans.unionByName(hashed)
+        parts = parts.join(hot, "anchor", "left_anti")
+    for frame in compared:
+        parts = parts.unionByName(frame)
     sorted_ = (
-        parts.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "uid", "first")
+        parts.repartition("anchor").sortWithinPartitions("anchor", "uid", "first")
         .select("anchor", "uid", "first", "kind", "part").mapInArrow(_compare, "uid long, first int, last int")
     )
-    hashed = (
-        parts.join(hot, "anchor", "left_semi").select("anchor", "uid", "first", "kind", "part")
-        .mapInArrow(_hash_starts, "anchor long, around long, uid long, first int, last int")
-        .repartition("anchor", "around").sortWithinPartitions("anchor", "around").mapInArrow(_neighbours, marks)
-        .where("kind = 0").select("uid", "first", "last")
-    )
-    spans = near.where("kind = 0").select("uid", "first", "last").unionByName(sorted_).unionByName(hashed)
-    spans = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = spans.unionByName(sorted_).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     return (
-        raw.join(spans, "uid", "left").select("id", "text", "spans")
+        raw.join(spans, "uid", "left").select("id", F.col("text").cast("binary").alias("text"), "spans")
         .mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
         .withColumnRenamed("id", id_col)
     )

@@ -203,13 +203,14 @@ def _cut(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_remove_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,finer", [(4000, 4), (1, 3), (1, 0)])
+def test_remove_repeats(spark, monkeypatch, hot, finer):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "FINER", finer)
     r = random.Random(7)
     make = lambda n: "".join(r.choice("abcdé \n") for _ in range(n))
     a, b = make(900), make(500)
-    texts = [None, "", a, a[:450] + "X" + a[450:], make(300) + a[100:420] + make(50), b + b, b[:199], "z" * 700, "xy" * 300, make(150), make(150) + b[10:230], a]
+    texts = [None, "", a, a[:450] + "X" + a[450:], make(300) + a[100:420] + make(50), b + b, b[:199], "z" * 700, "xy" * 300, *[f"{make(9)}{i} " + a[200:600] + f" {i * i}{make(30)}" + b[:260] for i in range(12)], make(150), make(150) + b[10:230], a]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("uid", F.lit(0))
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.remove_repeats(df).collect()}
     assert [got[i] for i in range(len(texts))] == _cut(texts)
