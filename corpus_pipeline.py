@@ -50,10 +50,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 2 times; rows that repeat an id or have none count on their own."""
     ship(spark)
     # The rows' numbers are given once and stored.
-    rows = staged(docs.withColumn("mix_row", F.monotonically_increasing_id()), "numbered")
-    copies = mixing.mix_sources(rows, keep=("mix_row",)).where("copies > 0").select("mix_row", F.col("copies").cast("int").alias("mix_copies"))
-    taken = rows.join(copies, "mix_row")
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*docs.columns)
+    row = "_row" + "_" * max(map(len, docs.columns))
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix_sources(rows, keep=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(f"{row}n"))
+    taken = rows.join(copies, row)
+    return taken.withColumn(f"{row}c", F.explode(F.array_repeat(F.lit(0), F.col(f"{row}n")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
