@@ -46,6 +46,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(table._staged_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
+    spark.range(1).count()  # until another job runs, Spark holds the last one's
     jvm.System.gc()
 
 

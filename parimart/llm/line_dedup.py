@@ -28,7 +28,8 @@ SIMILARITY, LEAST = (4, 5), 1
 SLOTS, SLICE = 1 << 22, 1 << 12
 #: Lines with a word (as the tasks count them) from which it is paired with the next ones of the prefix.
 COMMON = 20_000
-#: Earlier partners that a line names per word at first; lines with more are looked at again if none of these matches.
+#: Earlier partners that a line names per word at first (some more in one case); lines with more are looked at again if none
+#: of these matches.
 PARTNERS = 16
 #: Postings of a bucket, about, and those that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 1_000_000
@@ -123,18 +124,28 @@ def _survey(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = _Seen(), np.zeros(2 * SLOTS, np.int32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            word, n = np.unique(np.concatenate(waiting), return_counts=True)
+            for at in _slots(word):
+                np.add.at(table, at, n)
+            waiting.clear()
+
         names = ["id", "sub", "place", "cls", "more", "n", "slice", "counts"]
         for batch in batches:
             for lo, lines in _lines(batch.column(1), least):
                 cls, more = lines.names()
-                fresh = lines.word[seen.new(cls)[lines.line]]
-                for at in _slots(fresh):
-                    np.add.at(table, at, 1)
+                waiting.append(lines.word[seen.new(cls)[lines.line]])
+                if sum(map(len, waiting)) >= HELD:
+                    count()
                 n, of = len(cls), pa.array(lo + lines.text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(of), batch.column(2).take(of), pa.array(lines.place.astype(np.int32)), pa.array(cls.view(np.int64)),
                      pa.array(more.view(np.int64)), pa.array(lines.size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
                 )
+        if waiting:
+            count()
         used = np.flatnonzero(table)
         of = used // SLICE
         at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(used) else np.zeros(0, np.int64)
@@ -356,28 +367,31 @@ def _candidates(num: int, den: int):
             spots = [(row[i, s] << 32) | p for i, s, p in asked if (i, s) in row]
             keep = np.isin(y, np.array(spots, np.uint64))
             y, x = y[keep], x[keep]
-            mark = np.full(len(y), -1)
+            turn, mark = np.zeros(len(y), np.int32), np.full(len(y), -1)
         else:
             order = np.lexsort((x, apart, of))
             y, x, apart, room, of, key = y[order], x[order], apart[order], room[order], of[order], key[order]
             at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
             size = np.diff(np.append(at, len(of)))
             rank = np.arange(len(of)) - np.repeat(at, size)
-            most = np.where(2 * apart[at] <= room[at], 1, PARTNERS)
+            near = [4 * apart[at] <= room[at], 2 * apart[at] <= room[at]]
+            soon, most = np.select(near, [1, 4], PARTNERS), np.where(near[1], PARTNERS, 4 * PARTNERS)
             keep = rank < np.repeat(most, size)
-            y, x, mark = y[keep], x[keep], np.where(np.repeat(size > most, size)[keep], _marks(bucket, key[keep]), -1)
-        pair = np.lexsort((mark, x, y))
-        y, x, mark = y[pair], x[pair], mark[pair]
+            y, x, turn = y[keep], x[keep], (rank >= np.repeat(soon, size))[keep].astype(np.int32)
+            mark = np.where(np.repeat(size > most, size)[keep], _marks(bucket, key[keep]), -1)
+        pair = np.lexsort((turn, mark, x, y))
+        y, x, turn, mark = y[pair], x[pair], turn[pair], mark[pair]
         new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (mark[1:] != mark[:-1])]) if len(y) else np.zeros(0, bool)
-        y, x, mark = y[new], x[new], mark[new]
+        y, x, turn, mark = y[new], x[new], turn[new], mark[new]
         for lo in range(0, len(y), 1 << 18):
             spots = []
             for s in (y[lo : lo + (1 << 18)], x[lo : lo + (1 << 18)]):
                 row = (s >> np.uint64(32)).astype(np.int64)
                 spots += [pa.array(ids[row]), pa.array(subs[row]), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, pa.array(mark[lo : lo + (1 << 18)].astype(np.int32))], ["bucket", *SPOT, *OTHER, "mark"]
-            )
+                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, *(pa.array(c[lo : lo + (1 << 18)].astype(np.int32)) for c in (turn, mark))],
+                ["bucket", *SPOT, *OTHER, "turn", "mark"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, asked = None, [], []
@@ -500,41 +514,46 @@ def drop_repeated_lines(
 
     def searched(blobs: DataFrame) -> DataFrame:
         sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", *SPOT)
-        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, mark int")
+        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, turn int, mark int")
 
     def verified(found: DataFrame) -> DataFrame:
         """The lines (id, sub, place) that match their earlier partner."""
         pairs = staged(found.select(*SPOT, *OTHER).distinct(), "pairs")
         asked = pairs.select(*SPOT).union(pairs.select(*OTHER))
-        wanted = asked.groupBy("id", "sub").agg(F.collect_set("place").alias("wanted")).hint("shuffle_hash")
+        # Stored, so that its size is known: Spark sends a small one to all tasks, and else shuffles the texts.
+        wanted = staged(asked.groupBy("id", "sub").agg(F.collect_set("place").alias("wanted")), "wanted")
         texts = base.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_texts, f"{at}, line string")
         lines = staged(texts.dropDuplicates(SPOT), "texts")
         full = pairs.join(lines.withColumnRenamed("line", "x"), SPOT)
         full = full.join(lines.select(*[F.col(c).alias(x) for c, x in zip(SPOT, OTHER, strict=True)], F.col("line").alias("y")), OTHER)
         out = staged(full.select(*SPOT, "x", "y").mapInArrow(_verify(num, den), at).distinct(), "later")
-        release(spark, pairs, lines)
+        release(spark, pairs, wanted, lines)
         return out
 
     nowhere = [F.lit(None).cast(t).alias(c) for c, t in zip(SPOT, ("long", "long", "int"), strict=True)]
     found = staged(searched(postings().select("*", *nowhere)), "candidates")
     release(spark)
-    later = verified(found)
-    open_ = staged(found.where("mark >= 0").select("bucket", "mark", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
-    if not open_.isEmpty():  # lines with more candidates, of which the nearest don't match
-        bits = np.zeros(MARKS // 64, np.int64)
-        by_word = open_.groupBy(F.floor(F.col("mark") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, mark % 64))").alias("b"))
-        for r in by_word.toLocalIterator():  # MARKS bits at most
-            bits[r["w"]] = r["b"]
-        some = postings(spark.sparkContext.broadcast(bits.view(np.uint8))).select("*", *nowhere)
-        asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
-        later = staged(later.union(verified(staged(searched(some.unionByName(asking)), "candidates"))).distinct(), "later")
+    later = verified(found.where("turn = 0"))
+    rest = staged(found.where("turn = 1 or mark >= 0").join(later, SPOT, "left_anti"), "rest")
+    release(spark, found)
+    if not rest.isEmpty():  # lines with more candidates, of which the nearest don't match
+        later = staged(later.union(verified(rest.where("turn = 1"))).distinct(), "later")
+        open_ = staged(rest.where("mark >= 0").select("bucket", "mark", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
+        if not open_.isEmpty():  # with still more of them: all that their keys have
+            bits = np.zeros(MARKS // 64, np.int64)
+            by_word = open_.groupBy(F.floor(F.col("mark") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, mark % 64))").alias("b"))
+            for r in by_word.toLocalIterator():  # MARKS bits at most
+                bits[r["w"]] = r["b"]
+            some = postings(spark.sparkContext.broadcast(bits.view(np.uint8))).select("*", *nowhere)
+            asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
+            later = staged(later.union(verified(staged(searched(some.unionByName(asking)), "candidates"))).distinct(), "later")
 
     # A line goes unless it is the first of its set and matches no earlier one.
     groups = occurs.groupBy("cls", "more").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*SPOT)).alias("first")).where("k > 1")
     copies = occurs.join(groups, ["cls", "more"]).where(F.struct(*SPOT) != F.col("first")).select(*SPOT)
     gone = copies.union(later).groupBy(F.col("id").alias("_row_id"), F.col("sub").alias("_row_sub")).agg(F.collect_set("place").alias("_gone"))
     gone = staged(gone, "gone")
-    release(spark, survey, found, later, open_)
-    full = rows.join(gone.hint("shuffle_hash"), ["_row_id", "_row_sub"], "left").select(*[f"c{k}" for k in range(len(docs.columns))], "_gone")
+    release(spark, survey, later, rest)
+    full = rows.join(gone, ["_row_id", "_row_sub"], "left").select(*[f"c{k}" for k in range(len(docs.columns))], "_gone")
     schema = StructType([f for f in full.schema.fields if f.name != "_gone"]).add("n_removed", "long")
     return full.mapInArrow(_remove(text_at), schema).toDF(*docs.columns, "n_removed")

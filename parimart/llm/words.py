@@ -80,10 +80,11 @@ class Words:
         cuts = self.offsets[(self.offsets > 0) & (self.offsets < n)]
         cuts = np.unique(cuts[ink[cuts] & ink[cuts - 1]])  # texts that meet without white space between them
         if len(cuts):
-            self.start, self.end = np.sort(np.append(self.start, cuts)), np.sort(np.append(self.end, cuts))
-        self.text = np.searchsorted(self.offsets, self.start, "right") - 1
+            self.start = np.insert(self.start, np.searchsorted(self.start, cuts), cuts)
+            self.end = np.insert(self.end, np.searchsorted(self.end, cuts), cuts)
+        self.count = np.diff(np.searchsorted(self.start, self.offsets))
+        self.text = np.repeat(np.arange(len(self.count)), self.count)
         self.hash = hash_words(self.data, self.start, self.end - self.start)
-        self.count = np.bincount(self.text, minlength=len(self.offsets) - 1)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """``(hashes, offsets)``: each text's runs of ``k`` words, or all its words if there are fewer; with repeats."""
