@@ -122,13 +122,18 @@ class _Ids:
 _cache: dict[str, _Ids] = {}
 
 
+def _known(path: str) -> _Ids:
+    """The ids that this worker has, from one task to the next."""
+    if path not in _cache:
+        _cache[path] = _Ids(path)
+    return _cache[path]
+
+
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = TOKENS) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: each text's ids and a closing 0, cut after every ``most`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _cache:
-            _cache[path] = _Ids(path)
-        known = _cache[path]
+        known = _known(path)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             # Strings are looked up for many texts at once, their ids are joined for few.
