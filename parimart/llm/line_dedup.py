@@ -33,8 +33,6 @@ COMMON = 20_000
 PARTNERS = 16
 #: Postings of a bucket, about, and those that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 1_000_000
-#: Bits that mark the keys of lines to be looked at again: 4 MB as broadcast whatever the input.
-MARKS = 1 << 25
 _LOW = np.uint64(SLOTS - 1)
 _NO_ID = 2**63 - 1
 #: Where a line is, and its earlier partner: id and name of the row, and place in the text.
@@ -230,13 +228,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray
     return ids, subs, out
 
 
-def _marks(bucket, key):
-    """Bits of keys, from their buckets and the rest of them."""
-    return (bucket * 0x9E3779B1 + key) % MARKS
-
-
-def _postings(held, least: int, num: int, den: int, buckets: int, marks=None):
-    """Packed postings by bucket of their key, of the first line of each set in a task; with ``marks`` of marked keys only.
+def _postings(held, least: int, num: int, den: int, buckets: int):
+    """Packed postings by bucket of their key, of the first line of each set in a task.
 
     A set so small that it matches only equal ones needs none.
     """
@@ -270,10 +263,6 @@ def _postings(held, least: int, num: int, den: int, buckets: int, marks=None):
                 lines.word = lines.word[order]
                 key, of, rank = _prefixes(lines, code[order], seen.new(name) & (lines.size >= larger), num, den, common)
                 bucket, key = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                if marks is not None:
-                    bit = _marks(bucket, key)
-                    some = np.flatnonzero(marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                    bucket, key, of, rank = bucket[some], key[some], of[some], rank[some]
                 parts.append({
                     "bucket": bucket, "key": key, "name": (name & np.uint64(0xFFFFFFFF))[of],
                     "low": low[of], "high": high[of], "row": lo + lines.text[of], "place": lines.place[of], "n": lines.size[of], "at": rank,
@@ -355,9 +344,11 @@ def _pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, ..
 def _candidates(num: int, den: int):
     """Rows in order of bucket: earlier candidates of lines, the nearest by their bits first.
 
-    Where a bucket has rows that ask for a line, those get all of their candidates. Otherwise a line gets one for each key
-    if that is near, else up to ``PARTNERS``; if there are others, ``mark`` is the bit of the key, else -1.
+    Where a bucket has rows that ask for a line, those get all of their candidates. Otherwise a line gets ``PARTNERS`` for
+    each key, or four times as many if none is near; ``turn`` 0 has those to verify first, fewer the nearer they are, and
+    1 the others. If there are more, ``more`` says so, and the postings of the key come along once, packed again.
     """
+    names = ["bucket", *SPOT, *OTHER, "turn", "more", "blob"]
 
     def flush(bucket: int, blobs: list[bytes], asked: list[tuple]) -> Iterator[pa.RecordBatch]:
         t, ids, subs = _bucket(blobs)
@@ -367,7 +358,7 @@ def _candidates(num: int, den: int):
             spots = [(row[i, s] << 32) | p for i, s, p in asked if (i, s) in row]
             keep = np.isin(y, np.array(spots, np.uint64))
             y, x = y[keep], x[keep]
-            turn, mark = np.zeros(len(y), np.int32), np.full(len(y), -1)
+            turn, more = np.ones(len(y), np.int32), np.zeros(len(y), bool)
         else:
             order = np.lexsort((x, apart, of))
             y, x, apart, room, of, key = y[order], x[order], apart[order], room[order], of[order], key[order]
@@ -377,21 +368,26 @@ def _candidates(num: int, den: int):
             near = [4 * apart[at] <= room[at], 2 * apart[at] <= room[at]]
             soon, most = np.select(near, [1, 4], PARTNERS), np.where(near[1], PARTNERS, 4 * PARTNERS)
             keep = rank < np.repeat(most, size)
-            y, x, turn = y[keep], x[keep], (rank >= np.repeat(soon, size))[keep].astype(np.int32)
-            mark = np.where(np.repeat(size > most, size)[keep], _marks(bucket, key[keep]), -1)
-        pair = np.lexsort((turn, mark, x, y))
-        y, x, turn, mark = y[pair], x[pair], turn[pair], mark[pair]
-        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (mark[1:] != mark[:-1])]) if len(y) else np.zeros(0, bool)
-        y, x, turn, mark = y[new], x[new], turn[new], mark[new]
+            y, x, turn, more = y[keep], x[keep], (rank >= np.repeat(soon, size))[keep].astype(np.int32), np.repeat(size > most, size)[keep]
+            if more.any():
+                full = np.flatnonzero(np.isin(t["key"], key[keep][more].astype(np.uint32)))
+                again = {c: x[full] for c, x in t.items() if c != "spot"}
+                again |= {"row": (t["spot"][full] >> np.uint64(32)).astype(np.int64), "place": t["spot"][full] & np.uint64(0xFFFFFFFF)}
+                none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int32()) * 2 + (pa.int32(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *none, pa.array([_packed(again, ids, subs)], pa.binary())], names)
+        pair = np.lexsort((~more, turn, x, y))
+        y, x, turn, more = y[pair], x[pair], turn[pair], more[pair]
+        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (more[1:] != more[:-1])]) if len(y) else np.zeros(0, bool)
+        y, x, turn, more = y[new], x[new], turn[new], more[new]
         for lo in range(0, len(y), 1 << 18):
-            spots = []
-            for s in (y[lo : lo + (1 << 18)], x[lo : lo + (1 << 18)]):
+            part, spots = slice(lo, lo + (1 << 18)), []
+            for s in (y[part], x[part]):
                 row = (s >> np.uint64(32)).astype(np.int64)
                 spots += [pa.array(ids[row]), pa.array(subs[row]), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.int32))]
+            n = len(spots[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(spots[0]), bucket, np.int32)), *spots, *(pa.array(c[lo : lo + (1 << 18)].astype(np.int32)) for c in (turn, mark))],
-                ["bucket", *SPOT, *OTHER, "turn", "mark"],
-            )
+                [pa.array(np.full(n, bucket, np.int32)), *spots, pa.array(turn[part]), pa.array(more[part]), pa.nulls(n, pa.binary())], names
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, asked = None, [], []
@@ -509,21 +505,18 @@ def drop_repeated_lines(
     n_postings = survey.agg(F.coalesce(F.sum(F.expr(least_prefix)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // BUCKET))
 
-    def postings(marks=None) -> DataFrame:
-        return base.mapInArrow(_postings(held, least, num, den, buckets, marks), "bucket int, blob binary")
-
     def searched(blobs: DataFrame) -> DataFrame:
         sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", *SPOT)
-        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, turn int, mark int")
+        return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, turn int, more boolean, blob binary")
 
-    def verified(found: DataFrame) -> DataFrame:
+    def verified(found: DataFrame, all_lines: bool) -> DataFrame:
         """The lines (id, sub, place) that match their earlier partner."""
         pairs = staged(found.select(*SPOT, *OTHER).distinct(), "pairs")
         asked = pairs.select(*SPOT).union(pairs.select(*OTHER))
-        # Stored, so that its size is known: Spark sends a small one to all tasks, and else shuffles the texts.
+        # Stored, so that its size is known: Spark may send the few lines of the second look to all tasks.
         wanted = staged(asked.groupBy("id", "sub").agg(F.collect_set("place").alias("wanted")), "wanted")
-        texts = base.join(wanted, ["id", "sub"]).select("id", "sub", "text", "wanted").mapInArrow(_texts, f"{at}, line string")
-        lines = staged(texts.dropDuplicates(SPOT), "texts")
+        texts = base.join(wanted.hint("shuffle_hash") if all_lines else wanted, ["id", "sub"])
+        lines = staged(texts.select("id", "sub", "text", "wanted").mapInArrow(_texts, f"{at}, line string").dropDuplicates(SPOT), "texts")
         full = pairs.join(lines.withColumnRenamed("line", "x"), SPOT)
         full = full.join(lines.select(*[F.col(c).alias(x) for c, x in zip(SPOT, OTHER, strict=True)], F.col("line").alias("y")), OTHER)
         out = staged(full.select(*SPOT, "x", "y").mapInArrow(_verify(num, den), at).distinct(), "later")
@@ -531,29 +524,26 @@ def drop_repeated_lines(
         return out
 
     nowhere = [F.lit(None).cast(t).alias(c) for c, t in zip(SPOT, ("long", "long", "int"), strict=True)]
-    found = staged(searched(postings().select("*", *nowhere)), "candidates")
+    postings = base.mapInArrow(_postings(held, least, num, den, buckets), "bucket int, blob binary")
+    found = staged(searched(postings.select("*", *nowhere)), "candidates")
+    del postings
     release(spark)
-    later = verified(found.where("turn = 0"))
-    rest = staged(found.where("turn = 1 or mark >= 0").join(later, SPOT, "left_anti"), "rest")
-    release(spark, found)
+    later = verified(found.where("turn = 0"), True)
+    rest = staged(found.where("turn = 1 or more").select("bucket", *SPOT, *OTHER, "turn", "more").join(later, SPOT, "left_anti"), "rest")
     if not rest.isEmpty():  # lines with more candidates, of which the nearest don't match
-        later = staged(later.union(verified(rest.where("turn = 1"))).distinct(), "later")
-        open_ = staged(rest.where("mark >= 0").select("bucket", "mark", *SPOT).distinct().join(later, SPOT, "left_anti"), "open")
-        if not open_.isEmpty():  # with still more of them: all that their keys have
-            bits = np.zeros(MARKS // 64, np.int64)
-            by_word = open_.groupBy(F.floor(F.col("mark") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, mark % 64))").alias("b"))
-            for r in by_word.toLocalIterator():  # MARKS bits at most
-                bits[r["w"]] = r["b"]
-            some = postings(spark.sparkContext.broadcast(bits.view(np.uint8))).select("*", *nowhere)
-            asking = open_.select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
-            later = staged(later.union(verified(staged(searched(some.unionByName(asking)), "candidates"))).distinct(), "later")
+        asking = rest.where("more").select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
+        groups = found.where("blob is not null").select("bucket", "blob", *nowhere)
+        others = rest.where("turn = 1").select(*SPOT, *OTHER).unionByName(
+            searched(groups.unionByName(asking)).where("turn = 1 and not more").select(*SPOT, *OTHER).join(asking, SPOT, "left_semi")
+        )
+        later = staged(later.union(verified(others, False)).distinct(), "later")
 
     # A line goes unless it is the first of its set and matches no earlier one.
     groups = occurs.groupBy("cls", "more").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*SPOT)).alias("first")).where("k > 1")
     copies = occurs.join(groups, ["cls", "more"]).where(F.struct(*SPOT) != F.col("first")).select(*SPOT)
     gone = copies.union(later).groupBy(F.col("id").alias("_row_id"), F.col("sub").alias("_row_sub")).agg(F.collect_set("place").alias("_gone"))
     gone = staged(gone, "gone")
-    release(spark, survey, later, rest)
-    full = rows.join(gone, ["_row_id", "_row_sub"], "left").select(*[f"c{k}" for k in range(len(docs.columns))], "_gone")
+    release(spark, survey, found, later, rest)
+    full = rows.join(gone.hint("shuffle_hash"), ["_row_id", "_row_sub"], "left").select(*[f"c{k}" for k in range(len(docs.columns))], "_gone")
     schema = StructType([f for f in full.schema.fields if f.name != "_gone"]).add("n_removed", "long")
     return full.mapInArrow(_remove(text_at), schema).toDF(*docs.columns, "n_removed")
