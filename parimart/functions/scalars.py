@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -129,3 +129,30 @@ def crosswalk_id(key: Column, venues: Mapping[str, str]) -> Column:
     return F.when(fine & known, F.concat_ws("-", day, F.try_element_at(parts, F.lit(2)), F.lpad(race, 2, "0"))).when(
         fine & code.isNotNull(), F.concat_ws("-", day, code, F.lpad(race, 2, "0"))
     )
+
+
+def half_even(value: Column, places: int = 0) -> Column:
+    """Rounded to even on ties, as settled amounts are."""
+    return F.bround(value, places)
+
+
+def canonical_grade(text: Column) -> Column:
+    """``G1`` to ``G3`` of a display label in any width, with digits or Roman numerals; null for all others."""
+    folded = F.upper(normalize_name(text))
+    return labelled(folded, {"G1": "G1", "GI": "G1", "G2": "G2", "GII": "G2", "G3": "G3", "GIII": "G3"})
+
+
+#: Converters of raw text by kind of field, to be looked up by a layout.
+CONVERTERS: dict[str, Callable[[Column], Column]] = {
+    "text": lambda c: F.nullif(F.trim(c), F.lit("")),
+    "whole": lambda c: F.trim(c).try_cast("long"),
+    "tenths": lambda c: digits_scaled(c, 10),
+    "clock": clock_seconds,
+    "odds": clean_odds,
+    "time": parse_time,
+}
+
+
+def converted(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Columns of ``df`` converted by their kind; other columns stay."""
+    return df.withColumns({c: CONVERTERS[k](F.col(c)) for c, k in kinds.items()})

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.lake import read_csv, snapshot
 from . import evaluate, features, market, relational, settlement
+from .marts import races_mart
 
 
 def predictor(name: str) -> Callable[[], Column]:
@@ -187,3 +189,33 @@ def cells(df: DataFrame, flags: dict[str, Column], measures: Sequence[Column], l
     tags = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]), lambda x: x.isNotNull())
     out = df.withColumn("cell", F.explode(tags)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *measures)
     return out.withColumn("reason", F.when(F.col("n") < least, "thin"))
+
+
+def per_group(df: DataFrame, key: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """One call of ``work`` for the rows of each group, for what columns can't express; a group must fit a task."""
+    return df.groupBy(*key).applyInPandas(work, schema)
+
+
+def grid_best(df: DataFrame, key: Sequence[str], grid: Sequence[float], loss: Callable[[Column], Column]) -> DataFrame:
+    """The value of a short grid with the least summed loss in each group, ties to the smallest; losses are summed before
+    they are shuffled."""
+    tried = df.withColumn("_g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    sums = tried.groupBy(*key, "_g").agg(F.sum(loss(F.col("_g"))).alias("loss"))
+    return sums.groupBy(*key).agg(F.min(F.struct("loss", "_g")).alias("b")).select(*key, F.col("b._g").alias("best"), "b.loss")
+
+
+def day_pipeline(spark: SparkSession, folder: str, lake: str, schema: str, race: str, position: str) -> DataFrame:
+    """CSV files of one day through all layers, with the rows of each: snapshot, typed rows, features, mart."""
+    taken = snapshot(spark, folder, f"{lake}/bronze")
+    silver = read_csv(spark, folder, schema)
+    silver.write.mode("overwrite").parquet(f"{lake}/silver/{taken}")
+    silver = spark.read.parquet(f"{lake}/silver/{taken}")
+    gold = silver.withColumn("field", F.count(F.lit(1)).over(Window.partitionBy(race)))
+    gold.write.mode("overwrite").parquet(f"{lake}/gold/{taken}")
+    mart = races_mart(spark.read.parquet(f"{lake}/gold/{taken}"), race, [], position)
+    layers = (("bronze_files", spark.read.parquet(f"{lake}/bronze/{taken}/files")), ("silver", silver), ("gold", gold), ("mart", mart))
+    out = None
+    for name, rows in layers:
+        one = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("layer"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import iso_week
+
 from .relational import top_k
 
 
@@ -119,3 +121,21 @@ def freeze_model_card(scores: DataFrame, race: str, item: str, score: str, snaps
     out = scores.withColumn("model_prob", p).join(first, race, "left")
     out = out.withColumn("fair_odds", F.when(F.col("model_prob") > 0, 1.0 / F.col("model_prob")))
     return out.withColumn("pre_market", F.col("_first").isNull() | (F.col(decided) < F.col("_first"))).drop("_first")
+
+
+def live_edition(races: DataFrame, snapshots: DataFrame, race: str, grade: str, day: str, time: str, now: Column, fresh: int = 20) -> DataFrame:
+    """Graded races with the ISO week of their day as edition key, the age of the newest snapshot in minutes, and whether it
+    is ``live`` (``fresh`` minutes at most), ``stale`` or ``missing``; ``stamped_at`` is ``now`` for live ones alone."""
+    newest = snapshots.groupBy(race).agg(F.max(time).alias("_newest"))
+    age = (F.unix_timestamp(now) - F.unix_timestamp(F.col("_newest").cast("timestamp"))) / 60.0
+    out = races.where(F.col(grade).isNotNull()).join(newest, race, "left").withColumn("age_minutes", age)
+    state = F.when(F.col("age_minutes").isNull(), "missing").when(F.col("age_minutes") <= fresh, "live").otherwise("stale")
+    out = out.withColumn("edition_key", iso_week(F.col(day))).withColumn("freshness", state)
+    return out.withColumn("stamped_at", F.when(F.col("freshness") == "live", now)).drop("_newest")
+
+
+def rolling_edition(stored: DataFrame, edition: DataFrame, key: str, reserved: int = 90) -> DataFrame:
+    """Stored editions with the reserved version of each key replaced by the live one; stale editions change nothing."""
+    live = edition.where("freshness = 'live'").withColumn("version", F.lit(reserved)).select(*stored.columns)
+    kept = stored.join(live.select(key, "version").distinct(), [key, "version"], "left_anti")
+    return kept.select(*stored.columns).unionByName(live)

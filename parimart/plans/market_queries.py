@@ -228,7 +228,7 @@ def _sets(t: Tables) -> DataFrame:
     return out
 
 
-@query("J10_formation", f"with {SETS} select x.ticket, x.item as a, y.item as b, z.item as c from sets x join sets y on x.ticket = y.ticket join sets z on x.ticket = z.ticket where x.place = 0 and y.place = 1 and z.place = 2 and x.item <> y.item and x.item <> z.item and y.item <> z.item")
+@query("J10_formation", f"with {SETS}, x as (select ticket, item from sets where place = 0), y as (select ticket, item from sets where place = 1), z as (select ticket, item from sets where place = 2) select x.ticket, x.item as a, y.item as b, z.item as c from x join y on x.ticket = y.ticket and x.item <> y.item join z on x.ticket = z.ticket and x.item <> z.item and y.item <> z.item")
 def j10(t: Tables) -> DataFrame:
     return O.formation(_sets(t), "ticket", 3, ordered=True)
 

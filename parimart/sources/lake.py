@@ -107,8 +107,9 @@ def extract_rows(pages: DataFrame, html: str, row: str, cells: dict[str, str]) -
 
 
 def write_partitioned(df: DataFrame, base: str, by: Sequence[str]) -> None:
-    """Replace the touched partitions alone; rows of a partition go to one file per task that has them."""
-    df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(base)
+    """Replace the touched partitions alone. Rows are dealt by partition, and a partition that is too large for a task to
+    several of them."""
+    df.hint("rebalance", *by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(base)
 
 
 def read_partitioned(spark: SparkSession, base: str | list[str], schema: str) -> DataFrame:
@@ -149,6 +150,11 @@ def run_id(name: str, features: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(name), features), 256)
 
 
+def upsert_run(df: DataFrame, base: str, run: str) -> None:
+    """Store a run's rows under its id: a rerun replaces its own rows, other runs stay."""
+    write_partitioned(df.withColumn("run_id", F.lit(run)), base, ["run_id"])
+
+
 def hash_gated(new: DataFrame, stored: DataFrame, key: Sequence[str], hash_: str) -> DataFrame:
     """Rows of ``new`` whose hash isn't what is stored."""
     old = stored.select(*key, F.col(hash_).alias("_h"))

@@ -61,6 +61,19 @@ def append_batches(df: DataFrame, path: str, checkpoint: str, key: Sequence[str]
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_payloads(df: DataFrame, raw: str, silver: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Archive every batch of payloads as it came, then append what ``parse`` makes of it. A batch that is done again after
+    a failure replaces its own files."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("batch", F.lit(number))
+        batch.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch").parquet(raw)
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(raw).where(F.col("batch") == number).drop("batch")
+        parse(kept).withColumn("batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("batch").parquet(silver)
+
+    return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def track(df: DataFrame, group: Sequence[str], item: str, time: str, price: str) -> DataFrame:
     """What a cycle of the live track shows: first-seen price, latest price and the drift flag of each item."""
     keys = [*group, item]

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from parimart.plans import round_trip_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +23,14 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+ROUND_TRIPS = [n for n in entry.queries() if n.split("_")[0] in "A1 A2 A3 A4 A6 A11 A12 A17 A24 G7 H14 I8 I16 J10 L1 L3 L4 L8 L9 S2 S6 S15 S17 U2 U4 U5 U6".split()]
+
+
+def test_round_trips_are_registered():
+    assert len(ROUND_TRIPS) == 27 and callable(round_trip_queries.a1)
+
+
+@pytest.mark.parametrize("name", SAMPLE + ROUND_TRIPS)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
