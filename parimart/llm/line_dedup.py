@@ -32,7 +32,7 @@ COMMON = 20_000
 #: of these matches.
 PARTNERS = 16
 #: Postings of a bucket, about, and those that a task holds before it sends them.
-BUCKET, HELD = 1_000_000, 1_000_000
+BUCKET, HELD = 1_000_000, 400_000
 _LOW = np.uint64(SLOTS - 1)
 _NO_ID = 2**63 - 1
 #: Where a line is, and its earlier partner: id and name of the row, and place in the text.

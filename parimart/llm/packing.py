@@ -24,7 +24,7 @@ WEIGHTS = (1.0, 0.05, 0.2)
 #: Tokens and pieces of what a task packs; the last sequences of each task are all that packing apart can waste.
 GROUP, PIECES = 20_000_000, 200_000
 #: Strings and ids that a worker keeps; those that were not met for longest go first.
-_KEPT, _KEPT_IDS = 3_000_000, 12_000_000
+_KEPT, _KEPT_IDS = 2_000_000, 8_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[10, 32]] = True
 
@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             # Strings are looked up for many texts at once, their ids are joined for few.
-            for lo, hi in blocks(offsets, 1 << 25):
+            for lo, hi in blocks(offsets, 1 << 23):
                 part, own = np.ascontiguousarray(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo]
                 start, size, text = _strings(part, own)
                 slot = known.slots(part, start, size)
