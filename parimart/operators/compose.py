@@ -63,22 +63,39 @@ def market_probs(starts: DataFrame, race: str, item: str, odds: str, position: s
     return out.withColumn("calibrated_market_prob", market.power_calibrate("p", F.col("market_beta"), [race]))
 
 
-def handicap_features(starts: DataFrame, days: int = 365) -> DataFrame:
-    """Market-blind features: form, deltas to bucket pars of earlier years, rates of horse, jockey, trainer and pair."""
-    s = starts.withColumn("as_of", F.col("race_date")).withColumn("y", F.year("race_date"))
-    bucket = ["surface", "going_wetness"]
-    yearly = s.select(*[F.col(b).alias(f"_{b}") for b in bucket], F.col("y").alias("_y"), "finish_time_seconds")
-    asked = s.select(*bucket, "y").distinct()
-    same = F.col("_y") < F.col("y")
-    for b in bucket:
-        same &= F.col(b).eqNullSafe(F.col(f"_{b}"))
-    par = asked.join(yearly, same).groupBy(*bucket, "y").agg(F.median("finish_time_seconds").alias("par"))
-    out = s.join(par, [*bucket, "y"], "left").withColumn("par_delta", F.col("finish_time_seconds") - F.col("par")).drop("y")
-    for keys, name in ((["horse_id"], "horse"), (["jockey_id"], "jockey"), (["trainer_id"], "trainer"), (["jockey_id", "trainer_id"], "pair")):
-        out = features.trailing_rates(out, starts, keys, "race_date", "available_at", "as_of", "finish_position", days, name)
-    # The current run's own time is an outcome: only its distance to past form may be used.
-    w = Window.partitionBy("horse_id").orderBy("race_date", "race_id", "runner").rowsBetween(-3, -1)
-    out = out.withColumn("par_delta_last3", F.avg("par_delta").over(w)).drop("par_delta", "finish_time_seconds", "win_odds", "as_of")
+def handicap_features(starts: DataFrame, days: int = 365, gold: Sequence[DataFrame] = (), guard: Column | None = None) -> DataFrame:
+    """Market-blind features: recent form, distance to the bucket's par of earlier years, rates of horse, trainer, jockey,
+    trainer with jockey and jockey at the track over ``days``, body weight and field size.
+
+    A run counts from its ``available_at`` on, and only after its own day. ``last_3f_seconds``, ``body_weight_kg`` and
+    ``distance_m`` are used where ``starts`` has them; other columns known before the race pass through. ``gold`` holds
+    tables of one row for each (race_id, runner), such as those of going and training, that are joined on. ``guard``
+    keeps placeholder horses out of the history of horses.
+    """
+    has = set(starts.columns)
+    extra = [c for c in ("last_3f_seconds", "body_weight_kg") if c in has]
+    bucket = [c for c in ("racecourse", "surface", "distance_m", "going_wetness") if c in has]
+    horses = starts if guard is None else starts.where(guard)
+    out = starts.withColumn("as_of", F.col("race_date"))
+    out = features.recent_form(out, horses, "horse_id", "race_date", "available_at", "as_of", "finish_position", "finish_time_seconds", extra, ("race_id", "runner"))
+    for value, name in (("finish_time_seconds", "finish_time_par_delta"), ("last_3f_seconds", "last_3f_par_delta")):
+        if value in has:
+            out = features.bucket_par_delta(out, horses, "horse_id", bucket, "race_date", "available_at", "as_of", value, name)
+    roles = {
+        "horse": ["horse_id"], "trainer": ["trainer_id"], "jockey": ["jockey_id"], "trainer_jockey_combo": ["trainer_id", "jockey_id"],
+        "jockey_track": ["jockey_id", "racecourse"],
+    }
+    for role, keys in roles.items():
+        history = horses if role == "horse" else starts
+        out = features.trailing_rates(out, history, keys, "race_date", "available_at", "as_of", "finish_position", days, role).drop(f"{role}_wins", f"{role}_top3")
+        out = out.withColumnsRenamed({f"{role}_win_rate": f"{role}_winrate_{days}d", f"{role}_top3_rate": f"{role}_top3rate_{days}d", f"{role}_starts": f"{role}_starts_{days}d"})
+    if "body_weight_kg" in has:
+        out = out.withColumn("body_weight_delta_vs_last", F.col("body_weight_kg") - F.col("last_body_weight_kg")).drop("last_body_weight_kg")
+    out = out.withColumn("field_size", F.count(F.lit(1)).over(Window.partitionBy("race_id")))
+    for table in gold:
+        out = out.join(table, ["race_id", "runner"], "left")
+    # What the race itself brings out is no feature.
+    out = out.drop("finish_time_seconds", "last_3f_seconds", "finish_position", "available_at", "win_odds", "as_of")
     return features.assert_market_blind(out, ["win_odds", "popularity", "devigged_market_prob"])
 
 
@@ -90,11 +107,29 @@ def settlement_equivalence(bets: DataFrame, a: DataFrame, b: DataFrame, starters
     return x.join(y, key, "full").where(~F.col("x").eqNullSafe(F.col("y"))).select(*key, F.col("x.reason").alias("reason_a"), F.col("y.reason").alias("reason_b"))
 
 
-def settle_sweep(tickets: DataFrame, resolved: DataFrame, stored: DataFrame, budget: int) -> DataFrame:
-    """Transitions of open tickets, or of settled ones whose result hash changed, oldest first up to ``budget``."""
-    due = tickets.join(stored, "race_id", "left").where((F.col("state") == "open") | ~F.col("hash").eqNullSafe(F.col("seen_hash")))
-    out = due.join(resolved.select("ticket_id", F.col("state").alias("new_state"), F.col("returned").alias("new_returned")), "ticket_id")
-    return out.where((F.col("new_state") != "open") & (F.col("new_state") != F.col("state"))).orderBy("ticket_id").limit(budget).select("ticket_id", F.col("state").alias("old_state"), "new_state", "new_returned")
+def settle_sweep(tickets: DataFrame, resolved: DataFrame, stored: DataFrame, budget: int, archived: DataFrame | None = None) -> DataFrame:
+    """Transitions of tickets, ``budget`` rows at most, oldest first in each of two passes.
+
+    First those whose race is in the snapshot ``stored`` (race_id, hash): open ones, and settled ones whose result hash
+    changed, by ``resolved`` (ticket_id, state, returned). Then open tickets of other races, by ``archived`` of the same
+    columns. What is still open by then stays out. ``kind`` tells a first settlement from a change of state, of the
+    amount or of the hash alone.
+    """
+    own = "returned" if "returned" in tickets.columns else None
+    old = tickets.select("ticket_id", "race_id", "state", "seen_hash", (F.col(own) if own else F.lit(None)).cast("double").alias("_old"))
+    here = old.join(stored.select("race_id", "hash"), "race_id").where((F.col("state") == "open") | ~F.col("hash").eqNullSafe(F.col("seen_hash"))).drop("hash")
+    passes = [(here, resolved, "snapshot")]
+    if archived is not None:
+        passes.append((old.where("state = 'open'").join(stored.select("race_id"), "race_id", "left_anti"), archived, "archive"))
+    out = None
+    for i, (due, outcome, source) in enumerate(passes):
+        new = outcome.select("ticket_id", F.col("state").alias("new_state"), F.col("returned").alias("new_returned"))
+        part = due.join(new, "ticket_id").where("new_state <> 'open'").withColumns({"source": F.lit(source), "_pass": F.lit(i)})
+        out = part if out is None else out.unionByName(part)
+    same = F.col("_old").eqNullSafe(F.col("new_returned").cast("double"))
+    kind = F.when(F.col("state") == "open", "settled").when(F.col("state") != F.col("new_state"), "state").when(~same, "amount").otherwise("hash")
+    rows = out.withColumn("kind", kind).orderBy("_pass", "ticket_id").limit(budget)
+    return rows.select("ticket_id", F.col("state").alias("old_state"), "new_state", "new_returned", "source", "kind")
 
 
 def settle_model_card(card: DataFrame, score: str, payouts: DataFrame, starters: DataFrame, results: DataFrame, stake: int = 100) -> DataFrame:

@@ -65,6 +65,60 @@ def trailing_rates(target: DataFrame, history: DataFrame, keys: Sequence[str], d
     return out.withColumn(f"{prefix}_win_rate", F.try_divide(F.col(f"{prefix}_wins"), n)).withColumn(f"{prefix}_top3_rate", F.try_divide(F.col(f"{prefix}_top3"), n))
 
 
+def recent_form(
+    target: DataFrame, history: DataFrame, entity: str, date: str, available: str, as_of: str, position: str, time: str,
+    values: Sequence[str] = (), ties: Sequence[str] = (), guard: Column | None = None,
+) -> DataFrame:
+    """Form over an entity's runs before the target's date and known by ``as_of``: the last one's place, time and other
+    ``values``, days since it, mean place and time of the last five, wins and starts in the last ten.
+
+    Each distinct (entity, date, as_of) is asked once and keeps ten runs, ordered by date and ``ties``, newest first.
+    Without runs the counts are 0 and the others null. ``guard`` keeps placeholder entities out of the history.
+    """
+    if guard is not None:
+        history = history.where(guard)
+    asked = [entity, date, as_of]
+    held = list(dict.fromkeys([position, time, *values]))
+    runs = history.select(
+        F.col(entity).alias("_e"), F.col(date).alias("_d"), F.col(available).alias("_a"), *[F.col(c).alias(f"_v_{c}") for c in held], *[F.col(c).alias(f"_t_{c}") for c in ties]
+    )
+    pairs = target.select(*asked).distinct().join(runs, (F.col(entity) == F.col("_e")) & (F.col("_d") < F.col(date)) & (F.col("_a") <= F.col(as_of)))
+    w = Window.partitionBy(*asked).orderBy(F.desc("_d"), *[F.desc(f"_t_{c}") for c in ties])
+    last = pairs.withColumn("_n", F.row_number().over(w)).where("_n <= 10")
+
+    def newest(c: Column) -> Column:
+        return F.max(F.when(F.col("_n") == 1, c))
+
+    def of_five(c: str) -> Column:
+        return F.avg(F.when(F.col("_n") <= 5, F.col(f"_v_{c}")))
+
+    form = last.groupBy(*asked).agg(
+        newest(F.col(f"_v_{position}")).alias("last_finish_pos"), newest(F.col(f"_v_{time}")).alias("last_finish_time_sec"),
+        *[newest(F.col(f"_v_{c}")).alias(f"last_{c}") for c in values], newest(F.datediff(date, "_d")).alias("days_since_last_race"),
+        of_five(position).alias("avg_finish_pos_5"), of_five(time).alias("avg_finish_time_sec_5"),
+        F.count_if(F.col(f"_v_{position}") == 1).alias("wins_last_10"), F.count(F.lit(1)).alias("starts_last_10"),
+    )
+    return target.join(form, asked, "left").fillna(0, ["wins_last_10", "starts_last_10"])
+
+
+def bucket_par_delta(target: DataFrame, history: DataFrame, entity: str, bucket: Sequence[str], date: str, available: str, as_of: str, value: str, name: str) -> DataFrame:
+    """An entity's mean ``value`` over its known runs in the target's bucket, less the bucket's median of earlier years.
+
+    Null values of a bucket column match each other; without such runs, or without earlier years, the delta is null.
+    Rows without a value count in neither.
+    """
+    year = [f"_b{i}" for i in range(len(bucket))]
+    same = [F.coalesce(F.col(b).cast("string"), F.lit("\0")).alias(y) for b, y in zip(bucket, year)]
+    known = history.where(F.col(value).isNotNull()).select("*", *same, F.year(date).alias("_y"))
+    asked = target.select("*", *same, F.year(date).alias("_y"))
+    earlier = known.select(*year, F.col("_y").alias("_before"), F.col(value).alias("_v"))
+    par = asked.select(*year, "_y").distinct().join(earlier, year).where("_before < _y").groupBy(*year, "_y").agg(F.median("_v").alias("_par"))
+    sums = {"_s": F.col(value), "_c": F.lit(1)}
+    own = prior_history(asked, known, entity, date, available, as_of, sums, group=year)
+    out = own.join(par, [*year, "_y"], "left").withColumn(name, F.try_divide("_s", "_c") - F.col("_par"))
+    return out.select(*target.columns, name)
+
+
 def work_features(target: DataFrame, works: DataFrame, entity: str, as_of: str, time: str, value: str, days: int = 30, ties: Sequence[str] = ()) -> DataFrame:
     """Latest, prior and best work in the last ``days``, their difference, the days since and the count."""
     w = works.where(F.col(value).isNotNull()).select(F.col(entity).alias("_e"), F.col(time).alias("_t"), F.col(value).alias("_v"), *[F.col(c).alias(f"_x_{c}") for c in ties])

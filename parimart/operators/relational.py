@@ -122,9 +122,19 @@ def prior_history(
     on = (F.col("_d") < F.col(date)) & (F.col("_a") <= F.col(as_of))
     for k in keys:
         on &= F.col(k) == F.col(f"_h_{k}")
+    period = []
     if days is not None:
         on &= F.col("_d") >= F.col(date) - F.expr(f"interval {days} days")
-    found = asked.join(daily, on).groupBy(*keys, date, as_of).agg(*[F.sum(n).alias(n) for n in sums])
+
+        def period_of(c: str) -> Column:
+            return F.floor(F.unix_date(F.col(c).cast("date")) / days)
+
+        # A date's history lies in its own period of ``days`` and the one before: pairs grow with the years, not their
+        # square, and an entity of many rows is divided by time.
+        asked, daily = asked.withColumn("_q", period_of(date)), daily.withColumn("_p", F.explode(F.array(period_of("_d"), period_of("_d") + 1)))
+        on &= F.col("_q") == F.col("_p")
+        period = ["_q"]
+    found = asked.join(daily, on).groupBy(*keys, *period, date, as_of).agg(*[F.sum(n).alias(n) for n in sums]).drop(*period)
     out = target.join(found, [*keys, date, as_of], "left")
     return out.select(*target.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
 

@@ -12,6 +12,7 @@ from ..operators import market as M
 from ..operators import ordering as O
 from ..operators import relational as R
 from ..operators import settlement as S
+from ..session import scratch
 from .bindings import Tables
 from .market_queries import BETS, P, SEQ3, _bets, _p
 from .registry import query
@@ -40,16 +41,45 @@ def h2(t: Tables) -> DataFrame:
     return out.select("race_id", "runner", "p", "market_beta", "calibrated_market_prob")
 
 
+def _trailing(name: str, keys: str) -> str:
+    on = " and ".join(f"q.{k} = h.{k}" for k in keys.split(", "))
+    return f"""{name} as (select q.*, coalesce(sum(n), 0) as n, sum(w) as w, sum(p) as p from (select distinct {keys}, race_date from starts) q left join
+        (select {keys}, race_date, available_at, count(*) as n, {WIN} as w, sum(case when finish_position <= 3 then 1 else 0 end) as p from starts group by all) h
+        on {on} and h.race_date < q.race_date and h.available_at <= q.race_date and h.race_date >= q.race_date - interval '365 days' group by all)"""
+
+
 @query("H7_handicap_features", f"""
-    with h as (select trainer_id, race_date, available_at, count(*) as n, {WIN} as w from starts group by 1, 2, 3), q as (select distinct trainer_id, race_date from starts),
-    f as (select q.trainer_id, q.race_date, sum(n) as n, sum(w) as w from q join h on q.trainer_id = h.trainer_id and h.race_date < q.race_date and h.available_at <= q.race_date and h.race_date >= q.race_date - interval '365 days' group by 1, 2),
-    b as (select distinct surface, going_wetness, year(race_date) as y from starts),
-    par as (select b.surface, b.going_wetness, b.y, median(s.finish_time_seconds) as par from b join starts s on b.surface is not distinct from s.surface and b.going_wetness is not distinct from s.going_wetness and year(s.race_date) < b.y group by 1, 2, 3),
-    d as (select s.*, finish_time_seconds - par as pd from starts s left join par on par.surface is not distinct from s.surface and par.going_wetness is not distinct from s.going_wetness and par.y = year(s.race_date)),
-    l as (select race_id, runner, trainer_id, race_date, avg(pd) over (partition by horse_id order by race_date, race_id, runner rows between 3 preceding and 1 preceding) as p3 from d)
-    select race_id, runner, cast(coalesce(n, 0) as bigint) as trainer_starts, round(w / n, 9) as trainer_win_rate, round(p3 + 1e-9, 5) + 0.0 as par_delta_last3 from l left join f on l.trainer_id = f.trainer_id and l.race_date = f.race_date""")
+    with h as (select distinct horse_id, race_date from starts),
+    r as (select h.*, s.race_date as d, s.finish_position as fp, s.finish_time_seconds as ft, row_number() over (partition by h.horse_id, h.race_date order by s.race_date desc, s.race_id desc, s.runner desc) as rn
+        from h join starts s on s.horse_id = h.horse_id and s.race_date < h.race_date and s.available_at <= h.race_date),
+    f as (select horse_id, race_date, max(case when rn = 1 then fp end) as lp, max(case when rn = 1 then ft end) as lt, max(case when rn = 1 then date_diff('day', d, race_date) end) as ds,
+        avg(case when rn <= 5 then fp end) as p5, avg(case when rn <= 5 then ft end) as t5, sum(case when fp = 1 then 1 else 0 end) as w10, count(*) as n10 from r where rn <= 10 group by 1, 2),
+    b as (select distinct racecourse, surface, going_wetness, year(race_date) as y from starts),
+    par as (select b.*, median(s.finish_time_seconds) as par from b join starts s on b.racecourse is not distinct from s.racecourse and b.surface is not distinct from s.surface and b.going_wetness is not distinct from s.going_wetness and year(s.race_date) < b.y group by all),
+    own as (select q.*, avg(s.finish_time_seconds) as own from (select distinct horse_id, race_date, racecourse, surface, going_wetness from starts) q join starts s on q.horse_id = s.horse_id and s.race_date < q.race_date and s.available_at <= q.race_date
+        and q.racecourse is not distinct from s.racecourse and q.surface is not distinct from s.surface and q.going_wetness is not distinct from s.going_wetness group by all),
+    {_trailing("e", "horse_id")}, {_trailing("t", "trainer_id")}, {_trailing("j", "jockey_id")}, {_trailing("c", "trainer_id, jockey_id")}, {_trailing("k", "jockey_id, racecourse")}
+    select s.race_id, s.runner, cast(lp as int) as last_finish_pos, lt as last_finish_time_sec, cast(ds as int) as days_since_last_race, round(p5, 9) as avg_finish_pos_5, round(t5 + 1e-9, 5) as avg_finish_time_sec_5,
+        cast(coalesce(w10, 0) as bigint) as wins_last_10, cast(coalesce(n10, 0) as bigint) as starts_last_10, round(own - par + 1e-9, 5) + 0.0 as finish_time_par_delta, cast(e.n as bigint) as horse_starts_365d,
+        cast(t.n as bigint) as trainer_starts_365d, round(t.w / t.n, 9) as trainer_winrate_365d, round(t.p / t.n, 9) as trainer_top3rate_365d,
+        cast(j.n as bigint) as jockey_starts_365d, round(j.w / j.n, 9) as jockey_winrate_365d, round(j.p / j.n, 9) as jockey_top3rate_365d,
+        cast(c.n as bigint) as trainer_jockey_combo_starts_365d, round(c.w / c.n, 9) as trainer_jockey_combo_winrate_365d,
+        cast(k.n as bigint) as jockey_track_starts_365d, round(k.w / k.n, 9) as jockey_track_winrate_365d, count(*) over (partition by s.race_id) as field_size
+    from starts s left join f using (horse_id, race_date) left join e using (horse_id, race_date) left join t using (trainer_id, race_date) left join j using (jockey_id, race_date)
+        left join c using (trainer_id, jockey_id, race_date) left join k using (jockey_id, racecourse, race_date) left join own using (horse_id, race_date, racecourse, surface, going_wetness)
+        left join par on par.racecourse is not distinct from s.racecourse and par.surface is not distinct from s.surface and par.going_wetness is not distinct from s.going_wetness and par.y = year(s.race_date)""")
 def h7(t: Tables) -> DataFrame:
-    return C.handicap_features(t.starts).select("race_id", "runner", "trainer_starts", F.round("trainer_win_rate", 9).alias("trainer_win_rate"), (F.round(F.col("par_delta_last3") + 1e-9, 5) + 0.0).alias("par_delta_last3"))
+    # The view is read a dozen times; written once, it is not built anew for each.
+    path = scratch(t.spark, "starts")
+    t.starts.write.parquet(path)
+    out = C.handicap_features(t.spark.read.parquet(path))
+    rates = [c for c in out.columns if ("_winrate_" in c or "_top3rate_" in c) and c.split("_")[0] != "horse" and c not in ("trainer_jockey_combo_top3rate_365d", "jockey_track_top3rate_365d")]
+    counts = ["wins_last_10", "starts_last_10", *[c for c in out.columns if "_starts_" in c], "field_size"]
+    return out.select(
+        "race_id", "runner", F.col("last_finish_pos").cast("int").alias("last_finish_pos"), "last_finish_time_sec", "days_since_last_race", F.round("avg_finish_pos_5", 9).alias("avg_finish_pos_5"),
+        F.round(F.col("avg_finish_time_sec_5") + 1e-9, 5).alias("avg_finish_time_sec_5"), *[F.col(c).cast("long").alias(c) for c in counts],
+        (F.round(F.col("finish_time_par_delta") + 1e-9, 5) + 0.0).alias("finish_time_par_delta"), *[F.round(c, 9).alias(c) for c in rates],
+    )
 
 
 @query("D18_settlement_equivalence", f"with {BETS}, o as (select race_id, combo, max(payout_yen) as y from payouts group by 1, 2) select b.race_id, b.pool, b.combo, b.stake, 'official_payout' as reason_a, 'loss' as reason_b from bets b join o on b.race_id = o.race_id and b.combo = o.combo where b.race_id % 3 = 0")
@@ -63,12 +93,19 @@ def g3(t: Tables) -> DataFrame:
     return out.select("race_id", F.array_join(F.transform("placings", lambda z: z["runners"][0].cast("string")), ",").alias("top3"), F.size("payouts").alias("n_payouts"))
 
 
-@query("G9_settle_sweep", "select ticket_id, 'open' as old_state, case when user_id % 2 = 0 then 'won' else 'miss' end as new_state, cast(case when user_id % 2 = 0 then cost end as double) as new_returned from tickets where state = 'open' and ticket_id % 3 <> 0 order by ticket_id limit 500")
+@query("G9_settle_sweep", """
+    with k as (select ticket_id, user_id, cost, state, cast(returned as double) as returned, case when user_id % 5 = 0 then 'g' else 'h' end as seen, user_id % 7 <> 0 as snap,
+        case when ticket_id % 3 = 0 then 'open' when user_id % 2 = 0 then 'won' else 'miss' end as s from tickets),
+    d as (select *, case when s = 'won' then cast(cost as double) end as r from k where s <> 'open' and (state = 'open' or snap and seen <> 'h'))
+    select ticket_id, state as old_state, s as new_state, r as new_returned, case when snap then 'snapshot' else 'archive' end as source,
+        case when state = 'open' then 'settled' when state <> s then 'state' when returned is distinct from r then 'amount' else 'hash' end as kind
+    from d order by snap desc, ticket_id limit 500""")
 def g9(t: Tables) -> DataFrame:
-    k = t.tickets.select("ticket_id", "user_id", "cost", "state", F.col("user_id").alias("race_id"), F.lit("h").alias("seen_hash"))
+    k = t.tickets.select("ticket_id", "user_id", "cost", "state", F.col("returned").cast("double").alias("returned"), F.col("user_id").alias("race_id"), F.when(F.col("user_id") % 5 == 0, "g").otherwise("h").alias("seen_hash"))
     won = F.when(F.col("ticket_id") % 3 == 0, "open").when(F.col("user_id") % 2 == 0, "won").otherwise("miss")
-    resolved = k.where("state = 'open'").select("ticket_id", won.alias("state"), F.when(won == "won", F.col("cost")).cast("double").alias("returned"))
-    return C.settle_sweep(k, resolved, k.select("race_id", F.lit("h").alias("hash")).distinct(), 500)
+    resolved = k.select("ticket_id", "race_id", won.alias("state"), F.when(won == "won", F.col("cost")).cast("double").alias("returned"))
+    stored = k.where("race_id % 7 <> 0").select("race_id", F.lit("h").alias("hash")).distinct()
+    return C.settle_sweep(k, resolved, stored, 500, archived=resolved)
 
 
 @query("G13_settle_model_card", f"with {P}, r as (select *, row_number() over (partition by race_id order by p desc, runner) as rk from pr), y as (select race_id, combo, max(payout_yen) as y from payouts group by 1, 2) select r.race_id, r.runner, r.finish_position = 1 as won, case when rk = 1 then cast(coalesce(y, 0) as bigint) end as pick_payout from r left join y on y.race_id = r.race_id and y.combo = lpad(cast(r.runner as varchar), 2, '0')")

@@ -91,3 +91,40 @@ def test_registered_fits_use_the_whole_grids(spark, monkeypatch):
         q[name](spark, sf)
     assert [len(g) for g in seen["beta_losses"]] == [56, 56] and [len(g) for g in seen["blend_losses"]] == [81]
     assert seen["fit_gamma_walkforward"] == [1000] and seen["gamma_likelihood"] == [3] and seen["bootstrap_draws"] == [500, 500] and seen["trees"] == 200
+
+
+def test_recent_form_counts_only_known_runs(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    # Twelve runs ten days apart, each known five days later; the last of them only long after the race.
+    runs = [("a", i, day(10 * i), day(10 * i + (500 if i == 11 else 5)), 1 if i % 2 else 4, 60.0 + i) for i in range(12)]
+    history = spark.createDataFrame([*runs, (None, 0, day(1), day(1), 1, 50.0)], "horse string, race int, d date, known date, place int, time double")
+    target = spark.createDataFrame([("a", day(120)), ("a", day(0)), ("b", day(120)), (None, day(120))], "horse string, d date").withColumn("as_of", F.col("d"))
+    form = H.recent_form(target, history, "horse", "d", "known", "as_of", "place", "time", ties=("race",))
+    got = {(r.horse, r.d): r for r in form.collect()}
+    a = got["a", day(120)]
+    assert (a.last_finish_pos, a.last_finish_time_sec, a.days_since_last_race) == (4, 70.0, 20)
+    assert (a.avg_finish_time_sec_5, a.wins_last_10, a.starts_last_10) == (68.0, 5, 10)
+    for key in (("a", day(0)), ("b", day(120)), (None, day(120))):
+        assert (got[key].last_finish_pos, got[key].starts_last_10, got[key].wins_last_10) == (None, 0, 0)
+    assert H.recent_form(target.limit(0), history, "horse", "d", "known", "as_of", "place", "time").count() == 0
+
+
+def test_history_over_periods_equals_brute_force(spark):
+    day = lambda n: dt.date(1968, 1, 1) + dt.timedelta(n)
+    rows = [("xyz"[i % 3], day(37 * i % 1500), day(37 * i % 1500 + i % 40), i % 6 + 1) for i in range(240)]
+    df = spark.createDataFrame(rows, "jockey string, d date, known date, place int").withColumn("as_of", F.col("d"))
+    got = H.trailing_rates(df, df, ["jockey"], "d", "known", "as_of", "place", 365, "j").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [p for j, d, k, p in rows if j == r.jockey and d < r.d and k <= r.d and (r.d - d).days <= 365]
+        assert (r.j_starts, r.j_wins, r.j_top3) == (len(mine), sum(p == 1 for p in mine), sum(p <= 3 for p in mine))
+
+
+def test_par_delta_by_bucket(spark):
+    d = dt.date
+    rows = [("a", "x", d(2022, 5, 1), 60.0), ("b", "x", d(2022, 6, 1), 64.0), ("a", None, d(2022, 7, 1), 90.0), ("a", "x", d(2023, 5, 1), 58.0), ("a", None, d(2023, 6, 1), 80.0), ("b", "y", d(2023, 7, 1), None)]
+    df = spark.createDataFrame(rows, "horse string, course string, d date, time double").withColumns({"known": F.col("d"), "as_of": F.col("d")})
+    out = H.bucket_par_delta(df, df, "horse", ["course"], "d", "known", "as_of", "time", "delta")
+    got = {(r.horse, r.d): r.delta for r in out.collect()}
+    assert got["a", d(2023, 5, 1)] == 60.0 - 62.0 and got["a", d(2023, 6, 1)] == 0.0
+    assert [k for k, v in got.items() if v is not None] and sum(v is None for v in got.values()) == 4

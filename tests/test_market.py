@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from parimart.operators import compose
 from parimart.operators import market as M
 from parimart.operators import ordering as O
 from parimart.operators import relational as R
@@ -83,3 +84,16 @@ def test_gamma_recovers_default_without_history(spark):
 def test_entropy_of_even_field(spark):
     df = spark.createDataFrame([("r", i, 4.0) for i in range(4)], "g string, i int, o double")
     assert M.snapshot_market(df, ["g"], "o", "i").first().market_entropy == pytest.approx(math.log(4))
+
+
+def test_sweep_passes_and_kinds(spark):
+    tickets = spark.createDataFrame(
+        [(1, 1, "open", None, None), (2, 1, "won", 500.0, "old"), (3, 1, "won", 300.0, "new"), (4, 1, "miss", None, "old"), (5, 2, "open", None, None), (6, 2, "won", 1.0, "old"), (7, 3, "open", None, None), (8, 1, "miss", None, None)],
+        "ticket_id int, race_id int, state string, returned double, seen_hash string",
+    )
+    new = spark.createDataFrame([(1, "won", 200.0), (2, "won", 400.0), (3, "won", 1.0), (4, "won", 9.0), (5, "miss", None), (6, "miss", None), (7, "open", None), (8, "miss", None)], "ticket_id int, state string, returned double")
+    stored = spark.createDataFrame([(1, "new")], "race_id int, hash string")
+    got = [(r.ticket_id, r.source, r.kind) for r in compose.settle_sweep(tickets, new, stored, 10, archived=new).collect()]
+    assert got == [(1, "snapshot", "settled"), (2, "snapshot", "amount"), (4, "snapshot", "state"), (8, "snapshot", "hash"), (5, "archive", "settled")]
+    assert [r.ticket_id for r in compose.settle_sweep(tickets, new, stored, 2, archived=new).collect()] == [1, 2]
+    assert len(compose.settle_sweep(tickets, new, stored, 10).collect()) == 4
