@@ -150,11 +150,9 @@ def pattern_of_life(odds: DataFrame, runs: DataFrame, roles: Sequence[str], band
     z = relational.mad_z(moved, ["band"], "move").withColumn("plunge", F.coalesce(F.col("robust_z") <= -z_most, F.lit(False)))
     rows = runs.join(z.select("race_id", "runner", "plunge"), ["race_id", "runner"])
     rate = rows.agg(F.avg(F.col("plunge").cast("double")).alias("r")).first()["r"]
-    if not rate:
-        rate = 0.5
     out = None
     for role in roles:
-        part = relational.binomial_z(rows, [role], F.col("plunge"), float(rate), least).select(F.lit(role).alias("role"), F.col(role).alias("id"), "n", "hits", "z")
+        part = relational.binomial_z(rows, [role], F.col("plunge"), float(rate or 0.0), least).select(F.lit(role).alias("role"), F.col(role).alias("id"), "n", "hits", "z")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -159,11 +159,11 @@ def mad_z(df: DataFrame, key: Keys, value: str, name: str = "robust_z") -> DataF
 
 
 def binomial_z(df: DataFrame, key: Keys, hit: Column, baseline: float | Column, least: int) -> DataFrame:
-    """z of each key's hit rate against ``baseline``, keys with ``least`` rows only."""
+    """z of each key's hit rate against ``baseline``, keys with ``least`` rows only; null at a baseline of 0 or 1."""
     n, wins = F.count(F.lit(1)), F.count_if(hit)
     out = df.groupBy(*key).agg(n.alias("n"), wins.alias("hits")).where(F.col("n") >= least)
     p = F.lit(baseline) if isinstance(baseline, float) else baseline
-    return out.withColumn("rate", F.col("hits") / F.col("n")).withColumn("z", (F.col("hits") / F.col("n") - p) / F.sqrt(p * (1 - p) / F.col("n")))
+    return out.withColumn("rate", F.col("hits") / F.col("n")).withColumn("z", F.try_divide(F.col("hits") / F.col("n") - p, F.sqrt(p * (1 - p) / F.col("n"))))
 
 
 def remove_top(df: DataFrame, key: Keys, value: str, n: int, ties: Keys = ()) -> DataFrame:

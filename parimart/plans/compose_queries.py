@@ -129,7 +129,7 @@ def i3(t: Tables) -> DataFrame:
     m as (select *, ln(close_odds / open_odds) as move, (close_odds >= 10)::int + (close_odds >= 40)::int as band from o), b as (select band, median(move) as med from m group by 1),
     d as (select m.*, med, abs(move - med) as off from m join b on m.band = b.band), s as (select band, median(off) as mad from d group by 1),
     z as (select race_id, runner, coalesce(case when mad <> 0 then (move - med) / (1.4826 * mad) end <= -1.5, false) as plunge from d join s on d.band = s.band), r as (select avg(plunge::int) as r from z)
-    select 'runner' as role, runner as id, count(*) as n, count(*) filter (where plunge) as hits, round((count(*) filter (where plunge) * 1.0::double / count(*) - max(r)) / sqrt(max(r) * (1 - max(r)) / count(*)), 6) as z from z, r group by 2 having count(*) >= 20""")
+    select 'runner' as role, runner as id, count(*) as n, count(*) filter (where plunge) as hits, round((count(*) filter (where plunge) * 1.0::double / count(*) - max(r)) / nullif(sqrt(max(r) * (1 - max(r)) / count(*)), 0), 6) as z from z, r group by 2 having count(*) >= 20""")
 def i15(t: Tables) -> DataFrame:
     o = t.odds_ts.groupBy("race_id", "runner").agg(F.min_by("win_odds", "available_at").alias("open_odds"), F.max_by("win_odds", "available_at").alias("close_odds"))
     return C.pattern_of_life(o, o.select("race_id", "runner"), ["runner"], [10, 40], 1.5, 20).withColumn("z", F.round("z", 6))
