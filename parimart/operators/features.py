@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import asof_join, prior_history
+from ..session import stored
+from .relational import asof_join, prior_history, running_sum
 
 # Annotation labels that may become features.
 PROXY_LABELS = ("paddock_agitation", "gate_behavior", "sweating", "poor_start_history", "equipment_change", "layoff_context", "travel_stress_indicator", "stable_comment", "article_sentiment")
@@ -179,29 +180,37 @@ def fit_beta_walkforward(losses: DataFrame, races: DataFrame, race: str, as_of:
     """``(race, n_history, beta)``: per race the beta fitted on results known by its decision time.
 
     History is ordered by (known, race). Its size n at a race fixes the fit: none below ``first``, a first fit there,
-    and another whenever ``every`` more are known. Prefix sums of loss per beta make any window a difference; the
-    schedule runs over the distinct sizes alone, and the longest history per beta is one window task.
+    and another whenever ``every`` more are known. Prefix sums of loss per beta make any window a difference: blocks of
+    ``window`` races are summed apart and then in order. The schedule reads the distinct sizes in order, a batch at a time.
     """
-    w = Window.partitionBy("beta").orderBy(known, race)
-    hist = losses.join(races.where(F.col(known).isNotNull()).select(race, known), race)
-    hist = hist.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum(F.coalesce("loss", F.lit(0.0))).over(w)).withColumn("k", F.count("loss").over(w))
+    losses = stored(losses, "losses")
+    done = races.where(F.col(known).isNotNull()).select(race, known)
+    one = F.lit(1).cast("long")
+    order = running_sum(done.join(losses.select(race).distinct(), race, "left_semi"), [known, race], one, "n").select(race, "n")
+    hist = losses.join(order, race).withColumn("_b", F.floor((F.col("n") - 1) / window))
+    blocks = hist.groupBy("beta", "_b").agg(F.sum(F.coalesce("loss", F.lit(0.0))).alias("_t"), F.count("loss").alias("_c"))
+    earlier = Window.partitionBy("beta").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("beta", "_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_t", "_c")])
+    w = Window.partitionBy("beta", "_b").orderBy("n")
+    hist = hist.join(blocks, ["beta", "_b"]).withColumn("total", F.col("_t") + F.sum(F.coalesce("loss", F.lit(0.0))).over(w)).withColumn("k", F.col("_c") + F.count("loss").over(w))
     when = races.select(F.col(as_of).alias("_t"), F.lit(None).cast("long").alias("_k"), F.col(race).alias("_r")).withColumn("_side", F.lit(1))
     marks = races.where(F.col(known).isNotNull()).select(F.col(known).alias("_t"), F.lit(1).cast("long").alias("_k"), F.lit(None).cast(races.schema[race].dataType).alias("_r")).withColumn("_side", F.lit(0))
     # How many results are known by each race's time: counts per instant, then sums over instants.
     by_time = when.unionByName(marks).groupBy("_t").agg(F.count("_k").alias("c"))
-    sizes = by_time.select("_t", F.sum("c").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)).alias("n_history"))
+    sizes = running_sum(by_time, ["_t"], F.col("c"), "n_history").select("_t", "n_history")
     sized = races.join(sizes, F.col(as_of) == F.col("_t")).select(race, as_of, "n_history")
 
     def schedule(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0
         for f in frames:
-            last, out = 0, []
-            for n in sorted(f["n_history"]):
+            out = []
+            for n in f["n_history"]:
                 if n >= first and (last < first or n - last >= every):
                     last = n
                 out.append((n, last))
             yield pd.DataFrame(out, columns=["n_history", "fit_n"])
 
-    steps = sized.select("n_history").distinct().coalesce(1).mapInPandas(lambda it: schedule(iter([pd.concat(list(it) or [pd.DataFrame({"n_history": []})])])), "n_history long, fit_n long")
+    steps = sized.select("n_history").distinct().repartition(1).sortWithinPartitions("n_history").mapInPandas(schedule, "n_history long, fit_n long")
     hi = hist.select(F.col("n").alias("fit_n"), "beta", F.col("total").alias("t1"), F.col("k").alias("k1"))
     lo = hist.select((F.col("n") + window).alias("fit_n"), "beta", F.col("total").alias("t0"), F.col("k").alias("k0"))
     fits = steps.select("fit_n").distinct().join(hi, "fit_n").join(lo, ["fit_n", "beta"], "left")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .relational import running_sum
+
 # What each pool returns of its stakes, and the usual exponent for later places.
 RETURN = {"quinella": 0.775, "wide": 0.775, "exacta": 0.75, "trio": 0.75, "trifecta": 0.725, "bracket_quinella": 0.775}
 GAMMA = 0.856
@@ -171,11 +174,17 @@ def gamma_likelihood(probs: DataFrame, finish: DataFrame, group: str, item: str,
 def fit_gamma_walkforward(curves: DataFrame, order: Sequence[str], group: str, window: int = 1000, default: float = 1.0) -> DataFrame:
     """``(group, gamma)``: for each group the exponent that fits the ``window`` groups before it best.
 
-    One window per exponent in order of time, ties to the smallest exponent; earlier groups get ``default``.
+    Ties go to the smallest exponent; earlier groups get ``default``. Groups are numbered in ``order`` and cut into blocks
+    of ``window``; a block's curves meet those of the block before, so a task holds two blocks of one exponent.
     """
-    w = Window.partitionBy("gamma").orderBy(*order)
-    past = curves.withColumn("n", F.row_number().over(w)).withColumn("total", F.sum("ll").over(w.rowsBetween(-window, -1)))
-    best = past.groupBy(group, *[c for c in order if c != group]).agg(F.max_by("gamma", F.struct("total", -F.col("gamma"))).alias("g"), F.min("n").alias("n"))
+    curves = stored(curves, "curves")
+    cols = list(dict.fromkeys([*order, group]))
+    numbered = running_sum(curves.select(*cols).distinct(), cols, F.lit(1).cast("long"), "n").select(F.col(group).alias("_g"), "n")
+    rows = curves.join(numbered, curves[group].eqNullSafe(numbered["_g"])).withColumn("own", F.floor((F.col("n") - 1) / window))
+    rows = rows.withColumn("block", F.explode(F.array("own", F.col("own") + 1)))
+    w = Window.partitionBy("gamma", "block").orderBy("n").rangeBetween(-window, -1)
+    past = rows.withColumn("total", F.sum("ll").over(w)).where("block = own")
+    best = past.groupBy(group, "n").agg(F.max_by("gamma", F.struct("total", -F.col("gamma"))).alias("g"))
     return best.select(group, F.when(F.col("n") > window, F.col("g")).otherwise(default).alias("gamma"))
 
 

@@ -7,9 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 Keys = Sequence[str]
 
 
+def running_sum(df: DataFrame, order: Keys, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each one in ``order``, whose values should be unique.
+
+    Rows are dealt by ranges of the order and stored, so that the ranges are chosen once. Each range is summed apart, and
+    the totals of the ranges before it are added: no task holds more than one range.
+    """
+    rows = stored(df.withColumn("_v", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # One row per range.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_range").agg(F.sum("_v").alias("_s")).select("_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
+    within = F.sum("_v").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, within + F.col("_s")).drop("_v", "_s", "_range")
+
+
 def dedupe_latest(df: DataFrame, key: Keys, time: str, ties: Keys = ()) -> DataFrame:
     """One row per key: the latest ``time``, nulls last; ``ties`` decide among equals."""
     w = Window.partitionBy(*key).orderBy(F.col(time).desc_nulls_last(), *ties)

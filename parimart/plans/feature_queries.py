@@ -316,6 +316,14 @@ def k11(t: Tables) -> DataFrame:
     return out.select("race_id", "runner", "model_prob")
 
 
+@query("K19_conditional_logit")
+def k19(t: Tables) -> DataFrame:
+    names = ["log_odds", "going_wetness"]
+    d = t.starts.withColumn("log_odds", F.ln("win_odds"))
+    w = K.fit_conditional_logit(d, "race_id", names, F.col("finish_position") == 1)
+    return t.spark.createDataFrame(list(zip(names, w, strict=True)), "feature string, weight double")
+
+
 @query("K12_cluster_bootstrap")
 def k12(t: Tables) -> DataFrame:
     d = t.starts.withColumn("back", F.when(F.col("finish_position") == 1, F.col("win_odds")).otherwise(0.0)).withColumn("one", F.lit(1.0))

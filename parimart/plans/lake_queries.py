@@ -294,7 +294,13 @@ def l5(t: Tables) -> DataFrame:
     return T.track(t.odds_ts, ["race_id"], "runner", "available_at", "win_odds").select("race_id", "runner", "now", "opening")
 
 
-@query("L6_watchdog_replay")
+@query("L6_watchdog_replay", """with c as (select date_trunc('hour', ts) as h, count(*) filter (event_type = 'error') >= 3 as failed from events group by 1),
+    g as (select *, sum(case when failed then 0 else 1 end) over (order by h) as g from c), s as (select *, sum(failed::int) over (partition by g order by h) as n from g),
+    m as (select *, min(case when n >= 2 then h end) over (partition by g) as start from s),
+    d as (select *, case when n >= 2 then floor((epoch(h) - epoch(start)) / 900) end as step from m),
+    b as (select *, lag(step) over (partition by g order by h) as before, lag(step) over (order by h) as had from d),
+    a as (select h as "at", case when step is not null and step is distinct from before then 'failing' when not failed and had is not null then 'recovered' end as alert from b)
+    select "at", alert from a where alert is not null""")
 def l6(t: Tables) -> DataFrame:
     by = t.events.groupBy(F.date_trunc("hour", "ts").alias("at")).agg((F.count_if(F.col("event_type") == "error") >= 3).alias("failed"))
     return T.watchdog(by, "at", "failed", least=2)

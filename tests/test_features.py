@@ -2,12 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parimart.functions import scalars as X
 from parimart.operators import evaluate as K
 from parimart.operators import features as H
+from parimart.operators import relational as R
 
 
 def test_leakage_raises(spark):
@@ -58,7 +60,38 @@ def test_bootstrap_interval_holds_the_point(spark):
 def test_conditional_logit_recovers_sign(spark):
     rows = [(r, i, float(i), i == 2) for r in range(60) for i in range(3)]
     df = spark.createDataFrame(rows, "race int, runner int, x double, won boolean")
-    assert K.fit_conditional_logit(df, "race", ["x"], F.col("won"), steps=15)[0] > 0.5
+    assert K.fit_conditional_logit(df, "race", ["x"], F.col("won"))[0] == 5.0  # the winner always has the largest: at its bound
+
+
+def test_conditional_logit_is_where_the_plain_gradient_is_zero(spark):
+    g = np.random.default_rng(3)
+    rows = []
+    for r in range(300):
+        x = g.normal(size=(4, 2))
+        p = np.exp(x @ [0.8, -0.4])
+        w = g.choice(4, p=p / p.sum())
+        rows += [(r, float(x[i, 0]), float(x[i, 1]), bool(i == w)) for i in range(4)]
+    rows += [(300, 0.5, 0.5, False), (300, 1.5, 0.5, False), (301, None, float("nan"), True), (301, 1.0, 0.0, False)]
+    df = spark.createDataFrame(rows, "race int, a double, b double, won boolean")
+    got = np.array(K.fit_conditional_logit(df, "race", ["a", "b"], F.col("won"), tolerance=1e-9))
+    known = np.array([r[1:3] for r in rows if r[1] is not None])
+    fill, slope = np.median(known, axis=0), 2 * 0.01 * got
+    for r in set(r[0] for r in rows) - {300}:
+        x = np.array([fill if a is None else (a, b) for k, a, b, _ in rows if k == r])
+        p = np.exp(x @ got)
+        slope += p @ x / p.sum() - x[[w for k, _, _, w in rows if k == r].index(True)]
+    assert np.abs(slope).max() < 1e-5 and got[0] > 0.5 and got[1] < -0.2
+    assert K.fit_conditional_logit(df.limit(0), "race", ["a", "b"], F.col("won")) == [0.0, 0.0]
+
+
+def test_running_sum_over_ranges(spark):
+    rows = [(37 * i % 1000, i % 5) for i in range(1000)]
+    got = {r.k: r.s for r in R.running_sum(spark.createDataFrame(rows, "k int, v int"), ["k"], F.col("v"), "s").collect()}
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert got == want
 
 
 def test_classifier_by_year(spark):

@@ -81,6 +81,15 @@ def test_gamma_recovers_default_without_history(spark):
     assert got == {"r0": 1.0, "r1": 1.0, "r2": 1.0, "r3": 0.8, "r4": 0.8, "r5": 0.8}
 
 
+def test_gamma_windows_equal_brute_force(spark):
+    ll = {(i, g): float((i * 7 + int(10 * g) * (i % 5)) % 13) for i in range(47) for g in (0.6, 0.8, 1.0)}
+    curves = spark.createDataFrame([(i, g, v) for (i, g), v in ll.items()], "race int, gamma double, ll double")
+    got = {r.race: r.gamma for r in O.fit_gamma_walkforward(curves, ["race"], "race", window=5).collect()}
+    for i in range(47):
+        past = {g: sum(ll[k, g] for k in range(i - 5, i)) for g in (0.6, 0.8, 1.0)} if i >= 5 else {1.0: 0.0}
+        assert got[i] == min(past, key=lambda g: (-past[g], g))
+
+
 def test_entropy_of_even_field(spark):
     df = spark.createDataFrame([("r", i, 4.0) for i in range(4)], "g string, i int, o double")
     assert M.snapshot_market(df, ["g"], "o", "i").first().market_entropy == pytest.approx(math.log(4))
