@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.lake import read_csv, snapshot
 from . import evaluate, features, market, relational, settlement
 from .marts import races_mart
@@ -252,3 +253,28 @@ def day_pipeline(spark: SparkSession, folder: str, lake: str, schema: str, race:
         one = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("layer"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def validate_features(df: DataFrame, race: str, date: str, p: str, base: Sequence[str], extra: Sequence[str], odds: str, won: Column, z: Sequence[str] = (), since: int = 2023, share: float = 0.7, top: float = 0.75) -> DataFrame:
+    """One row: what ``extra`` features add to ``base`` ones on races that neither fit has seen.
+
+    The first ``share`` of each era's races (before the year ``since``, and from it on) fit both logistic models, with ``z``
+    columns taken within the race as ``<name>_z`` and missing values as 0. Of the others come the mean loss per winner of both,
+    and the runners, hit rate and return of the quarter (from quantile ``top``) whose enhanced probability exceeds ``p`` most.
+    """
+    used = [*base, *extra]
+    rows = df.withColumns({f"{c}_z": market.group_z(c, [race]) for c in z}).withColumn("_y", F.coalesce(won.cast("double"), F.lit(0.0)))
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used})
+    split = evaluate.era_split(rows.select(race, date).distinct(), F.year(date) >= since, [date, race]).select(race, "split")
+    rows = stored(rows.join(split, race), "validation")
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    for name, columns in (("baseline", base), ("enhanced", used)):
+        test = evaluate.fit_logit_probs(train, test, columns, "_y", [race]).withColumnRenamed("model_prob", f"{name}_prob")
+    test = stored(test.withColumn("_d", F.col("enhanced_prob") / F.greatest(F.col(p), F.lit(1e-9))), "validated")
+    wins = F.col("_y") > 0
+    loss = [(F.sum(F.when(wins, -F.ln(F.greatest(F.col(f"{n}_prob"), F.lit(1e-12))))) / F.count_if(wins)).alias(f"{n}_log_loss") for n in ("baseline", "enhanced")]
+    whole = test.agg(F.countDistinct(race).alias("races"), F.count(F.lit(1)).alias("runners"), *loss, F.percentile("_d", F.lit(top)).alias("_cut"))
+    n = F.count(F.lit(1))
+    back = F.sum(F.when(wins, F.coalesce(F.col(odds), F.lit(0.0))).otherwise(0.0))
+    picked = test.join(F.broadcast(whole.select("_cut")), F.col("_d") >= F.col("_cut"))
+    return whole.drop("_cut").join(F.broadcast(picked.agg(n.alias("stakes"), F.avg("_y").alias("hit_rate"), (F.try_divide(back, n) - 1).alias("roi"))))

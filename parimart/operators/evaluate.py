@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .relational import remove_top, top_k
+from .relational import remove_top, running_sum, top_k
 
 # Weights of a blend, and resamples of a bootstrap.
 BLENDS, DRAWS = tuple(round(0.025 * k, 3) for k in range(81)), 500
@@ -83,10 +83,12 @@ def calibration_bins(df: DataFrame, by: str, models: Sequence[str], won: Column,
 
 def era_split(df: DataFrame, era: Column, order: Sequence[str], share: float = 0.7) -> DataFrame:
     """``split``: the first ``share`` of each era's rows train (one at least), the others test."""
-    e = df.withColumn("era", era)
-    w = Window.partitionBy("era")
-    cut = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * share))
-    return e.withColumn("split", F.when(F.row_number().over(w.orderBy(*order)) <= cut, "train").otherwise("test"))
+    e = running_sum(df.withColumn("era", era), ["era", *order], F.lit(1).cast("long"), "_n")
+    # One row per era.
+    size = e.groupBy("era").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_c")).withColumnRenamed("era", "_e")
+    cut = F.greatest(F.lit(1), F.floor(F.col("_c") * share))
+    out = e.join(size, e["era"].eqNullSafe(size["_e"])).withColumn("split", F.when(F.col("_n") - F.col("_first") < cut, "train").otherwise("test"))
+    return out.drop("_n", "_e", "_first", "_c")
 
 
 def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import relational as R
 from ..operators import settlement as S
 from ..session import scratch
 from .bindings import Tables
+from .feature_queries import h6
 from .market_queries import BETS, P, SEQ3, _bets, _p
 from .registry import query
 from .relational_queries import WIN
@@ -225,6 +226,12 @@ def k18(t: Tables) -> DataFrame:
     return K.fit_classifier_walkforward(d.withColumn("going_wetness", F.col("going_wetness").cast("double")), "y", ["lo", "going_wetness"], "won", maxIter=200)
 
 
+@query("K23_going_validation")
+def k23(t: Tables) -> DataFrame:
+    d = M.devig(t.starts, ["race_id"], "win_odds").withColumn("lp", F.ln("p")).join(h6(t).select("race_id", "runner", "wet_edge"), ["race_id", "runner"])
+    return C.validate_features(d, "race_id", "race_date", "p", ["lp", "going_wetness"], ["wet_edge_z"], "win_odds", F.col("finish_position") == 1, z=["wet_edge"], since=1997)
+
+
 @query("B8_union_layouts", "select l_orderkey as id, l_shipdate as at, l_quantity as v, 'a' as layout from lineitem where l_returnflag = 'R' and l_partkey <> 1 union all select o_orderkey, o_orderdate, o_totalprice / 1000, 'b' from orders where o_orderstatus <> 'P'")
 def b8(t: Tables) -> DataFrame:
     a = t.lineitem.where("l_returnflag = 'R' and l_partkey <> 1").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("v"), F.lit("a").alias("layout"))

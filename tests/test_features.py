@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parimart.functions import scalars as X
+from parimart.operators import compose as C
 from parimart.operators import evaluate as K
 from parimart.operators import features as H
 from parimart.operators import relational as R
@@ -84,6 +85,22 @@ def test_conditional_logit_is_where_the_plain_gradient_is_zero(spark):
     assert K.fit_conditional_logit(df.limit(0), "race", ["a", "b"], F.col("won")) == [0.0, 0.0]
 
 
+def test_validation_of_features(spark):
+    g = np.random.default_rng(5)
+    rows = []
+    for r in range(200):
+        x = g.normal(size=4)
+        p = np.exp(1.5 * x) / np.exp(1.5 * x).sum()
+        w = g.choice(4, p=p)
+        rows += [(r, dt.date(2021 + r // 50, 1, 1) + dt.timedelta(r % 50), 0.25, float(x[i]) if r else None, 4.0, bool(i == w)) for i in range(4)]
+    df = spark.createDataFrame(rows, "race int, d date, p double, x double, odds double, won boolean").withColumn("lp", F.ln("p"))
+    got = C.validate_features(df, "race", "d", "p", ["lp"], ["x_z"], "odds", F.col("won"), z=["x"]).first()
+    # 100 races in each era: 30 of either are tests. The even field's loss is that of chance.
+    assert (got.races, got.runners) == (60, 240) and abs(got.baseline_log_loss - np.log(4)) < 1e-6
+    assert got.enhanced_log_loss < got.baseline_log_loss - 0.1
+    assert 60 <= got.stakes < 70 and got.roi == pytest.approx(4 * got.hit_rate - 1) and got.hit_rate > 0.4
+
+
 def test_running_sum_over_ranges(spark):
     rows = [(37 * i % 1000, i % 5) for i in range(1000)]
     got = {r.k: r.s for r in R.running_sum(spark.createDataFrame(rows, "k int, v int"), ["k"], F.col("v"), "s").collect()}
