@@ -36,9 +36,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
-with np.errstate(over="ignore"):
-    _POWER = np.cumprod(np.concatenate([[1], np.full(_SEGMENT + WINDOW, _BASE)]).astype(np.uint64))
-    _INVERSE = np.cumprod(np.concatenate([[1], np.full(_SEGMENT, pow(_BASE, -1, 1 << 64))]).astype(np.uint64))
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POWER, _INVERSE = _powers(_BASE, _SEGMENT + WINDOW), _powers(pow(_BASE, -1, 1 << 64), _SEGMENT)
 
 
 def tokenizer_path() -> str:
@@ -278,7 +284,7 @@ def shared_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _table(names: DataFrame, bits: int) -> np.ndarray:
     """A bit for each name's last ``bits`` bits; this table of fixed size is what reaches the driver."""
     low = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = names.select(F.shiftright(low, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    words = names.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
     found = words.toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
