@@ -33,6 +33,9 @@ COMMON = 20_000
 PARTNERS = 16
 #: Postings of a bucket, about, and those that a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 400_000
+#: Pairs of postings that a task looks at at once, sets of a key up to which each meets all others at first, and first lines
+#: and neighbours on either side that it meets beyond.
+PAIRS, FULL, HEADS = 1 << 20, 1 << 15, 32
 _LOW = np.uint64(SLOTS - 1)
 _NO_ID = 2**63 - 1
 #: Where a line is, and its earlier partner: id and name of the row, and place in the text.
@@ -175,11 +178,12 @@ def _rarity(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(lines: Lines, rare: np.ndarray, ok: np.ndarray, num: int, den: int, common: int) -> tuple[np.ndarray, ...]:
-    """``(key, line, rank)`` of the keys of each line that is ``ok``.
+    """``(key, line, rank, splits)`` of the keys of each line that is ``ok``.
 
     ``lines.word`` in order of rarity within each line comes with its codes. Words counted once are in no other line.
     A word of code ``common`` or more is paired with every later one of a prefix longer by one, as lines that match have
-    two words in common if more than half must be; so one of the pairs is that of their two rarest shared words.
+    two words in common if more than half must be; so one of the pairs is that of their two rarest shared words. A pair of
+    words that may be in several buckets' worth of lines is split over as many.
     """
     rank = np.arange(len(rare)) - lines.begin[lines.line]
     first = lines.size - -(-num * lines.size // den) + 1
@@ -190,7 +194,7 @@ def _prefixes(lines: Lines, rare: np.ndarray, ok: np.ndarray, num: int, den: int
     hot = np.flatnonzero(single & (rare >= common))
     single &= rare < common
     at = np.flatnonzero(single)
-    keys, of, ranks = [mix(lines.word[at])], [lines.line[at]], [rank[at]]
+    keys, of, ranks, splits = [mix(lines.word[at])], [lines.line[at]], [rank[at]], [np.ones(len(at), np.int64)]
     if len(hot):
         last = np.minimum(first[lines.line[hot]], lines.size[lines.line[hot]] - 1)  # its rank in the longer prefix
         span = last - rank[hot]
@@ -199,13 +203,14 @@ def _prefixes(lines: Lines, rare: np.ndarray, ok: np.ndarray, num: int, den: int
         keys.append(mix(mix(lines.word[x]) + lines.word[y]))
         of.append(lines.line[x])
         ranks.append(rank[x])
-    return np.concatenate(keys), np.concatenate(of), np.concatenate(ranks)
+        splits.append(np.ceil(64 * 2.0 ** ((rare[x].astype(float) - 64) / 4) / BUCKET).astype(np.int64))
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(ranks), np.concatenate(splits)
 
 
 #: Columns of packed postings after the table of rows, with their types.
-_COLUMNS = [("key", "<u4"), ("name", "<u4"), ("low", "<u8"), ("high", "<u4"), ("row", "<u4"), ("place", "<u4"), ("n", "<u4"), ("at", "<u4")]
+_COLUMNS = [("key", "<u4"), ("name", "<u4"), ("low", "<u8"), ("high", "<u4"), ("row", "<u4"), ("place", "<u4"), ("n", "<u4"), ("at", "<u4"), ("splits", "<u4")]
 #: Those that fit two bytes mostly, and then take no more.
-_SHORT = ("row", "place", "n", "at")
+_SHORT = ("row", "place", "n", "at", "splits")
 
 
 def _packed(t: dict[str, np.ndarray], ids: np.ndarray, subs: np.ndarray) -> bytes:
@@ -228,10 +233,11 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray
     return ids, subs, out
 
 
-def _postings(held, least: int, num: int, den: int, buckets: int):
+def _postings(held, least: int, num: int, den: int, buckets: int, asked: bool = False):
     """Packed postings by bucket of their key, of the first line of each set in a task.
 
-    A set so small that it matches only equal ones needs none.
+    A set so small that it matches only equal ones needs none. With ``asked`` a column of places says which lines are meant;
+    their postings go to every bucket that has a part of their key.
     """
     n = np.arange(den * (num + den))
     alone = (den * n // num == n) & (-(-num * n // den) == n) & (den * (n - 1) < num * (n + 1))
@@ -251,6 +257,7 @@ def _postings(held, least: int, num: int, den: int, buckets: int):
         table, seen = held.value, _Seen()
         for batch in batches:
             ids, subs = (batch.column(i).to_numpy() for i in (0, 2))
+            meant = batch.column(3).to_pylist() if asked else None
             parts, rows = [], 0
             for lo, lines in _lines(batch.column(1), least):
                 if not len(lines.size):
@@ -261,11 +268,22 @@ def _postings(held, least: int, num: int, den: int, buckets: int):
                 name = lines.names()[0]
                 low, high = lines.parities()
                 lines.word = lines.word[order]
-                key, of, rank = _prefixes(lines, code[order], seen.new(name) & (lines.size >= larger), num, den, common)
+                if asked:
+                    ok = np.array([p in meant[lo + i] for i, p in zip(lines.text.tolist(), lines.place.tolist(), strict=True)], bool)
+                else:
+                    ok = seen.new(name) & (lines.size >= larger)
+                key, of, rank, splits = _prefixes(lines, code[order], ok, num, den, common)
+                splits = np.minimum(splits, buckets)
+                if asked:
+                    part = np.arange(int(splits.sum())) - np.repeat(np.cumsum(splits) - splits, splits)
+                    key, of, rank, splits = (np.repeat(x, splits) for x in (key, of, rank, splits))
+                else:
+                    part = (name[of] >> np.uint64(32)).astype(np.int64) % splits
                 bucket, key = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                bucket = (bucket + part) % buckets
                 parts.append({
                     "bucket": bucket, "key": key, "name": (name & np.uint64(0xFFFFFFFF))[of],
-                    "low": low[of], "high": high[of], "row": lo + lines.text[of], "place": lines.place[of], "n": lines.size[of], "at": rank,
+                    "low": low[of], "high": high[of], "row": lo + lines.text[of], "place": lines.place[of], "n": lines.size[of], "at": rank, "splits": splits,
                 })
                 rows += len(key)
                 if rows >= HELD:
@@ -277,17 +295,18 @@ def _postings(held, least: int, num: int, den: int, buckets: int):
     return run
 
 
-def _bucket(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _bucket(blobs: list[bytes], probes: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """A bucket's postings, and ids and names of its rows in order; ``spot`` is a line's place among all of the bucket."""
     parts, shift = [], 0
     all_ids, all_subs = [], []
-    for blob in blobs:
+    for k, blob in enumerate([*blobs, *probes]):
         ids, subs, t = _unpacked(blob)
+        t["probe"] = np.full(len(t["key"]), k >= len(blobs))
         parts.append({c: x.astype(np.int64) + shift if c == "row" else x for c, x in t.items()})
         all_ids.append(ids)
         all_subs.append(subs)
         shift += len(ids)
-    t = {c: np.concatenate([p[c] for p in parts]) for c, _ in _COLUMNS}
+    t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
     ids, subs = np.concatenate(all_ids), np.concatenate(all_subs)
     order = np.lexsort((subs, ids))
     ids, subs = ids[order], subs[order]
@@ -299,89 +318,110 @@ def _bucket(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     return t, ids[first], subs[first]
 
 
-def _pairs(t: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, ...]:
-    """``(later spot, earlier spot, bits apart, words they may be apart, later posting, key)`` of the candidates that pass the filters.
+def _short(t: dict[str, np.ndarray]) -> np.ndarray:
+    return np.minimum(t["n"], 0xFFFF).astype(np.int64)
 
-    Postings are put in order of (key, size); of equal sets only the earliest is kept. Every posting is then held
-    against those before it as far as the length filter reaches.
-    """
-    short = np.minimum(t["n"], 0xFFFF).astype(np.uint64)
-    order = np.argsort((t["key"].astype(np.uint64) << np.uint64(32)) | (short << np.uint64(16)) | (t["name"] & np.uint32(0xFFFF)))
+
+def _distinct_sets(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Postings in order of (key, size, bits), of equal sets the earliest alone. ``order`` has key and size as one number."""
+    short = _short(t).astype(np.uint64)
+    order = np.lexsort((t["name"], (t["key"].astype(np.uint64) << np.uint64(32)) | (short << np.uint64(16)) | (t["low"] >> np.uint64(48))))
     t = {c: x[order] for c, x in t.items()}
     same = np.ones(len(order), bool)
     same[:1] = False
     for c in ("key", "n", "name", "low", "high"):
         same[1:] &= t[c][1:] == t[c][:-1]
     begin = np.flatnonzero(~same)
-    spot = np.minimum.reduceat(t["spot"], begin)
-    key, n, at, low, high = (t[c][begin] for c in ("key", "n", "at", "low", "high"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    place = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
-    live, lag, out = np.flatnonzero(place > 0), 1, []
-    while len(live):
-        x = live - lag
-        fits = num * n[live] <= den * n[x]
-        y, x = live[fits], x[fits]
-        need = -(-num * (n[y] + n[x]) // (num + den))
-        ok = 1 + np.minimum(n[y] - at[y], n[x] - at[x]) - 1 >= need
-        y, x, room = y[ok], x[ok], (n[y] + n[x] - 2 * need)[ok]
-        apart = np.bitwise_count(low[y] ^ low[x]).astype(np.int64) + np.bitwise_count(high[y] ^ high[x])
-        ok = (apart <= room) & (spot[y] != spot[x])
-        out.append((y[ok], x[ok], apart[ok], room[ok]))
-        lag += 1
-        # Sizes only fall from here; those of 65,535 and more aren't in order.
-        live = live[fits | (n[live] >= 0xFFFF)]
-        live = live[place[live] >= lag]
-    if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
-    y, x, apart, room = (np.concatenate(c) for c in zip(*out, strict=True))
-    later = spot[y] > spot[x]
-    y, x = np.where(later, y, x), np.where(later, x, y)
-    return spot[y], spot[x], apart, room, y, key[y].astype(np.int64)
+    out = {c: t[c][begin].astype(np.int64) for c in ("key", "n", "at", "splits")} | {c: t[c][begin] for c in ("low", "high")}
+    out["spot"] = np.minimum.reduceat(t["spot"], begin) if len(begin) else t["spot"]
+    out["order"] = (out["key"] << 16) | _short(out)
+    return out
+
+
+def _span(a: dict[str, np.ndarray], b: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of ``b`` that the length filter leaves each posting of ``a``."""
+    short, key = _short(a), a["key"].astype(np.int64) << 16
+    most = np.where(short == 0xFFFF, 0xFFFF, np.minimum(den * short // num, 0xFFFF))
+    return np.searchsorted(b["order"], key | -(-num * short // den)), np.searchsorted(b["order"], key | most, "right")
+
+
+def _each(of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each of ``of`` with every number from ``begin`` to ``end``."""
+    size = end - begin
+    return np.repeat(of, size), np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _passing(a: dict[str, np.ndarray], p: np.ndarray, b: dict[str, np.ndarray], q: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Of pairs of a posting with another the ones that pass length, positional and bit filter, with bits that differ and words that may."""
+    n, m = a["n"][p].astype(np.int64), b["n"][q].astype(np.int64)
+    need = -(-num * (n + m) // (num + den))
+    ok = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (np.minimum(n - a["at"][p], m - b["at"][q]) >= need)
+    p, q, room = p[ok], q[ok], (n + m - 2 * need)[ok]
+    apart = np.bitwise_count(a["low"][p] ^ b["low"][q]).astype(np.int64) + np.bitwise_count(a["high"][p] ^ b["high"][q])
+    ok = (apart <= room) & (a["spot"][p] != b["spot"][q])
+    return p[ok], q[ok], apart[ok], room[ok]
+
+
+def _walks(t: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(later, earlier, bits apart, words they may be apart, unseen)``: candidates, at most about ``PAIRS`` held at once.
+
+    All of a posting's candidates as the later line come together. Keys with more than ``FULL`` sets, or that are split over
+    buckets, are not walked whole: there a line meets the ``HEADS`` first lines and its neighbours in order of size and bits,
+    and those in ``unseen`` have others.
+    """
+    n = len(t["key"])
+    if not n:
+        return
+    start = np.flatnonzero(np.concatenate([[True], t["key"][1:] != t["key"][:-1]]))
+    end = np.append(start[1:], n)
+    every, none = np.arange(n), np.zeros(0, np.int64)
+    lo, hi = _span(t, t, num, den)
+    pairs = np.add.reduceat(every - lo, start)
+    whole = (end - start <= FULL) & (t["splits"][start] == 1)
+    small = whole & (pairs <= PAIRS)
+    in_small = np.repeat(small, end - start)
+    for a, b in blocks(np.concatenate([[0], np.cumsum(np.where(small, pairs, 0))]), PAIRS):
+        own = start[a] + np.flatnonzero(in_small[start[a] : end[b - 1]])
+        y, x = _each(own, lo[own], own)
+        y, x, apart, room = _passing(t, y, t, x, num, den)
+        later = t["spot"][y] > t["spot"][x]
+        yield np.where(later, y, x), np.where(later, x, y), apart, room, none
+    for r in np.flatnonzero(whole & ~small):
+        for a, b in blocks(np.concatenate([[0], np.cumsum((hi - lo)[start[r] : end[r]])]), PAIRS):
+            own = np.arange(start[r] + a, start[r] + b)
+            p, q = _each(own, lo[own], hi[own])
+            early = t["spot"][q] < t["spot"][p]
+            yield *_passing(t, p[early], t, q[early], num, den), none
+    for r in np.flatnonzero(~whole):
+        spots = t["spot"][start[r] : end[r]]
+        heads = start[r] + np.argpartition(spots, HEADS - 1)[:HEADS] if len(spots) > HEADS else np.arange(start[r], end[r])
+        step = PAIRS // (3 * HEADS)
+        for a in range(start[r], end[r], step):
+            own = np.arange(a, min(a + step, end[r]))
+            p, q = _each(own, np.maximum(own - HEADS, start[r]), np.minimum(own + HEADS + 1, end[r]))
+            p, q = np.concatenate([p, np.repeat(own, len(heads))]), np.concatenate([q, np.tile(heads, len(own))])
+            p, q = np.divmod(np.unique(p * n + q), n)
+            early = t["spot"][q] < t["spot"][p]
+            yield *_passing(t, p[early], t, q[early], num, den), own
 
 
 def _candidates(num: int, den: int):
     """Rows in order of bucket: earlier candidates of lines, the nearest by their bits first.
 
-    Where a bucket has rows that ask for a line, those get all of their candidates. Otherwise a line gets ``PARTNERS`` for
-    each key, or four times as many if none is near; ``turn`` 0 has those to verify first, fewer the nearer they are, and
-    1 the others. If there are more, ``more`` says so, and the postings of the key come along once, packed again.
+    A line gets ``PARTNERS`` for each key, or four times as many if none is near; ``turn`` 0 has those to verify first, fewer
+    the nearer they are, and 1 the others. If there are more, ``more`` says so (without a candidate if it met none), and the
+    postings of the key come along once, packed again. Where a bucket has probes, these get all their earlier candidates.
     """
     names = ["bucket", *SPOT, *OTHER, "turn", "more", "blob"]
+    kinds = (pa.int64(), pa.int64(), pa.int32())
 
-    def flush(bucket: int, blobs: list[bytes], asked: list[tuple]) -> Iterator[pa.RecordBatch]:
-        t, ids, subs = _bucket(blobs)
-        y, x, apart, room, of, key = _pairs(t, num, den)
-        if asked:
-            row = {r: i for i, r in enumerate(zip(ids.tolist(), subs.tolist(), strict=True))}
-            spots = [(row[i, s] << 32) | p for i, s, p in asked if (i, s) in row]
-            keep = np.isin(y, np.array(spots, np.uint64))
-            y, x = y[keep], x[keep]
-            turn, more = np.ones(len(y), np.int32), np.zeros(len(y), bool)
-        else:
-            order = np.lexsort((x, apart, of))
-            y, x, apart, room, of, key = y[order], x[order], apart[order], room[order], of[order], key[order]
-            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
-            size = np.diff(np.append(at, len(of)))
-            rank = np.arange(len(of)) - np.repeat(at, size)
-            near = [4 * apart[at] <= room[at], 2 * apart[at] <= room[at]]
-            soon, most = np.select(near, [1, 4], PARTNERS), np.where(near[1], PARTNERS, 4 * PARTNERS)
-            keep = rank < np.repeat(most, size)
-            y, x, turn, more = y[keep], x[keep], (rank >= np.repeat(soon, size))[keep].astype(np.int32), np.repeat(size > most, size)[keep]
-            if more.any():
-                full = np.flatnonzero(np.isin(t["key"], key[keep][more].astype(np.uint32)))
-                again = {c: x[full] for c, x in t.items() if c != "spot"}
-                again |= {"row": (t["spot"][full] >> np.uint64(32)).astype(np.int64), "place": t["spot"][full] & np.uint64(0xFFFFFFFF)}
-                none = [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int32()) * 2 + (pa.int32(), pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *none, pa.array([_packed(again, ids, subs)], pa.binary())], names)
-        pair = np.lexsort((~more, turn, x, y))
-        y, x, turn, more = y[pair], x[pair], turn[pair], more[pair]
-        new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (more[1:] != more[:-1])]) if len(y) else np.zeros(0, bool)
-        y, x, turn, more = y[new], x[new], turn[new], more[new]
+    def rows(bucket: int, y: np.ndarray, x: np.ndarray | None, turn: np.ndarray, more: np.ndarray, ids: np.ndarray, subs: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(y), 1 << 18):
             part, spots = slice(lo, lo + (1 << 18)), []
-            for s in (y[part], x[part]):
+            for s in (y[part], None if x is None else x[part]):
+                if s is None:
+                    spots += [pa.nulls(len(y[part]), k) for k in kinds]
+                    continue
                 row = (s >> np.uint64(32)).astype(np.int64)
                 spots += [pa.array(ids[row]), pa.array(subs[row]), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.int32))]
             n = len(spots[0])
@@ -389,20 +429,63 @@ def _candidates(num: int, den: int):
                 [pa.array(np.full(n, bucket, np.int32)), *spots, pa.array(turn[part]), pa.array(more[part]), pa.nulls(n, pa.binary())], names
             )
 
+    def probe(bucket: int, t: dict[str, np.ndarray], ids: np.ndarray, subs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = _distinct_sets({c: x[~t["probe"]] for c, x in t.items()})
+        asked = {c: x[t["probe"]] for c, x in t.items()}
+        lo, hi = _span(asked, sets, num, den)
+        for a, b in blocks(np.concatenate([[0], np.cumsum(hi - lo)]), PAIRS):
+            p, q = _each(np.arange(a, b), lo[a:b], hi[a:b])
+            early = sets["spot"][q] < asked["spot"][p]
+            p, q, _, _ = _passing(asked, p[early], sets, q[early], num, den)
+            pair = np.unique(np.stack([asked["spot"][p], sets["spot"][q]]), axis=1)
+            yield from rows(bucket, pair[0], pair[1], np.ones(pair.shape[1], np.int32), np.zeros(pair.shape[1], bool), ids, subs)
+
+    def flush(bucket: int, blobs: list[bytes], probes: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not blobs:
+            return
+        t, ids, subs = _bucket(blobs, probes)
+        if probes:
+            yield from probe(bucket, t, ids, subs)
+            return
+        sets = _distinct_sets(t)
+        kept = [np.unique(sets["key"][sets["splits"] > 1])]
+        for y, x, apart, room, unseen in _walks(sets, num, den):
+            order = np.lexsort((sets["spot"][x], apart, y))
+            y, x, apart, room = y[order], x[order], apart[order], room[order]
+            at = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, int)
+            size = np.diff(np.append(at, len(y)))
+            rank = np.arange(len(y)) - np.repeat(at, size)
+            near = [4 * apart[at] <= room[at], 2 * apart[at] <= room[at]]
+            soon, most = np.select(near, [1, 4], PARTNERS), np.where(near[1], PARTNERS, 4 * PARTNERS)
+            keep = rank < np.repeat(most, size)
+            over = (size > most) | np.isin(y[at], unseen)
+            turn, more = (rank >= np.repeat(soon, size))[keep].astype(np.int32), np.repeat(over, size)[keep]
+            y, x = y[keep], x[keep]
+            alone = np.setdiff1d(unseen, y)
+            kept += [np.unique(sets["key"][y[more]]), np.unique(sets["key"][alone])]
+            y, x = sets["spot"][y], sets["spot"][x]
+            pair = np.lexsort((~more, turn, x, y))
+            y, x, turn, more = y[pair], x[pair], turn[pair], more[pair]
+            new = np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1]) | (more[1:] != more[:-1])]) if len(y) else np.zeros(0, bool)
+            yield from rows(bucket, y[new], x[new], turn[new], more[new], ids, subs)
+            yield from rows(bucket, sets["spot"][alone], None, np.full(len(alone), 2, np.int32), np.ones(len(alone), bool), ids, subs)
+        full = np.flatnonzero(np.isin(t["key"], np.concatenate(kept).astype(np.uint32)))
+        for lo in range(0, len(full), HELD):
+            part = full[lo : lo + HELD]
+            again = {c: t[c][part] for c, _ in _COLUMNS if c not in ("row", "place")}
+            again |= {"row": (t["spot"][part] >> np.uint64(32)).astype(np.int64), "place": t["spot"][part] & np.uint64(0xFFFFFFFF)}
+            none = [pa.nulls(1, k) for k in kinds * 2 + (pa.int32(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *none, pa.array([_packed(again, ids, subs)], pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs, asked = None, [], []
+        now, blobs, probes = None, [], []
         for batch in batches:
-            for bucket, blob, *spot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and blobs:
-                    yield from flush(now, blobs, asked)
+            for bucket, blob, is_probe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
-                    now, blobs, asked = bucket, [], []
-                if blob is None:
-                    asked.append(spot)
-                else:
-                    blobs.append(blob)
-        if blobs:
-            yield from flush(now, blobs, asked)
+                    yield from flush(now, blobs, probes)
+                    now, blobs, probes = bucket, [], []
+                (probes if is_probe else blobs).append(blob)
+        yield from flush(now, blobs, probes)
 
     return run
 
@@ -506,7 +589,7 @@ def drop_repeated_lines(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // BUCKET))
 
     def searched(blobs: DataFrame) -> DataFrame:
-        sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", *SPOT)
+        sorted_ = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "blob", "probe")
         return sorted_.mapInArrow(_candidates(num, den), f"bucket int, {at}, xid long, xsub long, xplace int, turn int, more boolean, blob binary")
 
     def verified(found: DataFrame, all_lines: bool) -> DataFrame:
@@ -523,18 +606,19 @@ def drop_repeated_lines(
         release(spark, pairs, wanted, lines)
         return out
 
-    nowhere = [F.lit(None).cast(t).alias(c) for c, t in zip(SPOT, ("long", "long", "int"), strict=True)]
     postings = base.mapInArrow(_postings(held, least, num, den, buckets), "bucket int, blob binary")
-    found = staged(searched(postings.select("*", *nowhere)), "candidates")
+    found = staged(searched(postings.withColumn("probe", F.lit(False))), "candidates")
     del postings
     release(spark)
     later = verified(found.where("turn = 0"), True)
-    rest = staged(found.where("turn = 1 or more").select("bucket", *SPOT, *OTHER, "turn", "more").join(later, SPOT, "left_anti"), "rest")
+    rest = staged(found.where("turn > 0 or more").select(*SPOT, *OTHER, "turn", "more").join(later, SPOT, "left_anti"), "rest")
     if not rest.isEmpty():  # lines with more candidates, of which the nearest don't match
-        asking = rest.where("more").select("bucket", F.lit(None).cast("binary").alias("blob"), *SPOT).distinct()
-        groups = found.where("blob is not null").select("bucket", "blob", *nowhere)
+        asking = rest.where("more").groupBy("id", "sub").agg(F.collect_set("place").alias("asked"))
+        probes = base.join(asking, ["id", "sub"]).select("id", "text", "sub", "asked").dropDuplicates(["id", "sub"])
+        probes = probes.mapInArrow(_postings(held, least, num, den, buckets, asked=True), "bucket int, blob binary")
+        groups = found.where("blob is not null").select("bucket", "blob", F.lit(False).alias("probe"))
         others = rest.where("turn = 1").select(*SPOT, *OTHER).unionByName(
-            searched(groups.unionByName(asking)).where("turn = 1 and not more").select(*SPOT, *OTHER).join(asking, SPOT, "left_semi")
+            searched(groups.unionByName(probes.withColumn("probe", F.lit(True)))).select(*SPOT, *OTHER)
         )
         later = staged(later.union(verified(others, False)).distinct(), "later")
 

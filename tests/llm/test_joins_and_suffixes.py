@@ -3,15 +3,17 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parimart.llm import line_dedup, ngram_join, packing, queries, suffixes
+from parimart.llm import line_dedup, ngram_join, packing, queries, suffixes, words
 from parimart.llm.common import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,8 +110,13 @@ def _lines(rows, num=4, den=5, least=5):
     return {i: (len(gone.get(i, ())), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows}
 
 
-@pytest.mark.parametrize("partners,common,held", [(16, 20_000, 1_000_000), (1, 2, 50), (1, 20_000, 50), (1, 5, 50)])
-def test_line_dedup(spark, monkeypatch, partners, common, held):
+@pytest.mark.parametrize(
+    "partners,common,held,full,heads,pairs",
+    [(16, 20_000, 1_000_000, 1 << 15, 32, 1 << 20), (1, 2, 50, 1 << 15, 32, 64), (1, 20_000, 50, 4, 1, 64), (1, 5, 50, 2, 1, 8)],
+)
+def test_line_dedup(spark, monkeypatch, partners, common, held, full, heads, pairs):
+    for name, value in (("FULL", full), ("HEADS", heads), ("PAIRS", pairs)):
+        monkeypatch.setattr(line_dedup, name, value)
     monkeypatch.setattr(line_dedup, "PARTNERS", partners)
     monkeypatch.setattr(line_dedup, "COMMON", common)
     monkeypatch.setattr(line_dedup, "HELD", held)
@@ -130,6 +137,45 @@ def test_line_dedup(spark, monkeypatch, partners, common, held):
     assert {x.doc_id: (x.n_removed, x.text) for x in out.collect()} == _lines(rows)
 
 
+def _template(n):
+    return [f"Posted in our news section by the site editor on day u{i} for all readers" for i in range(n)]
+
+
+def test_line_dedup_template_lines_in_bounded_memory():
+    """Candidates of 20,000 near-equal lines, all pairs of which pass the filters, take tens of megabytes."""
+    data, offsets = words.utf8(pa.array(_template(20_000)))
+    lines = line_dedup.Lines(data, offsets, 1)
+    table = np.zeros(2 * line_dedup.SLOTS, np.uint8)
+    common = int(line_dedup._code(np.array([19_999]))[0])
+    for at in line_dedup._slots(np.unique(lines.word)):
+        table[at] = common
+    for at in line_dedup._slots(words.Words(*words.utf8(pa.array([f"u{i}" for i in range(20_000)]))).hash):
+        table[at] = 2
+    code = line_dedup._rarity(table, lines.word)
+    order = np.argsort((lines.line << 8) | code, kind="stable")
+    name, (low, high) = lines.names()[0], lines.parities()
+    lines.word = lines.word[order]
+    key, of, rank, splits = line_dedup._prefixes(lines, code[order], np.ones(20_000, bool), 4, 5, int(line_dedup._code(np.array([20_000]))[0]) + 1)
+    t = {"key": key & np.uint64(0xFFFFFFFF), "name": name[of] & np.uint64(0xFFFFFFFF), "low": low[of], "high": high[of], "row": of, "place": 0 * of, "n": lines.size[of], "at": rank, "splits": splits}
+    ids = np.arange(20_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([line_dedup._packed(t, ids, ids)]), pa.array([False])], ["bucket", "blob", "probe"])
+    tracemalloc.start()
+    later, n = set(), 0
+    for out in line_dedup._candidates(4, 5)([batch]):
+        n += out.num_rows
+        later |= set(out.column(1).drop_null().to_pylist())
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert later == set(range(1, 20_000)) and n < 20_000 * 2 * 64
+
+
+def test_line_dedup_template_lines(spark):
+    rows = list(enumerate(_template(1_500) + [f"Read more about topic t{i} and story s{i} in the long archive" for i in range(300)]))
+    rows = [(i, f"{t}\nown{i} line{i}") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_removed, x.text) for x in line_dedup.drop_repeated_lines(df, least=1).collect()} == _lines(rows, least=1)
+
+
 def test_line_dedup_nulls_last(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f\nother"), (5, "a b c d e f\nother")]
     got = sorted(((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
