@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .packing import _Ids
 from .words import blocks, hash_words, utf8
 
 #: Bytes that the rolling hash covers, and chunks' mean, least and greatest size.
@@ -27,13 +28,11 @@ WINDOW, MEAN, LEAST, MOST = 32, 512, 64, 4096
 BITS = 25
 #: A chunk with more than this part of all shared places is sent to all tasks; there are fewer than HEAVY of them.
 HEAVY = 200
-#: Pieces whose ids a worker keeps.
-_KEPT = 500_000
-#: Characters after a place that can decide whether a piece begins there.
-_MARGIN = 4
-#: The pattern that byte-level tokenizers split texts by (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
+#: Bytes after a place that can decide whether a piece begins there.
+_MARGIN = 16
+_LETTER, _NUMBER, _OTHER, _WHITE = 1, 2, 3, 4
+#: Bytes of texts whose pieces are looked up at once.
+_BLOCK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
 
@@ -83,12 +82,11 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return bounds[:-1], bounds[1:]
 
 
-class _Bpe:
+class _Bpe(_Ids):
     """A tokenizer in a worker, with the ids of the pieces it met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -100,57 +98,117 @@ class _Bpe:
             or config["model"].get("dropout") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in added)
         ):
             raise ValueError(f"{path}: only byte-level BPE with the usual pattern and plain special tokens is supported")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # texts are split at them before
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
-        self.findall = regex.compile(PATTERN).findall
-        self.kinds = [(regex.compile(p), c) for p, c in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"[^\s\p{L}\p{N}]", "!"))]
-        self.known: set[str] = set()
-        self.odd: set[str] = set()
-        self.ids: dict[str, bytes] = {}
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.tokenizer):
+            t.no_truncation()
+            t.no_padding()
+        self.tokenizer.encode_special_tokens = True
+        self.special = [t["content"].encode() for t in added]
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.few: dict[str, np.ndarray] = {}
+        self._start()
         # Bytes that print stand for themselves in the vocabulary, the others for the characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.bytes = [b""] * (1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-
-    def _meet(self, chars: set[str]) -> None:
-        """Whether the pattern takes each character for what the tokenizer does: letter, number, other or space."""
-        for c in chars:
-            ours = [bool(p.match(c)) for p, _ in self.kinds]
-            theirs = [len(self.tokenizer.pre_tokenizer.pre_tokenize_str(first + c)) == 1 for _, first in self.kinds]
-            (self.known if ours == theirs else self.odd).add(c)
-
-    def pieces(self, text: str) -> list[str]:
-        chars = set(text)
-        if not chars <= self.known:
-            self._meet(chars - self.known - self.odd)
-            if chars & self.odd:  # the tokenizer's own split, which is slower
-                return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return self.findall(text)
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian ids of each piece."""
-        ids = self.ids
-        try:
-            return [ids[p] for p in pieces]
-        except KeyError:
-            new = list({p for p in pieces if p not in ids})
-        if len(ids) + len(new) > _KEPT:
-            old = list(ids.items())
-            ids = self.ids = dict(old[len(old) // 2 :])
-            new = list({p for p in pieces if p not in ids})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[p] = np.array(e.ids, "<u4").tobytes()
-        return [ids[p] for p in pieces]
-
-    def decode(self, ids: bytes) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        tokens = [b""] * (1 + max(vocabulary.values()))
+        for token, i in vocabulary.items():
+            tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.width = np.array([len(t) for t in tokens])
+        self.place = np.cumsum(self.width) - self.width
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+        (self.feed,) = self.encode_whole(b"\n").tolist()
+        self.kind = np.zeros(0x110000, np.uint8)
+        self._meet(np.arange(128))
+
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of pieces. Those that aren't white space are encoded many at a time with line feeds between them, which neither
+        change how the others are split nor join any of them."""
+        out: list = [None] * len(words)
+        inked = [i for i, w in enumerate(words) if self.kind[ord(w[w[0] == " " and len(w) > 1])] != _WHITE and "\n" not in w]
+        for lo in range(0, len(inked), 4096):
+            part = inked[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([words[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            if len(ends) == len(part):
+                for i, a, b in zip(part, [-1, *ends], ends, strict=False):
+                    out[i] = ids[a + 1 : b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4")
+        return out
+
+    def _meet(self, points: np.ndarray) -> None:
+        """What the tokenizer takes characters for: letters, numbers and others join their like, white space is left."""
+        for c in points.tolist():
+            kinds = [k for k, like in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!")) if len(self.split(like + chr(c))) == 1]
+            self.kind[c] = kinds[0] if kinds else _WHITE
+
+    def piece_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places where the pieces of a block of texts begin: contractions, runs of letters, of numbers and of others, each
+        with one blank before it, and of white space."""
+        n = len(data)
+        at = np.arange(n)
+        lead = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, at, 0))
+        kind = self.kind[data & 0x7F]
+        wide = np.flatnonzero(data >= 0xC0)
+        if len(wide):
+            first = data[wide].astype(np.int64)
+            more = 1 + (first >= 0xE0) + (first >= 0xF0)
+            point = first & (0x3F >> more)
+            for k in (1, 2, 3):
+                follow = more >= k
+                point[follow] = (point[follow] << 6) | (data[wide[follow] + k] & 0x3F)
+            met = np.unique(point)
+            self._meet(met[self.kind[met] == 0])
+            kind[wide] = self.kind[point]
+            kind = kind[lead]
+        begin = np.zeros(n + 1, bool)
+        begin[offsets] = True
+        start = begin[:n].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        after = np.flatnonzero(start[1:] & ~begin[1:n] & (kind[:-1] == _WHITE)) + 1
+        start[lead[after - 1]] = True
+        start[after[data[after - 1] == 32]] = False
+        quote = np.flatnonzero(start & (data == 39))
+        if len(quote):
+            end = offsets[np.searchsorted(offsets, quote, "right")]
+            one, two = data[np.minimum(quote + 1, n - 1)], data[np.minimum(quote + 2, n - 1)]
+            short = (quote + 1 < end) & np.isin(one, list(b"stmd"))
+            long = (quote + 2 < end) & (((two == 101) & ((one == 114) | (one == 118))) | ((one == 108) & (two == 108)))
+            for q, e, size in ((quote[short], end[short], 2), (quote[long], end[long], 3)):
+                start[q + 1] = False
+                start[(q + size)[q + size < e]] = True
+        return np.flatnonzero(start)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, before)`` of a block of texts: ids, where pieces begin, and how many ids are before each."""
+        start = self.piece_starts(data, offsets)
+        slot = self.slots(data, start, np.diff(np.append(start, len(data))))
+        n = self.size[slot]
+        before = np.cumsum(n) - n
+        return self.ids[np.repeat(self.at[slot] - before, n) + np.arange(int(n.sum()))], start, before
+
+    def window(self, text: bytes) -> list[tuple[int, str]]:
+        """Byte sizes and texts of the pieces of a short text, by the tokenizer itself."""
+        whole = text.decode()
+        return [(len(mapped), whole[a:b]) for mapped, (a, b) in self.split(whole)]
+
+    def few_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        if len(self.few) > 100_000:
+            self.few.clear()
+        new = list({p for p in pieces if p not in self.few})
+        if new:
+            self.few.update(zip(new, self._learn(new), strict=True))
+        return [self.few[p] for p in pieces]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        width = self.width[ids]
+        at = np.cumsum(width) - width
+        return self.letters[np.repeat(self.place[ids] - at, width) + np.arange(int(width.sum()))]
+
+    def encode_whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
 
 _workers: dict[str, _Bpe] = {}
@@ -162,103 +220,125 @@ def _bpe(path: str) -> _Bpe:
     return _workers[path]
 
 
+def encode_texts(bpe: _Bpe, texts: list[bytes]) -> list[np.ndarray]:
+    """Ids of each text. What does not decode to the text, and texts that spell out special tokens, are left to the tokenizer."""
+    out: list[np.ndarray] = []
+    sizes = np.array([len(t) for t in texts], np.int64)
+    for lo, hi in blocks(np.concatenate([[0], np.cumsum(sizes)]), _BLOCK):
+        raw = b"".join(texts[lo:hi])
+        data, offsets = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+        ids, start, before = bpe.encode(data, offsets)
+        bounds = np.append(before, len(ids))[np.searchsorted(start, offsets)]
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        if any(s in raw for s in bpe.special) or not np.array_equal(bpe.decode(ids), data):
+            for i, text in enumerate(texts[lo:hi]):
+                if any(s in text for s in bpe.special) or bpe.decode(parts[i]).tobytes() != text:
+                    parts[i] = bpe.encode_whole(text)
+        out += parts
+    return out
+
+
 class Stretch:
-    """A part of a text encoded on its own: where its pieces begin, in characters, and how many bytes of ids are before each."""
-
-    __slots__ = ("text", "starts", "before", "ids", "safe")
-
-    def __init__(self, text: str, starts: list[int], before: list[int], ids: bytes):
-        self.text, self.starts, self.before, self.ids = text, starts, before, ids
-        n = len(starts)
-        while n and starts[n - 1] + _MARGIN > len(text):
-            n -= 1
-        self.safe = n  # the first so many begin far enough from the end to be judged by this text alone
-
-    @classmethod
-    def of(cls, bpe: _Bpe, text: str) -> Stretch:
-        pieces = bpe.pieces(text)
-        ids = bpe.encode(pieces)
-        starts, before, a, b = [], [], 0, 0
-        for p, i in zip(pieces, ids, strict=True):
-            starts.append(a)
-            before.append(b)
-            a += len(p)
-            b += len(i)
-        return cls(text, starts, before, b"".join(ids))
-
-
-def join_stretches(bpe: _Bpe, stretches: list[Stretch]) -> bytes:
+    """A part of a text encoded on its own: its bytes, where its pieces begin, and how many ids are before each."""
+
+    __slots__ = ("text", "ids", "starts", "before", "safe")
+
+    def __init__(self, text: bytes, ids: np.ndarray, starts: np.ndarray, before: np.ndarray):
+        self.text, self.ids, self.starts, self.before = text, ids, starts, before
+        # The first so many begin far enough from the end to be judged by this text alone.
+        self.safe = int(np.searchsorted(starts, len(text) - _MARGIN, "right"))
+
+
+def stretches(bpe: _Bpe, texts: list[bytes]) -> list[Stretch]:
+    out: list[Stretch] = []
+    sizes = np.array([len(t) for t in texts], np.int64)
+    for lo, hi in blocks(np.concatenate([[0], np.cumsum(sizes)]), _BLOCK):
+        offsets = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+        ids, start, before = bpe.encode(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), offsets)
+        at, before = np.searchsorted(start, offsets), np.append(before, len(ids))
+        for i, text in enumerate(texts[lo:hi]):
+            a, b = at[i], at[i + 1]
+            out.append(Stretch(text, ids[before[a] : before[b]], start[a:b] - offsets[i], before[a:b] - before[a]))
+    return out
+
+
+def join_stretches(bpe: _Bpe, parts: list[Stretch]) -> np.ndarray:
     """The ids of the stretches' joined text. What is pending is the text from a true beginning of a piece on."""
-    out, pending = [], ""
-    for right in stretches:
-        agreed, width = None, 16
+    out, pending = [np.zeros(0, "<u4")], b""
+    for right in parts:
+        agreed, width, size = None, 16, len(right.text)
         if not pending and right.safe:
             agreed = 0
-        while agreed is None and right.text:
-            window = pending + right.text[:width]
-            pieces = bpe.pieces(window)
-            begins, at, last = dict(zip(right.starts[: right.safe], range(right.safe), strict=True)), 0, 0
-            for k, piece in enumerate(pieces):
+        while agreed is None and size:
+            cut = min(width, size)
+            while cut < size and right.text[cut] & 0xC0 == 0x80:
+                cut += 1
+            window = pending + right.text[:cut]
+            pieces = bpe.window(window)
+            at = last = 0
+            for k, (n, _) in enumerate(pieces):
                 if at + _MARGIN > len(window):
                     break
-                last = k
-                if (agreed := begins.get(at - len(pending))) is not None:
+                last, begin = k, at
+                own = at - len(pending)
+                j = int(np.searchsorted(right.starts[: right.safe], own)) if own >= 0 else right.safe
+                if j < right.safe and right.starts[j] == own:
+                    agreed = j
                     break
-                at += len(piece)
+                at += n
             if agreed is not None:
-                out += bpe.encode(pieces[:last])
-            elif width >= len(right.text):
-                out += bpe.encode(pieces[:last])
-                pending = "".join(pieces[last:])
+                out += bpe.few_ids([p for _, p in pieces[:last]])
+            elif cut == size:
+                out += bpe.few_ids([p for _, p in pieces[:last]])
+                pending = window[begin:] if last else window
                 break
             width *= 4
         if agreed is not None:
             end = right.safe - 1
             out.append(right.ids[right.before[agreed] : right.before[end]])
             pending = right.text[right.starts[end] :]
-    out += bpe.encode(bpe.pieces(pending))
-    return b"".join(out)
-
-
-def encode_text(bpe: _Bpe, chunks: list[bytes], shared: dict[int, tuple[bytes, bytes, bytes]] | None = None, names: list[int] | None = None) -> bytes:
-    """Ids of the text that the chunks make up. ``shared`` has ids and pieces of chunks by name; a chunk whose entry does not
-    decode to it is encoded like the rest."""
-    out, own, parts = [], [], []
-
-    def close() -> None:
-        if own:
-            parts.append(Stretch.of(bpe, b"".join(own).decode()))
-            own.clear()
-
-    def finish() -> None:
-        close()
-        if parts:
-            out.append(join_stretches(bpe, parts))
-            parts.clear()
-
-    whole = b"".join(chunks)
-    special = bpe.special and any(s.encode() in whole for s in bpe.added)
-    if special or not shared:
-        text, at = whole.decode(), 0
-        for found in bpe.special.finditer(text) if special else ():
-            out += [b"".join(bpe.encode(bpe.pieces(text[at : found.start()]))), bpe.added[found.group()]]
-            at = found.end()
-        return b"".join([*out, *bpe.encode(bpe.pieces(text[at:]))])
-    for chunk, name in zip(chunks, names, strict=True):
-        entry = shared.get(name)
-        if entry is not None and bpe.decode(entry[0]) == chunk:
-            close()
-            parts.append(Stretch(chunk.decode(), np.frombuffer(entry[1], "<i4").tolist(), np.frombuffer(entry[2], "<i4").tolist(), entry[0]))
-        else:
-            own.append(chunk)
-    finish()
-    return b"".join(out)
-
-
-def _chunked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    out += bpe.few_ids([p for _, p in bpe.window(pending)])
+    return np.concatenate(out)
+
+
+def assemble_texts(bpe: _Bpe, texts: list[tuple[list[bytes], list[int], dict[int, tuple[bytes, bytes, bytes]]]]) -> list[np.ndarray]:
+    """Ids of texts, each as its chunks, their names and what is known of chunks by name: ids, pieces' beginnings, ids before.
+
+    An entry that does not decode to its chunk is not used.
+    """
+    plans, own = [], []
+    for chunks, names, known in texts:
+        plan: list[Stretch | int] = []
+        alone: list[bytes] = []
+        for chunk, name in zip([*chunks, b""], [*names, None], strict=True):
+            entry = known.get(name) if name is not None else None
+            part = Stretch(chunk, *(np.frombuffer(x, "<u4" if i == 0 else "<i4") for i, x in enumerate(entry))) if entry else None
+            if part is not None and bpe.decode(part.ids).tobytes() != chunk:
+                part = None
+            if part is None and name is not None:
+                alone.append(chunk)
+                continue
+            if alone:
+                plan.append(len(own))
+                own.append(b"".join(alone))
+                alone = []
+            if part is not None:
+                plan.append(part)
+        plans.append(plan)
+    done, out = stretches(bpe, own), []
+    for (chunks, _, _), plan in zip(texts, plans, strict=True):
+        text = b"".join(chunks)
+        ids = join_stretches(bpe, [done[x] if isinstance(x, int) else x for x in plan])
+        if any(s in text for s in bpe.special) or bpe.decode(ids).tobytes() != text:
+            ids = bpe.encode_whole(text)
+        out.append(ids)
+    return out
+
+
+def _chunked(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a text column: rows from and to, bytes, starts, ends and names of chunks, and each row's first chunk."""
     data, offsets = utf8(column)
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, most):
         part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         start, end = chunk_ends(part, own) if len(part) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         yield lo, hi, part, start, end, hash_words(part, start, end - start), np.searchsorted(start, own)
@@ -313,23 +393,22 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     fields = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
     types = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if texts else "")
 
-    def digest(bpe: _Bpe, ids: bytes) -> tuple:
-        back = bpe.decode(ids).decode("utf-8", "replace")
-        row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-        return (*row, ids, back) if texts else row
+    def digest(bpe: _Bpe, ids: np.ndarray) -> tuple:
+        raw, back = ids.astype("<u4").tobytes(), bpe.decode(ids).tobytes().decode("utf-8", "replace")
+        row = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        return (*row, raw, back) if texts else row
 
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()][: len(fields)]
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in batches:
-            for lo, hi, part, start, end, h, first in _chunked(batch.column(1)):
+            for lo, hi, part, start, end, h, first in _chunked(batch.column(1), _BLOCK):
                 may = np.add.reduceat(np.append(_may_be_shared(table.value, h), False), first[:-1]) * (np.diff(first) > 0)
-                raw, rows = part.tobytes(), []
-                for i in range(hi - lo):
-                    a, b = first[i], first[i + 1]
-                    text = raw[start[a] : end[b - 1]] if b > a else b""
-                    rows.append((*[None] * len(fields), text.decode()) if may[i] else (*digest(bpe, encode_text(bpe, [text])), None))
+                raw = part.tobytes()
+                whole = [raw[start[a] : end[b - 1]] if b > a else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                done = iter(encode_texts(bpe, [t for t, m in zip(whole, may, strict=True) if not m]))
+                rows = [(*[None] * len(fields), t.decode()) if m else (*digest(bpe, next(done)), None) for t, m in zip(whole, may, strict=True)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], *(pa.array(c, k) for c, k in zip(columns, [*kinds, pa.string()], strict=True))], ["id", *fields, "text"]
@@ -353,10 +432,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in batches:
-            parts = [Stretch.of(bpe, t) for t in batch.column(1).to_pylist()]
+            parts = stretches(bpe, [t.encode() for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p.ids for p in parts], pa.binary()),
-                 *(pa.array([np.array(getattr(p, c), "<i4").tobytes() for p in parts], pa.binary()) for c in ("starts", "before"))],
+                [batch.column(0), *(pa.array([getattr(p, c).astype("<u4").tobytes() for p in parts], pa.binary()) for c in ("ids", "starts", "before"))],
                 ["h", "ids", "starts", "before"],
             )
 
@@ -383,14 +461,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in batches:
-            for lo, hi, part, start, end, h, first in _chunked(batch.column(1)):
-                raw, rows, names = part.tobytes(), [], h.view(np.int64).tolist()
+            for lo, hi, part, start, end, h, first in _chunked(batch.column(1), _BLOCK):
+                raw, names, held = part.tobytes(), h.view(np.int64).tolist(), []
                 for i in range(hi - lo):
                     a, b = first[i], first[i + 1]
                     entries = {e["h"]: (e["ids"], e["starts"], e["before"]) for e in batch.column(2)[lo + i].as_py() or ()}
                     entries |= {n: known.value[n] for n in names[a:b] if n in known.value}
                     chunks = [raw[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
-                    rows.append(digest(bpe, encode_text(bpe, chunks, entries, names[a:b])))
+                    held.append((chunks, names[a:b], entries))
+                rows = [digest(bpe, ids) for ids in assemble_texts(bpe, held)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *fields])
 

@@ -59,6 +59,9 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.bar,) = self._encode("|")
+        self._start()
+
+    def _start(self) -> None:
         self.hash = np.zeros(0, np.uint64)  # in order
         self.at, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, "<u4")

@@ -154,10 +154,21 @@ def test_joined_stretches_agree_with_the_whole(tokenizer):
     for _ in range(1500):
         text = "".join(r.choice(ODD) for _ in range(r.randrange(70)))
         cuts = sorted(r.choices(range(len(text) + 1), k=r.randrange(8)))
-        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        ids = bpe.join_stretches(worker, [bpe.Stretch.of(worker, p) for p in parts])
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert worker.decode(ids).decode() == text
+        parts = [text[a:b].encode() for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        ids = bpe.join_stretches(worker, bpe.stretches(worker, parts))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert worker.decode(ids).tobytes().decode() == text
+
+
+def test_pieces_are_the_tokenizers(tokenizer):
+    worker, r = bpe._bpe(bpe.tokenizer_path()), random.Random(10)
+    texts = ["".join(r.choice([*ODD, "\u2028", "<|endoftext|>", "ǅ", "Ⅷ", "²", "\u200b", "x's't're"]) for _ in range(r.randrange(40))) for _ in range(1500)]
+    for text, ids in zip(texts, bpe.encode_texts(worker, [t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    sizes = [len(t.encode()) for t in texts]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+    want = [at + sum(len(m) for m, _ in pieces[:k]) for at, t in zip(offsets, texts) for pieces in [worker.split(t)] for k in range(len(pieces))]
+    assert worker.piece_starts(data, offsets).tolist() == want
 
 
 def test_chunks_follow_the_content():
