@@ -25,6 +25,8 @@ CHUNK = 2000
 LEAF, FANOUT = 32, 8
 #: Points have 2 ** FINER groups for each that blocks are keyed by.
 FINER = 2
+#: The last level; its groups hold one shingle each.
+FINEST = 40
 
 
 def differ(size: int, num: int, den: int) -> int:
@@ -55,18 +57,21 @@ def coordinates(data: bytes, width: int) -> np.ndarray:
 def group_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set's blocks: level, group and content of every group that isn't empty.
 
-    A set with so few groups filled that a linked one might share none of them also gets keys of its empty groups.
+    Two linked sets that have no filled group in common differ in each of them, so neither fills more than they may differ
+    in; such sets get keys of the next level too, until they fill more. So every key has content.
     """
-    out = [np.zeros(0, np.uint64)]
-    for level in levels(len(shingles), num, den):
-        group = (shingles >> np.uint64(64 - level)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        content = np.add.reduceat(mix(shingles ^ np.uint64(level)), at)
-        place = np.uint64(level << 40) + group[at].astype(np.uint64)
-        out.append(mix(content + mix(place)))
-        if len(at) <= min((1 << level) - 1, differ(len(shingles), num, den)):
-            empty = np.setdiff1d(np.arange(1 << level), group[at]).astype(np.uint64)
-            out.append(mix(mix(np.uint64(level << 40) + empty)))
+    out, done = [np.zeros(0, np.uint64)], set()
+    most = differ(len(shingles), num, den)
+    for level in sorted(levels(len(shingles), num, den)):
+        while level not in done:
+            done.add(level)
+            group = (shingles >> np.uint64(64 - level)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            content = np.add.reduceat(mix(shingles ^ np.uint64(level)), at)
+            out.append(mix(content + mix(np.uint64(level << 40) + group[at].astype(np.uint64))))
+            if len(at) <= most and level < FINEST:
+                # At a similarity of a half or less any one common shingle may be all.
+                level = level + 1 if 2 * num > den else FINEST
     return np.concatenate(out)
 
 
@@ -134,8 +139,8 @@ def _index(k: int, num: int, den: int):
             level = [differ(len(s), num, den).bit_length() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([point(s, n) for s, n in zip(sets, level, strict=True)], pa.binary())],
-                ["id", "cls", "n", "point"],
+                 pa.array([point(s, n) for s, n in zip(sets, level, strict=True)], pa.binary()), batch.column(2)],
+                ["id", "cls", "n", "point", "text_hash"],
             )
 
     return run
@@ -282,10 +287,13 @@ def jaccard_components(
     without an id don't name a component, but link others; a repeated id joins its texts' components.
     """
     num, den = similarity
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = base.schema["id"].dataType.simpleString()
-    index = staged(base.mapInArrow(_index(k, num, den), f"id {kind}, cls long, n long, point binary"), "index")
-    points = index.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"))
+    index = staged(base.mapInArrow(_index(k, num, den), f"id {kind}, cls long, n long, point binary, text_hash long"), "index")
+    # One text of each set stands for it: of an id, or of rows without one, with the hash of that text.
+    points = index.where("n > 0").groupBy("cls").agg(
+        F.min(F.struct("id", "text_hash")).alias("of"), F.first("n").alias("n"), F.first("point").alias("point")
+    ).select("cls", "of.*", "n", "point")
     points = staged(points, "points")
 
     keys = base.select("text").mapInArrow(_keys(k, num, den), "key long, cls long")
@@ -296,14 +304,10 @@ def jaccard_components(
         """The pairs (a, b) of sets that do link: texts of those in question are read again and compared."""
         pairs = staged(pairs, "pairs")
         asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        of = points.join(asked, "cls").select("cls", "id")
-        # An id may be repeated with other texts; the set's name tells them apart.
-        texts = base.where("text is not null").join(of, "id").select("cls", "text")
-        named = texts.mapInArrow(_named(k), "cls long, text string")
-        # Sets of rows without an id alone are found by their name.
-        lost = base.where("text is not null and id is null").select("text").mapInArrow(_names(k), "cls long, text string")
-        lost = lost.join(of.where("id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-        named = staged(named.unionByName(lost).distinct(), "texts")
+        of = points.join(asked, "cls").select("cls", F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+        texts = base.where("text is not null").join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+        named = texts.select("cls", "text").mapInArrow(_named(k), "cls long, text string").dropDuplicates(["cls"])
+        named = staged(named, "texts")
         full = pairs.join(named.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
         full = full.join(named.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_verify(k, num, den), "a long, b long")
@@ -347,15 +351,6 @@ def jaccard_components(
     )
 
 
-def _names(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = pa.array([_name(s) for s in _sets(batch.column(0), k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([names, batch.column(0)], ["cls", "text"])
-
-    return run
-
-
 def _named(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

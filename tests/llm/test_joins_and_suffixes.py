@@ -93,6 +93,60 @@ def test_r_tree_finds_all_that_may_link():
         assert sorted(tree.search(sizes[q], points[q], labels[q], 85, 100)) == np.flatnonzero(ok).tolist()
 
 
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5), (1, 2), (3, 5)])
+def test_linked_sets_share_a_key_and_others_none(num, den):
+    r = np.random.default_rng(8)
+    met = collections.Counter()
+    for n in [*range(6, 30)] * 60:
+        a = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        keys = set(ngram_join.group_keys(a, num, den).tolist())
+        met.update(keys)
+        changes = int(r.integers(0, ngram_join.differ(n, num, den) + 1))
+        b = np.unique(np.concatenate([r.permutation(a)[: n - int(r.integers(0, changes + 1))], r.integers(0, 1 << 64, changes, np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            assert keys & set(ngram_join.group_keys(b, num, den).tolist())
+    for n in range(6, 12):  # few shingles, of which many lie in one group
+        a = np.sort(r.integers(0, 1 << 60, n, np.uint64))
+        assert len(ngram_join.group_keys(a, num, den))
+        if ngram_join.differ(n, num, den):
+            for gone in range(n):
+                b = np.delete(a, gone)
+                if den * (n - 1) >= num * n:
+                    assert set(ngram_join.group_keys(a, num, den).tolist()) & set(ngram_join.group_keys(b, num, den).tolist())
+    assert max(met.values()) == 1
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 4, 5)])
+def test_components_of_short_texts_and_repeated_ids(spark, k, num, den):
+    r = random.Random(k)
+    texts = []
+    for i in range(60):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.randrange(9, 16))]
+        texts += [" ".join(w), " ".join(w[:-1]), " ".join([*w, f"z{i}"])]
+    rows = [(r.choice([7, None, *range(100, 400)]), t) for t in texts] + [(7, f"same id {i} other text of a few words {i * i} more {i} end") for i in range(150)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, similarity=(num, den)).collect()
+    sets = [_shingles(t, k) for _, t in rows]
+    nodes = list(range(len(rows)))
+
+    def root(i):
+        while nodes[i] != i:
+            i = nodes[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            linked = both and den * both >= num * len(sets[i] | sets[j])
+            if linked:
+                nodes[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min([x for x in (d, least.get(root(i))) if x is not None], default=None)
+    want = sorted(str((d, len(sets[i]), least[root(i)])) for i, (d, _) in enumerate(rows))
+    assert sorted(str(tuple(x)) for x in got) == want
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
