@@ -92,7 +92,7 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def _codes(token: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.ascii(F.substring(token, i, F.lit(1))))
+    return F.transform(F.split(token, ""), F.ascii)
 
 
 class Model(NamedTuple):

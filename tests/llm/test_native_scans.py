@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -112,6 +113,18 @@ def _edits(rows):
     return out
 
 
+def test_long_tokens_take_linear_time(spark):
+    r = random.Random(12)
+    token = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(120_000))
+    df = spark.createDataFrame([(1, f"image {token} end"), (2, "plain words")], "doc_id long, text string")
+    model = secrets.Model([0.01] * (128 * 128), 5.0)
+    secrets.find_secrets(df.where("doc_id = 2"), model).collect()
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in secrets.find_secrets(df, model).collect()}
+    assert time.perf_counter() - began < 10
+    assert got[1].n_markov == 1 and f"markov:6:{6 + len(token)}" in got[1].spans and got[2].n_markov == 0
+
+
 def test_edits_and_equality(spark):
     rows = [(i * 700, f"Sentence {i}. Common part! Ünïcode {i % 3}?\nLine {i % 5}" * (1 + i % 4)) for i in range(40)] + [(3, None), (5, ""), (9, "x"), (None, "last one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit(1)).withColumn("n_chars", F.lit(0))
