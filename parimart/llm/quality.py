@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
 from .words import SPACE, Words, blocks, utf8
 
@@ -114,10 +114,10 @@ def remainder(id_col: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on ``sample`` labelled rows at most, none of them held out.
+    """Fit on ``sample`` labelled documents at most, none of them held out.
 
-    The sampled rows' features are what the driver gathers: their number is bounded by ``sample``. Rows without a
-    label are left out; of a document's labels the largest counts.
+    The sampled documents' features are what the driver gathers: one row an id, whose number is bounded by ``sample``. Rows
+    without a label are left out; of an id's labels the largest counts, of its texts the least. Ids are of any type.
     """
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -125,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(remainder("id") != 2)
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text")
+    whole = isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    place = F.col("id").cast("long") if whole else F.xxhash64("id")
+    rows = found.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(place.alias("id"), "y", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 row, index, value = features(data, offsets[lo : hi + 1])
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi].cast(pa.int64()), batch.column(1)[lo:hi].cast(pa.int32()),
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi].cast(pa.int32()),
                      pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                      pa.array([value[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                     ["id", "y", "index", "value"],

@@ -1,5 +1,8 @@
 """Held-out accuracy of the classifier; the pipeline end to end."""
 
+import itertools
+import math
+import re
 import zlib
 
 import numpy as np
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parimart.llm import mixing, quality, queries
+from parimart.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,6 +42,48 @@ def test_scores_of_odd_rows(spark):
     assert quality.score_quality(df.limit(0), model).isEmpty()
 
 
+def _plain_score(m, text):
+    """The score of a text by loops over its words, statistics and all pairs of features."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    hashed = [int(Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0]) & ((1 << quality.BITS) - 1) for w in words]
+    n, size = max(1, len(words)), max(1, len(raw))
+    symbol = lambda b: 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in "!,.:;?"
+    share = lambda kind: sum(map(kind, raw)) / size
+    per_word = lambda kind: sum(map(kind, words)) / n
+    x = {h: math.sqrt(hashed.count(h) / n) for h in set(hashed)}
+    statistics = [
+        share(lambda b: 65 <= b < 91), share(lambda b: 48 <= b < 58), share(lambda b: chr(b) in "!,.:;?"), share(symbol), share(lambda b: b > 127),
+        share(lambda b: b in b" \t\n\x0b\x0c\r"), len(set(hashed)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, per_word(lambda w: symbol(w[-1])),
+        per_word(lambda w: w[-1] == 33), per_word(lambda w: len(w) == 1 and symbol(w[0])), per_word(lambda w: len(w) > 20), math.log1p(len(words)) / 8,
+        min(sum(map(len, words)) / n / 10, 2), math.log1p(len(raw) / (raw.count(10) + 1)) / 8, 1.0,
+    ]
+    x |= {(1 << quality.BITS) + k: v for k, v in enumerate(statistics)}
+    z = m.bias + sum(m.w[i] * v for i, v in x.items())
+    z += sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_whole_rows_match_a_plain_scorer(spark):
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(40).collect()
+    texts = [r.text for r in rows if r.text is None or len(r.text) < 3000] + [None, "", "a", "!!! $ $ $", "Ä Ö ü\n\nA A A", "\x0b x" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in quality.score_quality(df, model).collect():
+        assert abs(x.score - _plain_score(model, texts[x.doc_id])) < 1e-4
+
+
+def test_repeated_and_text_ids(spark):
+    texts = ["good words here and there", "bad $$ !! words"]
+    labels = [("a", 1), ("b", 0), ("c", 1), ("d", 0), ("e", 1), ("f", 0)]
+    rows = [(i, texts[1 - y]) for i, y in labels] + [("a", "later text")] * 500
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    marks = spark.createDataFrame(labels, "doc_id string, quality int")
+    many, one = quality.train(df, marks), quality.train(df.dropDuplicates(["doc_id", "text"]), marks)
+    assert many.bias == one.bias and np.array_equal(many.w, one.w)
+    assert quality.score_quality(df, many).count() == len(rows)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
