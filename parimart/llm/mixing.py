@@ -51,16 +51,19 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
-    Within a source every document expects target / source_size copies. Documents stand in order of (size, hash,
+    Within a source every document expects target / source_size copies. Documents stand in order of (size, hash of id and text,
     id); the running sum of expected copies plus one offset per source gives as many copies as whole numbers
     are crossed. In order of size the words taken differ from the target by about one long document at most. The
     offset and the order come from hashes, so reruns agree. A null text has size 0, a null source is a source and
     comes last; repeated rows are documents of their own, which columns to ``keep`` can tell apart. Empty input gives no rows.
     """
+    # Rows of one id, or without one, are told apart by their texts.
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
     sizes = staged(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep
-        ).withColumn("b", F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 2)),
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            F.substring(F.md5(name.cast("binary")), 1, 2).alias("b"), *keep,
+        ),
         "sizes",
     )
     # Ranks of a source from ranks in its cells (size, hash byte) and the number of rows in earlier cells: of earlier

@@ -88,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
         with sizes as (
             select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-                   substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 2) as b
+                   substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 2) as b
             from documents
         ), weighed as (
             select source, cast(sum(size) as bigint) as source_size,
