@@ -22,7 +22,7 @@ from .common import staged
 from .packing import _Ids
 from .words import blocks, hash_words, utf8
 
-#: Bytes that the rolling hash covers, and chunks' mean, least and greatest size.
+#: Bytes that the rolling hash covers, and chunks' mean, least and greatest size, of which two bytes can tell any place.
 WINDOW, MEAN, LEAST, MOST = 32, 512, 64, 4096
 #: Bits of the table that tells which chunks may be shared: 4 MB as broadcast whatever the input. A full table only moves more.
 BITS = 25
@@ -114,6 +114,7 @@ class _Bpe(_Ids):
         tokens = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
             tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.kept_as = "<u2" if len(tokens) <= 1 << 16 else "<u4"  # ids of shared chunks, when they move
         self.width = np.array([len(t) for t in tokens])
         self.place = np.cumsum(self.width) - self.width
         self.letters = np.frombuffer(b"".join(tokens), np.uint8)
@@ -296,9 +297,9 @@ def join_stretches(bpe: _Bpe, parts: list[Stretch]) -> np.ndarray:
         if agreed is not None:
             end = right.safe - 1
             out.append(right.ids[right.before[agreed] : right.before[end]])
-            pending = right.text[right.starts[end] :]
+            pending = right.text[int(right.starts[end]) :]
     out += bpe.few_ids([p for _, p in bpe.window(pending)])
-    return np.concatenate(out)
+    return np.concatenate(out).astype("<u4")
 
 
 def assemble_texts(bpe: _Bpe, texts: list[tuple[list[bytes], list[int], dict[int, tuple[bytes, bytes, bytes]]]]) -> list[np.ndarray]:
@@ -312,7 +313,7 @@ def assemble_texts(bpe: _Bpe, texts: list[tuple[list[bytes], list[int], dict[int
         alone: list[bytes] = []
         for chunk, name in zip([*chunks, b""], [*names, None], strict=True):
             entry = known.get(name) if name is not None else None
-            part = Stretch(chunk, *(np.frombuffer(x, "<u4" if i == 0 else "<i4") for i, x in enumerate(entry))) if entry else None
+            part = Stretch(chunk, *(np.frombuffer(x, kind) for x, kind in zip(entry, (bpe.kept_as, "<u2", "<u2"), strict=True))) if entry else None
             if part is not None and bpe.decode(part.ids).tobytes() != chunk:
                 part = None
             if part is None and name is not None:
@@ -434,7 +435,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         for batch in batches:
             parts = stretches(bpe, [t.encode() for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([getattr(p, c).astype("<u4").tobytes() for p in parts], pa.binary()) for c in ("ids", "starts", "before"))],
+                [batch.column(0), pa.array([p.ids.astype(bpe.kept_as).tobytes() for p in parts], pa.binary()),
+                 *(pa.array([getattr(p, c).astype("<u2").tobytes() for p in parts], pa.binary()) for c in ("starts", "before"))],
                 ["h", "ids", "starts", "before"],
             )
 
