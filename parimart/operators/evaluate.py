@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import trees
 from .relational import remove_top, running_sum, top_k
 
 # Weights of a blend, and resamples of a bootstrap.
@@ -157,25 +158,15 @@ def fit_logit_probs(train: DataFrame, test: DataFrame, features: Sequence[str],
     return out.withColumn("model_prob", F.col("_p") / total).drop("_x", "_p", "rawPrediction", "probability", "prediction")
 
 
-def fit_classifier_walkforward(df: DataFrame, year: str, features: Sequence[str], label: str, **params) -> DataFrame:
-    """Boosted trees for each year on the years before it, gaps imputed by medians; ``score`` for every row that has any."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    years = sorted(r[0] for r in df.select(year).distinct().collect() if r[0] is not None)
-    filled = [f"_i_{c}" for c in features]
-    steps = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_x"),
-        GBTClassifier(featuresCol="_x", labelCol=label, seed=1, **({"maxIter": 20} | params)),
-    ]
-    out = None
-    for y in years[1:]:
-        part = Pipeline(stages=steps).fit(df.where(F.col(year) < y)).transform(df.where(F.col(year) == y))
-        part = part.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.limit(0).withColumn("score", F.lit(0.0))
+def fit_classifier_walkforward(df: DataFrame, year: str, features: Sequence[str], label: str, maxIter: int = trees.ROUNDS, **params) -> DataFrame:
+    """Boosted trees (``maxIter`` of them) for each year on the years before it; ``score`` and the splits per feature of its model (``splits_...``)
+    for every row that has one."""
+    model = trees.fit_walkforward(df, year, features, label, rounds=maxIter, **params)
+    scored = trees.score_walkforward(df, year, model)
+    used = trees.importances(df.sparkSession, model).groupBy(F.col("year").alias("_year")).agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("splits"))).alias(f"splits_{f}") for f in features]
+    )
+    return scored.join(F.broadcast(used), F.col(year) == F.col("_year"), "left").drop("_year")  # a row for each year
 
 
 def _logit_sums(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -122,37 +122,52 @@ def prior_history(
     target: DataFrame, history: DataFrame, entity: str, date: str, available: str, as_of: str, sums: dict[str, Column],
     days: int | None = None, guard: Column | None = None, group: Keys = (),
 ) -> DataFrame:
-    """Per target row totals over its entity's history before its date and known by ``as_of``.
+    """Per target row totals over its entity's history before its date (and not more than ``days`` before) and known by ``as_of``.
 
-    History is summed by (entity, date, available) before the range join, so that pairs are days, not rows. ``sums``
+    History is summed by (entity, date, available) and numbered by date, so that what lies between two dates is a range of
+    numbers. A range is cut into at most two blocks of every power of two; a history row is in one block of each. Within a
+    block one running sum in order of availability answers all that ask: n log n rows for n days, and no pairs. ``sums``
     maps names to per-row columns; ``guard`` keeps placeholder entities out. The target's columns, then the sums
-    (0 without history).
+    (0 without history, or where a key, date or ``as_of`` is null).
     """
     if guard is not None:
         history = history.where(guard)
-    keys = [entity, *group]
-    daily = history.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(date).alias("_d"), F.col(available).alias("_a")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()]
-    )
-    asked = target.select(*keys, date, as_of).distinct()
-    on = (F.col("_d") < F.col(date)) & (F.col("_a") <= F.col(as_of))
-    for k in keys:
-        on &= F.col(k) == F.col(f"_h_{k}")
-    period = []
+    keys = [f"_k{i}" for i in range(1 + len(group))]
+    own = [F.col(c).alias(k) for k, c in zip(keys, [entity, *group], strict=True)]
+    totals = [f"_s{i}" for i in range(len(sums))]
+    known = [*keys, "_d", "_t"]
+    facts = history.select(*own, F.col(date).alias("_d"), F.col(available).alias("_t"), *[c.alias(n) for n, c in zip(totals, sums.values(), strict=True)])
+    facts = facts.dropna(subset=known).groupBy(*known).agg(*[F.sum(n).alias(n) for n in totals]).withColumn("_fact", F.lit(1))
+    asked = target.select(*own, F.col(date).alias("_d"), F.col(as_of).alias("_t")).dropna().distinct().withColumn("_fact", F.lit(0))
+    edges = asked.withColumn("_at", F.col("_d"))
     if days is not None:
-        on &= F.col("_d") >= F.col(date) - F.expr(f"interval {days} days")
-
-        def period_of(c: str) -> Column:
-            return F.floor(F.unix_date(F.col(c).cast("date")) / days)
-
-        # A date's history lies in its own period of ``days`` and the one before: pairs grow with the years, not their
-        # square, and an entity of many rows is divided by time.
-        asked, daily = asked.withColumn("_q", period_of(date)), daily.withColumn("_p", F.explode(F.array(period_of("_d"), period_of("_d") + 1)))
-        on &= F.col("_q") == F.col("_p")
-        period = ["_q"]
-    found = asked.join(daily, on).groupBy(*keys, *period, date, as_of).agg(*[F.sum(n).alias(n) for n in sums]).drop(*period)
-    out = target.join(found, [*keys, date, as_of], "left")
-    return out.select(*target.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
+        edges = asked.withColumn("_at", F.explode(F.array("_d", (F.col("_d") - F.expr(f"interval {days} days")).cast(asked.schema["_d"].dataType))))
+    # Dates ask before they are facts, so that what is counted lies before them.
+    stack = facts.withColumn("_at", F.col("_d")).unionByName(edges, allowMissingColumns=True)
+    by_date = Window.partitionBy(*keys).orderBy("_at", "_fact", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = stored(stack.withColumn("_n", F.sum("_fact").over(by_date)), "ranks")
+    low = F.lit(0).cast("long") if days is None else F.min("_n")
+    ranges = ranks.where("_fact = 0").groupBy(*known).agg(low.alias("_lo"), F.max("_n").alias("_hi"))
+    longest = ranges.agg(F.max(F.col("_hi") - F.col("_lo")).alias("n")).first()["n"] or 0
+    levels = range(max(1, longest.bit_length()))
+
+    def block(level: int, number: Column) -> Column:
+        return F.struct(F.lit(level).alias("_level"), number.alias("_block"))
+
+    wanted = []
+    for k in levels:
+        lo, hi = F.shiftright(F.col("_lo") + ((1 << k) - 1), k), F.shiftright("_hi", k)
+        wanted += [F.when((lo < hi) & (lo % 2 == 1), block(k, lo)), F.when((lo < hi) & (hi % 2 == 1), block(k, hi - 1))]
+    held = F.array(*[block(k, F.shiftright(F.col("_n") - 1, k)) for k in levels])
+    asks = ranges.select(*known, F.lit(0).alias("_fact"), F.inline(F.array_compact(F.array(*wanted))))
+    holds = ranks.where("_fact = 1").select(*known, "_fact", *totals, F.inline(held))
+    by_time = Window.partitionBy(*keys, "_level", "_block").orderBy("_t", F.desc("_fact")).rowsBetween(Window.unboundedPreceding, 0)
+    found = holds.unionByName(asks, allowMissingColumns=True).withColumns({n: F.sum(n).over(by_time) for n in totals})
+    found = found.where("_fact = 0").groupBy(*known).agg(*[F.sum(n).alias(n) for n in totals])
+    on = (F.col(date) == F.col("_d")) & (F.col(as_of) == F.col("_t"))
+    for k, c in zip(keys, [entity, *group], strict=True):
+        on &= F.col(c) == F.col(k)
+    return target.join(found, on, "left").select(*target.columns, *[F.coalesce(n, F.lit(0)).alias(name) for n, name in zip(totals, sums, strict=True)])
 
 
 def split_stats(df: DataFrame, key: Keys, position: str) -> DataFrame:

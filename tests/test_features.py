@@ -1,6 +1,8 @@
 """Leakage guards, scalar parsing, walk-forward fits and evaluation."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from parimart.operators import compose as C
 from parimart.operators import evaluate as K
 from parimart.operators import features as H
 from parimart.operators import relational as R
+from parimart.operators import trees
 
 
 def test_leakage_raises(spark):
@@ -178,3 +181,96 @@ def test_par_delta_by_bucket(spark):
     got = {(r.horse, r.d): r.delta for r in out.collect()}
     assert got["a", d(2023, 5, 1)] == 60.0 - 62.0 and got["a", d(2023, 6, 1)] == 0.0
     assert [k for k, v in got.items() if v is not None] and sum(v is None for v in got.values()) == 4
+
+
+@pytest.mark.parametrize("days,group", [(None, ()), (40, ()), (None, ("venue",)), (3, ("venue",))])
+def test_prior_history_matches_all_pairs(spark, days, group):
+    r = random.Random(days or 1)
+    day = lambda n: dt.date(2001, 1, 1) + dt.timedelta(days=n)
+    some = lambda x: None if r.random() < 0.05 else x
+    history = [(some(r.choice([1, 1, 1, 2, 3])), some(r.choice("ab")), some(day(d := r.randrange(120))), some(day(d + r.randrange(9))), r.randrange(50)) for _ in range(700)]
+    target = [(i, some(r.choice([1, 2, 3, 4])), some(r.choice("ab")), some(day(d := r.randrange(130))), some(day(d + r.randrange(-3, 9)))) for i in range(300)]
+    h = spark.createDataFrame(history, "horse long, venue string, date date, seen date, v long")
+    t = spark.createDataFrame(target, "i int, horse long, venue string, date date, as_of date")
+    got = R.prior_history(t, h, "horse", "date", "seen", "as_of", {"n": F.lit(1), "v": F.col("v")}, days=days, guard=F.col("horse") != 3, group=group)
+    assert got.columns == ["i", "horse", "venue", "date", "as_of", "n", "v"]
+    for x in got.collect():
+        own = [
+            row[4] for row in history
+            if None not in (row[0], row[2], row[3], x.horse, x.date, x.as_of) and row[0] == x.horse != 3 and row[2] < x.date and row[3] <= x.as_of
+            and (days is None or row[2] >= x.date - dt.timedelta(days=days)) and (not group or (x.venue is not None and row[1] == x.venue))
+        ]
+        assert (x.n, x.v) == (len(own), sum(own))
+    assert R.prior_history(t, h.limit(0), "horse", "date", "seen", "as_of", {"n": F.lit(1)}).agg(F.sum("n")).first()[0] == 0
+
+
+def _plain_boost(rows, bins, prior_rows, rounds, rate, l2, least):
+    """Depth-two boosting of one year's model, row by row; ``bins`` are filled. Returns margins of ``rows``."""
+    y = np.array([r for r in prior_rows])
+    train, every = bins[: len(y)], bins
+    p0 = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    z = np.full(len(every), math.log(p0 / (1 - p0)))
+    score = lambda g, h: g * g / (h + l2)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-z[: len(y)]))
+        g, h = y - q, q * (1 - q)
+
+        def best(mask):
+            found = (1e-9, None)
+            for j in range(train.shape[1]):
+                for cut in range(int(train[:, j].max()) + 1):
+                    a, b = mask & (train[:, j] <= cut), mask & (train[:, j] > cut)
+                    if a.sum() >= least and b.sum() >= least:
+                        gain = score(g[a].sum(), h[a].sum()) + score(g[b].sum(), h[b].sum()) - score(g[mask].sum(), h[mask].sum())
+                        if round(gain, 9) > found[0]:
+                            found = (round(gain, 9), (j, cut))
+            return found[1]
+
+        def sides(x, split):
+            return np.zeros(len(x), bool) if split is None else x[:, split[0]] > split[1]
+
+        step = np.zeros(len(every))
+        top = best(np.ones(len(y), bool))
+        for right in (False, True):
+            own, there = sides(train, top) == right, sides(every, top) == right
+            if not own.any():
+                continue
+            split = best(own)
+            for far in (False, True):
+                leaf, at = own & (sides(train, split) == far), there & (sides(every, split) == far)
+                step[at] = rate * g[leaf].sum() / (h[leaf].sum() + l2)
+        z += step
+    return z
+
+
+def test_walkforward_trees_match_plain_boosting(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(900):
+        a, b = r.choice([None, float("nan"), *[round(r.gauss(0, 1), 1)] * 8]), float(r.randrange(4))
+        won = float(r.random() < (0.7 if (a is not None and a == a and a > 0.3) != (b > 1) else 0.2))
+        rows.append((i, r.choice([2001, 2002, 2003, 2004]), a, b, won))
+    rows += [(900, None, 1.0, 1.0, 1.0), (901, 2003, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "i int, y int, a double, b double, won double")
+    model = trees.fit_walkforward(df, "y", ["a", "b"], "won", rounds=12, bins=8, store=5, least=10)
+    got = {x.i: x.score for x in trees.score_walkforward(df, "y", model).collect()}
+    assert set(got) == {x[0] for x in rows if x[1] in (2002, 2003, 2004)}
+    for k, year in enumerate(model.years):
+        past = [x for x in rows if x[1] is not None and x[4] is not None and x[1] < year]
+        now = [x for x in rows if x[1] == year]
+
+        def binned(x):
+            return [k2 if v is None or v != v else sum(v > e for e in edges) for v, edges, k2 in zip(x[2:4], model.edges, middle)]
+
+        middle = []
+        for j in (0, 1):
+            own = sorted(sum(x[2 + j] > e for e in model.edges[j]) for x in past if x[2 + j] is not None and x[2 + j] == x[2 + j])
+            middle.append(own[(len(own) - 1) // 2] if own else 0)
+        assert model.middle[k].tolist() == middle
+        z = _plain_boost(now, np.array([binned(x) for x in past + now]), [x[4] for x in past], 12, trees.RATE, trees.L2, 10)[len(past) :]
+        assert max(abs(got[x[0]] - 1 / (1 + math.exp(-v))) for x, v in zip(now, z, strict=True)) < 1e-9
+    used = {(x.year, x.feature): x for x in trees.importances(spark, model).collect()}
+    assert all(used[y, f].splits > 0 and used[y, f].gain > 0 for y in (2003, 2004) for f in "ab")
+    out = K.fit_classifier_walkforward(df, "y", ["a", "b"], "won", maxIter=2)
+    assert out.columns == ["i", "y", "a", "b", "won", "score", "splits_a", "splits_b"]
+    assert K.fit_classifier_walkforward(df.limit(0), "y", ["a", "b"], "won").isEmpty() and K.fit_classifier_walkforward(df.where("y = 2001"), "y", ["a", "b"], "won").isEmpty()
