@@ -93,19 +93,20 @@ def era_split(df: DataFrame, era: Column, order: Sequence[str], share: float = 0
 
 
 def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:
-    """``(draw, cluster, times)``: how often each cluster comes up in each of ``draws`` resamples of all of them.
+    """``(cluster, draw, times)``: how often each cluster comes up in each of ``draws`` resamples, of as many as there are.
 
-    A cluster's number of appearances is Poisson(1), from a hash of draw, cluster and seed: resampling needs neither
-    a sequence nor a shuffle, and reruns agree.
+    The clusters are numbered in their order; a resample has one place for each, and the hash of seed, draw and place picks its
+    cluster: an exact multinomial that needs no sequence, and reruns and other engines agree. Places are counted by (draw,
+    cluster) in the tasks before they move. Null is no cluster.
     """
-    u = F.pmod(F.xxhash64("draw", F.col(cluster).cast("string"), F.lit(seed)), F.lit(1_000_000)).cast("double") / 1e6
-    p, total, times = float(np.exp(-1)), 0.0, None
-    for k in range(8):
-        total += p
-        times = F.when(u < total, k) if times is None else times.when(u < total, k)
-        p /= k + 1
-    grid = clusters.select(cluster).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    return grid.withColumn("times", times.otherwise(8)).where("times > 0")
+    own = clusters.select(cluster).where(F.col(cluster).isNotNull()).distinct()
+    numbered = stored(running_sum(own, [cluster], F.lit(1).cast("long"), "_place"), "clusters")
+    n = max(1, numbered.count())
+    grid = numbered.select("_place", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    name = F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_place").cast("string"))
+    pick = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long") % n + 1
+    times = grid.groupBy("draw", pick.alias("_pick")).agg(F.count(F.lit(1)).alias("times"))
+    return times.join(numbered, F.col("_pick") == F.col("_place")).select(cluster, "draw", "times")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
@@ -133,6 +134,19 @@ def best_blend(losses: DataFrame, weights: Sequence[str]) -> DataFrame:
     return losses.agg(F.min_by(F.struct(*weights), F.struct(F.round("nll", 8), *weights)).alias("w"), F.min("nll").alias("nll")).select("w.*", "nll")
 
 
+def bootstrap_blend(losses: DataFrame, cluster: str, weights: Sequence[float], draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Mean and 2.5 and 97.5 percentiles of the best weight over resampled clusters, from ``losses(cluster, w0, nll)``.
+
+    A cluster is one row with its losses for all of the short grid; of equal sums (8 places) the smallest weight is best.
+    """
+    at = [f"n{k}" for k in range(len(weights))]
+    per = losses.groupBy(cluster).agg(*[F.sum(F.when(F.col("w0") == float(w), F.col("nll"))).alias(n) for w, n in zip(weights, at, strict=True)])
+    drawn = bootstrap_draws(per, cluster, draws, seed).join(per, cluster).groupBy("draw").agg(*[F.sum(F.col("times") * F.col(n)).alias(n) for n in at])
+    best = F.array_min(F.array(*[F.struct(F.round(n, 8).alias("nll"), F.lit(float(w)).alias("w0")) for w, n in zip(weights, at, strict=True)]))["w0"]
+    found = drawn.select(best.alias("w0"))
+    return found.agg(F.avg("w0").alias("mean_weight"), F.percentile("w0", F.lit(0.025)).alias("lo"), F.percentile("w0", F.lit(0.975)).alias("hi"))
+
+
 def edge_roi(df: DataFrame, race: str, item: str, p: str, odds: str, won: Column, capacities: Sequence[float], drop: Sequence[int]) -> DataFrame:
     """Bets where p * odds reaches 1 / (1 - capacity), without each race's ``drop`` largest edges; unit stakes."""
     rows = df.withColumn("_w", won).withColumn("capacity", F.explode(F.array(*[F.lit(float(c)) for c in capacities])))

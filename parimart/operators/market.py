@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import asof_join
+
 # Gates of the drift flag.
 Z_LEAST, MOVE_LEAST, FIELD_LEAST, ODDS_MOST, MAD_TO_SD = 1.5, 0.08, 6, 900.0, 1.4826
 
@@ -93,29 +95,29 @@ def curve_features(
 ) -> DataFrame:
     """Per (group, item, decision minute) what the odds curve showed by ``post`` less the minutes.
 
-    Snapshots are ranked once; the last three and the first by each decision come from ordered aggregates.
-    ``targets`` (group, item, post) times the short list of minutes is small next to the curve.
+    Every snapshot carries the two before it, the first one, and the deviation and number so far; a decision then takes the
+    latest snapshot as of its minute. ``targets`` (group, item, post) times the short list of minutes is small next to the curve.
     """
     snaps = snapshot_market(odds.where(F.col(price) > 0), [group, time], price, item)
     grid = targets.withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in minutes])))
     grid = grid.withColumn("as_of", F.col(post) - F.make_dt_interval(mins=F.col("minutes")))
-    s = snaps.select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(time).alias("_t"), F.col(price).alias("_o"), "devigged_prob", "market_entropy", "odds_rank")
-    on = (F.col("_g") == F.col(group)) & (F.col("_i") == F.col(item)) & (F.col("_t") <= F.col("as_of"))
-    seen = grid.join(s, on, "left").withColumn("_l", F.ln("_o"))
-    row = F.struct("_t", "_o", "_l", "devigged_prob", "market_entropy", "odds_rank")
-    agg = seen.groupBy(group, item, "minutes", "as_of", post).agg(
-        F.min(F.when(F.col("_t").isNotNull(), row)).alias("a"), F.max(F.when(F.col("_t").isNotNull(), row)).alias("z"),
-        F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_t", "_l"))), asc=False).alias("all"),
-        F.stddev_samp("_l").alias("odds_volatility"), F.count("_o").alias("odds_snapshots_used"),
-    )
-    at = lambda k: F.get("all", F.lit(k))
-    gap = lambda k: (F.unix_micros(at(k)["_t"].cast("timestamp")) - F.unix_micros(at(k + 1)["_t"].cast("timestamp"))) / 60e6
-    speed = lambda k: (at(k)["_l"] - at(k + 1)["_l"]) / gap(k)
+    values = ["odds_0", "log_0", "devigged_prob", "market_entropy", "odds_rank"]
+    s = snaps.select(group, item, F.col(time).alias("at_0"), F.col(price).alias("odds_0"), F.ln(price).alias("log_0"), *values[2:])
+    curve = Window.partitionBy(group, item).orderBy("at_0", *values)
+    so_far = curve.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({
+        "open": F.first(F.struct("odds_0", "odds_rank")).over(so_far), "odds_volatility": F.stddev_samp("log_0").over(so_far),
+        "odds_snapshots_used": F.count("odds_0").over(so_far), **{f"{c}_{k}": F.lag(f"{c}_0", k).over(curve) for k in (1, 2) for c in ("at", "log")},
+    })
+    more = ["open", "odds_volatility", "odds_snapshots_used", "at_1", "log_1", "at_2", "log_2"]
+    agg = asof_join(grid, s, [group, item], "as_of", "at_0", [*values, *more])
+    gap = lambda k: (F.unix_micros(F.col(f"at_{k}").cast("timestamp")) - F.unix_micros(F.col(f"at_{k + 1}").cast("timestamp"))) / 60e6
+    speed = lambda k: (F.col(f"log_{k}") - F.col(f"log_{k + 1}")) / gap(k)
     return agg.select(
-        group, item, "minutes", "as_of", F.col("z._t").alias("max_source_available_at"), F.col("a._o").alias("open_win_odds"),
-        F.col("z._o").alias("win_odds_at_t"), F.col("z.devigged_prob").alias("devigged_prob_at_t"),
-        F.ln(F.col("z._o") / F.col("a._o")).alias("drift_open_to_t"), F.when(gap(0) > 0, speed(0)).alias("recent_velocity"),
+        group, item, "minutes", "as_of", F.col("at_0").alias("max_source_available_at"), F.col("open.odds_0").alias("open_win_odds"),
+        F.col("odds_0").alias("win_odds_at_t"), F.col("devigged_prob").alias("devigged_prob_at_t"),
+        F.ln(F.col("odds_0") / F.col("open.odds_0")).alias("drift_open_to_t"), F.when(gap(0) > 0, speed(0)).alias("recent_velocity"),
         F.when((gap(0) > 0) & (gap(1) > 0), speed(0) - speed(1)).alias("recent_acceleration"), "odds_volatility",
-        F.col("z.market_entropy").alias("market_entropy_at_t"), F.col("a.odds_rank").alias("open_odds_rank"),
-        F.col("z.odds_rank").alias("odds_rank_at_t"), (F.col("a.odds_rank") - F.col("z.odds_rank")).alias("odds_rank_change"), "odds_snapshots_used",
+        F.col("market_entropy").alias("market_entropy_at_t"), F.col("open.odds_rank").alias("open_odds_rank"), F.col("odds_rank").alias("odds_rank_at_t"),
+        (F.col("open.odds_rank") - F.col("odds_rank")).alias("odds_rank_change"), F.coalesce("odds_snapshots_used", F.lit(0)).alias("odds_snapshots_used"),
     )

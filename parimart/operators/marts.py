@@ -59,10 +59,14 @@ def live_snapshot(entries: DataFrame, odds: DataFrame, results: DataFrame, race:
 
 
 def market_shape(probs: DataFrame, race: str, p: str, item: str) -> DataFrame:
-    """Favourite's probability, concentration of the first three, and a class."""
-    top = top_k(probs.where(F.col(p) > 0), [race], [F.desc(p), item], 3)
+    """Favourite's probability, concentration of the first three, and a class.
+
+    The class is taken from values of 12 places, so that it doesn't depend on the order in which they were summed.
+    """
+    top = top_k(probs.where(F.col(p) > 0), [race], [F.desc(F.round(p, 12)), item], 3)
     by = top.groupBy(race).agg(F.max(p).alias("favourite"), F.sum(p).alias("top3"))
-    return by.withColumn("shape", F.when(F.col("favourite") >= 0.4, "dominant").when(F.col("top3") >= 0.65, "concentrated").otherwise("open"))
+    at_least = lambda c, least: F.round(c, 12) >= least
+    return by.withColumn("shape", F.when(at_least("favourite", 0.4), "dominant").when(at_least("top3", 0.65), "concentrated").otherwise("open"))
 
 
 def counted_class(rows: DataFrame, race: str, style: str, front: Sequence[str], closers: Sequence[str]) -> DataFrame:

@@ -174,18 +174,24 @@ def gamma_likelihood(probs: DataFrame, finish: DataFrame, group: str, item: str,
 def fit_gamma_walkforward(curves: DataFrame, order: Sequence[str], group: str, window: int = 1000, default: float = 1.0) -> DataFrame:
     """``(group, gamma)``: for each group the exponent that fits the ``window`` groups before it best.
 
-    Ties go to the smallest exponent; earlier groups get ``default``. Groups are numbered in ``order`` and cut into blocks
-    of ``window``; a block's curves meet those of the block before, so a task holds two blocks of one exponent.
+    Ties go to the smallest exponent; earlier groups get ``default``. A group is one row with its curve, numbered in ``order``
+    and in a block of ``window``. The window before a group is the end of the block before and the beginning of its own, so
+    running sums from either side of the blocks, added, are its total: no frame slides, and a task holds a block.
     """
-    curves = stored(curves, "curves")
     cols = list(dict.fromkeys([*order, group]))
-    numbered = running_sum(curves.select(*cols).distinct(), cols, F.lit(1).cast("long"), "n").select(F.col(group).alias("_g"), "n")
-    rows = curves.join(numbered, curves[group].eqNullSafe(numbered["_g"])).withColumn("own", F.floor((F.col("n") - 1) / window))
-    rows = rows.withColumn("block", F.explode(F.array("own", F.col("own") + 1)))
-    w = Window.partitionBy("gamma", "block").orderBy("n").rangeBetween(-window, -1)
-    past = rows.withColumn("total", F.sum("ll").over(w)).where("block = own")
-    best = past.groupBy(group, "n").agg(F.max_by("gamma", F.struct("total", -F.col("gamma"))).alias("g"))
-    return best.select(group, F.when(F.col("n") > window, F.col("g")).otherwise(default).alias("gamma"))
+    wide = stored(curves.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("gamma", "ll"))).alias("_c")), "curves")
+    first = wide.select(F.col("_c.gamma").alias("g")).first()
+    grid = first["g"] if first else []
+    rows = running_sum(wide, cols, F.lit(1).cast("long"), "n").withColumn("_b", F.floor((F.col("n") - 1) / window))
+    begin = Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    end = Window.partitionBy("_b").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    at = [F.col("_c")[k]["ll"] for k in range(len(grid))]
+    own = rows.select(group, "n", F.array(*[F.coalesce(F.sum(x).over(begin), F.lit(0.0)) for x in at]).alias("_own"))
+    earlier = rows.select((F.col("n") + window).alias("_n"), F.array(*[F.sum(x).over(end) for x in at]).alias("_earlier"))
+    both = own.join(earlier, F.col("n") == F.col("_n"), "left")
+    total = F.zip_with("_own", "_earlier", lambda x, y: x + y)
+    best = F.array_max(F.zip_with(total, F.array(*[F.lit(float(g)) for g in grid]), lambda t, g: F.struct(t.alias("t"), (-g).alias("g"))))
+    return both.select(group, F.when(F.col("_n").isNotNull(), -best["g"]).otherwise(default).alias("gamma"))
 
 
 def fit_gamma_global(curves: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from ..sources.lake import exists
+
 SQL = {
     "odds_ts": """
         select concat(event_type, '-', cast(cast(ts as date) as varchar(10))) as race_id,
@@ -115,6 +120,20 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         view = self._views.get(name)
-        df = view(self) if view else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "starts":
+            df = self._once(name, view)
+        else:
+            df = view(self) if view else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         setattr(self, name, df)
         return df
+
+    def _once(self, name: str, view: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A view that most queries use, stored once for an application and folder; computed again if its files are gone."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored or not exists(self.spark, _stored[key]):
+            _stored[key] = scratch(self.spark, name)
+            view(self).write.parquet(_stored[key])
+        return self.spark.read.parquet(_stored[key])
+
+
+_stored: dict[tuple[str, str, str], str] = {}

@@ -324,10 +324,15 @@ def k19(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(zip(names, w, strict=True)), "feature string, weight double")
 
 
-@query("K12_cluster_bootstrap")
+@query("K12_cluster_bootstrap", """
+    with d as (select race_date, sum(case when finish_position = 1 then win_odds else 0 end) as a, count(*)::double as b from starts where race_date is not null group by 1),
+         c as (select *, row_number() over (order by race_date) as i, count(*) over () as n from d),
+         x as (select draw, ('0x' || substr(md5('0-' || draw || '-' || i), 1, 15))::bigint % n + 1 as pick from c, range(1, 501) r(draw)),
+         m as (select sum(a) / sum(b) as m from x join c on c.i = pick group by draw)
+    select (select round(sum(a) / sum(b), 9) from c) as point, round(quantile_cont(m, 0.025), 9) as lo, round(quantile_cont(m, 0.975), 9) as hi from m""")
 def k12(t: Tables) -> DataFrame:
     d = t.starts.withColumn("back", F.when(F.col("finish_position") == 1, F.col("win_odds")).otherwise(0.0)).withColumn("one", F.lit(1.0))
-    return K.cluster_bootstrap(d, "race_date", "back", "one", K.DRAWS)
+    return K.cluster_bootstrap(d, "race_date", "back", "one", K.DRAWS).select(*[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
 @query("K13_disagreement", f"""with {P}, m as (select pr.*, s.win_odds, 1.0 / count(*) over (partition by pr.race_id) / p as ratio from pr join starts s on pr.race_id = s.race_id and pr.runner = s.runner), c as (select quantile_cont(ratio, 0.75) as cut from m)
@@ -360,9 +365,7 @@ def k20_whole(t: Tables) -> DataFrame:
 def k21(t: Tables) -> DataFrame:
     d = M.devig(t.starts, ["race_id"], "win_odds").withColumn("lg", X.logit(F.col("p")))
     per = K.blend_losses(d, "race_id", ["lg"], F.col("finish_position") == 1, [[w] for w in K.BLENDS], group=["race_date"])
-    drawn = K.bootstrap_draws(per, "race_date", K.DRAWS).join(per, "race_date").groupBy("draw", "w0").agg(F.sum(F.col("times") * F.col("nll")).alias("nll"))
-    best = drawn.groupBy("draw").agg(F.min_by("w0", F.struct(F.round("nll", 8), "w0")).alias("w0"))
-    return best.agg(F.avg("w0").alias("mean_weight"), F.percentile("w0", F.lit(0.025)).alias("lo"), F.percentile("w0", F.lit(0.975)).alias("hi"))
+    return K.bootstrap_blend(per, "race_date", K.BLENDS, K.DRAWS)
 
 
 @query("K22_edge_roi", f"""with {P}, e as (select pr.*, s.win_odds, pow(p, 0.9) * win_odds as edge, c from pr join starts s on pr.race_id = s.race_id and pr.runner = s.runner cross join (select unnest([0.0, 0.1])::double as c)),

@@ -244,7 +244,7 @@ def i9(t: Tables) -> DataFrame:
     return A.latest_edition(t.tickets.withColumn("day", F.col("created_at").cast("date")), "day").select("ticket_id")
 
 
-@query("I10_market_shape", f"with {P}, r as (select *, row_number() over (partition by race_id order by p desc, runner) as rk from pr), s as (select race_id, max(p) as favourite, sum(p) as top3 from r where rk <= 3 group by 1) select race_id, round(favourite, 9) as favourite, round(top3, 8) as top3, case when favourite >= 0.4 then 'dominant' when top3 >= 0.65 then 'concentrated' else 'open' end as shape from s")
+@query("I10_market_shape", f"with {P}, r as (select *, row_number() over (partition by race_id order by round(p, 12) desc, runner) as rk from pr), s as (select race_id, max(p) as favourite, sum(p) as top3 from r where rk <= 3 group by 1) select race_id, round(favourite, 9) as favourite, round(top3, 8) as top3, case when round(favourite, 12) >= 0.4 then 'dominant' when round(top3, 12) >= 0.65 then 'concentrated' else 'open' end as shape from s")
 def i10(t: Tables) -> DataFrame:
     return A.market_shape(M.devig(t.starts, ["race_id"], "win_odds"), "race_id", "p", "runner").withColumns({"favourite": F.round("favourite", 9), "top3": F.round("top3", 8)})
 

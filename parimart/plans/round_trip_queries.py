@@ -11,7 +11,7 @@ from ..operators import compose as C
 from ..operators import features as V
 from ..operators import marts as A
 from ..operators import settlement as G
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources import lake as L
 from ..streaming import ingest as T
 from .bindings import Tables
@@ -194,6 +194,18 @@ def l3(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("user_id", "event_type")
 
 
+@query("L3_dedupe_for_ever", "select distinct user_id, event_type, ts from events")
+def l3_for_ever(t: Tables) -> DataFrame:
+    # Every event comes twice, the second time in a later batch and late by as much as the table is long.
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    path, out, checkpoint = scratch(t.spark, "arriving"), scratch(t.spark, "once"), scratch(t.spark, "ck")
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
+    for part in (rows.where("event_id % 3 <> 0"), rows):
+        part.write.mode("append").parquet(path)
+        T.append_once(T.read_stream(t.spark, path, schema, "parquet"), out, checkpoint, ["user_id", "event_type"], "ts", ["event_id"], buckets=1).awaitTermination()
+    return t.spark.read.schema(schema).parquet(out).select("user_id", "event_type", "ts")
+
+
 @query("L4_late_data", "select user_id, max(event_id) as last_known from events where event_id % 100 <= 60 group by user_id")
 def l4(t: Tables) -> DataFrame:
     # Every row is kept, whenever it comes; only what was available by the decision counts.
@@ -269,3 +281,53 @@ def u6(t: Tables) -> DataFrame:
     items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("s"))
     a = items.select("l_orderkey", "s", F.explode("s").alias("a"))
     return a.select("l_orderkey", "a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b"))
+
+
+@query("A14_upsert_files", """
+    with s as (select race_id % 5 as venue, year(race_date) as year, race_id, runner, win_odds as v, available_at from starts),
+         n as (select venue, year, race_id, runner, v + 100 as v, case when race_id % 2 = 0 then available_at else available_at + interval 1 day end as available_at
+               from s where runner = 2 and venue = 3 and year <= 1994),
+         m as (select * from s where not exists (select 1 from n where n.race_id = s.race_id and n.runner = s.runner and n.available_at = s.available_at
+                      and exists (select 1 from n x where x.venue = s.venue and x.year = s.year and x.race_id % 2 = 1))
+               union all select * from n where exists (select 1 from n x where x.venue = n.venue and x.year = n.year and x.race_id % 2 = 1))
+    select year, venue, count(*) as n, round(sum(v), 4) as total, count(*) filter (v > 100) as new_values,
+           not exists (select 1 from n where n.venue = m.venue and n.year = m.year and n.race_id % 2 = 1) as same_files, (select count(*) from n where race_id % 2 = 1) as new_keys
+    from m group by year, venue""")
+def a14_files(t: Tables) -> DataFrame:
+    base, by = scratch(t.spark, "silver"), ["year", "venue"]
+    s = t.starts.select("race_id", "runner", F.col("win_odds").alias("v"), F.col("available_at").cast("date").alias("available_at"), F.year("race_date").alias("year"), (F.col("race_id") % 5).alias("venue"))
+    L.partition_upsert(s, base, by, ["race_id", "runner"], "available_at", "v")
+    later = F.when(F.col("race_id") % 2 == 0, F.col("available_at")).otherwise(F.date_add("available_at", 1))
+    new = s.where("runner = 2 and venue = 3 and year <= 1994").withColumns({"v": F.col("v") + 100, "available_at": later})
+
+    def files() -> DataFrame:
+        rows = t.spark.read.schema(s.schema).parquet(base)
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_set("_metadata.file_name")).alias("files"), F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.count_if(F.col("v") > 100).alias("new_values"))
+
+    before = stored(files().select(*by, F.col("files").alias("before")), "files")
+    n = L.partition_upsert(new, base, by, ["race_id", "runner"], "available_at", "v")
+    if L.partition_upsert(new, base, by, ["race_id", "runner"], "available_at", "v"):
+        raise ValueError("the same rows had new keys again")
+    return files().join(before, by).select(*by, "n", "total", "new_values", (F.col("files") == F.col("before")).alias("same_files"), F.lit(n).cast("long").alias("new_keys"))
+
+
+@query("L6_watchdog_stream", """
+    with c as (select event_type as source, date_trunc('hour', ts) as h, count(*) filter (value >= 60) as ok, count(*) filter (value < 60) as failed from events group by 1, 2),
+         w as (select max(h) as top from c),
+         g as (select *, sum((ok > 0)::int) over (partition by source order by h) as g from c),
+         s as (select *, sum((ok = 0 and failed > 0)::int) over (partition by source, g order by h) as n from g),
+         good as (select source, h, lag(h) over (partition by source order by h) as earlier, coalesce(lead(h) over (partition by source order by h), top) as until, g from c join g using (source, h, ok, failed), w where ok > 0),
+         stale as (select source, h + interval 1 second * (7200 + 3600 * k) as "at" from good, range(0, 5000) t(k) where h + interval 1 second * (7200 + 3600 * k) < until),
+         failing as (select source, h as "at" from s where ok = 0 and failed > 0 and n >= 3)
+    select source, "at", 'stale' as alert from stale union all select source, "at", 'failing' from failing
+    union all select source, h, 'recovered' from good x where exists (select 1 from stale y where y.source = x.source and y."at" >= x.earlier and y."at" < x.h)
+        or exists (select 1 from failing f where f.source = x.source and f."at" < x.h and (x.earlier is null or f."at" > x.earlier))""")
+def l6_stream(t: Tables) -> DataFrame:
+    by = t.events.groupBy(F.col("event_type").alias("source"), F.date_trunc("hour", "ts").alias("h"))
+    rows = by.agg(F.count_if(F.col("value") >= 60).alias("ok"), F.count_if(F.col("value") < 60).alias("failed"))
+    path, out = scratch(t.spark, "cycles"), scratch(t.spark, "alerts")
+    rows.write.parquet(path)
+    cycles = T.read_stream(t.spark, path, "source string, h timestamp, ok long, failed long", "parquet")
+    alerts = T.watchdog_stream(cycles, "source", "h", "ok", "failed", least=3, stale=7200, cooldown=3600)
+    alerts.writeStream.option("checkpointLocation", scratch(t.spark, "ck")).option("path", out).format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("source string, at timestamp, alert string").parquet(out).withColumn("at", F.col("at").cast("timestamp_ntz"))

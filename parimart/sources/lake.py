@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stored
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, times: Sequence[str] = ()) -> DataFrame:
     """CSV with a header as typed rows: blanks are null, times without zone are UTC, what can't be cast is null."""
@@ -33,8 +35,7 @@ def snapshot(spark: SparkSession, path: str, base: str) -> str:
     listed = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))
     key = rows.agg(F.sha2(F.array_join(listed, "\n"), 256).alias("k")).first()["k"][:16]
     target = f"{base}/{key}"
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest/_SUCCESS")
-    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+    if not exists(spark, f"{target}/manifest/_SUCCESS"):
         rows.write.mode("overwrite").parquet(f"{target}/files")
         spark.read.parquet(f"{target}/files").select("name", "sha256", "length").write.mode("overwrite").json(f"{target}/manifest")
     return key
@@ -106,6 +107,11 @@ def extract_rows(pages: DataFrame, html: str, row: str, cells: dict[str, str]) -
     return found.select(*keep, "pos", *[F.nullif(F.regexp_extract("_row", p, 1), F.lit("")).alias(n) for n, p in cells.items()])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_partitioned(df: DataFrame, base: str, by: Sequence[str]) -> None:
     """Replace the touched partitions alone. Rows are dealt by partition, and a partition that is too large for a task to
     several of them."""
@@ -131,6 +137,41 @@ def last_write_wins(existing: DataFrame, new: DataFrame, key: Sequence[str], ord
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
+def partition_upsert(new: DataFrame, base: str, by: Sequence[str], natural_key: Sequence[str], available: str, order: str) -> int:
+    """Merge rows into a table partitioned ``by``; how many of their keys, ``natural_key`` with ``available``, it did not have.
+
+    Of rows of a key the one with the highest ``order`` counts, and a new one replaces what is there. Only the partitions of
+    the new rows are read, and only those that get a new key are written; all other files stay as they are. What is merged is
+    stored first and then replaces its partitions when the whole write has succeeded: a writer that fails leaves the old
+    state, and after a crash among the last renames the same call completes them. Null keys match each other.
+    """
+    spark, key = new.sparkSession, [*natural_key, available]
+    first = Window.partitionBy(*by, *key).orderBy(F.desc_nulls_last(order))
+    rows = stored(new.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn"), "upsert")
+    if exists(spark, base):
+        # A table's partitions are few enough for the driver to list; their values prune the scan.
+        touched = rows.select(*by).distinct().collect()
+        old = spark.read.schema(new.schema).parquet(base)
+        for c in by:
+            values = {r[c] for r in touched}
+            old = old.where(F.col(c).isin([v for v in values if v is not None]) | (F.col(c).isNull() if None in values else F.lit(False)))
+    else:
+        old = rows.limit(0)
+    same = Window.partitionBy(*by, *key).orderBy(F.desc("_new"))
+    both = old.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    merged = both.withColumns({"_rn": F.row_number().over(same), "_old": F.min("_new").over(Window.partitionBy(*by, *key))}).where("_rn = 1").drop("_rn")
+    merged = stored(merged, "merged")
+    fresh = (F.col("_new") == 1) & (F.col("_old") == 1)
+    counts = merged.where(fresh).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    n = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    if n:
+        grown = F.lit(True)
+        for c in by:
+            grown = grown & merged[c].eqNullSafe(counts[c])
+        write_partitioned(merged.join(counts, grown, "left_semi").select(*new.columns), base, by)
+    return n
+
+
 def upsert_on_key(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return existing.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
 

@@ -1,5 +1,9 @@
 """Files and streams."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from parimart.sources import lake as L
@@ -73,3 +77,106 @@ def test_watchdog(spark):
     df = spark.createDataFrame(rows, "at string, failed boolean").withColumn("at", F.col("at").cast("timestamp"))
     got = [(r.at.minute, r.alert) for r in T.watchdog(df, "at", "failed", least=3).orderBy("at").collect()]
     assert got == [(3, "failing"), (6, "recovered")]
+
+
+def _table(spark, rows):
+    return spark.createDataFrame(rows, "id long, year int, venue string, at date, v double, seq int")
+
+
+def _files(spark, base):
+    rows = spark.read.parquet(base).select("year", "venue", F.col("_metadata.file_name").alias("f")).distinct().collect()
+    out = {}
+    for r in rows:
+        out.setdefault((r.year, str(r.venue)), set()).add(r.f)
+    return out
+
+
+def test_partition_upsert_touches_what_it_must(spark, tmp_path):
+    base, day = f"{tmp_path}/silver", lambda n: dt.date(2024, 1, n)
+    args = (base, ["year", "venue"], ["id"], "at", "seq")
+    assert L.partition_upsert(_table(spark, [(i, 2023 + i % 2, "ab"[i % 3 == 0], day(1), 1.0 * i, 0) for i in range(40)]), *args) == 40
+    before = _files(spark, base)
+    # Same keys with other values: no new key, so nothing is written.
+    assert L.partition_upsert(_table(spark, [(2, 2023, "a", day(1), 99.0, 1)]), *args) == 0
+    assert _files(spark, base) == before
+    # A new instant is a new row, of equal keys the highest order counts, an old key in that partition is replaced.
+    new = [(2, 2023, "a", day(2), 5.0, 1), (2, 2023, "a", day(2), 6.0, 2), (4, 2023, "a", day(1), 77.0, 1), (None, 2023, "a", day(1), 8.0, 1), (50, 2030, "c", day(1), 1.0, 1)]
+    assert L.partition_upsert(_table(spark, new), *args) == 3
+    assert L.partition_upsert(_table(spark, new), *args) == 0
+    after = _files(spark, base)
+    assert {k for k in before if after[k] != before[k]} == {(2023, "a")} and set(after) - set(before) == {(2030, "c")}
+    got = {(r.id, r.at.day): r.v for r in L.read_partitioned(spark, base, "id long, year int, venue string, at date, v double, seq int").collect()}
+    assert len(got) == 43 and got[2, 1] == 2.0 and got[2, 2] == 6.0 and got[4, 1] == 77.0 and got[None, 1] == 8.0
+
+
+def test_partition_upsert_that_fails_leaves_the_old_state(spark, tmp_path):
+    base = f"{tmp_path}/silver"
+    args = (base, ["year", "venue"], ["id"], "at", "seq")
+    rows = [(i, 2023, "a", dt.date(2024, 1, 1), 1.0, 0) for i in range(5)]
+    L.partition_upsert(_table(spark, rows), *args)
+    before = _files(spark, base)
+    broken = _table(spark, [(9, 2023, "a", dt.date(2024, 1, 1), 1.0, 0)]).withColumn("v", F.expr("if(id = 9, raise_error('lost'), v)").cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        L.partition_upsert(broken, *args)
+    assert _files(spark, base) == before and spark.read.parquet(base).count() == 5
+
+
+def test_append_once_over_replays_and_late_rows(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    batches = [
+        [(1, "a", at(0)), (1, "a", at(0)), (2, "b", at(5)), (3, None, None)],
+        [(1, "a", at(1)), (2, "b", at(5)), (3, None, None), (4, "d", at(700))],
+        [(1, "a", at(0)), (5, "e", at(2)), (2, "c", at(5))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "n int, k string, at timestamp_ntz").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = T.read_stream(spark, f"{tmp_path}/in", "n int, k string, at timestamp_ntz")
+        T.append_once(stream, f"{tmp_path}/out", f"{tmp_path}/ck", ["n", "k"], "at", ["n"]).awaitTermination()
+    out = spark.read.schema("n int, k string, at timestamp_ntz, _day string").parquet(f"{tmp_path}/out")
+    want = {r for rows in batches for r in rows}
+    assert sorted(map(str, ((r.n, r.k, r.at) for r in out.collect()))) == sorted(map(str, want))
+    assert {r._day for r in out.select("_day").distinct().collect()} == {"20240101", "20240130", "none"}
+
+
+def _alerts(cycles, least, stale, cooldown, end):
+    """Second by second."""
+    fails, ok_at, last, alerting, out = 0, None, {}, False, []
+    by = {at: (ok, bad) for at, ok, bad in cycles}
+    for now in range(min(by), end + 1):
+        if now in by and by[now][0] > 0:
+            if alerting:
+                out.append((now, "recovered"))
+            fails, ok_at, last, alerting = 0, now, {}, False
+            continue
+        if now in by:
+            fails += by[now][1] > 0
+            if fails >= least and now - last.get("failing", -(10**9)) >= cooldown:
+                last["failing"], alerting = now, True
+                out.append((now, "failing"))
+        if now < end and ok_at is not None and now - ok_at >= stale and now - last.get("stale", -(10**9)) >= cooldown:
+            last["stale"], alerting = now, True
+            out.append((now, "stale"))
+    return sorted(out)
+
+
+def test_watchdog_cycles_and_silence(spark, tmp_path):
+    r = random.Random(3)
+    start = 1_700_000_000
+    cycles = {}
+    for source in ("a", "b", "silent"):
+        at, rows = start, []
+        for _ in range(60):
+            at += r.choice([30, 60, 100, 100, 400])
+            rows.append((at, r.choice([0, 0, 0, 1]), r.choice([0, 1, 1])))
+        cycles[source] = rows if source != "silent" else [(start + 5, 3, 0)]
+    end = max(at for rows in cycles.values() for at, _, _ in rows)
+    stamp = lambda at: dt.datetime.fromtimestamp(at, dt.timezone.utc).replace(tzinfo=None)
+    for lo, hi in ((0, start + 2500), (start + 2500, start + 5000), (start + 5000, 2 * start)):
+        rows = [(s, stamp(at), ok, bad) for s, own in cycles.items() for at, ok, bad in own if lo <= at < hi]
+        spark.createDataFrame(rows, "source string, at timestamp_ntz, ok long, bad long").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = T.read_stream(spark, f"{tmp_path}/in", "source string, at timestamp, ok long, bad long", "parquet")
+        found = T.watchdog_stream(stream, "source", "at", "ok", "bad", least=3, stale=300, cooldown=200)
+        found.writeStream.option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((x.source, x.s, x.alert) for x in spark.read.parquet(f"{tmp_path}/out").select("source", F.unix_timestamp("at").alias("s"), "alert").collect())
+    assert got == sorted((s, at, kind) for s, own in cycles.items() for at, kind in _alerts(own, 3, 300, 200, end))
+    assert sum(s == "silent" and kind == "stale" for s, _, kind in got) > 5 and {kind for _, _, kind in got} == {"failing", "stale", "recovered"}
