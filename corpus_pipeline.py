@@ -14,25 +14,34 @@ from parimart.llm.common import staged
 from parimart.session import ship
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names under others that no column has, and the names to give them back."""
+    spare = "_" * (1 + max(map(len, docs.columns)))
+    moved = {c: c + spare for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(moved), {new: old for old, new in moved.items()}
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine predicts to be good; fitted on labelled ones that aren't held out.
 
     Without any labelled row nothing is rejected.
     """
     model = quality.train(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    own, back = _aside(docs, "score", "predicted")
+    return quality.score_quality(own, model).where("predicted = 1").select(*own.columns).withColumnsRenamed(back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier line; ``n_chars`` follows. What has no word left is dropped,
     what had none before stays."""
     ship(spark)
+    docs, back = _aside(docs, "n_removed")
     cut = line_dedup.drop_repeated_lines(docs, least=1)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return left.select(*docs.columns)
+    return left.select(*docs.columns).withColumnsRenamed(back)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
