@@ -1,16 +1,22 @@
 """Held-out accuracy of the classifier; the pipeline end to end."""
 
+import collections
 import itertools
 import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from test_joins_and_suffixes import _lines, _shingles
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from parimart.llm import mixing, quality, queries
-from parimart.llm.words import Words
+from parimart.llm import mixing, packing, quality, queries
+from parimart.llm.words import Words, utf8
 
 SF = "/root/testdata/sf0.01"
 
@@ -99,7 +105,7 @@ def test_stages_on_odd_rows(spark):
     rows = [(1, None, None, "a", 0), (2, "", "en", None, 0), (3, "x y z", "en", "a", 5), (3, "x y z", "en", "a", 5), (None, "p q r s t u", "en", "b", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("n", F.lit(1))
     for table in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, SF)
             assert out.columns == table.columns or name == "best-fit packing"
             out.count()
@@ -111,3 +117,80 @@ def test_mix_counts_rows_without_id_on_their_own(spark):
     got = {r.source: r.n for r in corpus_pipeline.mix(spark, docs, SF).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     copies = mixing.mix_sources(docs).groupBy("source_size").agg(F.sum("copies").alias("n")).collect()
     assert sorted(got.values()) == sorted(r.n for r in copies)
+
+
+def _linear_score(m, text):
+    data, offsets = utf8(pa.array([text or ""]))
+    row, index, value = quality.features(data, offsets)
+    z = m.bias + float(m.w[index] @ value)
+    for f in range(quality.RANK):
+        v = m.v[index, f] * value
+        z += 0.5 * float(v.sum() ** 2 - (v * v).sum())
+    return 1 / (1 + math.exp(-z))
+
+
+def test_every_stage_matches_plain_code(spark, tmp_path):
+    """Each stage's rows from plain code on what the stage before it kept; the columns of documents may clash with the stages' own."""
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 6000")
+    docs = small.withColumns({"_row": F.lit("x"), "size": F.lit(1), "score": F.lit("s"), "n_removed": F.lit(0)})
+    before = docs.collect()
+    columns = docs.columns
+
+    def run(k, rows):
+        return corpus_pipeline.staged(corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(rows, docs.schema), SF), "stage")
+
+    # Quality classifier
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = run(0, before).collect()
+    scores = [(_linear_score(model, r.text), r) for r in before]
+    assert sorted(str(r) for r in kept) == sorted(str(r) for x, r in scores if x >= quality.CUT) and 0 < len(kept) < len(before)
+    # Line dedup
+    cut = run(1, kept)
+    assert cut.columns == columns
+    want = {i: t for i, (_, t) in _lines([(r.doc_id, r.text) for r in kept], least=1).items()}
+    lines = cut.collect()
+    ink = re.compile(r"[^\x20\x09-\x0D]")
+    old = {r.doc_id: r.text for r in kept}
+    assert {r.doc_id: r.text for r in lines} == {i: t for i, t in want.items() if t == old[i] or ink.search(t)}
+    assert all(r.n_chars == len(r.text) for r in lines if r.text != old[r.doc_id])
+    # N-gram Jaccard join: five words, 0.8; the lines' matches went before, so copies are added
+    lines += [Row(**r.asDict() | {"doc_id": r.doc_id + 10**6, "text": f"{r.text} end"}) for r in lines if len(r.text.split()) > 40][:25]
+    sets = {r.doc_id: _shingles(r.text, 5) for r in lines}
+    near = {i: i for i in sets}
+
+    def root(i):
+        while near[i] != i:
+            i = near[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 5 * both >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            near[y] = x
+    single = run(2, lines).collect()
+    assert sorted(r.doc_id for r in single) == sorted(i for i in sets if root(i) == i) and len(single) < len(lines)
+    # Mixing
+    spark.createDataFrame(single, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    copies = {r[0]: r[1] for r in con.execute(f"select doc_id, copies from ({queries.ORACLE_SQL['op2_mix_sources']})").fetchall()}
+    mixed = run(3, single).collect()
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter({i: n for i, n in copies.items() if n})
+    # Best-fit packing
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    pieces = run(4, mixed).collect()
+    lengths = collections.Counter()
+    for r in mixed:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = np.array(ids[k : k + 2048], "<u4")
+            lengths[r.doc_id, k // 2048, k, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in pieces) == lengths
+    full = collections.defaultdict(list)
+    for x in pieces:
+        full[x.sequence_id].append((x.offset, x.length))
+    for parts in full.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(full) <= 1.1 * sum(x.length for x in pieces) / 2048 + 1
