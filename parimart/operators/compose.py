@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 from ..sources.lake import read_csv, snapshot
-from . import evaluate, features, market, relational, settlement
+from . import evaluate, features, market, ordering, relational, settlement
 from .marts import races_mart
 
 
@@ -198,6 +201,29 @@ def exotic_calibration(combos: DataFrame, winners: DataFrame, group: str, item:
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"), F.count("_w").alias("hits"))
 
 
+def exotic_likelihood(probs: DataFrame, winners: DataFrame, group: str, item: str, p: str, pools: dict[str, Sequence[str]], gamma: float | Column) -> DataFrame:
+    """A row per pool: ``races`` with a winning selection, their ``combos``, and the log-likelihood of what won by the model
+    without (``harville_ll``) and with the exponent ``gamma`` (``henery_ll``), a number or each group's column.
+
+    ``pools`` has the columns of ``winners`` that make up a pool's winning selection, in the order of its items; selections that
+    a model gives no chance count for nothing, and chances below 1e-12 as that.
+    """
+    out = None
+    for pool, columns in pools.items():
+        names = "abc"[: len(columns)]
+        models = [ordering.combos(probs, group, item, p, pool, g).withColumn("_model", F.lit(k)) for k, g in enumerate((1.0, gamma))]
+        of = lambda k: F.max(F.when(F.col("_model") == k, F.col("prob")))
+        both = models[0].unionByName(models[1]).groupBy(group, *names).agg(of(0).alias("h"), of(1).alias("g"))
+        won = winners.dropna(subset=list(columns)).select(F.col(group).alias("_g"), *[F.col(c).alias(f"_{n}") for c, n in zip(columns, names, strict=True)])
+        own = both.join(won, F.col(group) == F.col("_g"))  # a row a race, unless several selections won
+        hit = reduce(and_, [F.col(n) == F.col(f"_{n}") for n in names])
+        own = own.groupBy(group, *names).agg(F.max("h").alias("h"), F.max("g").alias("g"), F.max(hit).alias("hit")).where("g > 0")
+        ll = lambda c: F.sum(F.when(F.col("hit") & (F.col(c) > 0), F.ln(F.greatest(F.col(c), F.lit(1e-12)))))
+        row = own.agg(F.lit(pool).alias("pool"), F.countDistinct(group).alias("races"), F.count(F.lit(1)).alias("combos"), ll("h").alias("harville_ll"), ll("g").alias("henery_ll"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def realized_edge(probs: DataFrame, payouts: DataFrame, key: Sequence[str], edges: Sequence[float]) -> DataFrame:
     """Model probability against 100 / payout of what won, by payout bucket."""
     rows = probs.join(payouts, list(key)).withColumn("implied", 100.0 / F.col("payout_yen")).withColumn("bucket", evaluate.binned(F.col("payout_yen"), edges))
@@ -278,3 +304,38 @@ def validate_features(df: DataFrame, race: str, date: str, p: str, base: Sequenc
     back = F.sum(F.when(wins, F.coalesce(F.col(odds), F.lit(0.0))).otherwise(0.0))
     picked = test.join(F.broadcast(whole.select("_cut")), F.col("_d") >= F.col("_cut"))
     return whole.drop("_cut").join(F.broadcast(picked.agg(n.alias("stakes"), F.avg("_y").alias("hit_rate"), (F.try_divide(back, n) - 1).alias("roi"))))
+
+
+def fold_groups(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], object],
+    finish: Callable[[tuple, object], pd.DataFrame], schema: str,
+) -> DataFrame:
+    """Walk each group's rows in ``order`` without holding it: batch by batch through ``step``, which takes the state that
+    ``start`` gave and the next rows of the group and returns the new state; ``finish`` makes the group's rows of the last one.
+
+    Rows are dealt by key and sorted; a group may be any number of batches long, and only its state goes from one to the next.
+    Null keys are a group.
+    """
+
+    def same(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return ((a.to_numpy() == b.to_numpy()) | (a.isna().to_numpy() & b.isna().to_numpy())).all(axis=1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for f in frames:
+            if not len(f):
+                continue
+            keys = f[list(key)]
+            new = np.concatenate([[last is None or not same(keys[:1], last)[0]], ~same(keys[1:], keys[:-1])])
+            at = np.flatnonzero(new)
+            for a, b in zip([0, *at[at > 0]], [*at[at > 0], len(f)], strict=True):
+                if new[a]:
+                    if last is not None:
+                        yield finish(tuple(last.iloc[0]), state)
+                    state = start()
+                state = step(state, f[a:b])
+                last = keys[b - 1 : b]
+        if last is not None:
+            yield finish(tuple(last.iloc[0]), state)
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)

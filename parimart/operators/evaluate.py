@@ -208,6 +208,24 @@ def _logit_sums(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["v"])
 
 
+def _logit_losses(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Loss of each column of weights, summed over what a task reads."""
+    out = np.zeros(w.shape[1])
+    for batch in batches:
+        lists = batch.column(0)
+        if not len(lists):
+            continue
+        rows = lists.flatten()
+        begin = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+        won, *cols = (np.asarray(c) for c in rows.flatten())
+        z = np.stack(cols, axis=1) @ w
+        top = np.maximum.reduceat(z, begin, axis=0)
+        of = np.repeat(np.arange(len(begin)), np.diff([*begin, len(z)]))
+        total = np.add.reduceat(np.exp(z - top[of]), begin, axis=0)
+        out += np.add.reduceat(won, begin) @ (np.log(total) + top) - won @ z
+    yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["v"])
+
+
 def fit_conditional_logit(df: DataFrame, race: str, features: Sequence[str], won: Column, l2: float = 0.01, bound: float = 5.0, steps: int = 50, tolerance: float = 1e-6) -> list[float]:
     """Weights, within ``bound``, of a softmax within races: least sum of -log p over winners, plus ``l2`` times their squares.
 
@@ -229,6 +247,11 @@ def fit_conditional_logit(df: DataFrame, race: str, features: Sequence[str], won
         v = np.array([s or 0.0 for s in row])
         return v[0] + l2 * float(w @ w), v[1 : d + 1] + 2 * l2 * w, v[d + 1 :].reshape(d, d) + 2 * l2 * np.eye(d)
 
+    def losses(ws: list[np.ndarray]) -> list[float]:
+        sums = gathered.mapInArrow(lambda it: _logit_losses(it, np.stack(ws, axis=1)), "v array<double>")
+        row = sums.agg(*[F.sum(F.col("v")[j]) for j in range(len(ws))]).first()
+        return [(s or 0.0) + l2 * float(x @ x) for s, x in zip(row, ws, strict=True)]
+
     w = np.zeros(d)
     loss, slope, curve = at(w)
     for _ in range(steps):
@@ -237,12 +260,16 @@ def fit_conditional_logit(df: DataFrame, race: str, features: Sequence[str], won
             break
         newton, steepest = np.zeros(d), np.where(free, slope / np.diag(curve), 0.0)
         newton[free] = np.linalg.solve(curve[np.ix_(free, free)], slope[free])
-        for way, part in [(way, 0.5**k) for way in (newton, steepest) for k in range(12)]:
-            there = np.clip(w - part * way, -bound, bound)
+        tries = [np.clip(w - 0.5**k * way, -bound, bound) for way in (newton, steepest) for k in range(12)]
+        there = tries[0]
+        found = at(there)
+        if not found[0] < loss:  # one pass over all shorter steps
+            lower = [k for k, x in enumerate(losses(tries)) if x < loss]
+            if not lower:
+                break
+            there = tries[lower[0]]
             found = at(there)
-            if found[0] < loss:
-                w, (loss, slope, curve) = there, found
+            if not found[0] < loss:
                 break
-        else:
-            break
+        w, (loss, slope, curve) = there, found
     return w.tolist()

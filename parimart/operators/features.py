@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .relational import asof_join, prior_history, running_sum
+from .relational import asof_join, growing_median, prior_history, running_sum
 
 # Annotation labels that may become features.
 PROXY_LABELS = ("paddock_agitation", "gate_behavior", "sweating", "poor_start_history", "equipment_change", "layoff_context", "travel_stress_indicator", "stable_comment", "article_sentiment")
@@ -112,8 +112,7 @@ def bucket_par_delta(target: DataFrame, history: DataFrame, entity: str, bucket:
     same = [F.coalesce(F.col(b).cast("string"), F.lit("\0")).alias(y) for b, y in zip(bucket, year)]
     known = history.where(F.col(value).isNotNull()).select("*", *same, F.year(date).alias("_y"))
     asked = target.select("*", *same, F.year(date).alias("_y"))
-    earlier = known.select(*year, F.col("_y").alias("_before"), F.col(value).alias("_v"))
-    par = asked.select(*year, "_y").distinct().join(earlier, year).where("_before < _y").groupBy(*year, "_y").agg(F.median("_v").alias("_par"))
+    par = growing_median(known.select(*year, "_y", value), year, "_y", value, asked).select(*year, "_y", F.col("median").alias("_par"))
     sums = {"_s": F.col(value), "_c": F.lit(1)}
     own = prior_history(asked, known, entity, date, available, as_of, sums, group=year)
     out = own.join(par, [*year, "_y"], "left").withColumn(name, F.try_divide("_s", "_c") - F.col("_par"))

@@ -17,19 +17,20 @@ GAMMA = 0.856
 GAMMAS = tuple(round(0.50 + 0.005 * k, 3) for k in range(101))
 
 
-def _strengths(df: DataFrame, group: str, item: str, p: str, gammas: Sequence[float]) -> DataFrame:
+def _strengths(df: DataFrame, group: str, item: str, p: str, gammas: Sequence[float | Column]) -> DataFrame:
     """p ** gamma and its group total for each place."""
-    out = df.where(F.col(p) > 0).select(group, F.col(item).alias("i"), *[F.pow(p, F.lit(float(g))).alias(f"s{k}") for k, g in enumerate(gammas)])
+    power = [F.pow(p, g if isinstance(g, Column) else F.lit(float(g))).alias(f"s{k}") for k, g in enumerate(gammas)]
+    out = df.where(F.col(p) > 0).select(group, F.col(item).alias("i"), *power)
     return out.select("*", *[F.sum(f"s{k}").over(Window.partitionBy(group)).alias(f"sum{k}") for k in range(len(gammas))])
 
 
-def sequences(df: DataFrame, group: str, item: str, p: str, places: int, gamma: float | Sequence[float] = 1.0, raw_first: bool = False) -> DataFrame:
+def sequences(df: DataFrame, group: str, item: str, p: str, places: int, gamma: float | Column | Sequence[float] = 1.0, raw_first: bool = False) -> DataFrame:
     """All ordered prefixes ``(group, a, b, c ..., prob)`` of ``places`` items.
 
-    One ``gamma`` for every place (1 is Harville), or one each; ``raw_first`` leaves the first place's exponent at
+    One ``gamma`` for every place (1 is Harville), a column with each group's, or one a place; ``raw_first`` leaves the first place's exponent at
     1. Each factor is closed-form: the strength over the group's total less those already placed.
     """
-    gammas = [float(gamma)] * places if isinstance(gamma, (int, float)) else list(gamma)
+    gammas = [gamma] * places if isinstance(gamma, (int, float, Column)) else list(gamma)
     if raw_first:
         gammas[0] = 1.0
     s = _strengths(df, group, item, p, gammas)
@@ -52,7 +53,7 @@ def _sorted_pair(df: DataFrame, x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def combos(df: DataFrame, group: str, item: str, p: str, pool: str, gamma: float = GAMMA, raw_first: bool = True) -> DataFrame:
+def combos(df: DataFrame, group: str, item: str, p: str, pool: str, gamma: float | Column = GAMMA, raw_first: bool = True) -> DataFrame:
     """All selections of a pool with their probability: ``(group, a[, b[, c]], prob)``; unordered ones ascend."""
     if pool == "win":
         return df.where(F.col(p) > 0).select(group, F.col(item).alias("a"), F.col(p).alias("prob"))

@@ -170,6 +170,36 @@ def prior_history(
     return target.join(found, on, "left").select(*target.columns, *[F.coalesce(n, F.lit(0)).alias(name) for n, name in zip(totals, sums, strict=True)])
 
 
+def growing_median(history: DataFrame, key: Keys, year: str, value: str, asked: DataFrame | None = None, chunk: int = 1024) -> DataFrame:
+    """``(key, year, median, n)``: for each ``asked`` key and year (or all that history has) the exact median of the values of
+    earlier years, and their number; keys match null to null, without earlier values there is no row.
+
+    Values are cut into chunks of about ``chunk`` in their order. Counts by chunk and year tell in which chunk the middle of
+    what lies before a year is; only that chunk's rows are looked at again. So a row moves once or a few times, not once for
+    each later year.
+    """
+    rows = history.where(F.col(year).isNotNull() & F.col(value).isNotNull()).select(F.struct(*key).alias("_k"), F.col(year).alias("_y"), F.col(value).alias("_value"))
+    cells = rows.groupBy("_k", "_y", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(cells.groupBy("_k", "_value").agg(F.sum("_n").alias("_m")), ["_k", "_value"], F.col("_m"), "_c")
+    ranked = ranked.select("_k", "_value", F.floor((F.col("_c") - 1) / chunk).alias("_chunk"))
+    placed = stored(cells.join(ranked, ["_k", "_value"]), "placed")
+    years = F.collect_list(F.struct("_y", "_many"))
+    by_chunk = placed.groupBy("_k", "_chunk", "_y").agg(F.sum("_n").alias("_many")).groupBy("_k", "_chunk").agg(years.alias("_years"))
+    wanted = (placed if asked is None else asked.select(F.struct(*key).alias("_k"), F.col(year).alias("_y"))).select("_k", F.col("_y").alias("_asked")).distinct()
+    before = F.aggregate(F.filter("_years", lambda x: x["_y"] < F.col("_asked")), F.lit(0).cast("long"), lambda n, x: n + x["_many"])
+    counts = by_chunk.join(wanted, "_k").select("_k", "_asked", "_chunk", before.alias("_n")).where("_n > 0")
+    of = Window.partitionBy("_k", "_asked")
+    counts = counts.withColumns({"_to": F.sum("_n").over(of.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(of)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = counts.where((F.col("_to") - F.col("_n") <= high) & (F.col("_to") > low)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_n", "_to")
+    again = placed.join(middle, ["_k", "_chunk"]).where(F.col("_y") < F.col("_asked"))
+    again = again.groupBy("_k", "_asked", "_chunk", "_value", "_from", "_all").agg(F.sum("_n").alias("_n"))
+    upto = F.col("_from") + F.sum("_n").over(Window.partitionBy("_k", "_asked", "_chunk").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_value").cast("double")))
+    found = again.withColumn("_upto", upto).groupBy("_k", "_asked", "_all").agg(((at(low) + at(high)) / 2).alias("median"))
+    return found.select("_k.*", F.col("_asked").alias(year), "median", F.col("_all").alias("n"))
+
+
 def split_stats(df: DataFrame, key: Keys, position: str) -> DataFrame:
     """Starts, wins, top-3 finishes and rates by ``key``; rows with a null key are left out."""
     for k in key:

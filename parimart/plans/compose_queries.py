@@ -199,6 +199,27 @@ def k15(t: Tables) -> DataFrame:
     return C.exotic_calibration(c, w, "race_id", ["a", "b"]).withColumn("mean_prob", F.round("mean_prob", 9))
 
 
+@query("K15_exotic_likelihood", f"""with {P},
+    g as (select *, pow(p, gamma) as s, sum(pow(p, gamma)) over (partition by race_id) as t, sum(p) over (partition by race_id) as o from (select race_id, runner, p, 0.8 + 0.05 * (race_id % 3) as gamma from pr where p > 0)),
+    ex as (select a.race_id, a.runner as a, b.runner as b, a.p / a.o * b.p / (b.o - a.p) as h, a.p / a.o * b.s / (b.t - a.s) as g from g a join g b on a.race_id = b.race_id and a.runner <> b.runner),
+    tf as (select a.race_id, a.runner as a, b.runner as b, c.runner as c, a.p / a.o * b.p / (b.o - a.p) * c.p / (c.o - a.p - b.p) as h, a.p / a.o * b.s / (b.t - a.s) * c.s / (c.t - a.s - b.s) as g
+           from g a join g b on a.race_id = b.race_id and a.runner <> b.runner join g c on c.race_id = a.race_id and c.runner <> a.runner and c.runner <> b.runner),
+    tr as (select race_id, list_sort([a, b, c]) as x, sum(h) as h, sum(g) as g from tf group by 1, 2),
+    w as (select race_id, max(case when finish_position = 1 then runner end) as a, max(case when finish_position = 2 then runner end) as b, max(case when finish_position = 3 then runner end) as c from starts group by 1),
+    every as (select 'exacta' as pool, ex.race_id, h, g, ex.a = w.a and ex.b = w.b as hit from ex join w on ex.race_id = w.race_id where w.b is not null
+              union all select 'trifecta', tf.race_id, h, g, tf.a = w.a and tf.b = w.b and tf.c = w.c from tf join w on tf.race_id = w.race_id where w.c is not null
+              union all select 'trio', tr.race_id, h, g, x = list_sort([w.a, w.b, w.c]) from tr join w on tr.race_id = w.race_id where w.c is not null)
+    select pool, count(distinct race_id) as races, count(*) as combos, round(sum(case when hit then ln(greatest(h, 1e-12)) end), 4) as harville_ll, round(sum(case when hit then ln(greatest(g, 1e-12)) end), 4) as henery_ll from every where g > 0 group by 1""")
+def k15_likelihood(t: Tables) -> DataFrame:
+    pick = lambda k: F.max(F.when(F.col("finish_position") == k, F.col("runner")))
+    w = t.starts.groupBy("race_id").agg(*[pick(k + 1).alias(n) for k, n in enumerate("xyz")])
+    ordered = F.array_sort(F.when(F.col("z").isNotNull(), F.array("x", "y", "z")))
+    w = w.select("*", *[ordered[k].alias(n) for k, n in enumerate("uvw")])
+    probs = _p(t).withColumn("gamma", 0.8 + 0.05 * (F.col("race_id") % 3))
+    pools = {"exacta": ["x", "y"], "trifecta": ["x", "y", "z"], "trio": ["u", "v", "w"]}
+    return C.exotic_likelihood(probs, w, "race_id", "runner", "p", pools, F.col("gamma")).withColumns({c: F.round(c, 4) for c in ("harville_ll", "henery_ll")})
+
+
 @query("K16_exotic_efficiency", f"with {P}, j as (select pr.*, s.win_odds, pow(p, 0.9) * s.win_odds as ratio, y from pr join starts s on s.race_id = pr.race_id and s.runner = pr.runner left join (select race_id, combo, max(payout_yen) as y from payouts group by 1, 2) y on y.race_id = pr.race_id and y.combo = lpad(cast(pr.runner as varchar), 2, '0')) select tau, count(*) as bets, round(sum(coalesce(y, 0) / 100.0), 4) as returned, round(sum(coalesce(y, 0) / 100.0) / count(*) - 1, 7) as roi from j cross join (select unnest([1.0, 5.0, 10.0])::double as tau) where ratio >= tau group by 1")
 def k16(t: Tables) -> DataFrame:
     m = _p(t).select("race_id", "runner", F.pow("p", F.lit(0.9)).alias("prob"))

@@ -176,6 +176,35 @@ def h8(t: Tables) -> DataFrame:
     return out.select("race_id", "runner", "jockey_starts", F.round("jockey_win_rate", 9).alias("jockey_win_rate"))
 
 
+#: The four sets of keys whose rates over a year are features.
+RATE_KEYS = {"trainer": ["trainer_id"], "jockey": ["jockey_id"], "pair": ["trainer_id", "jockey_id"], "venue": ["jockey_id", "racecourse"]}
+
+
+def _rates_sql(name: str, keys: list[str]) -> str:
+    same = " and ".join(f"q.{k} = h.{k}" for k in keys)
+    own = " and ".join(f"s.{k} = f.{k}" for k in keys)
+    k, qk = ", ".join(keys), ", ".join(f"q.{c}" for c in keys)
+    return f"""
+    with h as (select {k}, race_date, available_at, count(*) as n, {WIN} as w, sum(case when finish_position <= 3 then 1 else 0 end) as t from starts group by {k}, race_date, available_at),
+    q as (select distinct {k}, race_date from starts),
+    f as (select {qk}, q.race_date, sum(n) as n, sum(w) as w, sum(t) as t from q join h on {same} and h.race_date < q.race_date and h.available_at <= q.race_date and h.race_date >= q.race_date - interval '365 days' group by {qk}, q.race_date)
+    select s.race_id, s.runner, cast(coalesce(n, 0) as bigint) as {name}_starts, round(w / n, 9) as {name}_win_rate, round(t / n, 9) as {name}_top3_rate from starts s left join f on {own} and s.race_date = f.race_date"""
+
+
+def _rates(name: str, keys: list[str]):
+    @query(f"H8_rates_{name}", _rates_sql(name, keys))
+    def run(t: Tables) -> DataFrame:
+        s = t.starts.withColumn("as_of", F.col("race_date"))
+        out = H.trailing_rates(s, t.starts, keys, "race_date", "available_at", "as_of", "finish_position", 365, name)
+        return out.select("race_id", "runner", f"{name}_starts", *[F.round(f"{name}_{c}", 9).alias(f"{name}_{c}") for c in ("win_rate", "top3_rate")])
+
+    return run
+
+
+for _name, _keys in RATE_KEYS.items():
+    _rates(_name, _keys)
+
+
 @query("H9_training_features", """
     with q as (select distinct horse_id, race_date from starts),
     w as (select q.*, s.available_at as wt, s.finish_time_seconds as v, row_number() over (partition by q.horse_id, q.race_date order by s.available_at desc, s.race_id, s.runner, s.finish_time_seconds) as rn

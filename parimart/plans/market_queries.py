@@ -246,6 +246,14 @@ def j11(t: Tables) -> DataFrame:
     return out.withColumns({"hit_prob": F.round("hit_prob", 8), "expected": F.round("expected", 5), "avg_payout": F.round(F.col("avg_payout") + 1e-9, 3), "best_case": F.round(F.col("best_case") + 1e-9, 3)})
 
 
+@query("J11_finalize_all", f"""with {P}, q as (select a.race_id, a.p * b.p / (1 - a.p) as prob from pr a join pr b on a.race_id = b.race_id and a.runner <> b.runner where a.p > 0 and b.p > 0)
+    select race_id, count(*) as n_lines, count(*) * 100.0::double as cost, round(least(0.98::double, sum(prob)), 8) as hit_prob, round(sum(prob * 0.75 / prob * 100), 5) as expected, round(max(0.75 / prob * 100) + 1e-9, 3) as best_case from q group by 1""")
+def j11_all(t: Tables) -> DataFrame:
+    lines = O.price(O.combos(_p(t), "race_id", "runner", "p", "exacta", 1.0), "exacta")
+    out = O.finalize_tickets(lines, "race_id", 100.0)
+    return out.select("race_id", "n_lines", "cost", F.round("hit_prob", 8).alias("hit_prob"), F.round("expected", 5).alias("expected"), F.round(F.col("best_case") + 1e-9, 3).alias("best_case"))
+
+
 @query("J12_classify_structure", f"""with {SETS}, l as (select distinct x.ticket, least(x.item, y.item) as a, greatest(x.item, y.item) as b from sets x join sets y on x.ticket = y.ticket where x.place = 0 and y.place = 1 and x.item <> y.item),
     i as (select ticket, count(distinct item) as n from (select ticket, a as item from l union all select ticket, b from l) group by 1), c as (select ticket, count(*) as n_lines from l group by 1)
     select c.ticket, n, n_lines, case when n_lines = n * (n - 1) / 2 then 'box' else 'custom' end as structure from c join i on c.ticket = i.ticket""")

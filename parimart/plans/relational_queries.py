@@ -162,10 +162,8 @@ def c13(t: Tables) -> DataFrame:
     select b.surface, b.going_wetness, b.y, median(s.finish_time_seconds) as par, count(*) as n from b join starts s
     on b.surface is not distinct from s.surface and b.going_wetness is not distinct from s.going_wetness and year(s.race_date) < b.y group by 1, 2, 3""")
 def c14(t: Tables) -> DataFrame:
-    s = t.starts.select("surface", "going_wetness", F.year("race_date").alias("hy"), "finish_time_seconds")
-    b = s.select(F.col("surface").alias("bs"), F.col("going_wetness").alias("bg"), F.col("hy").alias("y")).distinct()
-    on = F.col("bs").eqNullSafe(F.col("surface")) & F.col("bg").eqNullSafe(F.col("going_wetness")) & (F.col("hy") < F.col("y"))
-    return b.join(s, on).groupBy("surface", "going_wetness", "y").agg(F.median("finish_time_seconds").alias("par"), F.count(F.lit(1)).alias("n"))
+    s = t.starts.select("surface", "going_wetness", F.year("race_date").alias("y"), "finish_time_seconds")
+    return R.growing_median(s, ["surface", "going_wetness"], "y", "finish_time_seconds").withColumnRenamed("median", "par")
 
 
 @query("D1_field_size", "select race_id, count(*) as field_size from starts group by 1")

@@ -264,6 +264,21 @@ def u2(t: Tables) -> DataFrame:
     return C.per_group(t.lineitem.select("l_suppkey", "l_quantity"), ["l_suppkey"], work, "l_suppkey long, n long, spread double")
 
 
+@query("U2_fold_groups", "select l_suppkey, count(*) as n, max(gap) as longest from (select l_suppkey, date_diff('day', lag(l_shipdate) over (partition by l_suppkey order by l_shipdate), l_shipdate) as gap from lineitem) group by 1")
+def u2_fold(t: Tables) -> DataFrame:
+    # Longest time without a shipment: the last day of a batch is what the next one needs.
+    def step(state: tuple, rows: pd.DataFrame) -> tuple:
+        n, longest, day = state
+        days = ([] if day is None else [day]) + rows["day"].to_list()
+        return n + len(rows), max([longest, *(b - a for a, b in zip(days, days[1:]))]), days[-1]
+
+    def finish(key: tuple, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"l_suppkey": [key[0]], "n": [state[0]], "longest": [state[1] if state[0] > 1 else None]})
+
+    rows = t.lineitem.select("l_suppkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"))
+    return C.fold_groups(rows, ["l_suppkey"], ["day"], lambda: (0, 0, None), step, finish, "l_suppkey long, n long, longest long")
+
+
 @query("U4_converters", "select o_orderkey, nullif(o_custkey % 1000, 0) / 10.0::double as tenths, o_orderstatus as status, o_custkey as whole from orders")
 def u4(t: Tables) -> DataFrame:
     raw = t.orders.select("o_orderkey", F.lpad((F.col("o_custkey") % 1000).cast("string"), 4, "0").alias("tenths"), F.concat(F.lit(" "), "o_orderstatus").alias("status"), F.lpad(F.col("o_custkey").cast("string"), 9, " ").alias("whole"))

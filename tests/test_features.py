@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,40 @@ def test_walkforward_trees_match_plain_boosting(spark):
     out = K.fit_classifier_walkforward(df, "y", ["a", "b"], "won", maxIter=2)
     assert out.columns == ["i", "y", "a", "b", "won", "score", "splits_a", "splits_b"]
     assert K.fit_classifier_walkforward(df.limit(0), "y", ["a", "b"], "won").isEmpty() and K.fit_classifier_walkforward(df.where("y = 2001"), "y", ["a", "b"], "won").isEmpty()
+
+
+def test_folded_groups_are_longer_than_a_batch(spark):
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 1, 2, None]), r.choice(["a", None]), i, r.randrange(100)) for i in range(2000)] + [(9, "z", 0, 5)]
+    df = spark.createDataFrame(rows, "k long, s string, i long, v long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = C.fold_groups(
+            df, ["k", "s"], ["i"], lambda: (0, [], 0), lambda st, f: (st[0] + f.v.sum(), [*st[1], f.i.iloc[0]][-1:], max(st[2], len(f))),
+            lambda key, st: pd.DataFrame({"k": [None if key[0] != key[0] else key[0]], "s": [key[1]], "total": [st[0]], "last": [st[1][0]], "most": [st[2]]}),
+            "k long, s string, total long, last long, most long",
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for k, s, _, v in rows:
+        groups.setdefault((k, s), []).append(v)
+    assert {(x.k, x.s): x.total for x in out} == {g: sum(v) for g, v in groups.items()} and len(out) == len(groups)
+    assert all(x.most <= 7 for x in out)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1024])
+def test_growing_median_matches_plain_code(spark, chunk):
+    r = random.Random(chunk)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([1, None]), r.choice([*range(2000, 2008), None]), r.choice([None, *[r.randrange(40) / 4 for _ in range(9)]])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, g int, y int, v double")
+    asked = spark.createDataFrame([("a", 1, y) for y in range(1999, 2012)] + [(None, None, 2005), ("c", 1, 2005)], "k string, g int, y int")
+    for part, wanted in ((None, {x[:3] for x in rows if x[2] is not None and x[3] is not None}), (asked, {tuple(x) for x in asked.collect()})):
+        want = {}
+        for k, g, y in wanted:
+            own = [x[3] for x in rows if x[:2] == (k, g) and None not in x[2:] and x[2] < y]
+            if own:
+                want[k, g, y] = (float(np.median(own)), len(own))
+        got = R.growing_median(df, ["k", "g"], "y", "v", part, chunk=chunk)
+        assert got.columns == ["k", "g", "y", "median", "n"]
+        assert {(x.k, x.g, x.y): (x["median"], x.n) for x in got.collect()} == want
