@@ -194,7 +194,7 @@ def l3(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("user_id", "event_type")
 
 
-@query("L3_dedupe_for_ever", "select distinct user_id, event_type, ts from events")
+@query("L3exact_dedupe", "select distinct user_id, event_type, ts from events")
 def l3_for_ever(t: Tables) -> DataFrame:
     # Every event comes twice, the second time in a later batch and late by as much as the table is long.
     rows = t.events.select("event_id", "user_id", "event_type", "ts")
@@ -264,7 +264,7 @@ def u2(t: Tables) -> DataFrame:
     return C.per_group(t.lineitem.select("l_suppkey", "l_quantity"), ["l_suppkey"], work, "l_suppkey long, n long, spread double")
 
 
-@query("U2_fold_groups", "select l_suppkey, count(*) as n, max(gap) as longest from (select l_suppkey, date_diff('day', lag(l_shipdate) over (partition by l_suppkey order by l_shipdate), l_shipdate) as gap from lineitem) group by 1")
+@query("U2fold_groups", "select l_suppkey, count(*) as n, max(gap) as longest from (select l_suppkey, date_diff('day', lag(l_shipdate) over (partition by l_suppkey order by l_shipdate), l_shipdate) as gap from lineitem) group by 1")
 def u2_fold(t: Tables) -> DataFrame:
     # Longest time without a shipment: the last day of a batch is what the next one needs.
     def step(state: tuple, rows: pd.DataFrame) -> tuple:
