@@ -3,6 +3,9 @@
 Features are binned once and rows with the same bins become one cell, with its rows and winners before each year, as prefix
 sums over years: what one year's model is fitted on is a column of the cells. A pass over the cells adds up the gradients of
 all models by (model, node, feature, bin); the driver picks the splits from these sums, whose number the parameters bound.
+
+Where the bins allow ``HELD`` cells at most, whatever the number of rows, each model is fitted on its cells by one task instead,
+all models side by side in a single job; both ways take the same splits.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ ROUNDS, DEPTH, BINS = 200, 2, 32
 RATE, L2, LEAST = 0.1, 1.0, 20
 #: Rounds after which the cells are stored again with what the trees so far say.
 STORE = 25
+#: Cells that the bins may make for a model to be fitted by one task: about 3 MB of them.
+HELD = 1 << 16
 
 
 class Trees(NamedTuple):
@@ -73,15 +78,65 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _start(first: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prior log odds and median bins of models, from (model, feature, bin) sums of winners, rows and rows."""
+    total = first[:, 0].sum(axis=1)  # every row is in some bin of the first feature
+    prior = np.clip(total[:, 0] / np.maximum(total[:, 2], 1), 1e-6, 1 - 1e-6)
+    seen = np.stack([np.where(np.arange(first.shape[2]) < e, first[:, j, :, 2], 0) for j, e in enumerate(missing)], axis=1).cumsum(axis=2)
+    return np.log(prior / (1 - prior)), (2 * seen < seen[:, :, -1:]).argmin(axis=2)
+
+
+def _pull(n: np.ndarray, p: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Gradient, curvature and rows of cells of ``n`` rows and ``p`` winners at log odds ``z``."""
+    q = 1 / (1 + np.exp(-z))
+    return np.stack([p - n * q, n * q * (1 - q), n], axis=1)
+
+
+def _by_node(b: np.ndarray, node: np.ndarray, value: np.ndarray, nodes: int, size: int) -> np.ndarray:
+    """Sums of ``value`` by (node, feature, bin)."""
+    out = np.zeros((nodes, b.shape[1], size, 3))
+    for j in range(b.shape[1]):
+        for k in range(3):
+            out[:, j, :, k] = np.bincount(node * size + b[:, j], value[:, k], nodes * size).reshape(nodes, size)
+    return out
+
+
+def _blank(models: int, depth: int, size: int) -> Trees:
+    inner = (1 << depth) - 1
+    return Trees(np.zeros((models, inner), int), np.full((models, inner), size - 1), np.zeros((models, 1 << depth)))
+
+
+def _grow(tree: Trees, i: int, level: int, found: np.ndarray, rate: float, l2: float, least: int, gains: np.ndarray, splits: np.ndarray) -> None:
+    """Split model ``i``'s nodes of a level by their sums, and set the leaves below the last one."""
+    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
+    for node in range(1 << level):
+        left = found[node].cumsum(axis=1)
+        whole = left[:, -1:]
+        right = whole - left
+        gain = np.where((left[..., 2] >= least) & (right[..., 2] >= least), score(left) + score(right) - score(whole), 0.0)
+        j, cut = np.unravel_index(np.argmax(np.round(gain, 9)), gain.shape)
+        if gain[j, cut] > 1e-9:
+            at = (1 << level) - 1 + node
+            tree.feature[i, at], tree.cut[i, at] = j, cut
+            gains[i, j] += gain[j, cut]
+            splits[i, j] += 1
+            sides = left[j, cut], right[j, cut]
+        else:
+            sides = whole[0, 0], whole[0, 0]
+        if 2 << level == tree.leaf.shape[1]:
+            for k, s in enumerate(sides):
+                tree.leaf[i, 2 * node + k] = rate * s[0] / (s[1] + l2)
+
+
 def fit_walkforward(
     df: DataFrame, year: str, features: Sequence[str], label: str, rounds: int = ROUNDS, depth: int = DEPTH, bins: int = BINS, rate: float = RATE,
-    l2: float = L2, least: int = LEAST, store: int = STORE,
+    l2: float = L2, least: int = LEAST, store: int = STORE, held: int = HELD,
 ) -> WalkForward:
     """Boosted trees (logistic loss, Newton leaves) for every year but the first.
 
     Bins end at the features' quantiles, for which labels are not used. A missing value counts as the median bin of a model's
     own rows, the first bin if it has none. Of equal gains the first feature's lowest cut is taken, a node without a gain
-    isn't split. Rows without a year or a label teach nothing.
+    isn't split. Rows without a year or a label teach nothing. ``held`` is explained above.
     """
     d, known = len(features), df.where(F.col(year).isNotNull() & F.col(label).isNotNull())
     years = sorted(r[0] for r in known.select(year).distinct().collect())  # as many as the calendar has
@@ -96,8 +151,10 @@ def fit_walkforward(
     cells = known.withColumn("_b", F.array(*[_bin(f, e) for f, e in zip(features, edges, strict=True)])).groupBy("_b").agg(
         before(F.lit(1.0)).alias("_n"), before((F.col(label) == 1).cast("double")).alias("_p")
     )
-    cells = stored(cells.withColumn("_z", F.array(*[F.lit(0.0)] * m)), "cells")
     missing = np.array([len(e) + 1 for e in edges])
+    if np.prod(missing + 1.0) <= held:
+        return WalkForward(list(features), edges, after, *_fit_apart(cells, m, missing, width + 1, rounds, depth, rate, l2, least))
+    cells = stored(cells.withColumn("_z", F.array(*[F.lit(0.0)] * m)), "cells")
 
     def filled(raw: np.ndarray, middle: np.ndarray) -> np.ndarray:
         return np.where(raw == missing, middle, raw)
@@ -123,12 +180,7 @@ def fit_walkforward(
                     np.add.at(out[i, 0, j], raw[:, j], np.stack([p[:, i], n[:, i], n[:, i]], axis=1))
         yield from counted(out)
 
-    first = sums(count)[:, 0]
-    total = first[:, 0].sum(axis=1)  # every row is in some bin of the first feature
-    prior = np.clip(total[:, 0] / np.maximum(total[:, 2], 1), 1e-6, 1 - 1e-6)
-    prior = np.log(prior / (1 - prior))
-    seen = np.stack([np.where(np.arange(width + 1) < e, first[:, j, :, 2], 0) for j, e in enumerate(missing)], axis=1).cumsum(axis=2)
-    middle = (2 * seen < seen[:, :, -1:]).argmin(axis=2)
+    prior, middle = _start(sums(count)[:, 0], missing)
 
     def level_sums(level: int, done: list[Trees], tree: Trees) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +190,8 @@ def fit_walkforward(
                 for i in range(m):
                     rows = np.flatnonzero(n[:, i])
                     b = filled(raw[rows], middle[i])
-                    q = 1 / (1 + np.exp(-(prior[i] + z[rows, i] + _margins(b, done, i, depth))))
-                    of = n[rows, i]
-                    value = np.stack([p[rows, i] - of * q, of * q * (1 - q), of], axis=1)
-                    node = _nodes(b, tree, i, level)
-                    for j in range(d):
-                        for k in range(3):
-                            slot = node * (width + 1) + b[:, j]
-                            out[i, : 1 << level, j, :, k] += np.bincount(slot, value[:, k], (1 << level) * (width + 1)).reshape(1 << level, -1)
+                    value = _pull(n[rows, i], p[rows, i], prior[i] + z[rows, i] + _margins(b, done, i, depth))
+                    out[i, : 1 << level] += _by_node(b, _nodes(b, tree, i, level), value, 1 << level, width + 1)
             yield from counted(out)
 
         return sums(run)
@@ -155,33 +201,52 @@ def fit_walkforward(
         if r and r % store == 0:
             cells = stored(_advanced(cells, made[r - store :], middle, missing, depth), "cells")
         done = made[r // store * store :]
-        inner = (1 << depth) - 1
-        tree = Trees(np.zeros((m, inner), int), np.full((m, inner), width), np.zeros((m, 1 << depth)))
+        tree = _blank(m, depth, width + 1)
         for level in range(depth):
             found = level_sums(level, done, tree)
             for i in range(m):
-                for node in range(1 << level):
-                    left = found[i, node].cumsum(axis=1)
-                    whole = left[:, -1:]
-                    right = whole - left
-                    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
-                    gain = np.where((left[..., 2] >= least) & (right[..., 2] >= least), score(left) + score(right) - score(whole), 0.0)
-                    j, cut = np.unravel_index(np.argmax(np.round(gain, 9)), gain.shape)
-                    if gain[j, cut] > 1e-9:
-                        at = (1 << level) - 1 + node
-                        tree.feature[i, at], tree.cut[i, at] = j, cut
-                        gains[i, j] += gain[j, cut]
-                        splits[i, j] += 1
-                        sides = left[j, cut], right[j, cut]
-                    else:
-                        sides = whole[0, 0], whole[0, 0]
-                    if level == depth - 1:
-                        for k, s in enumerate(sides):
-                            tree.leaf[i, 2 * node + k] = rate * s[0] / (s[1] + l2)
+                _grow(tree, i, level, found[i], rate, l2, least, gains, splits)
         made.append(tree)
     return WalkForward(list(features), edges, after, middle, prior, made, gains, splits)
 
 
+def _fit_apart(cells: DataFrame, m: int, missing: np.ndarray, size: int, rounds: int, depth: int, rate: float, l2: float, least: int) -> tuple:
+    """What follows ``years`` in a ``WalkForward``, each model fitted by a task on its cells, whose number the bins bound."""
+    d, inner = len(missing), (1 << depth) - 1
+    own = F.posexplode(F.transform(F.arrays_zip("_n", "_p"), lambda c: c))
+    rows = cells.select("_b", own.alias("_i", "_c")).select("_i", "_b", F.col("_c._n").alias("n"), F.col("_c._p").alias("p")).where("n > 0")
+    kinds = {"middle": "array<int>", "prior": "double", "feature": "array<int>", "cut": "array<int>", "leaf": "array<double>", "gains": "array<double>", "splits": "array<int>"}
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        raw = _matrix(table.column("_b").combine_chunks(), d)
+        n, p = (table.column(c).to_numpy() for c in "np")
+        order = np.lexsort(raw.T)  # sums don't depend on how rows came
+        raw, n, p = raw[order], n[order], p[order]
+        prior, middle = _start(_by_node(raw, np.zeros(len(n), int), np.stack([p, n, n], axis=1), 1, size), missing)
+        b = np.where(raw == missing, middle[0], raw)
+        z, made, gains, splits = np.full(len(n), prior[0]), [], np.zeros((1, d)), np.zeros((1, d), int)
+        for _ in range(rounds):
+            tree, value = _blank(1, depth, size), _pull(n, p, z)
+            for level in range(depth):
+                _grow(tree, 0, level, _by_node(b, _nodes(b, tree, 0, level), value, 1 << level, size), rate, l2, least, gains, splits)
+            z += _margins(b, [tree], 0, depth)
+            made.append(tree)
+        parts = [np.concatenate([getattr(t, f)[0] for t in made]) if made else np.zeros(0) for f in Trees._fields]
+        out = [middle[0], prior[0], *parts, gains[0], splits[0]]
+        whole = {"middle", "feature", "cut", "splits"}
+        arrays = [pa.array([v.astype(np.int32 if k in whole else float) if k != "prior" else v]) for k, v in zip(kinds, out, strict=True)]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *arrays], ["_i", *kinds])
+
+    found = rows.groupBy("_i").applyInArrow(fit, ", ".join(f"{k} {v}" for k, v in {"_i": "int", **kinds}.items())).collect()  # a row a year
+    found.sort(key=lambda r: r["_i"])
+    take = {k: np.array([r[k] for r in found]) for k in kinds}
+    made = [
+        Trees(take["feature"][:, r * inner : (r + 1) * inner], take["cut"][:, r * inner : (r + 1) * inner], take["leaf"][:, r << depth : (r + 1) << depth])
+        for r in range(rounds)
+    ]
+    return take["middle"], take["prior"], made, take["gains"], take["splits"]
+
+
 def _advanced(cells: DataFrame, rounds: list[Trees], middle: np.ndarray, missing: np.ndarray, depth: int) -> DataFrame:
     m, d = middle.shape
 

@@ -244,7 +244,8 @@ def _plain_boost(rows, bins, prior_rows, rounds, rate, l2, least):
     return z
 
 
-def test_walkforward_trees_match_plain_boosting(spark):
+@pytest.mark.parametrize("held", [0, trees.HELD])
+def test_walkforward_trees_match_plain_boosting(spark, held):
     r = random.Random(11)
     rows = []
     for i in range(900):
@@ -253,7 +254,7 @@ def test_walkforward_trees_match_plain_boosting(spark):
         rows.append((i, r.choice([2001, 2002, 2003, 2004]), a, b, won))
     rows += [(900, None, 1.0, 1.0, 1.0), (901, 2003, 1.0, 1.0, None)]
     df = spark.createDataFrame(rows, "i int, y int, a double, b double, won double")
-    model = trees.fit_walkforward(df, "y", ["a", "b"], "won", rounds=12, bins=8, store=5, least=10)
+    model = trees.fit_walkforward(df, "y", ["a", "b"], "won", rounds=12, bins=8, store=5, least=10, held=held)
     got = {x.i: x.score for x in trees.score_walkforward(df, "y", model).collect()}
     assert set(got) == {x[0] for x in rows if x[1] in (2002, 2003, 2004)}
     for k, year in enumerate(model.years):
