@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -36,26 +36,34 @@ def a2(t: Tables) -> DataFrame:
     return rows.withColumns({c: S.iso_utc(F.col(c)) for c in ("captured_at", "available_at")})
 
 
-def _snapshot(t: Tables) -> str:
+@query("A3_snapshot_source", "select c_custkey || '|' || c_name || '|' || c_mktsegment as line from customer")
+def a3(t: Tables) -> DataFrame:
     path, base = scratch(t.spark, "source"), scratch(t.spark, "bronze")
     t.customer.select(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value")).write.text(path)
-    first = L.snapshot(t.spark, f"{path}/*.txt", base)
-    if L.snapshot(t.spark, f"{path}/*.txt", base) != first:
+    first = L.snapshot(t.spark, f"{path}/*.txt", base, 4096)
+    if L.snapshot(t.spark, f"{path}/*.txt", base, 4096) != first or L.latest_snapshot(t.spark, base) != f"{base}/{first}":
         raise ValueError("the same contents got another snapshot")
-    return f"{base}/{first}"
+    ranges = t.spark.read.parquet(f"{L.latest_snapshot(t.spark, base)}/files")
+    text = ranges.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("start", F.decode("content", "UTF-8").alias("s")))).alias("r"))
+    lines = text.select(F.explode(F.split(F.array_join(F.transform("r", lambda x: x["s"]), ""), "\n")).alias("line"))
+    return lines.where("line <> ''")
 
 
-@query("A3_snapshot_source", "select c_custkey || '|' || c_name || '|' || c_mktsegment as line from customer")
-def a3(t: Tables) -> DataFrame:
-    text = t.spark.read.parquet(f"{_snapshot(t)}/files").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    return text.where("line <> ''")
+@query("A24_verify_manifest", """
+    select c_name as name, case when c_custkey % 50 <> 0 then sha256(c_name) end as sha256,
+        case when c_custkey % 50 = 0 then sha256(c_name) when c_custkey % 7 = 0 then sha256(c_mktsegment) end as found
+    from customer where c_custkey % 50 = 0 or c_custkey % 7 = 0 or c_custkey % 11 = 0""")
+def a24(t: Tables) -> DataFrame:
+    """A file for each customer: one of 50 came after the manifest, of the others one of 7 was changed and one of 11 is gone."""
+    target, k = scratch(t.spark, "bronze"), F.col("c_custkey")
 
+    def write(rows: DataFrame, content: Column) -> None:
+        name, start, length = F.col("c_name").alias("name"), F.lit(0).cast("long").alias("start"), F.length(content).cast("long").alias("length")
+        rows.select(name, start, length, F.sha2(content, 256).alias("sha256"), content.cast("binary").alias("content")).write.mode("overwrite").parquet(f"{target}/files")
 
-@query("A24_verify_manifest", "select c_name as name, null::varchar as sha256, sha256(c_name) as found from customer where c_custkey % 50 = 0")
-def a24(t: Tables) -> DataFrame:
-    target = _snapshot(t)
-    odd = t.customer.where("c_custkey % 50 = 0").select(F.col("c_name").alias("name"), F.sha2("c_name", 256).alias("sha256"), F.length("c_name").cast("long").alias("length"), F.col("c_name").cast("binary").alias("content"))
-    odd.write.mode("append").parquet(f"{target}/files")  # files that the manifest doesn't have
+    write(t.customer.where(k % 50 != 0), F.col("c_name"))
+    L.write_manifest(t.spark, target)
+    write(t.customer.where((k % 50 == 0) | (k % 7 == 0) | (k % 11 != 0)), F.when((k % 50 != 0) & (k % 7 == 0), F.col("c_mktsegment")).otherwise(F.col("c_name")))
     return L.verify_manifest(t.spark, target)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,28 +29,87 @@ def load_odds_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return out.withColumn("captured_at", F.coalesce("captured_at", "available_at"))
 
 
-def snapshot(spark: SparkSession, path: str, base: str) -> str:
-    """Copy files to an immutable folder named by their contents, with a manifest; the same contents change nothing.
+#: Bytes of a file that one row of a snapshot holds.
+RANGE = 8 << 20
 
-    Returns the snapshot id, the first 16 hex digits of the hash over file names and hashes.
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each (path, start, length), one range at a time, with their hash."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            files, path = fs.FileSystem.from_uri(quote(row["path"], safe=":/@"))
+            with files.open_input_file(path) as f:
+                content = f.read_at(row["length"], row["start"])
+            if len(content) != row["length"]:
+                raise OSError(f"{row['path']} has changed while it was read")
+            new = [row["name"], row["start"], row["length"], hashlib.sha256(content).hexdigest(), content]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in new], ["name", "start", "length", "sha256", "content"])
+
+
+def _hashes(files: DataFrame) -> DataFrame:
+    """``(name, sha256, length)`` of every file: the hash of its contents if they are one range, else of the ranges' hashes in order."""
+    parts = F.array_sort(F.collect_list(F.struct("start", "sha256")))
+    whole = F.when(F.size(parts) == 1, parts[0]["sha256"]).otherwise(F.sha2(F.array_join(F.transform(parts, lambda x: x["sha256"]), ""), 256))
+    return files.groupBy("name").agg(whole.alias("sha256"), F.sum("length").alias("length"))
+
+
+def snapshot(spark: SparkSession, path: str, base: str, size: int = RANGE) -> str:
+    """Copy files to an immutable folder named by their contents, with a manifest, and point ``base``/latest to it.
+
+    Returns the snapshot id, the first 16 hex digits of the hash over file names and hashes; the same contents change nothing
+    but the pointer. Files are read once, in ranges of ``size`` bytes dealt over the tasks, so a file may be of any length;
+    their paths must be within reach of the tasks by the same address. What is copied is staged and renamed when it is
+    complete, the pointer is replaced last: a writer that fails leaves the old snapshot as the latest. Without files: an error.
     """
     files = spark.read.format("binaryFile").load(path)
+    address = F.regexp_replace("path", "^file:/+", "file:///").alias("path")
+    sized = files.select(address, "length")  # contents aren't read here, and Spark leaves out empty files
+    names = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")  # what Spark has listed itself
+    listed = names.select(address).join(sized, "path", "left").select("path", F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), "length", "content")
-    listed = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))
-    key = rows.agg(F.sha2(F.array_join(listed, "\n"), 256).alias("k")).first()["k"][:16]
-    target = f"{base}/{key}"
-    if not exists(spark, f"{target}/manifest/_SUCCESS"):
-        rows.write.mode("overwrite").parquet(f"{target}/files")
-        spark.read.parquet(f"{target}/files").select("name", "sha256", "length").write.mode("overwrite").json(f"{target}/manifest")
+    ranges = listed.select("path", name.alias("name"), F.col("length").alias("_all"), F.explode(starts).alias("start"))
+    ranges = ranges.withColumn("length", F.least(F.lit(size).cast("long"), F.col("_all") - F.col("start"))).drop("_all")
+    n = ranges.count()
+    if not n:
+        raise FileNotFoundError(f"no files at {path}")
+    staged = f"{base}/.staged-{uuid.uuid4().hex}"
+    dealt = ranges.repartition(min(n, 20000), "path", "start")
+    dealt.mapInArrow(_read_ranges, "name string, start long, length long, sha256 string, content binary").write.parquet(f"{staged}/files")
+    write_manifest(spark, staged)
+    rows = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))  # a line a file
+    key = read_manifest(spark, staged).agg(F.sha2(F.array_join(rows, "\n"), 256).alias("k")).first()["k"][:16]
+    if not exists(spark, f"{base}/{key}/manifest/_SUCCESS"):
+        _move(spark, staged, f"{base}/{key}")
+    else:
+        _drop(spark, staged)
+    pointer = f"{base}/.latest-{uuid.uuid4().hex}"
+    _write_text(spark, pointer, key)
+    _move(spark, pointer, f"{base}/latest", replace=True)
     return key
 
 
+def latest_snapshot(spark: SparkSession, base: str) -> str | None:
+    """The folder of the snapshot that was taken last, None if there is none or it is gone."""
+    if not exists(spark, f"{base}/latest"):
+        return None
+    target = f"{base}/{spark.read.text(f'{base}/latest').first()['value']}"
+    return target if exists(spark, target) else None
+
+
+def write_manifest(spark: SparkSession, target: str) -> None:
+    """Names, hashes and lengths of the files of a snapshot, as JSON beside them."""
+    _hashes(spark.read.parquet(f"{target}/files")).write.mode("overwrite").json(f"{target}/manifest")
+
+
+def read_manifest(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema("name string, sha256 string, length long").json(f"{target}/manifest")
+
+
 def verify_manifest(spark: SparkSession, target: str) -> DataFrame:
-    """Files of a snapshot whose contents don't match the manifest, or that one of the two lacks."""
-    have = spark.read.parquet(f"{target}/files").select("name", F.sha2("content", 256).alias("found"))
-    want = spark.read.schema("name string, sha256 string, length long").json(f"{target}/manifest")
-    return want.join(have, "name", "full").where(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", "sha256", "found")
+    """Files of a snapshot whose contents don't match the manifest, or that one of the two lacks; contents are hashed anew."""
+    have = _hashes(spark.read.parquet(f"{target}/files").withColumn("sha256", F.sha2("content", 256))).select("name", F.col("sha256").alias("found"))
+    return read_manifest(spark, target).join(have, "name", "full").where(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", "sha256", "found")
 
 
 def read_ndjson(spark: SparkSession, paths: str | list[str], schema: str, pattern: str = ".*") -> DataFrame:
@@ -112,6 +176,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _move(spark: SparkSession, source: str, target: str, replace: bool = False) -> None:
+    """Rename in the tables' file system, where a target that is there is kept unless it is to be replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    if replace:
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.getFileSystem(conf).getUri(), conf).rename(a, b, options)
+    elif not a.getFileSystem(conf).rename(a, b):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_partitioned(df: DataFrame, base: str, by: Sequence[str]) -> None:
     """Replace the touched partitions alone. Rows are dealt by partition, and a partition that is too large for a task to
     several of them."""

@@ -1,6 +1,7 @@
 """Files and streams."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -26,6 +27,38 @@ def test_snapshot_is_content_addressed(spark, tmp_path):
     assert a != L.snapshot(spark, str(tmp_path / "in"), str(tmp_path / "lake"))
 
 
+def test_snapshot_of_large_files_by_ranges(spark, tmp_path):
+    inside, lake = tmp_path / "in put", str(tmp_path / "lake")
+    inside.mkdir()
+    big, files = bytes(range(256)) * 40, {"big.bin": 0, "é 1%.csv": b"x,y\n", "empty.csv": b""}
+    files["big.bin"] = big + b"end"
+    for name, content in files.items():
+        (inside / name).write_bytes(content)
+    assert L.latest_snapshot(spark, lake) is None
+    a = L.snapshot(spark, str(inside), lake, 1000)
+    rows = spark.read.parquet(f"{lake}/{a}/files").orderBy("name", "start").collect()
+    got = {}
+    for r in rows:
+        assert r.start == len(got.get(r.name, b"")) and r.length == len(r.content) <= 1000
+        got[r.name] = got.get(r.name, b"") + bytes(r.content)
+    assert got == files and sum(r.name == "big.bin" for r in rows) == 11
+    kept = {r.name: (r.sha256, r.length) for r in L.read_manifest(spark, f"{lake}/{a}").collect()}
+    parts = "".join(hashlib.sha256(files["big.bin"][i : i + 1000]).hexdigest() for i in range(0, len(files["big.bin"]), 1000))
+    assert kept == {n: (hashlib.sha256(parts.encode() if n == "big.bin" else c).hexdigest(), len(c)) for n, c in files.items()}
+    assert L.verify_manifest(spark, f"{lake}/{a}").isEmpty() and L.latest_snapshot(spark, lake) == f"{lake}/{a}"
+    (inside / "big.bin").write_bytes(b"0" + files["big.bin"][1:])
+    b = L.snapshot(spark, str(inside), lake, 1000)
+    assert b != a and L.latest_snapshot(spark, lake) == f"{lake}/{b}"
+    (inside / "big.bin").write_bytes(files["big.bin"])
+    before = sorted(p.name for p in (tmp_path / "lake" / a / "files").iterdir())
+    assert L.snapshot(spark, str(inside), lake, 1000) == a and L.latest_snapshot(spark, lake) == f"{lake}/{a}"
+    assert before == sorted(p.name for p in (tmp_path / "lake" / a / "files").iterdir())
+    assert not [p for p in (tmp_path / "lake").iterdir() if p.name.startswith((".staged", ".latest-"))]
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        L.snapshot(spark, str(tmp_path / "none"), lake)
+
+
 def test_only_touched_partitions_are_replaced(spark, tmp_path):
     base = str(tmp_path / "t")
     L.write_partitioned(spark.createDataFrame([(1, 2024, "06"), (2, 2024, "07")], "v int, year int, venue string"), base, ["year", "venue"])
