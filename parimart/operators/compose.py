@@ -67,14 +67,19 @@ def market_probs(starts: DataFrame, race: str, item: str, odds: str, position: s
     return out.withColumn("calibrated_market_prob", market.power_calibrate("p", F.col("market_beta"), [race]))
 
 
-def handicap_features(starts: DataFrame, days: int = 365, gold: Sequence[DataFrame] = (), guard: Column | None = None) -> DataFrame:
+#: Names of races of some standing.
+GRADED_NAME = "(?i)(grade|g[123]|stakes|cup|記念|賞|sprint|derby|hope|hanshin|nakayama|tokyo|chukyo)"
+
+
+def handicap_features(starts: DataFrame, days: int = 365, gold: Sequence[DataFrame] = (), guard: Column | None = None, turf: str = "turf") -> DataFrame:
     """Market-blind features: recent form, distance to the bucket's par of earlier years, rates of horse, trainer, jockey,
     trainer with jockey and jockey at the track over ``days``, body weight and field size.
 
     A run counts from its ``available_at`` on, and only after its own day. ``last_3f_seconds``, ``body_weight_kg`` and
     ``distance_m`` are used where ``starts`` has them; other columns known before the race pass through. ``gold`` holds
     tables of one row for each (race_id, runner), such as those of going and training, that are joined on. ``guard``
-    keeps placeholder horses out of the history of horses.
+    keeps placeholder horses out of the history of horses. ``surface_turf`` and, where there is a ``race_name``,
+    ``is_filtered_name_match`` are 0 or 1.
     """
     has = set(starts.columns)
     extra = [c for c in ("last_3f_seconds", "body_weight_kg") if c in has]
@@ -96,6 +101,10 @@ def handicap_features(starts: DataFrame, days: int = 365, gold: Sequence[DataFra
     if "body_weight_kg" in has:
         out = out.withColumn("body_weight_delta_vs_last", F.col("body_weight_kg") - F.col("last_body_weight_kg")).drop("last_body_weight_kg")
     out = out.withColumn("field_size", F.count(F.lit(1)).over(Window.partitionBy("race_id")))
+    flags = {"surface_turf": F.col("surface") == turf}
+    if "race_name" in has:
+        flags["is_filtered_name_match"] = F.col("race_name").rlike(GRADED_NAME)
+    out = out.withColumns({c: F.coalesce(v.cast("int"), F.lit(0)) for c, v in flags.items()})
     for table in gold:
         out = out.join(table, ["race_id", "runner"], "left")
     # What the race itself brings out is no feature.
@@ -180,6 +189,50 @@ def score_combos(combos: DataFrame, marks: DataFrame, weights: dict[str, float],
     return out.withColumn("score", value).drop("_ba", "_bb")
 
 
+#: Weights of the probability and of log fair odds by personality, and what marks add.
+PERSONALITIES = {"safe": (7.0, 0.08), "balanced": (4.0, 0.35), "antiChalk": (4.0, 0.35), "longshot": (1.3, 0.95)}
+MARKS = {"like": 0.25, "priceHorse": 0.3, "anchor": 0.35 + 0.15, "distrust": -0.3}
+
+
+def score_styles(
+    combos: DataFrame, probs: DataFrame, marks: DataFrame, styles: Sequence[tuple[str, str, str]], group: str, item: str, p: str, places: Sequence[str],
+) -> DataFrame:
+    """``score`` of every combination for each of ``styles`` (name, personality, flavour), with its ``tag`` (chalk, blend, value).
+
+    To probability and log fair odds by personality come a share of 0.32 of the mean chance against (flavour value) or for it
+    (chalk), penalties for favourites alone, for a balanced style a reward of 0.45 for a favourite with an outsider or else
+    -0.3, and ``MARKS`` of ``marks`` (``group``, ``item``, mark). Favourites are the first third of the market, two at least,
+    ties by item. Combinations with a runner marked avoid, or without every anchor of their race, are left out, as are those
+    without a probability. A field comes to its combinations as one map: a single join, whatever the number of places.
+    """
+    w = Window.partitionBy(group)
+    known = F.coalesce(F.col(p) > 0, F.lit(False))
+    rank = F.row_number().over(w.orderBy(F.desc(known), F.desc(p), item))
+    favourite = known & (rank <= F.greatest(F.lit(2), F.ceil(F.count_if(known).over(w) / 3)))
+    bonus = reduce(lambda c, m: c.when(F.col("mark") == m[0], m[1]), MARKS.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    of = marks.select(group, item, "mark").distinct().groupBy(group, item).agg(
+        F.sum(bonus).alias("bonus"), F.max((F.col("mark") == "avoid").cast("int")).alias("avoid"), F.max((F.col("mark") == "anchor").cast("int")).alias("anchor")
+    )
+    field = probs.where(F.col(item).isNotNull()).select(group, item, F.when(known, F.col(p)).otherwise(0.0).alias("p"), favourite.cast("int").alias("fav")).join(of, [group, item], "full")
+    names = {"p": 0.0, "fav": 0, "bonus": 0.0, "avoid": 0, "anchor": 0}
+    entry = F.struct(F.col(item), F.struct(*[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in names.items()]))
+    fields = field.where(F.col(item).isNotNull()).groupBy(group).agg(F.map_from_entries(F.collect_list(entry)).alias("_field"), F.sum(F.coalesce("anchor", F.lit(0))).alias("_anchors"))
+    rows = combos.where("prob > 0").join(fields, group, "left")
+    total = lambda c: reduce(lambda x, y: x + y, [F.coalesce(F.try_element_at("_field", F.col(n))[c], F.lit(names[c])) for n in places])
+    rows = rows.withColumns({f"_{c}": total(c) for c in names}).where((F.col("_avoid") == 0) & (F.col("_anchor") == F.coalesce("_anchors", F.lit(0))))
+    k = len(places)
+    rows = rows.withColumn("tag", F.when(F.col("_fav") == k, "chalk").when(F.col("_fav") == 0, "value").otherwise("blend"))
+    options = F.array(*[F.struct(F.lit(n).alias("style"), F.lit(who).alias("who"), F.lit(flavour).alias("flavour"), *[F.lit(v).alias(c) for v, c in zip(PERSONALITIES[who], ("hit", "pay"), strict=True)]) for n, who, flavour in styles])
+    rows = rows.withColumn("_s", F.explode(options))
+    who, flavour, against = F.col("_s.who"), F.col("_s.flavour"), 1 - F.col("_p") / k
+    score = F.col("prob") * F.col("_s.hit") + F.ln(F.greatest(F.lit(1.0), 1.0 / F.col("prob"))) * F.col("_s.pay") + F.col("_bonus")
+    score += F.when(flavour == "value", against * 0.32).when(flavour == "chalk", (1 - against) * 0.32).otherwise(0.0)
+    chalk = F.col("tag") == "chalk"
+    score -= F.when(chalk & (who == "antiChalk"), 0.55).otherwise(0.0) + F.when(chalk & (who != "safe"), 0.25).otherwise(0.0)
+    score += F.when(who != "balanced", 0.0).when(F.col("tag") == "blend", 0.45).otherwise(-0.3)
+    return rows.select(*combos.columns, F.col("_s.style").alias("style"), "tag", score.alias("score"))
+
+
 def trim_lines(scored: DataFrame, ticket: Sequence[str], item: Sequence[str], unit: float, most: int) -> DataFrame:
     """Best-scored lines of a ticket as long as the best return exceeds the cost, ``most`` at most."""
     w = Window.partitionBy(*ticket).orderBy(F.desc("score"), *item).rowsBetween(Window.unboundedPreceding, 0)
@@ -281,12 +334,19 @@ def day_pipeline(spark: SparkSession, folder: str, lake: str, schema: str, race:
     return out
 
 
-def validate_features(df: DataFrame, race: str, date: str, p: str, base: Sequence[str], extra: Sequence[str], odds: str, won: Column, z: Sequence[str] = (), since: int = 2023, share: float = 0.7, top: float = 0.75) -> DataFrame:
-    """One row: what ``extra`` features add to ``base`` ones on races that neither fit has seen.
+def validate_features(
+    df: DataFrame, race: str, date: str, p: str, base: Sequence[str], extra: Sequence[str], odds: str, won: Column, z: Sequence[str] = (), since: int = 2023,
+    share: float = 0.7, top: float = 0.75, subsets: dict[str, Column] | None = None, draws: int = evaluate.DRAWS, least: int = 50, takeout: float = 0.23,
+) -> DataFrame:
+    """What ``extra`` features add to ``base`` ones on races that neither fit has seen: a row for each of ``subsets``.
 
     The first ``share`` of each era's races (before the year ``since``, and from it on) fit both logistic models, with ``z``
     columns taken within the race as ``<name>_z`` and missing values as 0. Of the others come the mean loss per winner of both,
-    and the runners, hit rate and return of the quarter (from quantile ``top``) whose enhanced probability exceeds ``p`` most.
+    and the runners, hit rate and return of the quarter (from quantile ``top`` of all of them) whose enhanced probability exceeds
+    ``p`` most. The loss's change and the return have 95 % intervals over resampled dates, ``draws`` of them. ``subsets`` name
+    conditions on the tested runners, such as a kind of course; one with fewer than ``least`` runners has no row. The default is
+    ``all``. ``verdict`` is edge if the loss falls for sure and the return is above that of ``takeout``, harm if it rises, else
+    inconclusive.
     """
     used = [*base, *extra]
     rows = df.withColumns({f"{c}_z": market.group_z(c, [race]) for c in z}).withColumn("_y", F.coalesce(won.cast("double"), F.lit(0.0)))
@@ -297,13 +357,27 @@ def validate_features(df: DataFrame, race: str, date: str, p: str, base: Sequenc
     for name, columns in (("baseline", base), ("enhanced", used)):
         test = evaluate.fit_logit_probs(train, test, columns, "_y", [race]).withColumnRenamed("model_prob", f"{name}_prob")
     test = stored(test.withColumn("_d", F.col("enhanced_prob") / F.greatest(F.col(p), F.lit(1e-9))), "validated")
-    wins = F.col("_y") > 0
-    loss = [(F.sum(F.when(wins, -F.ln(F.greatest(F.col(f"{n}_prob"), F.lit(1e-12))))) / F.count_if(wins)).alias(f"{n}_log_loss") for n in ("baseline", "enhanced")]
-    whole = test.agg(F.countDistinct(race).alias("races"), F.count(F.lit(1)).alias("runners"), *loss, F.percentile("_d", F.lit(top)).alias("_cut"))
-    n = F.count(F.lit(1))
-    back = F.sum(F.when(wins, F.coalesce(F.col(odds), F.lit(0.0))).otherwise(0.0))
-    picked = test.join(F.broadcast(whole.select("_cut")), F.col("_d") >= F.col("_cut"))
-    return whole.drop("_cut").join(F.broadcast(picked.agg(n.alias("stakes"), F.avg("_y").alias("hit_rate"), (F.try_divide(back, n) - 1).alias("roi"))))
+    cut = test.agg(F.percentile("_d", F.lit(top)).alias("_cut"))
+    test = test.join(F.broadcast(cut), how="left")
+    wins, one = F.col("_y") > 0, F.lit(1.0)
+    nll = lambda n: -F.ln(F.greatest(F.col(f"{n}_prob"), F.lit(1e-12)))
+    loss = [(F.sum(F.when(wins, nll(n))) / F.count_if(wins)).alias(f"{n}_log_loss") for n in ("baseline", "enhanced")]
+    hit, back = F.col("_d") >= F.col("_cut"), F.when(wins, F.coalesce(F.col(odds), F.lit(0.0))).otherwise(0.0) - 1
+    out = None
+    for label, condition in (subsets or {"all": F.lit(True)}).items():
+        part = test.where(condition)
+        sums = part.agg(
+            F.countDistinct(race).alias("races"), F.count(F.lit(1)).alias("runners"), *loss, F.count_if(hit).alias("stakes"),
+            F.avg(F.when(hit, F.col("_y"))).alias("hit_rate"), F.avg(F.when(hit, back)).alias("roi"),
+        ).where(F.col("runners") >= least)
+        for name, picked, value in (("delta", wins, nll("enhanced") - nll("baseline")), ("roi", hit, back)):
+            dated = part.where(picked).select(date, value.alias("_a"), one.alias("_b"))
+            ends = evaluate.cluster_bootstrap(dated, date, "_a", "_b", draws).select(F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+            sums = sums.join(F.broadcast(ends), how="left")  # both are one row
+        sums = sums.select(F.lit(label).alias("subset"), "*")
+        out = sums if out is None else out.unionByName(sums)
+    sure = F.when((F.col("delta_hi") < 0) & (F.col("roi_lo") > -takeout), "edge").when(F.col("delta_lo") > 0, "harm").otherwise("inconclusive")
+    return out.withColumns({"delta_log_loss": F.col("enhanced_log_loss") - F.col("baseline_log_loss"), "verdict": sure})
 
 
 def fold_groups(

@@ -65,7 +65,8 @@ def _trailing(name: str, keys: str) -> str:
         cast(t.n as bigint) as trainer_starts_365d, round(t.w / t.n, 9) as trainer_winrate_365d, round(t.p / t.n, 9) as trainer_top3rate_365d,
         cast(j.n as bigint) as jockey_starts_365d, round(j.w / j.n, 9) as jockey_winrate_365d, round(j.p / j.n, 9) as jockey_top3rate_365d,
         cast(c.n as bigint) as trainer_jockey_combo_starts_365d, round(c.w / c.n, 9) as trainer_jockey_combo_winrate_365d,
-        cast(k.n as bigint) as jockey_track_starts_365d, round(k.w / k.n, 9) as jockey_track_winrate_365d, count(*) over (partition by s.race_id) as field_size
+        cast(k.n as bigint) as jockey_track_starts_365d, round(k.w / k.n, 9) as jockey_track_winrate_365d, count(*) over (partition by s.race_id) as field_size,
+        case when s.surface = 'O' then 1 else 0 end as surface_turf, case when s.race_id % 3 = 0 then 1 else 0 end as is_filtered_name_match
     from starts s left join f using (horse_id, race_date) left join e using (horse_id, race_date) left join t using (trainer_id, race_date) left join j using (jockey_id, race_date)
         left join c using (trainer_id, jockey_id, race_date) left join k using (jockey_id, racecourse, race_date) left join own using (horse_id, race_date, racecourse, surface, going_wetness)
         left join par on par.racecourse is not distinct from s.racecourse and par.surface is not distinct from s.surface and par.going_wetness is not distinct from s.going_wetness and par.y = year(s.race_date)""")
@@ -73,13 +74,14 @@ def h7(t: Tables) -> DataFrame:
     # The view is read a dozen times; written once, it is not built anew for each.
     path = scratch(t.spark, "starts")
     t.starts.write.parquet(path)
-    out = C.handicap_features(t.spark.read.parquet(path))
+    named = F.when(F.col("race_id") % 3 == 0, F.concat(F.lit("Spring Cup "), F.col("race_id"))).when(F.col("race_id") % 3 == 1, F.lit("Maiden"))
+    out = C.handicap_features(t.spark.read.parquet(path).withColumn("race_name", named), turf="O")
     rates = [c for c in out.columns if ("_winrate_" in c or "_top3rate_" in c) and c.split("_")[0] != "horse" and c not in ("trainer_jockey_combo_top3rate_365d", "jockey_track_top3rate_365d")]
     counts = ["wins_last_10", "starts_last_10", *[c for c in out.columns if "_starts_" in c], "field_size"]
     return out.select(
         "race_id", "runner", F.col("last_finish_pos").cast("int").alias("last_finish_pos"), "last_finish_time_sec", "days_since_last_race", F.round("avg_finish_pos_5", 9).alias("avg_finish_pos_5"),
         F.round(F.col("avg_finish_time_sec_5") + 1e-9, 5).alias("avg_finish_time_sec_5"), *[F.col(c).cast("long").alias(c) for c in counts],
-        (F.round(F.col("finish_time_par_delta") + 1e-9, 5) + 0.0).alias("finish_time_par_delta"), *[F.round(c, 9).alias(c) for c in rates],
+        (F.round(F.col("finish_time_par_delta") + 1e-9, 5) + 0.0).alias("finish_time_par_delta"), *[F.round(c, 9).alias(c) for c in rates], "surface_turf", "is_filtered_name_match",
     )
 
 
@@ -170,6 +172,29 @@ def j13(t: Tables) -> DataFrame:
     return _scored(t).select("race_id", "a", "b", F.round("score", 7).alias("score"))
 
 
+#: Name, personality and flavour.
+STYLES = [("steady", "safe", "chalk"), ("even", "balanced", "balanced"), ("contrarian", "antiChalk", "value"), ("dreamer", "longshot", "value")]
+
+
+@query("J13_score_styles", f"""with {P}, mk as (select race_id, runner, case when runner = 1 and race_id % 5 = 0 then 'anchor' when win_odds > 45 then 'avoid' when going_wetness = 1 then 'like' when going_wetness = 2 then 'distrust' when win_odds > 30 then 'priceHorse' end as mark from starts),
+    f as (select pr.race_id, pr.runner, p, mark, case when row_number() over (partition by pr.race_id order by p desc, pr.runner) <= greatest(2, ceil(count(*) over (partition by pr.race_id) / 3)) then 1 else 0 end as fav,
+        case mark when 'like' then 0.25::double when 'priceHorse' then 0.3 when 'anchor' then 0.5 when 'distrust' then -0.3 else 0 end as bonus, count(*) filter (where mark = 'anchor') over (partition by pr.race_id) as anchors
+        from pr join mk on pr.race_id = mk.race_id and pr.runner = mk.runner),
+    q as (select a.race_id, a.runner as a, b.runner as b, a.p * b.p / (1 - a.p) + a.p * b.p / (1 - b.p) as prob, 1 - (a.p + b.p) / 2 as against, a.fav + b.fav as fav, a.bonus + b.bonus as bonus
+        from f a join f b on a.race_id = b.race_id and a.runner < b.runner where a.mark is distinct from 'avoid' and b.mark is distinct from 'avoid'
+        and (case when a.mark = 'anchor' then 1 else 0 end) + (case when b.mark = 'anchor' then 1 else 0 end) = a.anchors),
+    st as (select * from (values ('steady', 'safe', 'chalk', 7.0::double, 0.08::double), ('even', 'balanced', 'balanced', 4, 0.35), ('contrarian', 'antiChalk', 'value', 4, 0.35), ('dreamer', 'longshot', 'value', 1.3, 0.95)) v(style, who, flavour, hit, pay))
+    select race_id, a, b, style, case fav when 2 then 'chalk' when 0 then 'value' else 'blend' end as tag, round(prob * hit + ln(greatest(1, 1 / prob)) * pay + bonus
+        + case flavour when 'value' then against * 0.32 when 'chalk' then (1 - against) * 0.32 else 0 end - case when fav = 2 and who = 'antiChalk' then 0.55 else 0 end
+        - case when fav = 2 and who <> 'safe' then 0.25 else 0 end + case when who <> 'balanced' then 0 when fav = 1 then 0.45 else -0.3 end, 6) as score
+    from q cross join st where prob > 0""")
+def j13_styles(t: Tables) -> DataFrame:
+    mark = F.when((F.col("runner") == 1) & (F.col("race_id") % 5 == 0), "anchor").when(F.col("win_odds") > 45, "avoid").when(F.col("going_wetness") == 1, "like").when(F.col("going_wetness") == 2, "distrust").when(F.col("win_odds") > 30, "priceHorse")
+    pairs = O.combos(_p(t), "race_id", "runner", "p", "quinella", 1.0)
+    out = C.score_styles(pairs, _p(t), t.starts.select("race_id", "runner", mark.alias("mark")), STYLES, "race_id", "runner", "p", ["a", "b"])
+    return out.select("race_id", "a", "b", "style", "tag", F.round("score", 6).alias("score"))
+
+
 @query("J14_trim_lines", f"""with {SC}, w as (select *, count(*) over o as n, max(est) over o as best from sc window o as (partition by race_id order by score desc, a, b rows between unbounded preceding and current row)),
     x as (select *, max(case when best <= n or n > 5 then 1 else 0 end) over (partition by race_id order by score desc, a, b rows between unbounded preceding and current row) as bad from w) select race_id, a, b from x where bad = 0""")
 def j14(t: Tables) -> DataFrame:
@@ -253,6 +278,16 @@ def k23(t: Tables) -> DataFrame:
     return C.validate_features(d, "race_id", "race_date", "p", ["lp", "going_wetness"], ["wet_edge_z"], "win_odds", F.col("finish_position") == 1, z=["wet_edge"], since=1997)
 
 
+@query("K23_training_validation")
+def k23_training(t: Tables) -> DataFrame:
+    """Works are earlier runs, as in H9, and the kinds of course are the surfaces."""
+    d = M.devig(t.starts, ["race_id"], "win_odds").withColumn("lp", F.ln("p"))
+    d = H.work_features(d, t.starts, "horse_id", "race_date", "available_at", "finish_time_seconds", ties=["race_id", "runner"])
+    kinds = {"all": F.lit(True), "slope": F.col("surface") == "F", "woodchip": F.col("surface") == "O"}
+    extra = ["work_recent_z", "work_accel", "work_best_z", "days_since_work"]
+    return C.validate_features(d, "race_id", "race_date", "p", ["lp"], extra, "win_odds", F.col("finish_position") == 1, z=["work_recent", "work_best"], since=1997, subsets=kinds)
+
+
 @query("B8_union_layouts", "select l_orderkey as id, l_shipdate as at, l_quantity as v, 'a' as layout from lineitem where l_returnflag = 'R' and l_partkey <> 1 union all select o_orderkey, o_orderdate, o_totalprice / 1000, 'b' from orders where o_orderstatus <> 'P'")
 def b8(t: Tables) -> DataFrame:
     a = t.lineitem.where("l_returnflag = 'R' and l_partkey <> 1").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("l_quantity").alias("v"), F.lit("a").alias("layout"))

@@ -103,6 +103,36 @@ def test_validation_of_features(spark):
     assert (got.races, got.runners) == (60, 240) and abs(got.baseline_log_loss - np.log(4)) < 1e-6
     assert got.enhanced_log_loss < got.baseline_log_loss - 0.1
     assert 60 <= got.stakes < 70 and got.roi == pytest.approx(4 * got.hit_rate - 1) and got.hit_rate > 0.4
+    assert got.subset == "all" and got.delta_log_loss == pytest.approx(got.enhanced_log_loss - got.baseline_log_loss) and got.verdict == "edge"
+    assert got.delta_lo < got.delta_log_loss < got.delta_hi < 0 and got.roi_lo < got.roi < got.roi_hi
+    parts = {"low": F.col("race") % 2 == 0, "none": F.col("race") < 0, "few": F.col("race") == 199, "all": F.lit(True)}
+    by = {r.subset: r for r in C.validate_features(df, "race", "d", "p", ["lp"], ["x_z"], "odds", F.col("won"), z=["x"], subsets=parts, draws=50).collect()}
+    assert set(by) == {"low", "all"} and by["low"].runners == 120 and by["all"].stakes == got.stakes and by["all"].delta_log_loss == pytest.approx(got.delta_log_loss)
+    assert by["low"].stakes < got.stakes and by["low"].delta_lo <= by["low"].delta_log_loss <= by["low"].delta_hi
+
+
+def test_ticket_styles_match_plain_scores(spark):
+    probs = [(1, 1, 0.5), (1, 2, 0.3), (1, 3, 0.2), (1, 4, 0.0), (1, 5, None), (2, 1, 0.6), (2, 2, 0.4), (3, 1, 0.5), (3, 2, 0.5)]
+    marks = [(1, 3, "like"), (1, 3, "like"), (1, 2, "distrust"), (2, 1, "avoid"), (3, 7, "anchor"), (1, 1, None), (9, None, "anchor")]
+    lines = [(1, 1, 2, 0.3), (1, 1, 3, 0.2), (1, 3, 4, 0.05), (1, 1, 2, 0.3), (2, 1, 2, 1.0), (3, 1, 2, 1.0), (4, 1, 2, 0.5), (1, 2, 3, 0.0), (1, 2, 3, None)]
+    got = C.score_styles(
+        spark.createDataFrame(lines, "race int, a int, b int, prob double"), spark.createDataFrame(probs, "race int, item int, p double"),
+        spark.createDataFrame(marks, "race int, item int, mark string"), [("s", "safe", "chalk"), ("e", "balanced", ""), ("x", "antiChalk", "value")],
+        "race", "item", "p", ["a", "b"],
+    ).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r.race, r.a, r.b, r.style), []).append((r.tag, r.score))
+    # Race 2 has its pair avoided, race 3 an anchor that is in none; race 4 has no market.
+    assert {k[:3] for k in found} == {(1, 1, 2), (1, 1, 3), (1, 3, 4), (4, 1, 2)} and len(found[1, 1, 2, "s"]) == 2
+    log = lambda q: math.log(1 / q)
+    want = {
+        (1, 1, 2, "s"): ("chalk", 0.3 * 7 + log(0.3) * 0.08 - 0.3 + 0.4 * 0.32), (1, 1, 2, "e"): ("chalk", 0.3 * 4 + log(0.3) * 0.35 - 0.3 - 0.25 - 0.3),
+        (1, 1, 2, "x"): ("chalk", 0.3 * 4 + log(0.3) * 0.35 - 0.3 - 0.25 - 0.55 + 0.6 * 0.32), (1, 1, 3, "e"): ("blend", 0.2 * 4 + log(0.2) * 0.35 + 0.25 + 0.45),
+        (1, 3, 4, "x"): ("value", 0.05 * 4 + log(0.05) * 0.35 + 0.25 + 0.9 * 0.32), (4, 1, 2, "s"): ("value", 0.5 * 7 + log(0.5) * 0.08),
+    }
+    for k, (tag, score) in want.items():
+        assert found[k][0][0] == tag and found[k][0][1] == pytest.approx(score), k
 
 
 def test_running_sum_over_ranges(spark):
