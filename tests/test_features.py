@@ -49,6 +49,51 @@ def test_beta_walkforward_schedule(spark):
     assert got[59][1] == 0.5
 
 
+def test_market_probs_match_a_plain_walk(spark):
+    r, races, rows = random.Random(4), [], []
+    for i in range(70):
+        odds = [round(r.uniform(1.5, 30), 1) for _ in range(r.choice([2, 5, 8]))]
+        winner, as_of = r.choices(range(len(odds)), [1 / o**1.4 for o in odds])[0], r.randrange(90)
+        races.append((i, as_of, None if i % 11 == 5 else as_of + r.randrange(1, 15), odds, winner))
+        rows += [(i, k, o, 1 if k == winner else 2, as_of, races[-1][2]) for k, o in enumerate(odds)]
+    grid, first, window, every = [0.6, 0.8, 1.0, 1.2, 1.4], 8, 20, 6
+    df = spark.createDataFrame(rows, "race int, item int, odds double, position int, as_of int, known int").repartition(3)
+    got = {(x.race, x["item"]): x for x in C.market_probs(df, "race", "item", "odds", "position", "as_of", "known", grid, first=first, window=window, every=every).collect()}
+    assert len(got) == len(rows)
+    p = {i: [1 / o / sum(1 / x for x in odds) for o in odds] for i, _, _, odds, _ in races}
+    powered = lambda i, b: [x**b / sum(y**b for y in p[i]) for x in p[i]]
+    order = [i for i, _, known, _, _ in sorted((x for x in races if x[2] is not None), key=lambda x: (x[2], x[0]))]
+    size = {i: sum(k is not None and k <= t for _, _, k, _, _ in races) for i, t, _, _, _ in races}
+    fit, last = {}, 0
+    for n in sorted(set(size.values())):
+        if n >= first and (last < first or n - last >= every):
+            last = n
+        past = order[max(0, last - window) : last]
+        fit[n] = min(grid, key=lambda b: (round(sum(-math.log(powered(i, b)[races[i][4]]) for i in past) / len(past), 12), b)) if past else 1.0
+    assert len(set(fit.values())) > 2
+    for i, _, _, odds, _ in races:
+        for k in range(len(odds)):
+            x = got[i, k]
+            assert x.market_beta == fit[size[i]] and x.p == pytest.approx(p[i][k]) and x.calibrated_market_prob == pytest.approx(powered(i, fit[size[i]])[k])
+
+
+def test_logit_probs_match_newton_steps(spark):
+    g = np.random.default_rng(8)
+    x = g.normal(size=(600, 2)) * [1, 5]
+    y = (g.random(600) < 1 / (1 + np.exp(1.5 - x[:, 0] + 0.1 * x[:, 1]))).astype(float)
+    df = spark.createDataFrame([(i, i // 6, *map(float, x[i]), float(y[i])) for i in range(600)], "i int, race int, a double, b double, y double")
+    train, test = df.where("race < 60"), df.where("race >= 60")
+    got = {r.i: r.model_prob for r in K.fit_logit_probs(train, test, ["a", "b"], "y", ["race"]).collect()}
+    design, of = np.c_[np.ones(600), x], y[:360]
+    weight, w = np.where(of == 1, 0.5 / of.mean(), 0.5 / (1 - of.mean())), np.zeros(3)
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-design[:360] @ w))
+        w += np.linalg.solve((design[:360].T * (weight * q * (1 - q))) @ design[:360], design[:360].T @ (weight * (of - q)))
+    plain = 1 / (1 + np.exp(-design[360:] @ w)).reshape(-1, 6)
+    plain = (plain / plain.sum(axis=1, keepdims=True)).ravel()
+    assert sorted(got) == list(range(360, 600)) and max(abs(got[360 + i] - v) for i, v in enumerate(plain)) < 1e-4
+
+
 def test_bins_conventions(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (0.5,), (1.0,)], "p double")
     right = [r[0] for r in df.select(K.binned(F.col("p"), [0, 0.1, 0.5, 1.0])).collect()]
