@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .relational import running_sum
+from .grids import best_before, lists, over_grid
 
 # What each pool returns of its stakes, and the usual exponent for later places.
 RETURN = {"quinella": 0.775, "wide": 0.775, "exacta": 0.75, "trio": 0.75, "trifecta": 0.725, "bracket_quinella": 0.775}
@@ -151,48 +153,72 @@ def classify_structure(lines: DataFrame, ticket: str, places: int, ordered: bool
     return counts.join(items, ticket).select(ticket, "n", "n_lines", F.when(box, "box").otherwise("custom").alias("structure"))
 
 
-def gamma_likelihood(probs: DataFrame, finish: DataFrame, group: str, item: str, p: str, grid: Sequence[float], places: int = 3) -> DataFrame:
+def placed_fields(probs: DataFrame, finish: DataFrame, group: str, item: str, p: str, places: int) -> DataFrame:
+    """A row a group: ``lps``, the logs of its items' probabilities, and ``firsts``, those of its first ``places`` finishers (null if none).
+
+    Groups with a finisher that has no probability are left out, and those without a first one.
+    """
+    lp = F.ln(F.greatest(F.col(p), F.lit(1e-12)))
+    placed = finish.where(F.col("position") <= places).select(group, F.col(item).alias("_i"), F.lit(None).cast("double").alias("_lp"), F.col("position").cast("int").alias("_at"))
+    rows = probs.select(group, F.col(item).alias("_i"), lp.alias("_lp"), F.lit(None).cast("int").alias("_at")).unionByName(placed)
+    items = rows.repartition(group).groupBy(group, "_i").agg(F.collect_list("_lp").alias("_lp"), F.collect_list("_at").alias("_at"))
+    at = [F.max(F.when(F.array_contains("_at", k), F.array_max("_lp"))) for k in range(1, places + 1)]
+    each = F.flatten(F.array_repeat("_lp", F.greatest(F.lit(1), F.size("_at"))))
+    lost = F.bool_or((F.size("_lp") == 0) | F.col("_i").isNull() & (F.size("_at") > 0))
+    fields = items.groupBy(group).agg(F.array_sort(F.flatten(F.collect_list(each))).alias("lps"), F.array(*at).alias("firsts"), lost.alias("_lost"))
+    return fields.where(F.col(group).isNotNull() & ~F.col("_lost") & F.col("firsts")[0].isNotNull()).drop("_lost")
+
+
+def _likelihoods(grid: Sequence[float], places: int, digits: int | None = None) -> Callable[[pa.RecordBatch], np.ndarray]:
+    def f(batch: pa.RecordBatch) -> np.ndarray:
+        lps, begin = lists(batch.column("lps"))
+        firsts = lists(batch.column("firsts"))[0].astype(float).reshape(-1, places)
+        out = np.empty((batch.num_rows, len(grid)))
+        for j, g in enumerate(grid):
+            left = np.add.reduceat(np.exp(g * lps), begin)
+            ll = np.zeros(len(left))
+            for k in range(places):
+                term = g * firsts[:, k]
+                there = ~np.isnan(term)
+                ll += np.where(there, term - np.log(np.maximum(left, 1e-300)), 0.0)
+                left = left - np.where(there, np.exp(term), 0.0)
+            out[:, j] = ll
+        return out if digits is None else np.round(out, digits)
+
+    return f
+
+
+def gamma_likelihood(probs: DataFrame, finish: DataFrame, group: str, item: str, p: str, grid: Sequence[float], places: int = 3, compact: bool = False) -> DataFrame:
     """``(group, gamma, ll)``: log-likelihood of each group's first ``places`` finishers over a grid of exponents.
 
-    Runners are crossed with the short grid; totals less those already placed come from one aggregation. Groups
-    with a finisher that has no probability are left out.
+    A group is one row with its probabilities until the grid is unfolded, after all shuffles; with ``compact`` that row is returned, for
+    ``fit_gamma_walkforward`` with a ``grid``. Groups with a finisher that has no probability are left out.
     """
-    places_of = finish.where(F.col("position") <= places).select(group, item, "position")
-    known = probs.join(places_of, [group, item], "left").withColumn("lp", F.ln(F.greatest(F.col(p), F.lit(1e-12))))
-    bad = places_of.join(probs.select(group, item), [group, item], "left_anti").select(group).distinct()
-    rows = known.join(bad, group, "left_anti").withColumn("gamma", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    s = F.exp(F.col("gamma") * F.col("lp"))
-    at = lambda k: F.max(F.when(F.col("position") == k, F.col("lp")))
-    agg = rows.groupBy(group, "gamma").agg(F.sum(s).alias("S"), *[at(k).alias(f"l{k}") for k in range(1, places + 1)])
-    ll, left = F.lit(0.0), F.col("S")
-    for k in range(1, places + 1):
-        term = F.col("gamma") * F.col(f"l{k}")
-        ll += F.when(F.col(f"l{k}").isNotNull(), term - F.ln(F.greatest(left, F.lit(1e-300)))).otherwise(0.0)
-        left -= F.coalesce(F.exp(term), F.lit(0.0))
-    return agg.where("l1 is not null").select(group, "gamma", ll.alias("ll"))
-
-
-def fit_gamma_walkforward(curves: DataFrame, order: Sequence[str], group: str, window: int = 1000, default: float = 1.0) -> DataFrame:
+    fields = placed_fields(probs, finish, group, item, p, places)
+    return fields if compact else over_grid(fields, [group], _likelihoods(grid, places), grid, "gamma", "ll")
+
+
+def fit_gamma_walkforward(
+    curves: DataFrame, order: Sequence[str], group: str, window: int = 1000, default: float = 1.0, grid: Sequence[float] | None = None, places: int = 3, digits: int | None = None
+) -> DataFrame:
     """``(group, gamma)``: for each group the exponent that fits the ``window`` groups before it best.
 
-    Ties go to the smallest exponent; earlier groups get ``default``. A group is one row with its curve, numbered in ``order``
-    and in a block of ``window``. The window before a group is the end of the block before and the beginning of its own, so
-    running sums from either side of the blocks, added, are its total: no frame slides, and a task holds a block.
+    Ties go to the smallest exponent; earlier groups get ``default``. ``curves`` has a row for each group and exponent, or with
+    ``grid`` the compact rows of ``gamma_likelihood``, whose likelihoods are rounded to ``digits``. Groups are numbered in ``order``,
+    and ``best_before`` sums their curves in blocks.
     """
     cols = list(dict.fromkeys([*order, group]))
-    wide = stored(curves.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("gamma", "ll"))).alias("_c")), "curves")
-    first = wide.select(F.col("_c.gamma").alias("g")).first()
-    grid = first["g"] if first else []
-    rows = running_sum(wide, cols, F.lit(1).cast("long"), "n").withColumn("_b", F.floor((F.col("n") - 1) / window))
-    begin = Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    end = Window.partitionBy("_b").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    at = [F.col("_c")[k]["ll"] for k in range(len(grid))]
-    own = rows.select(group, "n", F.array(*[F.coalesce(F.sum(x).over(begin), F.lit(0.0)) for x in at]).alias("_own"))
-    earlier = rows.select((F.col("n") + window).alias("_n"), F.array(*[F.sum(x).over(end) for x in at]).alias("_earlier"))
-    both = own.join(earlier, F.col("n") == F.col("_n"), "left")
-    total = F.zip_with("_own", "_earlier", lambda x, y: x + y)
-    best = F.array_max(F.zip_with(total, F.array(*[F.lit(float(g)) for g in grid]), lambda t, g: F.struct(t.alias("t"), (-g).alias("g"))))
-    return both.select(group, F.when(F.col("_n").isNotNull(), -best["g"]).otherwise(default).alias("gamma"))
+    if grid is None:
+        wide = stored(curves.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("gamma", "ll"))).alias("_c")), "curves")
+        first = wide.select(F.col("_c.gamma").alias("g")).first()
+        grid = first["g"] if first else [default]
+        rows, n = wide.select(*cols, F.col("_c.ll").alias("_c")), len(grid)
+        f = lambda batch: lists(batch.column("_c"))[0].astype(float).reshape(-1, n)
+    else:
+        grid = sorted(grid)
+        rows, f = curves, _likelihoods(grid, places, digits)
+    best = best_before(rows, cols, group, window, f, grid, lambda total, count: total.argmax(axis=1), "gamma")
+    return best.select(group, F.when(F.col("n") > window, F.col("gamma")).otherwise(default).alias("gamma"))
 
 
 def fit_gamma_global(curves: DataFrame) -> DataFrame:

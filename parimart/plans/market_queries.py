@@ -266,9 +266,12 @@ LL = f"""{P}, sel as (select * from pr), g as (select unnest([0.6, 0.8, 1.0, 1.2
     ll as (select race_id, gamma, gamma * l1 - ln(s) + coalesce(gamma * l2 - ln(greatest(s - exp(gamma * l1), 1e-300)), 0) as ll from a)"""
 
 
-def _curves(t: Tables, grid=(0.6, 0.8, 1.0, 1.2), places: int = 2) -> DataFrame:
+SHORT = (0.6, 0.8, 1.0, 1.2)
+
+
+def _curves(t: Tables, grid=SHORT, places: int = 2, compact: bool = False) -> DataFrame:
     sel = _p(t)
-    return O.gamma_likelihood(sel, sel.select("race_id", "runner", F.col("finish_position").alias("position")), "race_id", "runner", "p", grid, places=places)
+    return O.gamma_likelihood(sel, sel.select("race_id", "runner", F.col("finish_position").alias("position")), "race_id", "runner", "p", grid, places=places, compact=compact)
 
 
 @query("J6_gamma_global", f"with {LL}, t as (select gamma, sum(ll) as ll from ll group by 1) select gamma, round(ll, 5) as ll from t order by ll desc, gamma limit 1")
@@ -279,7 +282,7 @@ def j6(t: Tables) -> DataFrame:
 @query("J5_gamma_walkforward", f"""with {LL}, w as (select *, row_number() over (partition by gamma order by race_id) as n, sum(round(ll, 9)) over (partition by gamma order by race_id rows between 100 preceding and 1 preceding) as total from ll),
     r as (select *, row_number() over (partition by race_id order by total desc, gamma) as rk from w) select race_id, case when n > 100 then gamma else 1.0 end as gamma from r where rk = 1""")
 def j5(t: Tables) -> DataFrame:
-    return O.fit_gamma_walkforward(_curves(t).withColumn("ll", F.round("ll", 9)), ["race_id"], "race_id", window=100)
+    return O.fit_gamma_walkforward(_curves(t, compact=True), ["race_id"], "race_id", window=100, grid=SHORT, places=2, digits=9)
 
 
 @query("J6_gamma_global_whole")
@@ -289,7 +292,7 @@ def j6_whole(t: Tables) -> DataFrame:
 
 @query("J5_gamma_walkforward_whole")
 def j5_whole(t: Tables) -> DataFrame:
-    return O.fit_gamma_walkforward(_curves(t, O.GAMMAS, 3).withColumn("ll", F.round("ll", 9)), ["race_id"], "race_id", window=1000)
+    return O.fit_gamma_walkforward(_curves(t, O.GAMMAS, 3, compact=True), ["race_id"], "race_id", window=1000, grid=O.GAMMAS, digits=9)
 
 
 BETS = "bets as (select race_id, 'win' as pool, lpad(cast(runner as varchar), 2, '0') as combo, 100 * (runner % 3 + 1) as stake from starts union all select race_id, 'win', '09', 300 from starts where runner = 1)"
