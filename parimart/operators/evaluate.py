@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import trees
+from .grids import lists, over_grid
 from .relational import remove_top, running_sum, top_k
 
 # Weights of a blend, and resamples of a bootstrap.
@@ -120,14 +121,32 @@ def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator:
 
 
 def blend_losses(df: DataFrame, race: str, logits: Sequence[str], won: Column, grid: Sequence[Sequence[float]], group: Sequence[str] = ()) -> DataFrame:
-    """Summed race log-loss of softmax blends of ``logits`` for each row of weights in a short grid."""
-    rows = df.withColumn("_w", won).withColumn("g", F.explode(F.array(*[F.struct(*[F.lit(float(x)).alias(f"w{k}") for k, x in enumerate(g)]) for g in grid])))
-    z = sum((F.col(f"g.w{k}") * F.col(c) for k, c in enumerate(logits)), F.lit(0.0))
-    rows = rows.withColumn("z", z)
-    by = rows.groupBy(*group, race, "g").agg(F.max("z").alias("m"), F.collect_list("z").alias("zs"), F.max(F.when(F.col("_w"), F.col("z"))).alias("x"))
-    lse = F.col("m") + F.ln(F.aggregate(F.transform("zs", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda a, v: a + v))
-    names = [F.col(f"g.w{k}").alias(f"w{k}") for k in range(len(logits))]
-    return by.where("x is not null").groupBy(*group, *names).agg(F.sum(lse - F.col("x")).alias("nll"), F.count(F.lit(1)).alias("races"))
+    """Summed race log-loss of softmax blends of ``logits`` for each row of weights in a grid.
+
+    A race is one row with its logits until the grid is unfolded, after the shuffle; sums are then taken in the tasks.
+    """
+    n, weights = len(logits), [[float(x) for x in g] for g in grid]
+    held = [F.collect_list(F.col(c).cast("double")).alias(f"_z{k}") for k, c in enumerate(logits)]
+    known = df.withColumn("_w", F.coalesce(won, F.lit(False)))
+    for c in logits:
+        known = known.where(F.col(c).isNotNull())
+    races = known.groupBy(*group, race).agg(*held, F.collect_list("_w").alias("_won")).where(F.exists("_won", lambda w: w))
+
+    def losses(batch: pa.RecordBatch) -> np.ndarray:
+        z, begin = zip(*[lists(batch.column(f"_z{k}")) for k in range(n)])
+        won, begin = lists(batch.column("_won"))[0].astype(bool), begin[0]
+        size = np.diff(np.append(begin, len(won)))
+        out = np.empty((batch.num_rows, len(weights)))
+        for j, g in enumerate(weights):
+            x = sum((w * v for w, v in zip(g, z)), np.zeros(len(won)))
+            most = np.maximum.reduceat(x, begin)
+            total = np.add.reduceat(np.exp(x - np.repeat(most, size)), begin)
+            out[:, j] = most + np.log(total) - np.maximum.reduceat(np.where(won, x, -np.inf), begin)
+        return out
+
+    each = over_grid(races, list(group), losses, range(len(weights)), "_g", "_loss")
+    names = [F.array(*[F.lit(g[k]) for g in weights])[F.col("_g").cast("int")].alias(f"w{k}") for k in range(n)]
+    return each.groupBy(*group, "_g").agg(F.sum("_loss").alias("nll"), F.count(F.lit(1)).alias("races")).select(*group, *names, "nll", "races")
 
 
 def best_blend(losses: DataFrame, weights: Sequence[str]) -> DataFrame:
