@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .grids import best_before, lists, numbers, over_grid
 from .relational import asof_join, growing_median, prior_history, running_sum
 
 # Annotation labels that may become features.
@@ -167,31 +170,52 @@ def smoothed_rate(wins: Column, n: Column, prior: Column, weight: float) -> Colu
     return (wins + weight * prior) / (n + weight)
 
 
-def beta_losses(df: DataFrame, race: str, p: str, won: Column, grid: Sequence[float]) -> DataFrame:
-    """``(race, beta, loss)``: minus log of the winner's calibrated probability, for each beta of a short grid."""
-    rows = df.withColumn("_w", won).withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in grid])))
-    powered = F.pow(F.greatest(F.col(p), F.lit(1e-12)), F.col("beta"))
-    out = rows.groupBy(race, "beta").agg(F.sum(powered).alias("s"), F.max(F.when(F.col("_w"), powered)).alias("x"))
-    return out.select(race, "beta", (-F.ln(F.greatest(F.col("x") / F.col("s"), F.lit(1e-12)))).alias("loss"))
+def _beta_losses(grid: Sequence[float], floor: float = 1e-12) -> Callable[[pa.RecordBatch], np.ndarray]:
+    def f(batch: pa.RecordBatch) -> np.ndarray:
+        ps, begin = lists(batch.column("ps"))
+        most, least = numbers(batch.column("most")), numbers(batch.column("least"))
+        out = np.empty((batch.num_rows, len(grid)))
+        for j, b in enumerate(grid):
+            x = np.maximum(most**b, least**b) / np.add.reduceat(ps**b, begin)
+            out[:, j] = -np.log(np.fmax(x, floor))  # without a winner, the floor
+        return out
 
+    return f
 
-def fit_beta_walkforward(losses: DataFrame, races: DataFrame, race: str, as_of: str, known: str, first: int = 20, window: int = 1000, every: int = 250) -> DataFrame:
+
+def beta_losses(df: DataFrame, race: str, p: str, won: Column, grid: Sequence[float], compact: bool = False) -> DataFrame:
+    """``(race, beta, loss)``: minus log of the winner's calibrated probability, for each beta of a grid.
+
+    A race is one row with its probabilities until the grid is unfolded, after all shuffles; with ``compact`` that row is returned,
+    for ``fit_beta_walkforward`` with a ``grid``.
+    """
+    q = F.greatest(F.col(p), F.lit(1e-12))
+    of = F.when(won, q)
+    races = df.groupBy(race).agg(F.array_sort(F.collect_list(q)).alias("ps"), F.max(of).alias("most"), F.min(of).alias("least"))
+    return races if compact else over_grid(races, [race], _beta_losses(grid), grid, "beta", "loss")
+
+
+def fit_beta_walkforward(
+    losses: DataFrame, races: DataFrame, race: str, as_of: str, known: str, first: int = 20, window: int = 1000, every: int = 250, grid: Sequence[float] | None = None
+) -> DataFrame:
     """``(race, n_history, beta)``: per race the beta fitted on results known by its decision time.
 
     History is ordered by (known, race). Its size n at a race fixes the fit: none below ``first``, a first fit there,
-    and another whenever ``every`` more are known. Prefix sums of loss per beta make any window a difference: blocks of
-    ``window`` races are summed apart and then in order. The schedule reads the distinct sizes in order, a batch at a time.
+    and another whenever ``every`` more are known. ``losses`` has a row for each race and beta, or with ``grid`` the compact rows of
+    ``beta_losses``; ``best_before`` sums them in blocks. The schedule reads the distinct sizes in order, a batch at a time.
     """
-    losses = stored(losses, "losses")
     done = races.where(F.col(known).isNotNull()).select(race, known)
-    one = F.lit(1).cast("long")
-    order = running_sum(done.join(losses.select(race).distinct(), race, "left_semi"), [known, race], one, "n").select(race, "n")
-    hist = losses.join(order, race).withColumn("_b", F.floor((F.col("n") - 1) / window))
-    blocks = hist.groupBy("beta", "_b").agg(F.sum(F.coalesce("loss", F.lit(0.0))).alias("_t"), F.count("loss").alias("_c"))
-    earlier = Window.partitionBy("beta").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("beta", "_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_t", "_c")])
-    w = Window.partitionBy("beta", "_b").orderBy("n")
-    hist = hist.join(blocks, ["beta", "_b"]).withColumn("total", F.col("_t") + F.sum(F.coalesce("loss", F.lit(0.0))).over(w)).withColumn("k", F.col("_c") + F.count("loss").over(w))
+    if grid is None:
+        wide = stored(losses.groupBy(race).agg(F.array_sort(F.collect_list(F.struct("beta", "loss"))).alias("_c")), "losses")
+        head = wide.select(F.col("_c.beta").alias("b")).first()
+        grid = head["b"] if head else [1.0]
+        rows, n = wide.select(race, F.col("_c.loss").alias("_c")), len(grid)
+        f = lambda batch: lists(batch.column("_c"))[0].astype(float).reshape(-1, n)
+    else:
+        grid = sorted(grid)
+        rows, f = losses, _beta_losses(grid)
+    mean = lambda total, count: np.round(total / count[:, None], 12).argmin(axis=1)
+    fits = best_before(done.join(rows, race), [known, race], race, window, f, grid, mean, "beta", current=True).select(F.col("n").alias("fit_n"), "beta")
     when = races.select(F.col(as_of).alias("_t"), F.lit(None).cast("long").alias("_k"), F.col(race).alias("_r")).withColumn("_side", F.lit(1))
     marks = races.where(F.col(known).isNotNull()).select(F.col(known).alias("_t"), F.lit(1).cast("long").alias("_k"), F.lit(None).cast(races.schema[race].dataType).alias("_r")).withColumn("_side", F.lit(0))
     # How many results are known by each race's time: counts per instant, then sums over instants.
@@ -210,9 +234,5 @@ def fit_beta_walkforward(losses: DataFrame, races: DataFrame, race: str, as_of:
             yield pd.DataFrame(out, columns=["n_history", "fit_n"])
 
     steps = sized.select("n_history").distinct().repartition(1).sortWithinPartitions("n_history").mapInPandas(schedule, "n_history long, fit_n long")
-    hi = hist.select(F.col("n").alias("fit_n"), "beta", F.col("total").alias("t1"), F.col("k").alias("k1"))
-    lo = hist.select((F.col("n") + window).alias("fit_n"), "beta", F.col("total").alias("t0"), F.col("k").alias("k0"))
-    fits = steps.select("fit_n").distinct().join(hi, "fit_n").join(lo, ["fit_n", "beta"], "left")
-    mean = (F.col("t1") - F.coalesce("t0", F.lit(0.0))) / (F.col("k1") - F.coalesce("k0", F.lit(0)))
-    best = fits.groupBy("fit_n").agg(F.min_by("beta", F.struct(F.round(mean, 12), "beta")).alias("beta"))
+    best = fits.join(F.broadcast(steps.select("fit_n").distinct()), "fit_n", "left_semi")
     return sized.join(steps, "n_history").join(best, "fit_n", "left").select(race, "n_history", F.coalesce("beta", F.lit(1.0)).alias("beta"))

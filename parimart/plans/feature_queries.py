@@ -145,9 +145,9 @@ LOSS = f"""{P}, loss as (select race_id, beta, -ln(greatest(max(case when finish
     from pr cross join (select unnest([0.5, 1.0, 1.5])::double as beta) group by 1, 2)"""
 
 
-def _losses(t: Tables, grid=H.BETAS) -> DataFrame:
+def _losses(t: Tables, grid=H.BETAS, compact: bool = False) -> DataFrame:
     p = M.devig(t.starts, ["race_id"], "win_odds")
-    return H.beta_losses(p, "race_id", "p", F.col("finish_position") == 1, grid)
+    return H.beta_losses(p, "race_id", "p", F.col("finish_position") == 1, grid, compact=compact)
 
 
 @query("H3_beta_losses", f"with {LOSS} select race_id, beta, round(loss, 8) + 0.0 as loss from loss")
@@ -163,7 +163,7 @@ def h3_whole(t: Tables) -> DataFrame:
 @query("H3_beta_walkforward")
 def h3b(t: Tables) -> DataFrame:
     races = t.starts.groupBy("race_id").agg(F.min("race_date").alias("as_of"), F.max("available_at").alias("known"))
-    return H.fit_beta_walkforward(_losses(t), races, "race_id", "as_of", "known")
+    return H.fit_beta_walkforward(_losses(t, compact=True), races, "race_id", "as_of", "known", grid=H.BETAS)
 
 
 @query("H8_trailing_rates", f"""
