@@ -22,7 +22,7 @@ from .relational_queries import WIN
 
 @query("U1_group_predictor", "select race_id, runner, round(1.0 / win_odds, 9) as score from starts")
 def u1(t: Tables) -> DataFrame:
-    return C.score_groups(t.starts.select("race_id", "runner", "win_odds"), "race_id", "runner", lambda g: 1.0 / g["win_odds"]).withColumn("score", F.round("score", 9))
+    return C.score_groups(t.once("starts").select("race_id", "runner", "win_odds"), "race_id", "runner", lambda g: 1.0 / g["win_odds"]).withColumn("score", F.round("score", 9))
 
 
 @query("U3_parameterised_sql", "select race_id, count(*) as n from starts where win_odds >= 30 group by 1")

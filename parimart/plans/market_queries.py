@@ -111,7 +111,7 @@ def e10(t: Tables) -> DataFrame:
 @query("E11_card_baseline", """
     select race_date, race_id, runner, first_value(case when going_wetness <> 1 then going_wetness end ignore nulls) over (partition by race_date order by race_id, runner rows between unbounded preceding and current row) as base_wetness from starts""")
 def e11(t: Tables) -> DataFrame:
-    s = t.starts.withColumn("wet", F.when(F.col("going_wetness") != 1, F.col("going_wetness")))
+    s = t.once("starts").withColumn("wet", F.when(F.col("going_wetness") != 1, F.col("going_wetness")))
     return s.select("race_date", "race_id", "runner", M.carry_first("wet", ["race_date"], ["race_id", "runner"]).alias("base_wetness"))
 
 
@@ -228,13 +228,9 @@ def _sets(t: Tables) -> DataFrame:
     return out
 
 
-@query("J10_formation", f"""with {SETS}, x as (select ticket, item from sets where place = 0), y as (select ticket, item from sets where place = 1), z as (select ticket, item from sets where place = 2),
-    lines as (select x.ticket, x.item as a, y.item as b, z.item as c from x join y on x.ticket = y.ticket and x.item <> y.item join z on x.ticket = z.ticket and x.item <> z.item and y.item <> z.item)
-    select ticket, count(*) as n_lines, cast(sum(cast('0x' || substr(md5(concat_ws('-', a, b, c)), 1, 8) as bigint)) as bigint) as digest from lines group by 1""")
+@query("J10_formation", f"with {SETS}, x as (select ticket, item from sets where place = 0), y as (select ticket, item from sets where place = 1), z as (select ticket, item from sets where place = 2) select x.ticket, x.item as a, y.item as b, z.item as c from x join y on x.ticket = y.ticket and x.item <> y.item join z on x.ticket = z.ticket and x.item <> z.item and y.item <> z.item")
 def j10(t: Tables) -> DataFrame:
-    # All lines of a ticket as their number and the sum of their hashes, whatever their order.
-    own = F.conv(F.substring(F.md5(F.concat_ws("-", "a", "b", "c")), 1, 8), 16, 10).cast("long")
-    return O.formation(_sets(t), "ticket", 3, ordered=True).groupBy("ticket").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(own).alias("digest"))
+    return O.formation(_sets(t), "ticket", 3, ordered=True)
 
 
 @query("J11_finalize_tickets", f"""with {P}, q as (select a.race_id, a.p * b.p / (1 - a.p) as prob from pr a join pr b on a.race_id = b.race_id and a.runner <> b.runner where a.runner <= 3 and b.runner <= 4),

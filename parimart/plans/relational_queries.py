@@ -127,7 +127,7 @@ def c7(t: Tables) -> DataFrame:
 @query("C10_semi_join", "select race_id, runner, win_odds from starts where race_id in (select o_orderkey from orders where o_totalprice > 200000)")
 def c10(t: Tables) -> DataFrame:
     keys = t.orders.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("race_id"))
-    return t.starts.join(keys, "race_id", "left_semi").select("race_id", "runner", "win_odds")
+    return t.once("starts").join(keys, "race_id", "left_semi").select("race_id", "runner", "win_odds")
 
 
 @query("C11_anti_join", "select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
@@ -268,7 +268,7 @@ def d12(t: Tables) -> DataFrame:
 def d13(t: Tables) -> DataFrame:
     tag = F.when(F.col("win_odds") < 10, "short").when(F.col("win_odds") < 30, "mid")
     n, wins = F.count(F.lit(1)), F.count_if(F.col("finish_position") == 1)
-    return t.starts.groupBy(F.coalesce(tag, F.lit("neutral")).alias("tag"), "surface").agg(
+    return t.once("starts").groupBy(F.coalesce(tag, F.lit("neutral")).alias("tag"), "surface").agg(
         n.alias("n"), wins.alias("wins"), F.round(F.sum(1.0 / F.col("win_odds")), 6).alias("expected"), F.round(wins / n, 9).alias("win_rate"),
         F.round(F.sum(F.when(F.col("finish_position") == 1, F.col("win_odds")).otherwise(0.0)) / n - 1, 9).alias("roi"),
     )
