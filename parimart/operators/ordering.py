@@ -135,7 +135,8 @@ def finalize_tickets(lines: DataFrame, ticket: str, unit: float, most: float = 0
         F.sum(F.col("prob") * F.col("est_payout") * unit).alias("expected"), F.avg(F.col("est_payout") * unit).alias("avg_payout"),
         F.max(F.col("est_payout") * unit).alias("best_case"),
     )
-    high = (F.col("hit_prob") < 0.15) | (F.col("avg_payout") / max(1.0, unit) > 30)
+    # Rounded, so that a sum that is the limit itself does not depend on the order it was taken in.
+    high = (F.round("hit_prob", 12) < 0.15) | (F.round(F.col("avg_payout") / max(1.0, unit), 9) > 30)
     return out.withColumn("variance", F.when(high, "high").otherwise("low"))
 
 

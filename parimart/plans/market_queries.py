@@ -235,7 +235,7 @@ def j10(t: Tables) -> DataFrame:
 
 @query("J11_finalize_tickets", f"""with {P}, q as (select a.race_id, a.p * b.p / (1 - a.p) as prob from pr a join pr b on a.race_id = b.race_id and a.runner <> b.runner where a.runner <= 3 and b.runner <= 4),
     f as (select race_id, count(*) as n_lines, count(*) * 100.0::double as cost, least(0.98::double, sum(prob)) as hit_prob, sum(prob * 0.75 / prob * 100) as expected, avg(0.75 / prob * 100) as avg_payout, max(0.75 / prob * 100) as best_case from q group by 1)
-    select race_id, n_lines, cost, round(hit_prob, 8) as hit_prob, round(expected, 5) as expected, round(avg_payout + 1e-9, 3) as avg_payout, round(best_case + 1e-9, 3) as best_case, case when hit_prob < 0.15 or avg_payout / 100 > 30 then 'high' else 'low' end as variance from f""")
+    select race_id, n_lines, cost, round(hit_prob, 8) as hit_prob, round(expected, 5) as expected, round(avg_payout + 1e-9, 3) as avg_payout, round(best_case + 1e-9, 3) as best_case, case when round(hit_prob, 12) < 0.15 or round(avg_payout / 100, 9) > 30 then 'high' else 'low' end as variance from f""")
 def j11(t: Tables) -> DataFrame:
     lines = O.price(O.combos(_p(t), "race_id", "runner", "p", "exacta", 1.0).where("a <= 3 and b <= 4"), "exacta")
     out = O.finalize_tickets(lines, "race_id", 100.0)

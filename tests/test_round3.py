@@ -1,4 +1,6 @@
 import __spark_entry__ as entry
+from parimart.operators import compose as C
+from parimart.operators import ordering as O
 from parimart.plans.bindings import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,26 @@ def test_formation_returns_its_lines(spark):
     lines = entry.queries()["J10_formation"](spark, SF)
     assert lines.columns == ["ticket", "a", "b", "c"]
     assert lines.where("a = b or a = c or b = c").isEmpty() and lines.distinct().count() == lines.count()
+
+
+def test_labels_and_bins_at_a_limit_ignore_the_order_of_sums(spark):
+    # 0.05 + 0.1 is above 0.15 by a rounding error, 0.1 + 0.05 - the same in another order of three - is not.
+    lines = spark.createDataFrame([(1, 0.1 + 0.05, 5.0), (2, 0.14999999999999997, 5.0), (3, 0.1499, 5.0)], "ticket int, prob double, est_payout double")
+    got = {r.ticket: r.variance for r in O.finalize_tickets(lines, "ticket", 100.0).collect()}
+    assert got == {1: "low", 2: "low", 3: "high"}
+    for name in ("K5_calibration_bins", "K6_reliability_by_flag"):
+        assert "round(" in entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("bin#")[-1]
+
+
+def test_day_pipeline_counts_files_not_ranges(spark, tmp_path, monkeypatch):
+    spark.range(200).selectExpr("id % 9 as race", "id as pos", "1.5 as v").repartition(2).write.option("header", True).csv(f"{tmp_path}/in")
+    real = C.snapshot
+    monkeypatch.setattr(C, "snapshot", lambda spark, folder, base: real(spark, folder, base, 64))
+    out = C.day_pipeline(spark, f"{tmp_path}/in/*.csv", f"{tmp_path}/lake", "race long, pos int, v double", "race", "pos")
+    assert {r.layer: r.n_rows for r in out.collect()} == {"bronze_files": 2, "silver": 200, "gold": 200, "mart": 9}
+
+
+def test_scores_of_groups_follow_their_rows(spark):
+    df = spark.createDataFrame([(g, i, float(g * 10 + i)) for g in range(300) for i in range(4)], "g int, i int, x double")
+    out = C.score_groups(df, "g", "i", lambda rows: rows.sort_values("x", ascending=False)["x"] - rows["x"].min())
+    assert {(r.g, r.i): r.score for r in out.collect()} == {(g, i): float(i) for g in range(300) for i in range(4)}
