@@ -298,17 +298,22 @@ def k4(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 7 if "loss" in c else 8) for c in out.columns if c != "winners"})
 
 
-@query("K5_calibration_bins", f"""with {P}, b as (select *, case when p > 0 and p <= 0.05 then 0 when p > 0.05 and p <= 0.1 then 1 when p > 0.1 and p <= 0.25 then 2 when p > 0.25 and p <= 1 then 3 end as bin from pr)
+def _rounded(t: Tables) -> DataFrame:
+    """Probabilities, and as ``r`` rounded: one that is the edge of a bin is in the same bin whatever the order its race was summed in."""
+    return M.devig(t.starts, ["race_id"], "win_odds").withColumn("r", F.round("p", 12))
+
+
+@query("K5_calibration_bins", f"""with {P}, b as (select *, case when r > 0 and r <= 0.05 then 0 when r > 0.05 and r <= 0.1 then 1 when r > 0.1 and r <= 0.25 then 2 when r > 0.25 and r <= 1 then 3 end as bin from (select *, round(p, 12) as r from pr))
     select bin, count(*) as n, round(avg((finish_position = 1)::int), 8) as observed, count(*) < 100 as thin, round(avg(p), 8) as mean_p, round(avg(pow(p - (finish_position = 1)::int, 2)), 8) as brier_p from b where bin is not null group by 1""")
 def k5(t: Tables) -> DataFrame:
-    out = K.calibration_bins(M.devig(t.starts, ["race_id"], "win_odds"), "p", ["p"], F.col("finish_position") == 1, [0, 0.05, 0.1, 0.25, 1.0], thin=100)
+    out = K.calibration_bins(_rounded(t), "r", ["p"], F.col("finish_position") == 1, [0, 0.05, 0.1, 0.25, 1.0], thin=100)
     return out.withColumns({c: F.round(c, 8) for c in ("observed", "mean_p", "brier_p")})
 
 
-@query("K6_reliability_by_flag", f"""with {P}, b as (select pr.*, s.surface, case when p >= 0 and p < 0.1 then 0 when p >= 0.1 and p < 0.3 then 1 when p >= 0.3 and p <= 1 then 2 end as bin from pr join starts s on pr.race_id = s.race_id and pr.runner = s.runner)
+@query("K6_reliability_by_flag", f"""with {P}, b as (select pr.*, s.surface, case when r >= 0 and r < 0.1 then 0 when r >= 0.1 and r < 0.3 then 1 when r >= 0.3 and r <= 1 then 2 end as bin from (select *, round(p, 12) as r from pr) pr join starts s on pr.race_id = s.race_id and pr.runner = s.runner)
     select surface, bin, count(*) as n, round(avg((finish_position = 1)::int), 8) as observed, count(*) < 50 as thin, round(avg(p), 8) as mean_p, round(avg(pow(p - (finish_position = 1)::int, 2)), 8) as brier_p from b where bin is not null group by 1, 2""")
 def k6(t: Tables) -> DataFrame:
-    out = K.calibration_bins(M.devig(t.starts, ["race_id"], "win_odds"), "p", ["p"], F.col("finish_position") == 1, [0, 0.1, 0.3, 1.0], closed="left", thin=50, group=["surface"])
+    out = K.calibration_bins(_rounded(t), "r", ["p"], F.col("finish_position") == 1, [0, 0.1, 0.3, 1.0], closed="left", thin=50, group=["surface"])
     return out.withColumns({c: F.round(c, 8) for c in ("observed", "mean_p", "brier_p")})
 
 
