@@ -2,6 +2,7 @@ import __spark_entry__ as entry
 from parimart.operators import compose as C
 from parimart.operators import ordering as O
 from parimart.plans.bindings import Tables
+from parimart.sources import lake as L
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,14 @@ def test_scores_of_groups_follow_their_rows(spark):
     df = spark.createDataFrame([(g, i, float(g * 10 + i)) for g in range(300) for i in range(4)], "g int, i int, x double")
     out = C.score_groups(df, "g", "i", lambda rows: rows.sort_values("x", ascending=False)["x"] - rows["x"].min())
     assert {(r.g, r.i): r.score for r in out.collect()} == {(g, i): float(i) for g in range(300) for i in range(4)}
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    spark.range(4000).selectExpr("cast(id as string)").repartition(2).write.text(f"{tmp_path}/in")
+    key = L.snapshot(spark, f"{tmp_path}/in/*.txt", f"{tmp_path}/bronze", 64)
+    held = spark.read.parquet(f"{tmp_path}/bronze/{key}/files")
+    assert held.count() > 200 and len(held.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+    text = {r.name: b"" for r in held.select("name").distinct().collect()}
+    for r in held.orderBy("name", "start").collect():
+        text[r.name] += bytes(r.content)
+    assert sorted(b"".join(text.values()).split()) == sorted(str(i).encode() for i in range(4000))
