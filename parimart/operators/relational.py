@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import stored
+from .histories import ask_by_entity, by_length, known_sums
 
 Keys = Sequence[str]
 
@@ -124,21 +126,41 @@ def prior_history(
 ) -> DataFrame:
     """Per target row totals over its entity's history before its date (and not more than ``days`` before) and known by ``as_of``.
 
-    History is summed by (entity, date, available) and numbered by date, so that what lies between two dates is a range of
-    numbers. A range is cut into at most two blocks of every power of two; a history row is in one block of each. Within a
-    block one running sum in order of availability answers all that ask: n log n rows for n days, and no pairs. ``sums``
-    maps names to per-row columns; ``guard`` keeps placeholder entities out. The target's columns, then the sums
-    (0 without history, or where a key, date or ``as_of`` is null).
+    ``sums`` maps names to per-row columns; ``guard`` keeps placeholder entities out. The target's columns, then the sums
+    (0 without history, or where a key, date or ``as_of`` is null). Rows and history meet once, by entity, and tasks answer
+    (``known_sums``); entities with more history than a task may hold are answered by ``_history_blocks``.
     """
     if guard is not None:
         history = history.where(guard)
-    keys = [f"_k{i}" for i in range(1 + len(group))]
-    own = [F.col(c).alias(k) for k, c in zip(keys, [entity, *group], strict=True)]
-    totals = [f"_s{i}" for i in range(len(sums))]
+    names = [entity, *group]
+    keys, totals = [f"_k{i}" for i in range(len(names))], [f"_s{i}" for i in range(len(sums))]
+    facts = history.select(
+        *[F.col(c).alias(k) for k, c in zip(keys, names)], F.col(date).alias("_d"), F.col(available).alias("_t"), *[c.alias(n) for n, c in zip(totals, sums.values())]
+    ).dropna(subset=[*keys, "_d", "_t"])
+    found = facts.agg(*[F.sum(n).alias(n) for n in totals]).schema
+    facts = facts.withColumns({f.name: F.coalesce(F.col(f.name).cast(f.dataType), F.lit(0).cast(f.dataType)) for f in found})
+    asked = {**dict(zip(keys, names)), "_d": date, "_t": as_of}
+    since = {} if days is None else {"_since": (F.col("_d") - F.expr(f"interval {days} days")).cast(target.schema[date].dataType)}
+    target, facts, long_target, long_facts = by_length(target, facts, keys, names)
+    answer = known_sums(totals, "_since" if since else None)
+    # Facts bring their sums under these names, answers come under others.
+    answers = StructType([StructField(f"_a{f.name}", f.dataType) for f in found])
+    out = ask_by_entity(target, asked, facts, keys, since, answer, answers)
+    if long_target is not None:
+        out = out.unionByName(_history_blocks(long_target, long_facts, asked, keys, totals, days).withColumnsRenamed({n: f"_a{n}" for n in totals}))
+    return out.select(*target.columns, *[F.coalesce(f"_a{n}", F.lit(0)).alias(name) for n, name in zip(totals, sums, strict=True)])
+
+
+def _history_blocks(target: DataFrame, facts: DataFrame, names: dict[str, str], keys: Keys, totals: Keys, days: int | None) -> DataFrame:
+    """``prior_history`` without a bound on an entity's rows: the target's columns and ``totals`` (null without history).
+
+    History is summed by (entity, date, available) and numbered by date, so that what lies between two dates is a range of
+    numbers. A range is cut into at most two blocks of every power of two; a history row is in one block of each. Within a
+    block one running sum in order of availability answers all that ask: n log n rows for n days, and no pairs.
+    """
     known = [*keys, "_d", "_t"]
-    facts = history.select(*own, F.col(date).alias("_d"), F.col(available).alias("_t"), *[c.alias(n) for n, c in zip(totals, sums.values(), strict=True)])
-    facts = facts.dropna(subset=known).groupBy(*known).agg(*[F.sum(n).alias(n) for n in totals]).withColumn("_fact", F.lit(1))
-    asked = target.select(*own, F.col(date).alias("_d"), F.col(as_of).alias("_t")).dropna().distinct().withColumn("_fact", F.lit(0))
+    facts = facts.groupBy(*known).agg(*[F.sum(n).alias(n) for n in totals]).withColumn("_fact", F.lit(1))
+    asked = target.select(*[F.col(c).alias(n) for n, c in names.items()]).dropna().distinct().withColumn("_fact", F.lit(0))
     edges = asked.withColumn("_at", F.col("_d"))
     if days is not None:
         edges = asked.withColumn("_at", F.explode(F.array("_d", (F.col("_d") - F.expr(f"interval {days} days")).cast(asked.schema["_d"].dataType))))
@@ -164,10 +186,9 @@ def prior_history(
     by_time = Window.partitionBy(*keys, "_level", "_block").orderBy("_t", F.desc("_fact")).rowsBetween(Window.unboundedPreceding, 0)
     found = holds.unionByName(asks, allowMissingColumns=True).withColumns({n: F.sum(n).over(by_time) for n in totals})
     found = found.where("_fact = 0").groupBy(*known).agg(*[F.sum(n).alias(n) for n in totals])
-    on = (F.col(date) == F.col("_d")) & (F.col(as_of) == F.col("_t"))
-    for k, c in zip(keys, [entity, *group], strict=True):
-        on &= F.col(c) == F.col(k)
-    return target.join(found, on, "left").select(*target.columns, *[F.coalesce(n, F.lit(0)).alias(name) for n, name in zip(totals, sums, strict=True)])
+    asking = target.select("*", *[F.col(c).alias(f"_q{n}") for n, c in names.items()])
+    on = [F.col(f"_q{n}") == F.col(n) for n in known]
+    return asking.join(found, on, "left").select(*target.columns, *totals)
 
 
 def growing_median(history: DataFrame, key: Keys, year: str, value: str, asked: DataFrame | None = None, chunk: int = 1024) -> DataFrame:

@@ -126,7 +126,7 @@ def b18(t: Tables) -> DataFrame:
     select s.race_id, s.runner, cast(coalesce(n, 0) as bigint) as career_starts, cast(coalesce(w, 0) as bigint) as career_wins, cast(coalesce(k, 0) as bigint) as career_top3, w / n as win_rate, k / n as top3_rate
     from starts s left join f on s.horse_id = f.horse_id and s.race_date = f.race_date""")
 def h1(t: Tables) -> DataFrame:
-    out = H.career_features(t.starts, "horse_id", "race_id", "race_date", "available_at", "finish_position", F.col("race_date") + F.expr("interval 1 day"))
+    out = H.career_features(t.starts.select("race_id", "runner", "horse_id", "race_date", "available_at", "finish_position"), "horse_id", "race_id", "race_date", "available_at", "finish_position", F.col("race_date") + F.expr("interval 1 day"))
     return out.select("race_id", "runner", "career_starts", "career_wins", "career_top3", "win_rate", "top3_rate")
 
 
@@ -171,7 +171,7 @@ def h3b(t: Tables) -> DataFrame:
     f as (select q.jockey_id, q.race_date, sum(n) as n, sum(w) as w from q join h on q.jockey_id = h.jockey_id and h.race_date < q.race_date and h.available_at <= q.race_date and h.race_date >= q.race_date - interval '180 days' group by 1, 2)
     select s.race_id, s.runner, cast(coalesce(n, 0) as bigint) as jockey_starts, round(w / n, 9) as jockey_win_rate from starts s left join f on s.jockey_id = f.jockey_id and s.race_date = f.race_date""")
 def h8(t: Tables) -> DataFrame:
-    s = t.starts.withColumn("as_of", F.col("race_date"))
+    s = t.starts.select("race_id", "runner", "jockey_id", "race_date", F.col("race_date").alias("as_of"))
     out = H.trailing_rates(s, t.starts, ["jockey_id"], "race_date", "available_at", "as_of", "finish_position", 180, "jockey")
     return out.select("race_id", "runner", "jockey_starts", F.round("jockey_win_rate", 9).alias("jockey_win_rate"))
 
@@ -194,7 +194,7 @@ def _rates_sql(name: str, keys: list[str]) -> str:
 def _rates(name: str, keys: list[str]):
     @query(f"H8_rates_{name}", _rates_sql(name, keys))
     def run(t: Tables) -> DataFrame:
-        s = t.starts.withColumn("as_of", F.col("race_date"))
+        s = t.starts.select("race_id", "runner", *keys, "race_date", F.col("race_date").alias("as_of"))
         out = H.trailing_rates(s, t.starts, keys, "race_date", "available_at", "as_of", "finish_position", 365, name)
         return out.select("race_id", "runner", f"{name}_starts", *[F.round(f"{name}_{c}", 9).alias(f"{name}_{c}") for c in ("win_rate", "top3_rate")])
 
@@ -228,7 +228,7 @@ def h9(t: Tables) -> DataFrame:
 def h6(t: Tables) -> DataFrame:
     z = t.starts.withColumn("pct", M.finish_percentile("finish_position", ["race_id"])).withColumn("wet", F.col("going_wetness") >= 3).withColumn("as_of", F.col("race_date"))
     sums = {"ws": F.when(F.col("wet"), F.col("pct")).otherwise(0.0), "wet_n": F.col("wet").cast("int"), "ds": F.when(F.col("wet"), 0.0).otherwise(F.col("pct")), "dry_n": (~F.col("wet")).cast("int")}
-    out = H.prior_history(z, z, "horse_id", "race_date", "available_at", "as_of", sums)
+    out = H.prior_history(z.select("race_id", "runner", "horse_id", "race_date", "as_of"), z, "horse_id", "race_date", "available_at", "as_of", sums)
     wet, dry = H.smoothed_rate(F.col("ws"), F.col("wet_n"), F.lit(0.5), 2), H.smoothed_rate(F.col("ds"), F.col("dry_n"), F.lit(0.5), 2)
     return out.select("race_id", "runner", "wet_n", F.round(wet, 8).alias("wet_rate"), F.round(dry, 8).alias("dry_rate"), (F.round(wet - dry, 8) + 0.0).alias("wet_edge"))
 

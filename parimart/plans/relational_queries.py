@@ -106,7 +106,7 @@ def c4(t: Tables) -> DataFrame:
     select s.race_id, s.runner, s.jockey_id, cast(coalesce(prior_starts, 0) as bigint) as prior_starts, cast(coalesce(prior_wins, 0) as bigint) as prior_wins
     from starts s left join f on s.jockey_id = f.jockey_id and s.race_date = f.race_date""")
 def c5(t: Tables) -> DataFrame:
-    s = t.starts.withColumn("as_of", F.col("race_date") + F.expr("interval 20 days"))
+    s = t.starts.select("race_id", "runner", "jockey_id", "race_date", (F.col("race_date") + F.expr("interval 20 days")).alias("as_of"))
     sums = {"prior_starts": F.lit(1), "prior_wins": (F.col("finish_position") == 1).cast("int")}
     out = R.prior_history(s, t.starts, "jockey_id", "race_date", "available_at", "as_of", sums, days=365, guard=F.col("jockey_id") != 0)
     return out.select("race_id", "runner", "jockey_id", "prior_starts", "prior_wins")

@@ -388,3 +388,30 @@ def test_growing_median_matches_plain_code(spark, chunk):
         got = R.growing_median(df, ["k", "g"], "y", "v", part, chunk=chunk)
         assert got.columns == ["k", "g", "y", "median", "n"]
         assert {(x.k, x.g, x.y): (x["median"], x.n) for x in got.collect()} == want
+
+
+def _history_case(spark, n=3000, horses=4, seed=7):
+    r = random.Random(seed)
+    day = lambda n: dt.datetime(2001, 1, 1) + dt.timedelta(days=n)
+    rows = [(i, r.choice([None, *range(horses)]), day(d := r.randrange(300)), day(d + r.randrange(60)), r.randrange(1, 9), r.random() * 100) for i in range(n)]
+    return spark.createDataFrame(rows, "i int, horse int, date timestamp_ntz, seen timestamp_ntz, place int, v double")
+
+
+@pytest.mark.parametrize("days", [None, 60])
+def test_history_moves_once_by_entity(spark, days, monkeypatch):
+    from parimart.operators import histories
+
+    df = _history_case(spark)
+    sums = {"n": F.lit(1), "v": F.col("v"), "dec": F.col("v").cast("decimal(12,3)")}
+    ask = lambda: {x.i: x for x in R.prior_history(df, df, "horse", "date", "seen", "date", sums, days=days).collect()}
+    plan = R.prior_history(df, df, "horse", "date", "seen", "date", sums, days=days)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Window" not in plan and "Join" not in plan
+    got = ask()
+    assert len(got) == 3000
+    monkeypatch.setattr(histories, "HELD", 100)  # all are long
+    blocks = ask()
+    monkeypatch.setattr(histories, "HELD", 650)  # some are
+    mixed = ask()
+    for k, x in got.items():
+        assert x.n == blocks[k].n == mixed[k].n and x.dec == blocks[k].dec == mixed[k].dec and x.v == pytest.approx(blocks[k].v) == pytest.approx(mixed[k].v)
+    assert max(x.n for x in got.values()) > 50
