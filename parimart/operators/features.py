@@ -9,9 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..session import stored
 from .grids import best_before, lists, numbers, over_grid
+from .histories import ask_by_entity, by_length, last_known
 from .relational import asof_join, growing_median, prior_history, running_sum
 
 # Annotation labels that may become features.
@@ -76,33 +78,48 @@ def recent_form(
     """Form over an entity's runs before the target's date and known by ``as_of``: the last one's place, time and other
     ``values``, days since it, mean place and time of the last five, wins and starts in the last ten.
 
-    Each distinct (entity, date, as_of) is asked once and keeps ten runs, ordered by date and ``ties``, newest first.
+    Runs are ordered by date and ``ties``, newest first. Rows and history meet once, by entity, and tasks find the last ten runs
+    (``last_known``); of entities with more history than a task may hold, each distinct (entity, date, as_of) is joined to its runs.
     Without runs the counts are 0 and the others null. ``guard`` keeps placeholder entities out of the history.
     """
     if guard is not None:
         history = history.where(guard)
-    asked = [entity, date, as_of]
     held = list(dict.fromkeys([position, time, *values]))
     runs = history.select(
-        F.col(entity).alias("_e"), F.col(date).alias("_d"), F.col(available).alias("_a"), *[F.col(c).alias(f"_v_{c}") for c in held], *[F.col(c).alias(f"_t_{c}") for c in ties]
-    )
-    pairs = target.select(*asked).distinct().join(runs, (F.col(entity) == F.col("_e")) & (F.col("_d") < F.col(date)) & (F.col("_a") <= F.col(as_of)))
-    w = Window.partitionBy(*asked).orderBy(F.desc("_d"), *[F.desc(f"_t_{c}") for c in ties])
-    last = pairs.withColumn("_n", F.row_number().over(w)).where("_n <= 10")
-
-    def newest(c: Column) -> Column:
-        return F.max(F.when(F.col("_n") == 1, c))
+        F.col(entity).alias("_k0"), F.col(date).alias("_d"), F.col(available).alias("_t"), *[F.col(c).alias(f"_v_{c}") for c in held], *[F.col(c).alias(f"_t_{c}") for c in ties]
+    ).dropna(subset=["_k0", "_d", "_t"])
+    fields, later = ["_d", *[f"_v_{c}" for c in held]], [f"_t_{c}" for c in ties]
+    columns = target.columns
+    short, own, long, long_runs = by_length(target, runs, ["_k0"], [entity])
+    asked = {"_k0": entity, "_d": date, "_t": as_of}
+    kind = ArrayType(StructType([StructField(c, runs.schema[c].dataType) for c in fields]))
+    out = ask_by_entity(short, asked, own, ["_k0"], {}, last_known(fields, later, 10), StructType([StructField("_last", kind)]))
+    if long is not None:
+        keys = list(dict.fromkeys([entity, date, as_of]))
+        pairs = long.select(*keys).distinct().join(long_runs, (F.col(entity) == F.col("_k0")) & (F.col("_d") < F.col(date)) & (F.col("_t") <= F.col(as_of)))
+        w = Window.partitionBy(*keys).orderBy(F.desc("_d"), *[F.desc(c) for c in later])
+        last = pairs.withColumn("_n", F.row_number().over(w)).where("_n <= 10")
+        listed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("_last"))
+        listed = listed.withColumn("_last", F.transform("_last", lambda x: F.struct(*[x[c].alias(c) for c in fields])))
+        out = out.unionByName(long.join(listed, keys, "left").select(*columns, "_last"))
+
+    def newest(c: str) -> Column:
+        return F.get("_last", F.lit(0))[c]
+
+    means = runs.agg(*[F.avg(f"_v_{c}").alias(c) for c in (position, time)]).schema
 
     def of_five(c: str) -> Column:
-        return F.avg(F.when(F.col("_n") <= 5, F.col(f"_v_{c}")))
+        there = F.filter(F.slice(F.col("_last")[f"_v_{c}"], 1, 5), lambda x: x.isNotNull()).cast(ArrayType(means[c].dataType))
+        total = F.aggregate(there, F.lit(0).cast(means[c].dataType), lambda s, x: (s + x).cast(means[c].dataType))
+        return F.try_divide(total, F.size(there)).cast(means[c].dataType)
 
-    form = last.groupBy(*asked).agg(
-        newest(F.col(f"_v_{position}")).alias("last_finish_pos"), newest(F.col(f"_v_{time}")).alias("last_finish_time_sec"),
-        *[newest(F.col(f"_v_{c}")).alias(f"last_{c}") for c in values], newest(F.datediff(date, "_d")).alias("days_since_last_race"),
+    return out.select(
+        *columns, newest(f"_v_{position}").alias("last_finish_pos"), newest(f"_v_{time}").alias("last_finish_time_sec"),
+        *[newest(f"_v_{c}").alias(f"last_{c}") for c in values], F.datediff(date, newest("_d")).alias("days_since_last_race"),
         of_five(position).alias("avg_finish_pos_5"), of_five(time).alias("avg_finish_time_sec_5"),
-        F.count_if(F.col(f"_v_{position}") == 1).alias("wins_last_10"), F.count(F.lit(1)).alias("starts_last_10"),
+        F.coalesce(F.size(F.filter("_last", lambda x: x[f"_v_{position}"] == 1)).cast("long"), F.lit(0)).alias("wins_last_10"),
+        F.when(F.col("_last").isNotNull(), F.size("_last")).otherwise(0).cast("long").alias("starts_last_10"),
     )
-    return target.join(form, asked, "left").fillna(0, ["wins_last_10", "starts_last_10"])
 
 
 def bucket_par_delta(target: DataFrame, history: DataFrame, entity: str, bucket: Sequence[str], date: str, available: str, as_of: str, value: str, name: str) -> DataFrame:
@@ -118,7 +135,8 @@ def bucket_par_delta(target: DataFrame, history: DataFrame, entity: str, bucket:
     par = growing_median(known.select(*year, "_y", value), year, "_y", value, asked).select(*year, "_y", F.col("median").alias("_par"))
     sums = {"_s": F.col(value), "_c": F.lit(1)}
     own = prior_history(asked, known, entity, date, available, as_of, sums, group=year)
-    out = own.join(par, [*year, "_y"], "left").withColumn(name, F.try_divide("_s", "_c") - F.col("_par"))
+    # A row for each bucket and year; the target needn't move for it.
+    out = own.join(F.broadcast(par), [*year, "_y"], "left").withColumn(name, F.try_divide("_s", "_c") - F.col("_par"))
     return out.select(*target.columns, name)
 
 

@@ -55,8 +55,8 @@ def ask_by_entity(target: DataFrame, asked: dict[str, str], facts: DataFrame, ke
     for n in asked:
         whole &= F.col(n).isNotNull()
     spread = [c for c in own if isinstance(stack.schema[c].dataType, AtomicType)] or ["_side"]
-    stack = stack.withColumn("_p", F.when((F.col("_side") == 0) | whole, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)))
-    stack = stack.repartition("_p").sortWithinPartitions("_p", *keys, "_side").withColumns(last)
+    dealt = F.when((F.col("_side") == 0) | whole, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread))
+    stack = stack.repartition(dealt).sortWithinPartitions(*keys, "_side").withColumns(last)
     needs = [*asked, *last]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ def ask_by_entity(target: DataFrame, asked: dict[str, str], facts: DataFrame, ke
             first = np.ones(len(rows), bool)
             if len(rows) > 1:
                 first[1:] = False
-                for k in ("_p", *keys):
+                for k in keys:
                     same = pc.fill_null(pc.equal(rows[k].slice(1), rows[k].slice(0, len(rows) - 1)), False)
                     first[1:] |= ~same.to_numpy().astype(bool)
             of = np.cumsum(first) - 1
@@ -154,3 +154,45 @@ def known_sums(names: Sequence[str], since: str | None) -> Answer:
         return [pa.array(s, facts[c].type) for s, c in zip(sums, names)]
 
     return answer
+
+
+def last_known(fields: Sequence[str], ties: Sequence[str], most: int) -> Answer:
+    """The newest ``most`` facts before a question's date that were known by its time, as a list of ``fields``, newest first.
+
+    Facts of one date are ordered by ``ties``. Walks go back through an entity's facts, and over blocks of which nothing was known.
+    """
+
+    def answer(facts: pa.Table, of: np.ndarray, asks: pa.Table, by: np.ndarray) -> list[pa.Array]:
+        sort = [("_of", "ascending"), ("_d", "ascending"), *[(c, "ascending") for c in ties]]
+        order = pc.sort_indices(facts.append_column("_of", pa.array(of)), sort_keys=sort, null_placement="at_start")
+        facts = facts.take(order).combine_chunks()
+        lo, p = ranges(facts, of[order.to_numpy()], asks, by, None)[1:]
+        p = p.copy()
+        t, at = plain(facts["_t"]), plain(asks["_t"])
+        least = [t]
+        while len(least[-1]) > 1:
+            whole = len(least[-1]) // 2 * 2
+            least.append(np.minimum(least[-1][0:whole:2], least[-1][1:whole:2]))
+        got, many = np.zeros((len(by), most), np.int64), np.zeros(len(by), np.int64)
+        who = np.flatnonzero(p > lo)
+        while len(who):
+            q = p[who]
+            hit = t[q - 1] <= at[who]
+            got[who[hit], many[who[hit]]] = q[hit] - 1
+            many[who[hit]] += 1
+            step, skip = np.ones(len(who), np.int64), np.flatnonzero(~hit)
+            for k in range(1, len(least)):
+                skip = skip[q[skip] % (1 << k) == 0]
+                skip = skip[least[k][(q[skip] >> k) - 1] > at[who[skip]]]
+                if not len(skip):
+                    break
+                step[skip] = 1 << k
+            p[who] = q - step
+            who = who[(p[who] > lo[who]) & (many[who] < most)]
+        taken = pa.array(got[np.arange(most) < many[:, None]])
+        parts = [facts[c].combine_chunks().take(taken) for c in fields]
+        parts = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts]
+        ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, names=list(fields)))]
+
+    return answer

@@ -12,7 +12,6 @@ from ..operators import market as M
 from ..operators import ordering as O
 from ..operators import relational as R
 from ..operators import settlement as S
-from ..session import scratch
 from .bindings import Tables
 from .feature_queries import h6
 from .market_queries import BETS, P, SEQ3, _bets, _p
@@ -71,11 +70,8 @@ def _trailing(name: str, keys: str) -> str:
         left join c using (trainer_id, jockey_id, race_date) left join k using (jockey_id, racecourse, race_date) left join own using (horse_id, race_date, racecourse, surface, going_wetness)
         left join par on par.racecourse is not distinct from s.racecourse and par.surface is not distinct from s.surface and par.going_wetness is not distinct from s.going_wetness and par.y = year(s.race_date)""")
 def h7(t: Tables) -> DataFrame:
-    # The view is read a dozen times; written once, it is not built anew for each.
-    path = scratch(t.spark, "starts")
-    t.starts.write.parquet(path)
     named = F.when(F.col("race_id") % 3 == 0, F.concat(F.lit("Spring Cup "), F.col("race_id"))).when(F.col("race_id") % 3 == 1, F.lit("Maiden"))
-    out = C.handicap_features(t.spark.read.parquet(path).withColumn("race_name", named), turf="O")
+    out = C.handicap_features(t.starts.withColumn("race_name", named), turf="O")
     rates = [c for c in out.columns if ("_winrate_" in c or "_top3rate_" in c) and c.split("_")[0] != "horse" and c not in ("trainer_jockey_combo_top3rate_365d", "jockey_track_top3rate_365d")]
     counts = ["wins_last_10", "starts_last_10", *[c for c in out.columns if "_starts_" in c], "field_size"]
     return out.select(

@@ -415,3 +415,23 @@ def test_history_moves_once_by_entity(spark, days, monkeypatch):
     for k, x in got.items():
         assert x.n == blocks[k].n == mixed[k].n and x.dec == blocks[k].dec == mixed[k].dec and x.v == pytest.approx(blocks[k].v) == pytest.approx(mixed[k].v)
     assert max(x.n for x in got.values()) > 50
+
+
+def test_recent_form_moves_once_by_entity(spark, monkeypatch):
+    from parimart.operators import histories
+
+    df = _history_case(spark, 1200, 3, 11)
+    form = lambda: H.recent_form(df, df, "horse", "date", "seen", "date", "place", "v", ["i"], ["i"], F.col("horse") != 2)
+    plan = form()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Window" not in plan and "Join" not in plan
+    got = {x.i: x for x in form().collect()}
+    rows = df.collect()
+    for x in got.values():
+        runs = [r for r in rows if r.horse == x.horse != 2 and x.horse is not None and r.date < x.date and r.seen <= x.date]
+        runs = sorted(runs, key=lambda r: (r.date, r.i), reverse=True)[:10]
+        assert (x.starts_last_10, x.wins_last_10) == (len(runs), sum(r.place == 1 for r in runs))
+        assert x.last_i == (runs[0].i if runs else None) and x.days_since_last_race == ((x.date - runs[0].date).days if runs else None)
+        assert x.avg_finish_pos_5 == (pytest.approx(sum(r.place for r in runs[:5]) / len(runs[:5])) if runs else None)
+    monkeypatch.setattr(histories, "HELD", 100)
+    for x in form().collect():
+        assert (x.last_i, x.starts_last_10, x.wins_last_10, x.avg_finish_time_sec_5) == (got[x.i].last_i, got[x.i].starts_last_10, got[x.i].wins_last_10, pytest.approx(got[x.i].avg_finish_time_sec_5))
