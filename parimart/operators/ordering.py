@@ -1,4 +1,4 @@
-"""Ordering probabilities over combinations: Harville, Henery and Stern models as self-joins within a group."""
+"""Ordering probabilities over combinations: Harville, Henery and Stern models, unfolded within a group."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import stored
 from .grids import best_before, lists, over_grid
+from .lines import Lines, ascending, line_keys, over_lines
 
 # What each pool returns of its stakes, and the usual exponent for later places.
 RETURN = {"quinella": 0.775, "wide": 0.775, "exacta": 0.75, "trio": 0.75, "trifecta": 0.725, "bracket_quinella": 0.775}
@@ -19,36 +21,46 @@ GAMMA = 0.856
 GAMMAS = tuple(round(0.50 + 0.005 * k, 3) for k in range(101))
 
 
-def _strengths(df: DataFrame, group: str, item: str, p: str, gammas: Sequence[float | Column]) -> DataFrame:
-    """p ** gamma and its group total for each place."""
-    power = [F.pow(p, g if isinstance(g, Column) else F.lit(float(g))).alias(f"s{k}") for k, g in enumerate(gammas)]
-    out = df.where(F.col(p) > 0).select(group, F.col(item).alias("i"), *power)
-    return out.select("*", *[F.sum(f"s{k}").over(Window.partitionBy(group)).alias(f"sum{k}") for k in range(len(gammas))])
+def _gammas(gamma: float | Column | Sequence[float], places: int, raw_first: bool) -> list[float | Column]:
+    gammas = [gamma] * places if isinstance(gamma, (int, float, Column)) else list(gamma)
+    return [1.0, *gammas[1:]] if raw_first else gammas
+
+
+def strengths(df: DataFrame, group: str, item: str, p: str, models: Sequence[Sequence[float | Column]], keep: Sequence[str] = ()) -> tuple[DataFrame, list[list[str]]]:
+    """p ** gamma for each model and place, once for equal exponents, and the names of these columns."""
+    names, columns = {}, []
+    for g in [g for m in models for g in m]:
+        key = id(g) if isinstance(g, Column) else float(g)
+        if key not in names:
+            names[key] = f"s{len(names)}"
+            columns.append(F.pow(p, g if isinstance(g, Column) else F.lit(float(g))).alias(names[key]))
+    of = [[names[id(g) if isinstance(g, Column) else float(g)] for g in m] for m in models]
+    return df.where(F.col(p) > 0).select(F.col(group).alias("_g"), F.col(item).alias("_i"), *keep, *columns), of
+
+
+def _unfolded(df: DataFrame, group: str, item: str, p: str, places: int, gammas: Sequence[float | Column], together: bool) -> DataFrame:
+    rows, models = strengths(df, group, item, p, [gammas])
+    names = "abcdefgh"[:places]
+    kinds = rows.schema
+    schema = StructType([StructField(group, kinds["_g"].dataType), *[StructField(n, kinds["_i"].dataType) for n in names], StructField("prob", DoubleType())])
+
+    def listed(heads: pa.Table, items: np.ndarray, lines: Callable[[int], Lines]) -> pa.Table:
+        found = ascending(lines(places)) if together else lines(places)
+        values = pa.array(items, heads["_i"].type)
+        columns = [heads["_g"].take(pa.array(found.of)), *[values.take(pa.array(c)) for c in found.codes], pa.array(found.probs[0], mask=~found.there[0])]
+        return pa.table(dict(zip([group, *names, "prob"], columns)))
+
+    return over_lines(rows, "_g", "_i", models, listed, schema, places)
 
 
 def sequences(df: DataFrame, group: str, item: str, p: str, places: int, gamma: float | Column | Sequence[float] = 1.0, raw_first: bool = False) -> DataFrame:
     """All ordered prefixes ``(group, a, b, c ..., prob)`` of ``places`` items.
 
     One ``gamma`` for every place (1 is Harville), a column with each group's, or one a place; ``raw_first`` leaves the first place's exponent at
-    1. Each factor is closed-form: the strength over the group's total less those already placed.
+    1. Each factor is closed-form: the strength over the group's total less those already placed. Runners of a group meet once, and tasks
+    unfold the lines (``over_lines``).
     """
-    gammas = [gamma] * places if isinstance(gamma, (int, float, Column)) else list(gamma)
-    if raw_first:
-        gammas[0] = 1.0
-    s = _strengths(df, group, item, p, gammas)
-    names = "abcdefgh"[:places]
-    out = s.select(group, F.col("i").alias("a"), *[F.col(f"s{k}").alias(f"a_s{k}") for k in range(places)], *[f"sum{k}" for k in range(places)])
-    prob = F.col("a_s0") / F.col("sum0")
-    for k, n in enumerate(names[1:], 1):
-        nxt = s.select(group, F.col("i").alias(n), *[F.col(f"s{j}").alias(f"{n}_s{j}") for j in range(k, places)])
-        out = out.join(nxt, group)
-        for earlier in names[:k]:
-            out = out.where(F.col(n) != F.col(earlier))
-        rest = F.col(f"sum{k}")
-        for earlier in names[:k]:
-            rest -= F.col(f"{earlier}_s{k}")
-        prob *= F.try_divide(F.col(f"{n}_s{k}"), rest)
-    return out.select(group, *names, prob.alias("prob"))
+    return _unfolded(df, group, item, p, places, _gammas(gamma, places, raw_first), False)
 
 
 def _sorted_pair(df: DataFrame, x: str, y: str) -> list[Column]:
@@ -60,15 +72,12 @@ def combos(df: DataFrame, group: str, item: str, p: str, pool: str, gamma: float
     if pool == "win":
         return df.where(F.col(p) > 0).select(group, F.col(item).alias("a"), F.col(p).alias("prob"))
     if pool in ("exacta", "quinella"):
-        pairs = sequences(df, group, item, p, 2, gamma, raw_first)
-        return pairs if pool == "exacta" else pairs.groupBy(group, *_sorted_pair(pairs, "a", "b")).agg(F.sum("prob").alias("prob"))
+        return _unfolded(df, group, item, p, 2, _gammas(gamma, 2, raw_first), pool == "quinella")
+    if pool == "trio":
+        return _unfolded(df, group, item, p, 3, _gammas(gamma, 3, raw_first), True)
     triples = sequences(df, group, item, p, 3, gamma, raw_first)
     if pool == "trifecta":
         return triples
-    if pool == "trio":
-        abc = F.array_sort(F.array("a", "b", "c"))
-        sets = triples.select(group, *[abc[k].alias(n) for k, n in enumerate("abc")], "prob")
-        return sets.groupBy(group, "a", "b", "c").agg(F.sum("prob").alias("prob"))
     if pool == "wide":  # a pair pays if both are among the first three
         pairs = F.explode(F.array(F.struct("a", "b"), F.struct("a", F.col("c").alias("b")), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))))
         out = triples.select(group, pairs.alias("x"), "prob").select(group, "x.a", "x.b", "prob")
@@ -79,10 +88,62 @@ def combos(df: DataFrame, group: str, item: str, p: str, pool: str, gamma: float
     raise ValueError(f"unknown pool {pool}")
 
 
+def pool_likelihood(probs: DataFrame, winners: DataFrame, group: str, item: str, p: str, pools: dict[str, Sequence[str]], gamma: float | Column) -> DataFrame:
+    """Sums for chunks of groups, ``(pool, races, combos, harville_ll, henery_ll)``: see ``compose.exotic_likelihood``.
+
+    A group's winning selections come to its runners as one list; lines are unfolded and compared with it in the tasks.
+    """
+    used = list(dict.fromkeys(c for columns in pools.values() for c in columns))
+    kind = probs.schema[item].dataType
+    won = winners.groupBy(F.col(group).alias("_wg")).agg(*[F.collect_list(F.struct(*[F.col(c).cast(kind).alias(c) for c in used])).alias("_won")])
+    rows, models = strengths(probs, group, item, p, [[1.0] * 3, [1.0, gamma, gamma]])
+    rows = rows.join(won, F.col("_g") == F.col("_wg")).drop("_wg")
+    numbers = ["races", "combos"], ["harville_ll", "henery_ll"]
+    schema = StructType([StructField("at", LongType()), *[StructField(n, LongType()) for n in numbers[0]], *[StructField(n, DoubleType()) for n in numbers[1]]])
+
+    def judged(heads: pa.Table, items: np.ndarray, lines: Callable[[int], Lines]) -> pa.Table:
+        many = heads["_won"].combine_chunks()
+        flat = many.flatten()
+        begin = np.repeat(np.arange(len(many)), np.diff(many.offsets.to_numpy()))
+        out = []
+        for k, (pool, columns) in enumerate(pools.items()):
+            found = lines(len(columns))
+            found = ascending(found) if pool in ("trio", "quinella") else found.merged(np.maximum, -np.inf)
+            whole = np.ones(len(flat), bool)
+            for c in columns:
+                whole &= flat.field(c).is_valid().to_numpy(zero_copy_only=False)
+            picked = [flat.field(c).filter(pa.array(whole)).to_numpy(zero_copy_only=False) for c in columns]
+            of = begin[whole]
+            codes = [np.minimum(np.searchsorted(items, x), len(items) - 1) for x in picked]
+            known = np.ones(len(of), bool)
+            for x, c in zip(picked, codes):
+                known &= items[c] == x
+            h, g = (np.where(t, x, -1.0) for x, t in zip(found.probs, found.there))
+            own = np.isin(found.of, of) & (g > 0)
+            hit = own & np.isin(found.keys(), line_keys(of[known], [c[known] for c in codes], len(items)))
+            row = {"at": k, "races": len(np.unique(found.of[own])), "combos": int(own.sum())}
+            for n, x in zip(numbers[1], (h, g)):
+                some = hit & (x > 0)
+                row[n] = float(np.log(np.maximum(x[some], 1e-12)).sum()) if some.any() else None
+            out.append(row)
+        kinds = [("at", pa.int64()), *[(n, pa.int64()) for n in numbers[0]], *[(n, pa.float64()) for n in numbers[1]]]
+        return pa.Table.from_pylist(out, pa.schema(kinds))
+
+    parts = over_lines(rows, "_g", "_i", models, judged, schema, max(map(len, pools.values())))
+    names = F.array(*[F.lit(n) for n in pools])
+    sums = parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in (*numbers[0], *numbers[1])])
+    every = probs.sparkSession.createDataFrame([(k,) for k in range(len(pools))], "at long")
+    zeros = [F.coalesce(n, F.lit(0)).alias(n) for n in numbers[0]]
+    return every.join(F.broadcast(sums), "at", "left").select(names[F.col("at").cast("int")].alias("pool"), *zeros, *numbers[1])
+
+
 def bracket_pairs(quinella: DataFrame, gates: DataFrame, group: str) -> DataFrame:
     """Quinella probabilities summed by pair of brackets; runners without a bracket are dropped."""
-    side = lambda n: gates.select(group, F.col("item").alias(n), F.col("bracket").alias(f"w{n}"))
-    out = quinella.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
+    # Pairs move once, by group; a group's gates come as one list.
+    listed = gates.groupBy(group).agg(F.collect_list(F.struct("item", "bracket")).alias("_w"))
+    out = quinella.join(listed, group)
+    for n in "ab":
+        out = out.select("*", F.explode(F.filter("_w", lambda x, n=n: x["item"] == F.col(n))["bracket"]).alias(f"w{n}"))
     return out.groupBy(group, F.least("wa", "wb").alias("lo"), F.greatest("wa", "wb").alias("hi")).agg(F.sum("prob").alias("prob"), F.count(F.lit(1)).alias("points"))
 
 

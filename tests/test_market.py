@@ -106,3 +106,37 @@ def test_sweep_passes_and_kinds(spark):
     assert got == [(1, "snapshot", "settled"), (2, "snapshot", "amount"), (4, "snapshot", "state"), (8, "snapshot", "hash"), (5, "archive", "settled")]
     assert [r.ticket_id for r in compose.settle_sweep(tickets, new, stored, 2, archived=new).collect()] == [1, 2]
     assert len(compose.settle_sweep(tickets, new, stored, 10).collect()) == 4
+
+
+def test_lines_are_unfolded_in_tasks(spark):
+    """Against plain loops: items twice in a group, chances of 0, groups longer than a batch, exponents by group."""
+    import itertools
+
+    rows = [(g, i, p) for g, n in ((1, 5), (2, 2), (3, 1), (4, 6)) for i, p in zip(range(n), [0.4, 0.25, 0.15, 0.1, 0.06, 0.04])]
+    rows += [(1, 2, 0.05), (4, 9, 0.0), (None, 1, 0.5), (None, 2, 0.5), (5, None, 0.5), (5, 1, 0.25), (5, 3, 0.25)]
+    df = spark.createDataFrame(rows, "race int, runner int, p double").withColumn("gamma", F.when(F.col("race") == 1, 0.8).otherwise(1.1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for pool, places, together in (("exacta", 2, False), ("quinella", 2, True), ("trifecta", 3, False), ("trio", 3, True)):
+            made = O.combos(df, "race", "runner", "p", pool, F.col("gamma"))
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+            got, want = {}, {}
+            for x in made.collect():
+                got.setdefault((x[0], *x[1 : 1 + places]), []).append(x[-1])
+            for g in (1, 2, 3, 4, 5):
+                own, e = [(i, p) for r, i, p in rows if r == g and i is not None and p > 0], 0.8 if g == 1 else 1.1
+                for line in itertools.permutations(own, places):
+                    if len({i for i, _ in line}) < places:
+                        continue
+                    prob, left = line[0][1] / sum(p for _, p in own), sum(p**e for _, p in own)
+                    for (_, last), (_, p) in itertools.pairwise(line):
+                        left -= last**e
+                        prob *= p**e / left
+                    key = [i for i, _ in line]
+                    want.setdefault((g, *(sorted(key) if together else key)), []).append(prob)
+            want = {k: [sum(v)] if together else sorted(v) for k, v in want.items()}
+            assert {k: sorted(v) for k, v in got.items()} == {k: pytest.approx(v) for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
