@@ -143,7 +143,7 @@ def bracket_pairs(quinella: DataFrame, gates: DataFrame, group: str) -> DataFram
     listed = gates.groupBy(group).agg(F.collect_list(F.struct("item", "bracket")).alias("_w"))
     out = quinella.join(listed, group)
     for n in "ab":
-        out = out.select("*", F.explode(F.filter("_w", lambda x, n=n: x["item"] == F.col(n))["bracket"]).alias(f"w{n}"))
+        out = out.select("*", F.explode(F.filter("_w", lambda x: x["item"] == F.col(n))["bracket"]).alias(f"w{n}"))  # noqa: B023
     return out.groupBy(group, F.least("wa", "wb").alias("lo"), F.greatest("wa", "wb").alias("hi")).agg(F.sum("prob").alias("prob"), F.count(F.lit(1)).alias("points"))
 
 
@@ -173,19 +173,27 @@ def value_tag(combos_: DataFrame, probs: DataFrame, group: str, item: str, p: st
 def formation(sets: DataFrame, ticket: str, places: int, ordered: bool) -> DataFrame:
     """Lines of tickets from the items allowed at each place, ``sets(ticket, place, item)``: no item twice in a line.
 
-    A box has the same items at every place; an axis is a place with one item. Unordered lines are listed once.
+    A box has the same items at every place; an axis is a place with one item. Unordered lines are listed once. Items meet
+    once, by ticket, as a list for each place; ordered lines are unfolded from these one by one, unordered ones are told apart in
+    the ticket's row.
     """
     names = "abcdefgh"[:places]
-    out = None
-    for k, n in enumerate(names):
-        side = sets.where(F.col("place") == k).select(ticket, F.col("item").alias(n))
-        out = side if out is None else out.join(side, ticket)
-        for earlier in names[:k]:
-            out = out.where(F.col(n) != F.col(earlier))
-    if not ordered:
-        line = F.array_sort(F.array(*names))
-        out = out.select(ticket, *[line[k].alias(n) for k, n in enumerate(names)]).distinct()
-    return out
+    sides = [F.collect_list(F.when(F.col("place") == k, F.struct(F.col("item").alias("item")))).alias(f"_{n}") for k, n in enumerate(names)]
+    out = sets.where(F.col(ticket).isNotNull() & F.col("item").isNotNull()).groupBy(ticket).agg(*sides)
+    out = out.select(ticket, *[F.col(f"_{n}")["item"].alias(f"_{n}") for n in names])
+    if ordered:
+        for k, n in enumerate(names):
+            out = out.select("*", F.explode(f"_{n}").alias(n))
+            for earlier in names[:k]:
+                out = out.where(F.col(n) != F.col(earlier))
+        return out.select(ticket, *names)
+    lines = F.transform("_a", lambda x: F.array(x))
+    for n in names[1:]:
+        more = lambda line: F.transform(F.filter(f"_{n}", lambda y: ~F.array_contains(line, y)), lambda y: F.concat(line, F.array(y)))  # noqa: B023, E731
+        lines = F.flatten(F.transform(lines, more))
+    lines = F.array_distinct(F.transform(lines, lambda line: F.array_sort(line)))
+    out = out.select(ticket, F.explode(lines).alias("_l"))
+    return out.select(ticket, *[F.col("_l")[k].alias(n) for k, n in enumerate(names)])
 
 
 def finalize_tickets(lines: DataFrame, ticket: str, unit: float, most: float = 0.98) -> DataFrame:
@@ -205,14 +213,16 @@ def classify_structure(lines: DataFrame, ticket: str, places: int, ordered: bool
     """Whether a ticket's distinct lines are a full box over its items."""
     names = list("abcdefgh"[:places])
     line = F.concat_ws("-", *names)
-    items = lines.select(ticket, F.explode(F.array(*names)).alias("item")).groupBy(ticket).agg(F.countDistinct("item").alias("n"))
-    counts = lines.groupBy(ticket).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(line).alias("n_lines"))
+    items = F.array_distinct(F.array_compact(F.flatten(F.collect_set(F.array(*names)))))
+    by = lines.where(F.col(ticket).isNotNull()).groupBy(ticket).agg(
+        F.count(F.lit(1)).alias("rows"), F.size(F.collect_set(line)).cast("long").alias("n_lines"), F.size(items).cast("long").alias("n")
+    )
     size = F.lit(1)
     for k in range(places):
         size *= F.col("n") - k
     full = size if ordered else size / F.factorial(F.lit(places))
     box = (F.col("n_lines") == full) & (F.col("rows") == F.col("n_lines"))
-    return counts.join(items, ticket).select(ticket, "n", "n_lines", F.when(box, "box").otherwise("custom").alias("structure"))
+    return by.select(ticket, "n", "n_lines", F.when(box, "box").otherwise("custom").alias("structure"))
 
 
 def placed_fields(probs: DataFrame, finish: DataFrame, group: str, item: str, p: str, places: int) -> DataFrame:

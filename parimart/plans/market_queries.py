@@ -219,13 +219,10 @@ SETS = """sets as (select l_orderkey as ticket, 0 as place, l_linenumber as item
 
 
 def _sets(t: Tables) -> DataFrame:
-    li = t.lineitem
-    parts = (li.where("l_returnflag <> 'N'"), li, li.where("l_linestatus = 'F'"))
-    out = None
-    for k, x in enumerate(parts):
-        x = x.select(F.col("l_orderkey").alias("ticket"), F.lit(k).alias("place"), F.col("l_linenumber").alias("item")).distinct()
-        out = x if out is None else out.unionByName(x)
-    return out
+    # One scan, dealt by ticket once.
+    places = F.array_compact(F.array(F.when(F.col("l_returnflag") != "N", 0), F.lit(1), F.when(F.col("l_linestatus") == "F", 2)))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("ticket"), F.col("l_linenumber").alias("item"), places.alias("place"))
+    return rows.repartition("ticket").select("ticket", F.explode("place").alias("place"), "item").distinct()
 
 
 @query("J10_formation", f"with {SETS}, x as (select ticket, item from sets where place = 0), y as (select ticket, item from sets where place = 1), z as (select ticket, item from sets where place = 2) select x.ticket, x.item as a, y.item as b, z.item as c from x join y on x.ticket = y.ticket and x.item <> y.item join z on x.ticket = z.ticket and x.item <> z.item and y.item <> z.item")

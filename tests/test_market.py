@@ -140,3 +140,26 @@ def test_lines_are_unfolded_in_tasks(spark):
             assert {k: sorted(v) for k, v in got.items()} == {k: pytest.approx(v) for k, v in want.items()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bracket_pairs_move_once(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.3), (1, 3, 0.2), (2, 1, 0.6), (2, 4, 0.4)], "race int, runner int, p double")
+    gates = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 2), (2, 1, 1)], "race int, item int, bracket int")  # one without a gate
+    pairs = O.combos(df, "race", "runner", "p", "quinella", 1.0)
+    made = O.bracket_pairs(pairs, gates, "race")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    own = {(x.race, x.a, x.b): x.prob for x in pairs.collect()}
+    got = {(x.race, x.lo, x.hi): (x.points, x.prob) for x in made.collect()}
+    assert got == {(1, 1, 1): (1, pytest.approx(own[1, 1, 2])), (1, 1, 2): (2, pytest.approx(own[1, 1, 3] + own[1, 2, 3]))}
+
+
+def test_formation_and_structure_move_once(spark):
+    sets = [(1, p, i) for p in (0, 1) for i in (3, 1, 2)] + [(2, 0, 1), (2, 1, 2), (2, 1, 3), (2, 1, 1), (3, 0, 1), (3, 1, 1), (None, 0, 1), (None, 1, 2), (4, 0, None), (4, 1, 2)]
+    df = spark.createDataFrame(sets, "ticket int, place int, item int")
+    lines = O.formation(df, "ticket", 2, ordered=False)
+    assert sorted(map(tuple, lines.collect())) == [(1, 1, 2), (1, 1, 3), (1, 2, 3), (2, 1, 2), (2, 1, 3)]
+    assert sorted(map(tuple, O.formation(df, "ticket", 2, ordered=True).where("ticket = 1").collect())) == [(1, a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b]
+    made = O.classify_structure(lines, "ticket", 2, ordered=False)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [(1, 3, 3, "box"), (2, 3, 2, "custom")]
+    assert O.classify_structure(lines.unionByName(lines), "ticket", 2, ordered=False).where("structure = 'box'").isEmpty()
