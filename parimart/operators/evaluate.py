@@ -166,6 +166,26 @@ def bootstrap_blend(losses: DataFrame, cluster: str, weights: Sequence[float], d
     return found.agg(F.avg("w0").alias("mean_weight"), F.percentile("w0", F.lit(0.025)).alias("lo"), F.percentile("w0", F.lit(0.975)).alias("hi"))
 
 
+def quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row: the exact ``q`` quantile of a column, between two values linearly, as ``percentile`` gives it (null without values).
+
+    A sketch bounds it from both sides; what lies below is counted, and only the distinct values between (about 0.2 % of the
+    rows) are ordered in one task.
+    """
+    df = df.where(F.col(value).isNotNull())
+    n = df.count()
+    near = [max(0.0, q - 0.001 - 2 / max(n, 1)), min(1.0, q + 0.001 + 2 / max(n, 1))]
+    ends = df.agg(F.percentile_approx(value, near, 10000).alias("e")).first()["e"] or [0.0, 0.0]
+    below = df.where(F.col(value) < ends[0]).count()
+    at = q * (n - 1)
+    values = df.where(F.col(value).between(ends[0], ends[1])).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + below
+    pick = lambda k: F.min(F.when(F.col("_upto") > int(k), F.col("_v")))
+    low, high = np.floor(at), np.ceil(at)
+    between = pick(low) if low == high else float(high - at) * pick(low) + float(at - low) * pick(high)
+    return values.withColumn("_upto", upto).agg(between.alias(name))
+
+
 def edge_roi(df: DataFrame, race: str, item: str, p: str, odds: str, won: Column, capacities: Sequence[float], drop: Sequence[int]) -> DataFrame:
     """Bets where p * odds reaches 1 / (1 - capacity), without each race's ``drop`` largest edges; unit stakes."""
     rows = df.withColumn("_w", won).withColumn("capacity", F.explode(F.array(*[F.lit(float(c)) for c in capacities])))

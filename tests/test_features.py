@@ -435,3 +435,15 @@ def test_recent_form_moves_once_by_entity(spark, monkeypatch):
     monkeypatch.setattr(histories, "HELD", 100)
     for x in form().collect():
         assert (x.last_i, x.starts_last_10, x.wins_last_10, x.avg_finish_time_sec_5) == (got[x.i].last_i, got[x.i].starts_last_10, got[x.i].wins_last_10, pytest.approx(got[x.i].avg_finish_time_sec_5))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 40, 7001])
+def test_quantile_equals_percentile(spark, n):
+    from parimart.operators import evaluate
+
+    r = random.Random(n)
+    df = spark.createDataFrame([(r.choice([None, 0.5, r.random(), r.gauss(0, 9)]),) for _ in range(n)], "x double")
+    for q in (0.0, 0.3, 0.75, 1.0):
+        made = evaluate.quantile(df, "x", q, "cut")
+        assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
+        assert made.first()["cut"] == df.agg(F.percentile("x", F.lit(q))).first()[0]
