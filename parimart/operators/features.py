@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..session import stored
 from .grids import best_before, lists, numbers, over_grid
-from .histories import ask_by_entity, by_length, last_known
+from .histories import Question, ask_by_entity, by_length, last_known
 from .relational import asof_join, growing_median, prior_history, running_sum
 
 # Annotation labels that may become features.
@@ -89,37 +89,59 @@ def recent_form(
         F.col(entity).alias("_k0"), F.col(date).alias("_d"), F.col(available).alias("_t"), *[F.col(c).alias(f"_v_{c}") for c in held], *[F.col(c).alias(f"_t_{c}") for c in ties]
     ).dropna(subset=["_k0", "_d", "_t"])
     fields, later = ["_d", *[f"_v_{c}" for c in held]], [f"_t_{c}" for c in ties]
-    columns = target.columns
     short, own, long, long_runs = by_length(target, runs, ["_k0"], [entity])
     asked = {"_k0": entity, "_d": date, "_t": as_of}
     kind = ArrayType(StructType([StructField(c, runs.schema[c].dataType) for c in fields]))
     out = ask_by_entity(short, asked, own, ["_k0"], {}, last_known(fields, later, 10), StructType([StructField("_last", kind)]))
     if long is not None:
-        keys = list(dict.fromkeys([entity, date, as_of]))
-        pairs = long.select(*keys).distinct().join(long_runs, (F.col(entity) == F.col("_k0")) & (F.col("_d") < F.col(date)) & (F.col("_t") <= F.col(as_of)))
-        w = Window.partitionBy(*keys).orderBy(F.desc("_d"), *[F.desc(c) for c in later])
-        last = pairs.withColumn("_n", F.row_number().over(w)).where("_n <= 10")
-        listed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("_last"))
-        listed = listed.withColumn("_last", F.transform("_last", lambda x: F.struct(*[x[c].alias(c) for c in fields])))
-        out = out.unionByName(long.join(listed, keys, "left").select(*columns, "_last"))
+        out = out.unionByName(_last_by_join(long, long_runs, entity, date, as_of, fields, later))
+    return out.select(*target.columns, *form_columns(history, date, position, time, values))
+
+
+def _last_by_join(target: DataFrame, runs: DataFrame, entity: str, date: str, as_of: str, fields: Sequence[str], later: Sequence[str], most: int = 10) -> DataFrame:
+    """``last_known`` without a bound on an entity's runs: each distinct (entity, date, as_of) is joined to them."""
+    keys = list(dict.fromkeys([entity, date, as_of]))
+    pairs = target.select(*keys).distinct().join(runs, (F.col(entity) == F.col("_k0")) & (F.col("_d") < F.col(date)) & (F.col("_t") <= F.col(as_of)))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_d"), *[F.desc(c) for c in later])
+    last = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    listed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *fields))).alias("_last"))
+    listed = listed.withColumn("_last", F.transform("_last", lambda x: F.struct(*[x[c].alias(c) for c in fields])))
+    return target.join(listed, keys, "left").select(*target.columns, "_last")
+
+
+def form_question(rows: DataFrame, entity: str, when: tuple[str, str, str], held: Sequence[str], ties: Sequence[str], where: str | None = None) -> Question:
+    """The last ten runs for ``ask_together``, as the list that ``form_columns`` reads."""
+    date, available, as_of = when
+    fields, later = {"_d": date, **{f"_v_{c}": c for c in held}}, {f"_t_{c}": c for c in ties}
+    kind = ArrayType(StructType([StructField(n, rows.schema[c].dataType) for n, c in fields.items()]))
+
+    def apart(target: DataFrame, facts: DataFrame) -> DataFrame:
+        of = {"_k0": entity, "_t": available, **fields, **later}
+        return _last_by_join(target, facts.select(*[F.col(c).alias(n) for n, c in of.items()]), entity, date, as_of, list(fields), list(later))
+
+    return Question(last_known(list(fields), list(later), 10), {n: c for n, c in {**fields, **later}.items() if n != "_d"}, StructType([StructField("_last", kind)]), apart, where=where)
+
+
+def form_columns(history: DataFrame, date: str, position: str, time: str, values: Sequence[str]) -> list[Column]:
+    """The columns of ``recent_form`` from the list ``_last`` of runs, newest first."""
 
     def newest(c: str) -> Column:
         return F.get("_last", F.lit(0))[c]
 
-    means = runs.agg(*[F.avg(f"_v_{c}").alias(c) for c in (position, time)]).schema
+    means = history.agg(*[F.avg(c).alias(c) for c in (position, time)]).schema
 
     def of_five(c: str) -> Column:
         there = F.filter(F.slice(F.col("_last")[f"_v_{c}"], 1, 5), lambda x: x.isNotNull()).cast(ArrayType(means[c].dataType))
         total = F.aggregate(there, F.lit(0).cast(means[c].dataType), lambda s, x: (s + x).cast(means[c].dataType))
         return F.try_divide(total, F.size(there)).cast(means[c].dataType)
 
-    return out.select(
-        *columns, newest(f"_v_{position}").alias("last_finish_pos"), newest(f"_v_{time}").alias("last_finish_time_sec"),
+    return [
+        newest(f"_v_{position}").alias("last_finish_pos"), newest(f"_v_{time}").alias("last_finish_time_sec"),
         *[newest(f"_v_{c}").alias(f"last_{c}") for c in values], F.datediff(date, newest("_d")).alias("days_since_last_race"),
         of_five(position).alias("avg_finish_pos_5"), of_five(time).alias("avg_finish_time_sec_5"),
         F.coalesce(F.size(F.filter("_last", lambda x: x[f"_v_{position}"] == 1)).cast("long"), F.lit(0)).alias("wins_last_10"),
         F.when(F.col("_last").isNotNull(), F.size("_last")).otherwise(0).cast("long").alias("starts_last_10"),
-    )
+    ]
 
 
 def bucket_par_delta(target: DataFrame, history: DataFrame, entity: str, bucket: Sequence[str], date: str, available: str, as_of: str, value: str, name: str) -> DataFrame:

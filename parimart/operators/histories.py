@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,30 @@ HELD = 1 << 16
 Answer = Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], list[pa.Array]]
 
 
+def long_entities(history: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys of entities with more than ``HELD`` rows of ``history``, None if there is none.
+
+    Rows are counted by a short hash of the keys first, so that counts move for the hashes, not for every entity; only rows
+    whose hash is that frequent are counted by entity. Few entities can be long, so their list is small.
+    """
+    rows = history.select(*keys).withColumn("_hash", F.pmod(F.xxhash64(*keys), F.lit(1 << 16)))
+    often = stored(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HELD).select("_hash"), "often")
+    if often.isEmpty():
+        return None
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    counts = rows.join(F.broadcast(often), "_hash", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    many = stored(counts.where(F.col("_rows") > HELD).select(*keys), "long")
+    return None if many.isEmpty() else many
+
+
 def by_length(target: DataFrame, history: DataFrame, keys: Sequence[str], names: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """Target and history of entities of at most ``HELD`` history rows, and those of the others (None if there is none).
 
-    ``history`` has the entity's ``keys``, the target calls them ``names``. Few entities can be long, so their list is small.
+    ``history`` has the entity's ``keys``, the target calls them ``names``.
     """
-    counts = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HELD).select(*keys)
-    many = stored(counts, "long")
-    if many.isEmpty():
+    many = long_entities(history, keys)
+    if many is None:
         return target, history, None, None
     target, many = stored(target, "target"), F.broadcast(many)
     on = [F.col(c) == F.col(k) for c, k in zip(names, keys, strict=True)]
@@ -68,13 +86,7 @@ def ask_by_entity(target: DataFrame, asked: dict[str, str], facts: DataFrame, ke
             if held is not None:
                 rows = pa.concat_tables([held, rows])
             rows = rows.combine_chunks()
-            first = np.ones(len(rows), bool)
-            if len(rows) > 1:
-                first[1:] = False
-                for k in keys:
-                    same = pc.fill_null(pc.equal(rows[k].slice(1), rows[k].slice(0, len(rows) - 1)), False)
-                    first[1:] |= ~same.to_numpy().astype(bool)
-            of = np.cumsum(first) - 1
+            of = np.cumsum(_first(rows, keys)) - 1
             fact = rows["_side"].to_numpy() == 0
             held = rows.filter(pa.array(fact & (of == of[-1])))
             ask = ~fact
@@ -96,6 +108,104 @@ def ask_by_entity(target: DataFrame, asked: dict[str, str], facts: DataFrame, ke
     return out.select(*[F.col(n).alias(c) for n, c in zip(columns, target.columns)], *found.names)
 
 
+def _first(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Which rows have other keys than the row before them, or a null among them."""
+    first = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        first[1:] = False
+        for k in keys:
+            same = pc.fill_null(pc.equal(rows[k].slice(1), rows[k].slice(0, len(rows) - 1)), False)
+            first[1:] |= ~same.to_numpy().astype(bool)
+    return first
+
+
+@dataclass(frozen=True)
+class Question:
+    """What ``ask_together`` finds for a row among the facts of its entity that have the same ``group``.
+
+    ``answer`` gets facts with the columns ``facts`` (by the names of the rows' columns) and gives what ``found`` names, ``empty``
+    where a row asks nothing. ``apart`` adds the same columns to rows of entities that are too long for a task, from their facts.
+    """
+
+    answer: Answer
+    facts: dict[str, str]
+    found: StructType
+    apart: Callable[[DataFrame, DataFrame], DataFrame]
+    group: Sequence[str] = ()
+    empty: int | None = None
+    where: str | None = None  # a boolean column: which rows are facts
+
+
+def ask_together(
+    rows: DataFrame, long: DataFrame | None, entity: str, when: tuple[str, str, str], days: int | None, values: dict[str, Column], questions: Sequence[Question], keep: Sequence[str]
+) -> DataFrame:
+    """The columns ``keep`` of ``rows`` and the answers to several ``questions``: each row is a fact of its entity and asks about the others.
+
+    ``when`` has the columns of date, time of availability and time of the question; ``days`` before the date is the questions' ``_since``.
+    ``values`` are computed once the rows have met. Rows move once, and are not doubled into facts and questions; a task holds
+    the rows of one entity and a batch. ``long`` has the entities with more rows than that (``long_entities``). Rows without the
+    entity are spread over the tasks.
+    """
+    date, available, as_of = when
+    time = rows.select(F.coalesce(available, as_of).alias("t")).schema["t"].dataType
+    made = {"_known_at": F.col(available).cast(time), "_asked_at": F.col(as_of).cast(time), **values}
+    if days is not None:
+        made["_from_date"] = (F.col(date) - F.expr(f"interval {days} days")).cast(rows.schema[date].dataType)
+    short = rows if long is None else rows.join(F.broadcast(long), entity, "left_anti")
+    spread = [c for c in rows.columns if c != entity and isinstance(rows.schema[c].dataType, AtomicType)] or [entity]
+    dealt = F.when(F.col(entity).isNotNull(), F.xxhash64(entity)).otherwise(F.xxhash64(*spread))
+    met = short.repartition(dealt).sortWithinPartitions(entity).withColumns(made)
+    used = [c for q in questions for c in (*q.group, *q.facts.values(), *filter(None, [q.where]))]
+    met = met.select(*dict.fromkeys([*keep, entity, date, *made, *used]))
+
+    def answered(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        own = np.cumsum(_first(part, [entity])) - 1
+        valid = lambda *columns: np.logical_and.reduce([part[c].is_valid().to_numpy().astype(bool) for c in columns])
+        out = part.select(keep)
+        for q in questions:
+            there, of = valid(entity, date, *q.group), own
+            for c in q.group:
+                codes = part[c].combine_chunks().dictionary_encode()
+                codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+                codes = codes.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.unique(of * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+            fact, ask = there & valid("_known_at"), there & valid("_asked_at")
+            if q.where is not None:
+                fact &= pc.fill_null(part[q.where], False).to_numpy().astype(bool)
+            facts = pa.table({"_d": part[date], "_t": part["_known_at"], **{n: part[c] for n, c in q.facts.items()}}).filter(pa.array(fact))
+            asks = pa.table({"_d": part[date], "_t": part["_asked_at"], **({} if days is None else {"_since": part["_from_date"]})}).filter(pa.array(ask))
+            places = pa.array(np.cumsum(ask) - 1, mask=~ask)
+            for f, got in zip(q.found.fields, q.answer(facts.combine_chunks(), of[fact], asks, of[ask]), strict=True):
+                got = got.take(places)
+                out = out.append_column(f.name, got if q.empty is None else pc.fill_null(got, q.empty))
+        yield from out.combine_chunks().to_batches()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                done, held = held, None
+            elif not batch.num_rows:
+                continue
+            else:
+                part = pa.Table.from_batches([batch])
+                part = (part if held is None else pa.concat_tables([held, part])).combine_chunks()
+                last = int(np.flatnonzero(_first(part, [entity]))[-1])
+                done, held = part.slice(0, last), part.slice(last)
+            if done is not None and len(done):
+                yield from answered(done)
+
+    names = [f for q in questions for f in q.found.fields]
+    out = met.mapInArrow(walk, StructType([*[met.schema[c] for c in keep], *names]))
+    if long is not None:
+        apart = rows.join(F.broadcast(long), entity, "left_semi").withColumns(made)
+        facts = apart
+        for q in questions:
+            apart = q.apart(apart, facts if q.where is None else facts.where(q.where))
+        out = out.unionByName(apart.select(*[F.col(f.name).cast(f.dataType) for f in out.schema.fields]))
+    return out
+
+
 def plain(column: pa.ChunkedArray) -> np.ndarray:
     """Values without nulls as an array that sorts: dates and times as numbers."""
     kind = column.type

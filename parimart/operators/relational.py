@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from ..session import stored
-from .histories import ask_by_entity, by_length, known_sums
+from .histories import Question, ask_by_entity, by_length, known_sums
 
 Keys = Sequence[str]
 
@@ -151,6 +153,18 @@ def prior_history(
     return out.select(*target.columns, *[F.coalesce(f"_a{n}", F.lit(0)).alias(name) for n, name in zip(totals, sums, strict=True)])
 
 
+def sums_question(
+    entity: str, when: tuple[str, str, str], sums: dict[str, str], days: int | None, group: Keys = (), where: str | None = None, kinds: dict[str, DataType] | None = None
+) -> Question:
+    """``prior_history`` for ``ask_together``: ``sums`` maps names to columns without nulls, whole numbers unless ``kinds`` tells otherwise."""
+
+    def apart(target: DataFrame, facts: DataFrame) -> DataFrame:
+        return prior_history(target, facts, entity, *when, {n: F.col(c) for n, c in sums.items()}, days=days, group=group)
+
+    found = StructType([StructField(n, (kinds or {}).get(n, LongType())) for n in sums])
+    return Question(known_sums(list(sums.values()), None if days is None else "_since"), {c: c for c in sums.values()}, found, apart, group, 0, where)
+
+
 def _history_blocks(target: DataFrame, facts: DataFrame, names: dict[str, str], keys: Keys, totals: Keys, days: int | None) -> DataFrame:
     """``prior_history`` without a bound on an entity's rows: the target's columns and ``totals`` (null without history).
 
@@ -195,17 +209,19 @@ def growing_median(history: DataFrame, key: Keys, year: str, value: str, asked:
     """``(key, year, median, n)``: for each ``asked`` key and year (or all that history has) the exact median of the values of
     earlier years, and their number; keys match null to null, without earlier values there is no row.
 
-    Values are cut into chunks of about ``chunk`` in their order. Counts by chunk and year tell in which chunk the middle of
-    what lies before a year is; only that chunk's rows are looked at again. So a row moves once or a few times, not once for
-    each later year.
+    A sketch of all values cuts them into chunks of about ``chunk`` or more, 256 chunks at most. Counts by key, chunk and year tell
+    in which chunk the middle of what lies before a year is; only the rows of that chunk move. ``history`` is read three times.
     """
     rows = history.where(F.col(year).isNotNull() & F.col(value).isNotNull()).select(F.struct(*key).alias("_k"), F.col(year).alias("_y"), F.col(value).alias("_value"))
-    cells = rows.groupBy("_k", "_y", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(cells.groupBy("_k", "_value").agg(F.sum("_n").alias("_m")), ["_k", "_value"], F.col("_m"), "_c")
-    ranked = ranked.select("_k", "_value", F.floor((F.col("_c") - 1) / chunk).alias("_chunk"))
-    placed = stored(cells.join(ranked, ["_k", "_value"]), "placed")
+    near = F.col("_value").cast("double")
+    sketch = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(near, [i / 256 for i in range(1, 256)], 10000).alias("e")).first()
+    step = -(-256 // min(256, max(1, sketch["n"] // chunk)))
+    ends = np.unique(np.array(sketch["e"] or [], float)[step - 1 :: step])
+    # Values keep their order as doubles, and so do chunks.
+    place = F.pandas_udf(lambda v: pd.Series(np.searchsorted(ends, v.to_numpy(dtype=float))), "int")
+    placed = rows.withColumn("_chunk", place(near))
     years = F.collect_list(F.struct("_y", "_many"))
-    by_chunk = placed.groupBy("_k", "_chunk", "_y").agg(F.sum("_n").alias("_many")).groupBy("_k", "_chunk").agg(years.alias("_years"))
+    by_chunk = placed.groupBy("_k", "_chunk", "_y").agg(F.count(F.lit(1)).alias("_many")).groupBy("_k", "_chunk").agg(years.alias("_years"))
     wanted = (placed if asked is None else asked.select(F.struct(*key).alias("_k"), F.col(year).alias("_y"))).select("_k", F.col("_y").alias("_asked")).distinct()
     before = F.aggregate(F.filter("_years", lambda x: x["_y"] < F.col("_asked")), F.lit(0).cast("long"), lambda n, x: n + x["_many"])
     counts = by_chunk.join(wanted, "_k").select("_k", "_asked", "_chunk", before.alias("_n")).where("_n > 0")
@@ -213,8 +229,9 @@ def growing_median(history: DataFrame, key: Keys, year: str, value: str, asked:
     counts = counts.withColumns({"_to": F.sum("_n").over(of.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(of)})
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
     middle = counts.where((F.col("_to") - F.col("_n") <= high) & (F.col("_to") > low)).withColumn("_from", F.col("_to") - F.col("_n")).drop("_n", "_to")
-    again = placed.join(middle, ["_k", "_chunk"]).where(F.col("_y") < F.col("_asked"))
-    again = again.groupBy("_k", "_asked", "_chunk", "_value", "_from", "_all").agg(F.sum("_n").alias("_n"))
+    # Stored, so that its size is known: it is sent to the rows while it is small.
+    again = placed.join(stored(middle, "middle"), ["_k", "_chunk"]).where(F.col("_y") < F.col("_asked"))
+    again = again.groupBy("_k", "_asked", "_chunk", "_value", "_from", "_all").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.col("_from") + F.sum("_n").over(Window.partitionBy("_k", "_asked", "_chunk").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
     at = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_value").cast("double")))
     found = again.withColumn("_upto", upto).groupBy("_k", "_asked", "_all").agg(((at(low) + at(high)) / 2).alias("median"))

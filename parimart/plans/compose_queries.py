@@ -71,7 +71,7 @@ def _trailing(name: str, keys: str) -> str:
         left join par on par.racecourse is not distinct from s.racecourse and par.surface is not distinct from s.surface and par.going_wetness is not distinct from s.going_wetness and par.y = year(s.race_date)""")
 def h7(t: Tables) -> DataFrame:
     named = F.when(F.col("race_id") % 3 == 0, F.concat(F.lit("Spring Cup "), F.col("race_id"))).when(F.col("race_id") % 3 == 1, F.lit("Maiden"))
-    out = C.handicap_features(t.starts.withColumn("race_name", named), turf="O")
+    out = C.handicap_features(t.once("starts").withColumn("race_name", named), turf="O", keep=[])
     rates = [c for c in out.columns if ("_winrate_" in c or "_top3rate_" in c) and c.split("_")[0] != "horse" and c not in ("trainer_jockey_combo_top3rate_365d", "jockey_track_top3rate_365d")]
     counts = ["wins_last_10", "starts_last_10", *[c for c in out.columns if "_starts_" in c], "field_size"]
     return out.select(
